@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from helixframe.llm import mixing, pii, secrets, sharding, span_sql
+from helixframe.llm import decontam, gbt, mixing, pii, secrets, sharding, simhash, span_sql, toxicity, weak
 
 QUERIES = {
     "op2_poisson_mix": mixing.op2_poisson_mix,
+    "op3_toxic_segments": toxicity.op3_toxic_segments,
     "op4_histogram_shards": sharding.op4_histogram_shards,
     "op5_pii_spans": pii.op5_pii_spans,
+    "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
     "op7_secret_ledger": secrets.op7_secret_ledger,
+    "op8_wu_manber": decontam.op8_wu_manber,
+    "op9_quality_gbt": gbt.op9_quality_gbt,
+    "op10_weak_quality": weak.op10_weak_quality,
 }
 SQL = {
     "op2_poisson_mix": mixing.OP2_SQL,

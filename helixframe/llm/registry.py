@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, gbt, mixing, pii, secrets, sharding, simhash, span_sql, toxicity, weak
+from helixframe.llm import decontam, gbt, katz, mixing, pii, secrets, sharding, simhash, span_sql, toxicity, weak
 
 QUERIES = {
+    "op1_katz_backoff": katz.op1_katz_backoff,
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_toxic_segments": toxicity.op3_toxic_segments,
     "op4_histogram_shards": sharding.op4_histogram_shards,

@@ -1,0 +1 @@
+"""Sequence operators on DataFrames keyed by example_idx."""

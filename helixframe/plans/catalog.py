@@ -5,16 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from helixframe.functions import scalar
-from helixframe.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, ctes: tuple[str, ...] = ()):
+def query(sql: str | None = None, *ctes: str):
     """Registers a query under its function's name."""
 
     def register(f):
@@ -26,12 +22,5 @@ def query(sql: str | None = None, ctes: tuple[str, ...] = ()):
     return register
 
 
-@query(
-    """SELECT lang, count(*) AS n, round(avg(gc), 6) AS mean_gc FROM (SELECT lang,
-    coalesce(len(regexp_extract_all(seq, '[GC]')) / CAST(nullif(length(seq), 0) AS DOUBLE), 0) AS gc FROM doc_seqs) GROUP BY lang""",
-    (views.DOC_SEQS,),
-)
-def f05_gc_content_by_lang(spark, sf_dir):
-    """mean GC content by language."""
-    gc = views.doc_seqs(spark, sf_dir).select("lang", scalar.gc_content(F.col("seq")).alias("gc"))
-    return gc.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gc"), 6).alias("mean_gc"))
+# The modules below register their queries as they are imported.
+from helixframe.plans import experiments, sequences, spans_loci  # noqa: E402, F401

@@ -1,0 +1 @@
+"""Sequence operators on streams."""

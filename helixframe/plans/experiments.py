@@ -223,8 +223,8 @@ POOL = "pool AS (SELECT * FROM kseqs)"
 
 
 @query(
-    f"""SELECT example_idx, CASE WHEN b.l < a.l THEN b.e ELSE seq END AS seq, least(a.l, b.l) AS loss FROM (SELECT example_idx, seq, -CAST({z('seq')} AS DOUBLE) AS l FROM pool) a JOIN
-    (SELECT example_idx, x.l AS l, x.e AS e FROM (SELECT example_idx, min({{'l': l, 'i': i, 'p': p, 'e': e}}) AS x FROM (SELECT example_idx, i, p, e, -CAST({z('e')} AS DOUBLE) AS l FROM
+    f"""SELECT example_idx, CASE WHEN b.l < a.l THEN b.e ELSE seq END AS seq, least(a.l, b.l) AS loss FROM (SELECT example_idx, seq, 0.0::DOUBLE - CAST({z('seq')} AS DOUBLE) AS l FROM pool) a JOIN
+    (SELECT example_idx, x.l AS l, x.e AS e FROM (SELECT example_idx, min({{'l': l, 'i': i, 'p': p, 'e': e}}) AS x FROM (SELECT example_idx, i, p, e, 0.0::DOUBLE - CAST({z('e')} AS DOUBLE) AS l FROM
     (SELECT example_idx, i, p, substring(seq, 1, CAST(p AS INT)) || m || substring(seq, CAST(p + length(m) + 1 AS INT)) AS e FROM pool, tries, generate_series(0, 61) AS t(p) WHERE p + length(m) <= 64)) GROUP BY example_idx)) b USING (example_idx)""",
     views.KSEQS,
     TRIES,
@@ -242,8 +242,8 @@ def d02_greedy_substitution(spark, sf_dir):
 
 
 @query(
-    f"""SELECT seq, loss FROM (SELECT seq, min(l) AS loss, min({{'i': i, 'p': p}}) AS c FROM (SELECT seq, -CAST({z('seq')} AS DOUBLE) AS l, -1 AS i, -1 AS p FROM pool UNION ALL
-    SELECT e, -CAST({z('e')} AS DOUBLE), i, p FROM (SELECT i, p, substring(seq, 1, CAST(p AS INT)) || m || substring(seq, CAST(p + length(m) + 1 AS INT)) AS e FROM pool, tries, generate_series(0, 61) AS t(p) WHERE p + length(m) <= 64)) GROUP BY seq) ORDER BY loss, c, seq LIMIT 4""",
+    f"""SELECT seq, loss FROM (SELECT seq, min(l) AS loss, min({{'i': i, 'p': p}}) AS c FROM (SELECT seq, 0.0::DOUBLE - CAST({z('seq')} AS DOUBLE) AS l, -1 AS i, -1 AS p FROM pool UNION ALL
+    SELECT e, 0.0::DOUBLE - CAST({z('e')} AS DOUBLE), i, p FROM (SELECT i, p, substring(seq, 1, CAST(p AS INT)) || m || substring(seq, CAST(p + length(m) + 1 AS INT)) AS e FROM pool, tries, generate_series(0, 61) AS t(p) WHERE p + length(m) <= 64)) GROUP BY seq) ORDER BY loss, c, seq LIMIT 4""",
     views.KSEQS,
     TRIES,
     POOL,

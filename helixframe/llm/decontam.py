@@ -150,7 +150,8 @@ def _searcher(shared, text_at: int, again: bool):
             columns = [batch.column(i) for i in range(batch.num_columns - 4 * again)]
             if again:
                 for i, (bits, old) in enumerate(zip(batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2), strict=True)):
-                    hit[ptr[i] : ptr[i + 1]] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(ptr[i + 1] - ptr[i])).astype(bool)
+                    if bits.as_py():
+                        hit[ptr[i] : ptr[i + 1]] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(ptr[i + 1] - ptr[i])).astype(bool)
                     items[i].update(old.as_py())
             total = np.r_[0, np.cumsum(hit)]
             columns += [

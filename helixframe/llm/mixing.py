@@ -83,7 +83,8 @@ def poisson_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     mixed = mixed.where("mix_copies > 0").withColumn("mix_rate", F.col("__rate")).drop("__u", "__cdf", "__parts", "__source", "__rate")
     mixed = mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return mixed.withColumn("mix_key", at).repartition("mix_key").sortWithinPartitions("mix_key")
+    mixed = mixed.withColumn("mix_key", at).select(*old, "mix_rate", "mix_copies", "mix_copy", "mix_key")
+    return mixed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op2_poisson_mix(spark, sf_dir: str) -> DataFrame:

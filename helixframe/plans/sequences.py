@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.functions import scalar
-from helixframe.operators import edits, encode
+from helixframe.operators import design, edits, encode, seqlets
 from helixframe.plans import views
 from helixframe.plans.catalog import query
+from helixframe.sources import readers
 
 MOTIFS = "motifs AS (SELECT CAST(example_idx AS BIGINT) AS motif_idx, CAST(i // 4 AS INT) AS pos, CAST(i % 4 AS INT) AS char_idx, CAST(abs(value) AS DOUBLE) AS w FROM (SELECT example_idx, pos AS i, value FROM attr))"
 
@@ -236,3 +237,30 @@ def v02_deletion(spark, sf_dir):
 def v03_insertion(spark, sf_dir):
     """V3: insertions, trimmed on the left."""
     return edits.apply_insertions(views.kseqs(spark, sf_dir), views.variants(spark, sf_dir), left=True)
+
+
+@query("SELECT '> ' || example_idx || chr(10) || substring(seq, 1, 24) || chr(10) || substring(seq, 25, 24) || chr(10) || substring(seq, 49) || chr(10) AS record FROM kseqs", views.KSEQS)
+def s08_fasta_records(spark, sf_dir):
+    """Records as the FASTA writer forms them, with lines of 24 letters."""
+    return views.kseqs(spark, sf_dir).select(readers.fasta_record(F.col("example_idx").cast("string"), F.col("seq"), 24).alias("record"))
+
+
+@query(
+    """SELECT p_partkey AS example_idx, (SELECT string_agg(CASE WHEN u < 0.1::DOUBLE THEN 'A' WHEN u < 0.1::DOUBLE + 0.2::DOUBLE THEN 'C' WHEN u < 0.1::DOUBLE + 0.2::DOUBLE + 0.3::DOUBLE THEN 'G' ELSE 'T' END, '' ORDER BY p) FROM (
+    SELECT p, CAST(CAST('0x' || substring(md5('9:' || p_partkey || ':' || p), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM generate_series(0, 39) AS t(p))) AS seq FROM part"""
+)
+def s09_random_sequences(spark, sf_dir):
+    """Random sequences from given letter probabilities, a hash for each letter."""
+    keys = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_idx"))
+    return design.random_sequences(keys, 40, seed=9, probs=[0.1, 0.2, 0.3, 0.4])
+
+
+MATRIX = [[0.8, 0.1, 0.05, 0.05], [0.1, 0.7, 0.1, 0.1], [0.05, 0.05, 0.8, 0.1]]
+SCORES = " + ".join(f"CASE instr('ACGT', seq[CAST(p + {i + 1} AS INT)]) " + " ".join(f"WHEN {j + 1} THEN {float(np.log2((x + 1e-4) / 0.25))!r}::DOUBLE" for j, x in enumerate(column)) + " ELSE 0 END" for i, column in enumerate(MATRIX))
+
+
+@query(f"SELECT example_idx, round(max(s), 6) AS best, count(*) AS n FROM (SELECT example_idx, 0.0::DOUBLE + {SCORES} AS s FROM nseqs, generate_series(0, 61) AS t(p)) GROUP BY example_idx", views.NSEQS)
+def f17_pwm_scan(spark, sf_dir):
+    """Extension: the best log-odds of a motif along each sequence."""
+    scores = seqlets.pwm_scan(views.nseqs(spark, sf_dir), MATRIX)
+    return scores.groupBy("example_idx").agg(F.round(F.max("score"), 6).alias("best"), F.count(F.lit(1)).alias("n"))

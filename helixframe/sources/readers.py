@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VCF = "CHROM string, POS int, ID string, REF string, ALT string, QUAL string, FILTER string, INFO string, FORMAT string"
@@ -57,7 +57,11 @@ def read_bedgraph(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.where("start is not null and end is not null")
 
 
+def fasta_record(header: Column, seq: Column, width: int = 80) -> Column:
+    """A header line, then lines of a fixed width, then a line's end of its own."""
+    return F.concat(F.lit("> "), header, F.lit("\n"), F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n"), F.lit("\n"))
+
+
 def write_fasta(df: DataFrame, path: str, *, header: str = "header", seq: str = "seq", width: int = 80, mode: str = "append") -> None:
-    """Records with lines of a fixed width and an empty line between them."""
-    lines = F.regexp_replace(F.col(seq), f"(.{{{width}}})(?=.)", "$1\n")
-    df.select(F.concat(F.lit("> "), F.col(header), F.lit("\n"), lines, F.lit("\n")).alias("value")).write.mode(mode).text(path)
+    """Records with an empty line between them."""
+    df.select(fasta_record(F.col(header), F.col(seq), width).alias("value")).write.mode(mode).text(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,17 +24,20 @@ def strongest_letter(attr: DataFrame) -> DataFrame:
 
 
 def label_tracks(spans: DataFrame) -> DataFrame:
-    """(example_idx, annotation_idx, start, end, track): the first track free at a span's start, spans taken by start."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end", "annotation_idx"])
-        free: list[int] = []  # where the last label of each track ends
-        tracks = []
-        for s, e in zip(rows["start"], rows["end"], strict=True):
-            at = next((i for i, x in enumerate(free) if x <= s), len(free))
-            free[at : at + 1] = [e]
-            tracks.append(at)
-        return rows.assign(track=tracks)
-
-    some = spans.select("example_idx", "annotation_idx", "start", "end")
-    return some.groupBy("example_idx").applyInPandas(run, "example_idx long, annotation_idx long, start long, end long, track int")
+    """(example_idx, annotation_idx, start, end, track): the first track free at a span's start, spans taken by start.
+
+    An example's labels are those of one plot: they are gone through as one array.
+    """
+    span = F.struct("start", "end", "annotation_idx")
+    rows = spans.groupBy("example_idx").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+    def step(acc, x):
+        at = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(acc["free"])), lambda i: F.coalesce(F.get(acc["free"], i) <= x["start"], F.lit(True))), F.lit(0)), F.lit(0))
+        ends = F.transform(acc["free"], lambda e, i: F.when(i == at, x["end"]).otherwise(e))
+        free = F.when(at < F.size(acc["free"]), ends).otherwise(F.concat(acc["free"], F.array(x["end"])))
+        return F.struct(free.alias("free"), F.concat(acc["tracks"], F.array(at)).alias("tracks"))
+
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("free"), F.expr("cast(array() as array<int>)").alias("tracks"))
+    tracks = F.aggregate("spans", start, step, lambda acc: acc["tracks"])
+    each = rows.select("example_idx", F.explode(F.arrays_zip("spans", tracks.alias("tracks"))).alias("x"))
+    return each.select("example_idx", "x.spans.annotation_idx", "x.spans.start", "x.spans.end", F.col("x.tracks").alias("track"))

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.cluster import new_table
+from helixframe.llm.cluster import cut, new_table
 from helixframe.llm.spans import add_matches, count_of, joined, located
 
 BASE = ("assign", "access", "hex")
@@ -86,7 +86,8 @@ def scan_secrets(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     spans = F.array_distinct(F.flatten(F.collect_list("spans")))
     rank = lambda s: F.element_at(F.create_map(*[x for r, i in order.items() for x in (F.lit(r), F.lit(i))]), s["kind"])
     ranked = F.transform(F.filter(spans, lambda s: s["kind"].isin(*rules)), lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))
-    findings = ledger.groupBy("blob").agg(F.array_sort(ranked).alias("found"))
+    # Kept apart from the join below, so that adaptive execution can split a blob that very many paths hold.
+    findings = cut(ledger.groupBy("blob").agg(F.array_sort(ranked).alias("found")))
     old = [c for c in docs.columns if c not in ("secret_blob", "secret_spans")]
     paths = docs.select(*old, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("secret_blob"))
     paths = paths.join(findings.withColumnRenamed("blob", "secret_blob"), "secret_blob", "left")

@@ -27,7 +27,7 @@ from helixframe.llm.cluster import cut
 #: Bits of the key by which a round of probes is finer than the last.
 ROUND_BITS = 12
 #: Bytes of text that one task of the final exchange should hold.
-TASK_BYTES = 48 << 20
+TASK_BYTES = 16 << 20
 #: What the splitter of a shard may be off, as a share of a shard's bytes.
 TOLERANCE = 0.0025
 

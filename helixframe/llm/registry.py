@@ -20,4 +20,5 @@ SQL = {
     "op2_poisson_mix": mixing.OP2_SQL,
     "op5_pii_spans": span_sql.op5_sql(),
     "op7_secret_ledger": span_sql.op7_sql(),
+    "op8_wu_manber": span_sql.OP8_SQL,
 }

@@ -61,3 +61,16 @@ def op7_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {cols} FROM d)
 SELECT doc_id, {", ".join(f"CAST(len(s_{k}) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))},
 sha256({JOINED.format(spans=f"list_sort({base})")}) AS base_sha256, {JOINED.format(spans=f"list_sort({both})")} AS spans FROM f"""
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0), unnest(generate_series(1, len(w) - m + 1)) AS t(i)),
+docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS s FROM docs, (SELECT DISTINCT m FROM windows), unnest(generate_series(1, len(w) - m + 1)) AS t(p)),
+found AS (SELECT DISTINCT doc_id, p, m, item FROM places JOIN windows USING (m, s)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + m - 1)) AS q FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)"""

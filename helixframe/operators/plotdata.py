@@ -41,3 +41,18 @@ def label_tracks(spans: DataFrame) -> DataFrame:
     tracks = F.aggregate("spans", start, step, lambda acc: acc["tracks"])
     each = rows.select("example_idx", F.explode(F.arrays_zip("spans", tracks.alias("tracks"))).alias("x"))
     return each.select("example_idx", "x.spans.annotation_idx", "x.spans.start", "x.spans.end", F.col("x.tracks").alias("track"))
+
+
+def motif_heights(motifs: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """(motif_idx, pos, char_idx, height): each letter's share of its column's information, for a logo of (motif_idx, pos, probs)."""
+    bits = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p * F.log2(p + eps) + 0.5)
+    return motifs.select("motif_idx", "pos", F.posexplode(F.transform("probs", lambda p: p * bits)).alias("char_idx", "height"))
+
+
+def model_tracks(tracks: dict[str, DataFrame]) -> DataFrame:
+    """Attribution rows of several models in one table, with the model's name."""
+    out = None
+    for name, df in tracks.items():
+        rows = df.withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

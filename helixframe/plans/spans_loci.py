@@ -8,6 +8,7 @@ from helixframe.operators import annotate, loci, match, plotdata, seqlets, windo
 from helixframe.operators.order import checkpointed
 from helixframe.plans import views
 from helixframe.plans.catalog import query
+from helixframe.plans.sequences import MOTIFS, motif_columns
 
 BASE = (views.TILES, views.LOCI)
 
@@ -237,8 +238,6 @@ def q05_tfmodisco_seqlets(spark, sf_dir):
 @query()
 def q06_annotate_seqlets(spark, sf_dir):
     """Q6: the nearest of the first eight motifs to each annotated span of the documents' sequences."""
-    from helixframe.plans.sequences import motif_columns
-
     motifs = motif_columns(spark, sf_dir).where("motif_idx < 8 and pos < 6")
     spans = views.annotations(spark, sf_dir).where(F.col("end") - F.col("start") >= 8)
     both = spans.join(views.doc_seqs(spark, sf_dir), "example_idx").where(F.length("seq") >= F.col("end"))
@@ -304,3 +303,24 @@ def x03_strongest_letter(spark, sf_dir):
 def x06_label_tracks(spark, sf_dir):
     """Tracks for labels so that none overlap."""
     return plotdata.label_tracks(views.annotations(spark, sf_dir))
+
+
+@query(
+    """SELECT motif_idx, pos, char_idx, round(p * b, 6) + 0.0 AS height FROM (SELECT *, sum(p * log2(p + 1e-7) + 0.5::DOUBLE) OVER (PARTITION BY motif_idx, pos) AS b FROM (SELECT motif_idx, pos, char_idx, CASE WHEN s = 0 THEN 0 ELSE w / s END AS p
+    FROM (SELECT *, sum(w) OVER (PARTITION BY motif_idx, pos) AS s FROM motifs)))""",
+    views.ATTR,
+    MOTIFS,
+)
+def x05_motif_heights(spark, sf_dir):
+    """Heights of letters in motif logos."""
+    motifs = motif_columns(spark, sf_dir)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, w: a + w)
+    shares = motifs.withColumn("total", total).withColumn("probs", F.transform("probs", lambda w: F.when(F.col("total") == 0, F.lit(0.0)).otherwise(w / F.col("total"))))
+    return plotdata.motif_heights(shares).select("motif_idx", "pos", "char_idx", (F.round("height", 6) + F.lit(0.0)).alias("height"))
+
+
+@query("SELECT example_idx, pos, value * k AS value, CASE k WHEN 1 THEN 'plain' ELSE 'double' END AS model FROM attr, (VALUES (1), (2)) AS t(k)", views.ATTR)
+def x04_model_tracks(spark, sf_dir):
+    """Tracks of two models in one table."""
+    attr = views.attr(spark, sf_dir)
+    return plotdata.model_tracks({"plain": attr, "double": attr.withColumn("value", F.col("value") * 2)})

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 
-def spans_of(kind: str, rank: int, pattern: str, keep: str) -> str:
-    """A list of (start, rank, end, kind) of kept matches: gaps between matches and matches add up to positions."""
-    p = pattern.replace("'", "''")
-    return f"""list_filter(list_transform(generate_series(1, len(regexp_extract_all(t, '{p}'))), lambda i: {{
-      'start': list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda g: length(g))), 0),
-      'rank': {rank}, 'n': length(regexp_extract_all(t, '{p}')[i]), 'm': regexp_extract_all(t, '{p}')[i], 'kind': '{kind}'}}), lambda s: {keep})"""
+def with_matches(kinds: list[tuple[str, str, str]], needs: dict[str, str] | None = None) -> str:
+    """Common tables up to f: for each kind m_ (matches), n_ (their lengths), g_ (lengths of the gaps between them), s_ (kept spans).
+
+    needs: a pattern that a text must have to be taken apart for a kind.
+    """
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    needs = needs or {}
+    found = ", ".join((f"CASE WHEN regexp_matches(t, {q(needs[k])}) THEN regexp_extract_all(t, {q(p)}) ELSE [] END" if k in needs else f"regexp_extract_all(t, {q(p)})") + f" AS m_{k}" for k, p, _ in kinds)
+    sizes = ", ".join(f"list_transform(m_{k}, lambda x: length(x)) AS n_{k}, CASE WHEN len(m_{k}) > 0 THEN list_transform(regexp_split_to_array(t, {q(p)}), lambda x: length(x)) ELSE [] END AS g_{k}" for k, p, _ in kinds)
+    spans = ", ".join(
+        f"list_filter(list_transform(generate_series(1, len(m_{k})), lambda i: {{'start': list_sum(g_{k}[1:i]) + coalesce(list_sum(n_{k}[1:i - 1]), 0), 'rank': {i}, 'n': n_{k}[i], 'm': m_{k}[i], 'kind': '{k}'}}), lambda s: {keep}) AS s_{k}"
+        for i, (k, _, keep) in enumerate(kinds)
+    )
+    return f"d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT *, {found} FROM d), g AS (SELECT *, {sizes} FROM m), f AS (SELECT doc_id, {spans} FROM g)"
 
 
 JOINED = "coalesce(array_to_string(list_transform({spans}, lambda s: s.kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.start + s.n AS BIGINT)), ','), '')"
@@ -35,10 +43,9 @@ def op5_sql() -> str:
         ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", MOD97),
         ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"NOT regexp_matches(s.m, '^(?:000|666|9)|-00-|-0000$') AND {near}"),
     ]
-    cols = ",\n".join(f"{spans_of(kind, i, p, keep)} AS s_{kind}" for i, (kind, p, keep) in enumerate(kinds))
     base = " || ".join(f"s_{k}" for k, _, _ in kinds[:4])
     both = " || ".join(f"s_{k}" for k, _, _ in kinds)
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {cols} FROM d)
+    return f"""WITH {with_matches(kinds)}
 SELECT doc_id, {", ".join(f"CAST(len(s_{k}) AS BIGINT) AS n_{k}" for k, _, _ in kinds[:4])},
 sha256({JOINED.format(spans=f"({base})")}) AS base_sha256, {JOINED.format(spans=f"({both})")} AS spans FROM f"""
 
@@ -53,12 +60,10 @@ def op7_sql() -> str:
         ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "true"),
         ("git", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
     ]
-    # The gaps of so many short runs of hex letters are dear; only texts with a long run are taken apart.
-    lists = {k: spans_of(k, i, p, keep) for i, (k, p, keep) in enumerate(kinds)}
-    cols = ",\n".join(f"{'CASE WHEN regexp_matches(t, ' + chr(39) + '[0-9a-f]{16}' + chr(39) + ') THEN ' if k == 'hex' else ''}{x}{' ELSE [] END' if k == 'hex' else ''} AS s_{k}" for k, x in lists.items())
     base = " || ".join(f"s_{k}" for k in ("assign", "access", "hex"))
-    both = " || ".join(f"s_{k}" for k in lists)
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {cols} FROM d)
+    both = " || ".join(f"s_{k}" for k, _, _ in kinds)
+    # Texts have very many short runs of hex letters; only those with a long one are taken apart.
+    return f"""WITH {with_matches(kinds, {"hex": "[0-9a-f]{16}"})}
 SELECT doc_id, {", ".join(f"CAST(len(s_{k}) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))},
 sha256({JOINED.format(spans=f"list_sort({base})")}) AS base_sha256, {JOINED.format(spans=f"list_sort({both})")} AS spans FROM f"""
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.llm import text as tx
-from helixframe.llm.cluster import cut
+from helixframe.llm.cluster import cut, small_batches
 from helixframe.llm.graph import components
 
 SEGMENTS, WIDTH = 8, 8
@@ -29,6 +29,10 @@ SEGMENTS, WIDTH = 8, 8
 PAIRWISE = 64
 #: Blocks of minima and minima in each, for similarities too low for exact segments.
 BLOCKS, MINIMA = 16, 5
+#: Different texts of a block that are compared pair by pair; in larger blocks each is compared with neighbours and hubs.
+FAMILY, NEIGHBOURS, HUBS = 24, 4, 8
+#: Deviations of the estimate from the minima's lowest bytes below which a pair is not compared exactly.
+SLACK = 2.8
 
 
 def shingles(words: tx.Words, k: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +92,7 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, fp): SimHash of each row's lower-cased k-word shingles; 0 for texts without words, nulls among them."""
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    some = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return some.mapInArrow(_fingerprinter(k), "id long, fp long")
 
 
@@ -185,11 +189,14 @@ def _sketcher(k: int):
                 h, ptr = _hashed(data, offsets, k)
                 some = np.flatnonzero(np.diff(ptr))
                 blocks = np.zeros((len(ptr) - 1, BLOCKS), np.uint64)
+                low = np.zeros((len(ptr) - 1, len(_TURNS)), np.uint8)
                 if len(some):
                     for j, turn in enumerate(_TURNS):
                         least = np.minimum.reduceat(h * turn, ptr[some])
+                        low[some, j] = (tx.mix(least) & np.uint64(255)).astype(np.uint8)
                         blocks[some, j // MINIMA] = tx.mix(blocks[some, j // MINIMA] + least)
                 blocks = (blocks & ~np.uint64(15)) | np.arange(BLOCKS, dtype=np.uint64)
+                packed = pa.FixedSizeListArray.from_arrays(pa.array(low.reshape(-1).view(np.int64)), low.shape[1] // 8).cast(pa.list_(pa.int64()))
                 whole = np.zeros(len(ptr) - 1, np.uint64)
                 wh = words.hashes()
                 full = np.flatnonzero(words.counts)
@@ -198,8 +205,8 @@ def _sketcher(k: int):
                     whole[full] = np.add.reduceat(place, words.ptr[full])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(blocks) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(majority(h, ptr).view(np.int64)), pa.array(tx.mix(whole).view(np.int64)), pa.array(np.diff(ptr).astype(np.int32)), lists],
-                    names=["id", "fp", "same", "n", "blocks"],
+                    [rows.column(0), pa.array(majority(h, ptr).view(np.int64)), pa.array(tx.mix(whole).view(np.int64)), pa.array(np.diff(ptr).astype(np.int32)), lists, packed],
+                    names=["id", "fp", "same", "n", "blocks", "minima"],
                 )
 
     return run
@@ -230,56 +237,82 @@ def _comparer(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 20) -> DataFrame:
+def _same_bytes(a: Column, b: Column) -> Column:
+    """How many of the bytes packed into two arrays of longs agree."""
+    out = F.lit(0)
+    for i in range(BLOCKS * MINIMA // 8):
+        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (4, 2, 1):  # the lowest bit of each byte tells whether any of its bits is set
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        out = out + 8 - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return out
+
+
+def _candidates(rows: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(a, b) of rows (id, fp, n, minima, x: the same of another text) that may be similar: sizes, Hamming distance, a chain that keeps its budgets, minima."""
+    a, b = F.col("fp"), F.col("x.fp")
+    any_chain = F.lit(False)
+    for i in range(SEGMENTS):
+        any_chain = any_chain | chain_holds(a, b, F.lit(i), bits)
+    m = BLOCKS * MINIMA
+    least = int(m * similarity - SLACK * (m * similarity * (1 - similarity)) ** 0.5)
+    # Repeated shingles count once in the sets but not in n, so sizes only rule out what is far off.
+    near = (F.least("n", "x.n") >= 0.5 * similarity * F.greatest("n", "x.n")) & (F.bit_count(a.bitwiseXOR(b)) <= bits) & any_chain & (_same_bytes(F.col("minima"), F.col("x.minima")) >= least)
+    return rows.where(near).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar; texts: (id, text)."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(_comparer(similarity), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 18) -> DataFrame:
     """(id, group): rows grouped by Jaccard similarity of their sets of k-word shingles; group is the least id in it.
 
     At such a similarity fingerprints differ in up to a quarter of their bits,
     of which no exact segment is a usable key.  Candidates share one of 16
     blocks of five minima of the shingle hashes instead; the chain's budgets
-    for bits (from any start), the Hamming check and an exact comparison of
-    the shingle sets follow.  In a block every text is compared with its next
-    neighbours by fingerprint; then only one text of each group stays, and
-    rounds go on, with twice the neighbours, until no block has more texts
-    left than were compared and none of them link.
+    for bits (from any start), the Hamming check, an estimate from all minima
+    and an exact comparison of the shingle sets follow.
+
+    In a block of up to FAMILY different texts all pairs are compared.  In a
+    larger one each text is compared with its NEIGHBOURS next ones in the order
+    of fingerprints, turned to another segment in every block; then those that
+    found no link are compared with the block's HUBS texts of most links.  This keeps the work linear in the size of a family of copies, and
+    may miss links between texts far out in a large family.
 
     Texts without words, nulls among them, are one group of equal texts.  Rows
     that repeat an id are one node.  A null id is dropped.
     """
-    some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = cut(some.mapInArrow(_sketcher(k), "id long, fp long, same long, n int, blocks array<long>"))
-    same = sketches.groupBy("same").agg(F.min("id").alias("least"))
+    some = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketches = cut(some.mapInArrow(_sketcher(k), "id long, fp long, same long, n int, blocks array<long>, minima array<long>"))
+    # Kept apart from the join below, so that adaptive execution can split a large group of equal texts there.
+    same = cut(sketches.groupBy("same").agg(F.min("id").alias("least")))
     copies = sketches.join(same, "same").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     live = sketches.join(same.select(F.col("least").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).where("n > 0")
-    live = cut(live.select("id", "fp", "n", "blocks"))
-    found = cut(copies)
-    near = 8
-    while True:
-        blocks = live.select("id", "fp", "n", F.explode("blocks").alias("block"))
-        shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("in_block")).where("in_block > 1")
-        blocks = cut(blocks.join(shared, "block"))
-        order = Window.partitionBy("block").orderBy("fp", "id").rowsBetween(1, near)
-        nexts = blocks.withColumn("nexts", F.collect_list(F.struct("id", "fp", "n")).over(order)).select("id", "fp", "n", F.explode("nexts").alias("x"))
-        a, b = F.col("fp"), F.col("x.fp")
-        ratio = F.least("n", "x.n") / F.greatest("n", "x.n")
-        any_chain = F.lit(False)
-        for i in range(SEGMENTS):
-            any_chain = any_chain | chain_holds(a, b, F.lit(i), bits)
-        # Repeated shingles count once in the sets but not in n, so the ratio may only rule out what is far off.
-        pairs = nexts.where((ratio >= 0.5 * similarity) & (F.bit_count(a.bitwiseXOR(b)) <= bits) & any_chain)
-        pairs = cut(pairs.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = cut(some.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        linked = cut(both.select("a", "b", "sa", "sb").mapInArrow(_comparer(similarity), "a long, b long"))
-        most = blocks.agg(F.max("in_block")).first()[0] or 0
-        if linked.isEmpty():
-            if most <= near + 1:
-                break
-        else:
-            found = found.union(linked)
-            gone = components(linked).where("node <> root").select(F.col("node").alias("id"))
-            live = cut(live.join(gone, "id", "left_anti"))
-        near *= 2
-    roots = components(found)
+    blocks = live.select("id", "fp", "n", "minima", F.explode("blocks").alias("block"))
+    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("in_block")).where("in_block > 1")
+    turned = F.col("fp")
+    for i in range(1, SEGMENTS):
+        turned = F.when(F.col("block").bitwiseAND(F.lit(7)) == i, _turned(F.col("fp"), i)).otherwise(turned)
+    blocks = cut(blocks.join(shared, "block").withColumn("turned", turned))
+
+    order = Window.partitionBy("block").orderBy("turned", "id")
+    few, many = blocks.where(F.col("in_block") <= FAMILY), blocks.where(F.col("in_block") > FAMILY)
+    other = F.struct("id", "fp", "n", "minima")
+    nexts = [part.withColumn("nexts", F.collect_list(other).over(order.rowsBetween(1, n))) for part, n in ((few, FAMILY - 1), (many, NEIGHBOURS))]
+    rows = nexts[0].union(nexts[1]).select("id", "fp", "n", "minima", F.explode("nexts").alias("x"))
+    found = _similar(cut(_candidates(rows, bits, similarity)), some, k, similarity)
+
+    degrees = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("degree"), "id"))
+    hubs = many.join(degrees, "id").withColumn("place", place).where(F.col("place") <= HUBS).select("block", other.alias("x"))
+    alone = many.join(degrees, "id", "left_anti").select("block", "id", "fp", "n", "minima")
+    late = _similar(cut(_candidates(alone.join(hubs, "block").select("id", "fp", "n", "minima", "x"), bits, similarity)), some, k, similarity)
+
+    roots = components(copies.union(found).union(late))
     ids = sketches.select("id").distinct()
     return ids.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))

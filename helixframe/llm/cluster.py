@@ -29,3 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
 def new_table(spark: SparkSession, name: str) -> str:
     """Path of a new table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, once its session sends executors' Python at most so many rows of text at a time (less where it is set lower): a batch is held on both sides."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(ARROW_ROWS))
+    if not 0 < now <= rows:
+        conf.set(ARROW_ROWS, str(rows))
+    return df

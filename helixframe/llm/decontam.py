@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import text as tx
+from helixframe.llm.cluster import small_batches
 
 WINDOW = 10
 #: Windows of one table: 200,000 of ten words are about 40 MB.
@@ -175,7 +176,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     called as one of the new ones are replaced.
     """
     new = ["hit_total", "hit_words", "hit_items", "hit_bits"]
-    out = docs.select(*[c for c in docs.columns if c not in new])
+    out = small_batches(docs).select(*[c for c in docs.columns if c not in new])
     extra = [T.StructField("hit_total", T.LongType()), T.StructField("hit_words", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_bits", T.BinaryType())]
     schema = T.StructType([*out.schema.fields, *extra])
     text_at = out.columns.index(text_col)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import stats, text as tx
+from helixframe.llm.cluster import small_batches
 
 #: The better text never has more of these: symbols, repeated lines, repeated words, capitals, exclamation marks.
 SIGNS = {"symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": -1, "bang_share": -1}
@@ -128,7 +129,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """(id, y, text) of at most sample labelled rows, those whose id has the least hash; rows with null id or label are left out."""
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"])
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
@@ -149,7 +150,7 @@ def quality_rules(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text
     Repeated rows give repeated results; an empty table an empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = some.schema["id"].dataType.simpleString()
     out = some.mapInArrow(_measurer(model), f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, good double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

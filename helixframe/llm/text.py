@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
+#: Byte ranges hashed at once.
+SPANS = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -37,11 +39,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int, base: np.uint64, key: str) -> np.ndarray:
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES * 2)
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(max(n, PIECE_BYTES), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= PIECE_BYTES * 8:
+        if len(have) <= PIECE_BYTES:
             _POWERS[key] = have
     return have[:n]
 
@@ -69,14 +70,23 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges: equal bytes, equal hash, wherever they stand."""
-    n = len(data)
-    if n == 0 or len(starts) == 0:
-        return np.zeros(len(starts), dtype=np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE, "up"), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(n, _INVERSE, "down")[np.minimum(starts, n - 1)]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of the byte ranges: equal bytes, equal hash, wherever they stand.
+
+    Ranges come by start.  They are hashed some at a time, so that working
+    arrays stay small.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for i in range(0, len(starts), SPANS):
+        a, b = starts[i : i + SPANS], ends[i : i + SPANS]
+        low, high = int(a[0]), int(b.max())
+        n = high - low
+        if n <= 0:
+            continue
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE, "up"), out=total[1:])
+        h = (total[b - low] - total[a - low]) * _powers(n, _INVERSE, "down")[np.minimum(a - low, n - 1)]
+        out[i : i + SPANS] = h + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(out)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
+from helixframe.llm.cluster import small_batches
 
 #: Slots of the table of log-odds.
 SPACE = 1 << 20
@@ -187,7 +188,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"])
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", half, "text")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", half, "text")
     counted = texts.mapInArrow(_counter, "slot int, kind int, n long").groupBy("slot", "kind").agg(F.sum("n").alias("n")).toArrow()
     slot, kind, n = (counted.column(c).to_numpy() for c in ("slot", "kind", "n"))
     count, size = np.zeros((2, 2, SPACE)), np.zeros((2, 2))  # [label, half]
@@ -226,7 +227,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     rows give repeated results; an empty table an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = some.schema["id"].dataType.simpleString()
     return some.mapInArrow(_scorer(shared), f"id {kind}, score double, best double, passages array<struct<start:int,end:int,score:double>>")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import stats, text as tx
+from helixframe.llm.cluster import small_batches
 
 GOOD, BAD, NONE = 1, 2, 0
 #: Labellers that call a text bad: (statistic, from); else they do not vote.
@@ -153,7 +154,7 @@ def _scorer(shared, text_at: int):
 
 def train_classifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior by vote pattern, weights and bias.  Votes are counted over all rows; the scorer trains on at most sample of them."""
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_voter, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     post, _ = fit_labellers(counted.column("pattern").to_numpy(), counted.column("n").to_numpy().astype(float))
     key = F.xxhash64(F.col(id_col))
@@ -176,7 +177,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, te
     give repeated results; an empty table an empty one.  Columns of docs called
     as one of the new ones are replaced.
     """
-    out = docs.select(*[c for c in docs.columns if c not in ("weak_votes", "weak_posterior", "weak_score")])
+    out = small_batches(docs).select(*[c for c in docs.columns if c not in ("weak_votes", "weak_posterior", "weak_score")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [T.StructField("weak_votes", T.IntegerType()), T.StructField("weak_posterior", T.DoubleType()), T.StructField("weak_score", T.DoubleType())]
     schema = T.StructType([*out.schema.fields, *new])

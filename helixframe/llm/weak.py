@@ -21,8 +21,9 @@ from helixframe.llm import stats, text as tx
 from helixframe.llm.cluster import small_batches
 
 GOOD, BAD, NONE = 1, 2, 0
-#: Labellers that call a text bad: (statistic, from); else they do not vote.
-BAD_FROM = {"capitals": ("upper_share", 0.4), "symbols": ("symbol_share", 0.15), "repeats": ("repeat_share", 0.6), "lines": ("dup_line_share", 0.5), "bangs": ("bang_share", 0.5)}
+#: Labellers that call a text bad: (statistic, from); else, or on texts of fewer than FEW words, they do not vote.
+FEW = 5
+BAD_FROM = {"capitals": ("upper_share", 0.4), "symbols": ("symbol_share", 0.15), "repeats": ("repeat_share", 0.7), "lines": ("dup_line_share", 0.5), "bangs": ("bang_share", 0.5)}
 #: Labellers that call a text good: all these statistics at most so much; else they do not vote.
 GOOD_TO = {
     "prose": {"upper_share": 0.15, "bang_share": 0.1, "symbol_share": 0.02, "digit_share": 0.1, "repeat_share": 0.4},
@@ -33,7 +34,9 @@ LABELLERS = (*BAD_FROM, *GOOD_TO)
 #: Hashed features of the linear scorer.
 SPACE = 1 << 17
 #: At most so many documents train the linear scorer, those whose id has the least hash.
-SAMPLE = 8192
+SAMPLE = 4096
+#: Documents of at least this score are kept: below a half, so that clean documents that no labeller knows stay.
+KEEP_FROM = 0.4
 _SHAPE = np.arange(256)
 _SHAPE = np.where((_SHAPE >= 65) & (_SHAPE <= 90), 65, np.where((_SHAPE >= 97) & (_SHAPE <= 122), 97, np.where((_SHAPE >= 48) & (_SHAPE <= 57), 48, np.where(_SHAPE >= 128, 97, _SHAPE)))).astype(np.uint8)
 
@@ -43,7 +46,7 @@ def votes(features: np.ndarray) -> np.ndarray:
     column = lambda name: features[:, stats.FEATURES.index(name)]
     out = np.zeros(len(features), np.int64)
     for name, least in BAD_FROM.values():
-        out = out * 3 + np.where(column(name) >= least, BAD, NONE)
+        out = out * 3 + np.where((column(name) >= least) & (column("log_words") >= np.log1p(FEW)), BAD, NONE)
     for limits in GOOD_TO.values():
         plain = np.ones(len(features), bool)
         for name, most in limits.items():
@@ -164,8 +167,8 @@ def train_classifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     index, value = rows.column("index").combine_chunks(), rows.column("value").combine_chunks()
     length = index.value_lengths().to_numpy(zero_copy_only=False) if len(index) else np.zeros(0, np.int64)
     y = post[rows.column("pattern").to_numpy()]
-    order = np.repeat(np.arange(len(y)), length)
-    w, b = train_linear(order, index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(float), y)
+    order = np.repeat(np.arange(len(y), dtype=np.int32), length)
+    w, b = train_linear(order, index.flatten().to_numpy(), value.flatten().to_numpy(), y)
     return post, w, b
 
 
@@ -188,4 +191,4 @@ def op10_weak_quality(spark, sf_dir: str) -> DataFrame:
     """Votes, posterior, score and class of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = classify(docs, train_classifier(docs))
-    return out.select("doc_id", "weak_votes", F.round("weak_posterior", 6).alias("posterior"), F.round("weak_score", 6).alias("score"), (F.col("weak_score") >= 0.5).alias("kept"))
+    return out.select("doc_id", "weak_votes", F.round("weak_posterior", 6).alias("posterior"), F.round("weak_score", 6).alias("score"), (F.col("weak_score") >= KEEP_FROM).alias("kept"))

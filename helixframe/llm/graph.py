@@ -21,10 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: the larger neighbours of a node go to the least of its neighbours and itself.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Kept apart from the join, so that adaptive execution can split a node of very many neighbours there.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node's smaller neighbours and itself go to the least of them.
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        small = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         moved = large.join(small, "a").select(F.col("b").alias("x"), "m").union(small.select(F.col("a").alias("x"), "m"))
         edges = cut(moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

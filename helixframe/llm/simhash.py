@@ -285,13 +285,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     may miss links between texts far out in a large family.
 
     Texts without words, nulls among them, are one group of equal texts.  Rows
-    that repeat an id are one node.  A null id is dropped.
+    that repeat an id are one row of the result, in the least of their groups.
+    A null id is dropped.
     """
     some = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = cut(some.mapInArrow(_sketcher(k), "id long, fp long, same long, n int, blocks array<long>, minima array<long>"))
     # Kept apart from the join below, so that adaptive execution can split a large group of equal texts there.
     same = cut(sketches.groupBy("same").agg(F.min("id").alias("least")))
-    copies = sketches.join(same, "same").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     live = sketches.join(same.select(F.col("least").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).where("n > 0")
     blocks = live.select("id", "fp", "n", "minima", F.explode("blocks").alias("block"))
     shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("in_block")).where("in_block > 1")
@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = many.join(degrees, "id", "left_anti").select("block", "id", "fp", "n", "minima")
     late = _similar(cut(_candidates(alone.join(hubs, "block").select("id", "fp", "n", "minima", "x"), bits, similarity)), some, k, similarity)
 
-    roots = components(copies.union(found).union(late))
-    ids = sketches.select("id").distinct()
-    return ids.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+    # Copies follow their text's representative; only representatives go through the graph.
+    roots = components(found.union(late))
+    reps = cut(same.join(roots, F.col("least") == F.col("node"), "left").select("same", F.coalesce("root", "least").alias("group")))
+    return sketches.select("id", "same").join(reps, "same").groupBy("id").agg(F.min("group").alias("group"))

@@ -38,6 +38,8 @@ def test_stages(spark, tmp_path):
     assert clean <= set(left[2]) and not any(x and x >= 4000 for x in left[2])
     assert 0.7 * len(left[2]) < len(left[3]) < 1.3 * len(left[2])
     assert sorted(map(str, left[4])) == sorted(map(str, left[3]))
+    whole = [x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()]
+    assert sorted(map(str, whole)) == sorted(map(str, left[4]))
 
 
 def test_registered():

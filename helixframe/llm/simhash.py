@@ -29,10 +29,12 @@ SEGMENTS, WIDTH = 8, 8
 PAIRWISE = 64
 #: Blocks of minima and minima in each, for similarities too low for exact segments.
 BLOCKS, MINIMA = 16, 5
-#: Different texts of a block that are compared pair by pair; in larger blocks each is compared with neighbours and hubs.
+#: Different texts of a block that are compared pair by pair; in larger blocks each is compared with neighbours and hubs first.
 FAMILY, NEIGHBOURS, HUBS = 24, 4, 8
 #: Deviations of the estimate from the minima's lowest bytes below which a pair is not compared exactly.
 SLACK = 2.8
+#: Shingles of the texts of a large block that one side of a tile holds (a text counts as TEXT at least), and columns of a tile at once.
+TILE, TEXT, COLUMNS = 128_000, 500, 4096
 
 
 def shingles(words: tx.Words, k: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,6 +239,76 @@ def _comparer(similarity: float):
     return run
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the left sets has in common with each of the right ones."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        some = common[at : at + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            side = np.zeros((len(sets), len(some)), np.float32)
+            for i, x in enumerate(sets):
+                side[i, np.flatnonzero(np.isin(some, x, assume_unique=True))] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tiler(similarity: float):
+    """One tile (block, i, j): links that join the groups (root) of all similar texts of chunks i and j."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        chunk, ids, root = (table.column(c).to_numpy() for c in ("chunk", "id", "root"))
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
+        near = both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+        links, up = [], {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for x, y in zip(*np.nonzero(near & (root[left][:, None] != root[right][None, :])), strict=True):
+            a, b = top(root[left[x]]), top(root[right[y]])
+            if a != b:
+                up[a] = b
+                links.append((ids[left[x]], ids[right[y]]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _apart(many: DataFrame, roots: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of large blocks (block, id, n) that roots (node, root) leave in different groups: all pairs of a block are compared.
+
+    The texts of a block lie in a row, large groups first, the others by size,
+    and are cut into chunks.  A tile is two chunks; those of one group only,
+    or of sizes too far apart, need no comparison.  A task holds one tile.
+    """
+    own = many.select("block", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("block", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = own.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("block")
+    own = cut(own.join(mixed, "block"))
+    inside = own.groupBy("block", "root").agg(F.sum(F.greatest("n", F.lit(TEXT))).alias("inside"))
+    large = F.when(F.col("inside") >= TILE, F.col("root"))
+    line = Window.partitionBy("block").orderBy(large.asc_nulls_last(), "n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.greatest("n", F.lit(TEXT))).over(line), F.lit(0))
+    own = cut(own.join(inside, ["block", "root"]).select("block", "id", "n", "root", F.floor(before / TILE).alias("chunk")))
+    chunks = own.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("x"), F.max("root").alias("y"))
+    a, b = (chunks.select("block", F.col("chunk").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("lo", "hi", "x", "y")]) for i in ("i", "j"))
+    sizes = (F.col("hi_i") >= similarity * F.col("lo_j")) & (F.col("hi_j") >= similarity * F.col("lo_i"))
+    tiles = a.join(b, "block").where((F.col("i") <= F.col("j")) & sizes & (F.least("x_i", "x_j") != F.greatest("y_i", "y_j"))).select("block", "i", "j")
+    sides = tiles.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    sets = cut(texts.join(own.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
+    rows = sides.join(own, ["block", "chunk"]).join(sets, "id").select("block", "i", "j", "chunk", "id", "root", "shingles")
+    return cut(rows.groupBy("block", "i", "j").applyInArrow(_tiler(similarity), "a long, b long"))
+
+
 def _same_bytes(a: Column, b: Column) -> Column:
     """How many of the bytes packed into two arrays of longs agree."""
     out = F.lit(0)
@@ -281,8 +353,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     In a block of up to FAMILY different texts all pairs are compared.  In a
     larger one each text is compared with its NEIGHBOURS next ones in the order
     of fingerprints, turned to another segment in every block; then those that
-    found no link are compared with the block's HUBS texts of most links.  This keeps the work linear in the size of a family of copies, and
-    may miss links between texts far out in a large family.
+    found no link are compared with the block's HUBS texts of most links.  This
+    puts a family of copies together in linear work.  Last, all pairs of a
+    large block that are still in different groups are compared exactly.
 
     Texts without words, nulls among them, are one group of equal texts.  Rows
     that repeat an id are one row of the result, in the least of their groups.
@@ -313,7 +386,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = many.join(degrees, "id", "left_anti").select("block", "id", "fp", "n", "minima")
     late = _similar(cut(_candidates(alone.join(hubs, "block").select("id", "fp", "n", "minima", "x"), bits, similarity)), some, k, similarity)
 
+    roots = cut(components(found.union(late)))
+    rest = _apart(many, roots, some, k, similarity)
+    if not rest.isEmpty():
+        roots = components(found.union(late).union(rest))
     # Copies follow their text's representative; only representatives go through the graph.
-    roots = components(found.union(late))
     reps = cut(same.join(roots, F.col("least") == F.col("node"), "left").select("same", F.coalesce("root", "least").alias("group")))
     return sketches.select("id", "same").join(reps, "same").groupBy("id").agg(F.min("group").alias("group"))

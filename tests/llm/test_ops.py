@@ -343,6 +343,38 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def near_groups(texts: list[str], k: int = 5) -> list[int]:
+    """The least text of each one's group, by comparing all sets of shingles."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("tile", [20_000, simhash.TILE])
+def test_near_duplicates_shared_passage(spark, monkeypatch, tile):
+    """Texts of a long passage that all share are no copies; pairs among them, just similar enough, are found."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r = random.Random(8)
+    passage, texts = [f"p{i}" for i in range(300)], []
+    for i in range(150):
+        own = [f"u{i}x{j}" for j in range(90)]
+        texts.append(passage + own)
+        # Similar to its partner by 0.803 to 0.809, to all others by less than 0.65.
+        texts.append(passage + own[: 48 + r.randrange(3)] + [f"t{i}x{j}" for j in range(42)])
+    texts = [" ".join(x) for x in texts]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["group"] for x in simhash.near_duplicates(docs).collect()}
+    want = near_groups(texts)
+    assert len(set(want)) == 150
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (None, 3), (100, 101)]
     got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -31,7 +31,7 @@ PAIRWISE = 64
 BLOCKS, MINIMA = 16, 5
 #: Different texts of a block that are compared pair by pair; in larger blocks each is compared with neighbours and hubs first.
 FAMILY, NEIGHBOURS, HUBS = 24, 4, 8
-#: Deviations of the estimate from the minima's lowest bytes below which a pair is not compared exactly.
+#: Deviations of the estimate from the minima's lowest bytes below which a pair is no likely neighbour or hub.
 SLACK = 2.8
 #: Shingles of the texts of a large block that one side of a tile holds (a text counts as TEXT at least), and columns of a tile at once.
 TILE, TEXT, COLUMNS = 128_000, 500, 4096
@@ -178,17 +178,27 @@ def op6_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Similarity of word shingles: candidates that share a block of minima, chain, Hamming and exact check.
+# Similarity of word shingles: candidates that share a block of minima, sizes and exact check.
 
 _TURNS = tx.mix(np.arange(1, BLOCKS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def _distinct(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes without repeats; where those of each text begin."""
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(ptr)))
+
+
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tx.pieces(batch):
                 words = tx.split(data, offsets)
-                h, ptr = _hashed(data, offsets, k)
+                h, ptr = _distinct(*_hashed(data, offsets, k))
                 some = np.flatnonzero(np.diff(ptr))
                 blocks = np.zeros((len(ptr) - 1, BLOCKS), np.uint64)
                 low = np.zeros((len(ptr) - 1, len(_TURNS)), np.uint8)
@@ -301,7 +311,7 @@ def _apart(many: DataFrame, roots: DataFrame, texts: DataFrame, k: int, similari
     own = cut(own.join(inside, ["block", "root"]).select("block", "id", "n", "root", F.floor(before / TILE).alias("chunk")))
     chunks = own.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("x"), F.max("root").alias("y"))
     a, b = (chunks.select("block", F.col("chunk").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("lo", "hi", "x", "y")]) for i in ("i", "j"))
-    sizes = (F.col("hi_i") >= similarity * F.col("lo_j")) & (F.col("hi_j") >= similarity * F.col("lo_i"))
+    sizes = (F.col("hi_i") >= similarity * F.col("lo_j") - 1e-9) & (F.col("hi_j") >= similarity * F.col("lo_i") - 1e-9)
     tiles = a.join(b, "block").where((F.col("i") <= F.col("j")) & sizes & (F.least("x_i", "x_j") != F.greatest("y_i", "y_j"))).select("block", "i", "j")
     sides = tiles.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
     sets = cut(texts.join(own.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
@@ -320,17 +330,28 @@ def _same_bytes(a: Column, b: Column) -> Column:
     return out
 
 
-def _candidates(rows: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """(a, b) of rows (id, fp, n, minima, x: the same of another text) that may be similar: sizes, Hamming distance, a chain that keeps its budgets, minima."""
+def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of rows (id, n, x: the same of another text) whose sizes let them be similar."""
+    return rows.where(_sizes_fit(F.col("n"), F.col("x.n"), similarity)).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+
+
+def _likely(rows: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The rows (fp, minima, x: the same of another text) that look similar: Hamming distance, a chain that keeps its budgets, minima.
+
+    It passes over some similar pairs, so that it may only choose what is compared first.
+    """
     a, b = F.col("fp"), F.col("x.fp")
     any_chain = F.lit(False)
     for i in range(SEGMENTS):
         any_chain = any_chain | chain_holds(a, b, F.lit(i), bits)
     m = BLOCKS * MINIMA
     least = int(m * similarity - SLACK * (m * similarity * (1 - similarity)) ** 0.5)
-    # Repeated shingles count once in the sets but not in n, so sizes only rule out what is far off.
-    near = (F.least("n", "x.n") >= 0.5 * similarity * F.greatest("n", "x.n")) & (F.bit_count(a.bitwiseXOR(b)) <= bits) & any_chain & (_same_bytes(F.col("minima"), F.col("x.minima")) >= least)
-    return rows.where(near).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+    return rows.where((F.bit_count(a.bitwiseXOR(b)) <= bits) & any_chain & (_same_bytes(F.col("minima"), F.col("x.minima")) >= least))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -346,16 +367,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     At such a similarity fingerprints differ in up to a quarter of their bits,
     of which no exact segment is a usable key.  Candidates share one of 16
-    blocks of five minima of the shingle hashes instead; the chain's budgets
-    for bits (from any start), the Hamming check, an estimate from all minima
-    and an exact comparison of the shingle sets follow.
+    blocks of five minima of the shingle hashes instead; those whose numbers
+    of different shingles allow the similarity are compared exactly.
 
     In a block of up to FAMILY different texts all pairs are compared.  In a
     larger one each text is compared with its NEIGHBOURS next ones in the order
     of fingerprints, turned to another segment in every block; then those that
     found no link are compared with the block's HUBS texts of most links.  This
-    puts a family of copies together in linear work.  Last, all pairs of a
-    large block that are still in different groups are compared exactly.
+    puts a family of copies together in linear work; the chain's budgets for
+    bits (from any start), the Hamming check and an estimate from all minima
+    choose what is compared in these two steps.  Last, all pairs of a large
+    block that are still in different groups are compared exactly.
 
     Texts without words, nulls among them, are one group of equal texts.  Rows
     that repeat an id are one row of the result, in the least of their groups.
@@ -377,14 +399,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     few, many = blocks.where(F.col("in_block") <= FAMILY), blocks.where(F.col("in_block") > FAMILY)
     other = F.struct("id", "fp", "n", "minima")
     nexts = [part.withColumn("nexts", F.collect_list(other).over(order.rowsBetween(1, n))) for part, n in ((few, FAMILY - 1), (many, NEIGHBOURS))]
-    rows = nexts[0].union(nexts[1]).select("id", "fp", "n", "minima", F.explode("nexts").alias("x"))
-    found = _similar(cut(_candidates(rows, bits, similarity)), some, k, similarity)
+    few, near = (part.select("id", "fp", "n", "minima", F.explode("nexts").alias("x")) for part in nexts)
+    rows = few.select("id", "n", "x").union(_likely(near, bits, similarity).select("id", "n", "x"))
+    found = _similar(cut(_pairs(rows, similarity)), some, k, similarity)
 
     degrees = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("degree"), "id"))
     hubs = many.join(degrees, "id").withColumn("place", place).where(F.col("place") <= HUBS).select("block", other.alias("x"))
     alone = many.join(degrees, "id", "left_anti").select("block", "id", "fp", "n", "minima")
-    late = _similar(cut(_candidates(alone.join(hubs, "block").select("id", "fp", "n", "minima", "x"), bits, similarity)), some, k, similarity)
+    late = _similar(cut(_pairs(_likely(alone.join(hubs, "block"), bits, similarity), similarity)), some, k, similarity)
 
     roots = cut(components(found.union(late)))
     rest = _apart(many, roots, some, k, similarity)

@@ -375,6 +375,23 @@ def test_near_duplicates_shared_passage(spark, monkeypatch, tile):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("others", [0, 60])
+def test_near_duplicates_repeated_lines(spark, others):
+    """Repeated lines count once: texts of equal sets are copies however often a line is repeated."""
+    line = " ".join(f"line{i}" for i in range(8))
+    body = " ".join(f"b{i}" for i in range(100))
+    texts = [f"{(line + ' ') * 5}{body}", f"{(line + ' ') * 40}{body}"]
+    texts += [f"{(line + ' ') * (1 + i % 2 * 60)}{body} {' '.join(f'o{i}x{j}' for j in range(80))}" for i in range(others)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["group"] for x in simhash.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == near_groups(texts)
+
+
+def test_distinct_hashes():
+    h, ptr = simhash._distinct(np.array([5, 3, 5, 3, 3, 9], np.uint64), np.array([0, 0, 3, 6, 6]))
+    assert (h.tolist(), ptr.tolist()) == ([3, 5, 3, 9], [0, 0, 2, 4, 4])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (None, 3), (100, 101)]
     got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -5,15 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys (two longs each, some 40 bytes with overhead) that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a new temporary folder (tests);
+    on a cluster that would be another disk on each machine, so it is an error.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         have = sc.getCheckpointDir()
+        if have is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = have.rsplit("/", 1)[0] if have else "file://" + tempfile.mkdtemp(prefix="helixframe-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -27,17 +37,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_table(spark: SparkSession, name: str) -> str:
-    """Path of a new table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Path of a new table in the shared folder; it is deleted when the driver ends."""
+    parent = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{parent}/table"
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, once its session sends executors' Python at most so many rows of text at a time (less where it is set lower): a batch is held on both sides."""
-    conf = df.sparkSession.conf
-    now = int(conf.get(ARROW_ROWS))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets the session send executors' Python at most so many rows of text at a time (less where it is set lower): a batch is held on both sides.
+
+    For queries and pipelines, which own their session; operators leave it alone.
+    """
+    now = int(spark.conf.get(ARROW_ROWS))
     if not 0 < now <= rows:
-        conf.set(ARROW_ROWS, str(rows))
-    return df
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """All columns, those that can't be hashed (maps and variants, at any depth) as strings."""
+    odd = lambda f: any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    return [F.col(f"`{f.name}`").cast("string") if odd(f) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+
+
+def few(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """keys, broadcast if they are counted to be few enough; else a join with them shuffles."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from helixframe.llm import decontam, gbt, katz, mixing, pii, secrets, sharding, simhash, span_sql, toxicity, weak
+from helixframe.llm.cluster import small_batches
+
+
+def _batched(query: Callable[[SparkSession, str], DataFrame], rows: int = 1000) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, in a session that sends Python small batches of text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark, rows)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op1_katz_backoff": katz.op1_katz_backoff,
+    "op1_katz_backoff": _batched(katz.op1_katz_backoff, 2000),
     "op2_poisson_mix": mixing.op2_poisson_mix,
-    "op3_toxic_segments": toxicity.op3_toxic_segments,
+    "op3_toxic_segments": _batched(toxicity.op3_toxic_segments),
     "op4_histogram_shards": sharding.op4_histogram_shards,
     "op5_pii_spans": pii.op5_pii_spans,
-    "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
+    "op6_simhash_pigeonring": _batched(simhash.op6_simhash_pigeonring),
     "op7_secret_ledger": secrets.op7_secret_ledger,
-    "op8_wu_manber": decontam.op8_wu_manber,
-    "op9_quality_gbt": gbt.op9_quality_gbt,
-    "op10_weak_quality": weak.op10_weak_quality,
+    "op8_wu_manber": _batched(decontam.op8_wu_manber),
+    "op9_quality_gbt": _batched(gbt.op9_quality_gbt),
+    "op10_weak_quality": _batched(weak.op10_weak_quality),
 }
 SQL = {
     "op2_poisson_mix": mixing.OP2_SQL,

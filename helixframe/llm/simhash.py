@@ -18,21 +18,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from helixframe.llm import text as tx
-from helixframe.llm.cluster import cut, small_batches
+from helixframe.llm.cluster import cut, few, hashable
 from helixframe.llm.graph import components
 
 SEGMENTS, WIDTH = 8, 8
 #: Distinct fingerprints under one key that are compared pair by pair; larger keys are linked through common neighbours.
 PAIRWISE = 64
-#: Blocks of minima and minima in each, for similarities too low for exact segments.
-BLOCKS, MINIMA = 16, 5
-#: Different texts of a block that are compared pair by pair; in larger blocks each is compared with neighbours and hubs first.
-FAMILY, NEIGHBOURS, HUBS = 24, 4, 8
-#: Deviations of the estimate from the minima's lowest bytes below which a pair is no likely neighbour or hub.
-SLACK = 2.8
+#: Blocks of minima and minima in each, for similarities too low for exact segments: a pair of similarity 0.8 shares none in 0.04 % of cases.
+BLOCKS, MINIMA = 20, 5
+#: Different texts of a block that are compared pair by pair; in larger blocks each is first compared with hubs.
+FAMILY, HUBS = 16, 8
+#: Hamming budget of the chains that choose which hubs a text is compared with.
+BITS = 18
 #: Shingles of the texts of a large block that one side of a tile holds (a text counts as TEXT at least), and columns of a tile at once.
 TILE, TEXT, COLUMNS = 128_000, 500, 4096
 
@@ -94,8 +94,8 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, fp): SimHash of each row's lower-cased k-word shingles; 0 for texts without words, nulls among them."""
-    some = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return some.mapInArrow(_fingerprinter(k), "id long, fp long")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return some.mapInArrow(_fingerprinter(k), T.StructType([some.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _turned(fp: Column, i: int) -> Column:
@@ -193,6 +193,17 @@ def _distinct(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(ptr)))
 
 
+def _sequence(words: tx.Words) -> np.ndarray:
+    """A hash of each text's words in their order."""
+    out = np.zeros(len(words.ptr) - 1, np.uint64)
+    h = words.hashes()
+    full = np.flatnonzero(words.counts)
+    if len(full):
+        place = tx.mix(h + tx.mix((np.arange(len(h)) - np.repeat(words.ptr[:-1], words.counts)).astype(np.uint64)))
+        out[full] = np.add.reduceat(place, words.ptr[full])
+    return tx.mix(out)
+
+
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,25 +212,13 @@ def _sketcher(k: int):
                 h, ptr = _distinct(*_hashed(data, offsets, k))
                 some = np.flatnonzero(np.diff(ptr))
                 blocks = np.zeros((len(ptr) - 1, BLOCKS), np.uint64)
-                low = np.zeros((len(ptr) - 1, len(_TURNS)), np.uint8)
                 if len(some):
                     for j, turn in enumerate(_TURNS):
-                        least = np.minimum.reduceat(h * turn, ptr[some])
-                        low[some, j] = (tx.mix(least) & np.uint64(255)).astype(np.uint8)
-                        blocks[some, j // MINIMA] = tx.mix(blocks[some, j // MINIMA] + least)
-                blocks = (blocks & ~np.uint64(15)) | np.arange(BLOCKS, dtype=np.uint64)
-                packed = pa.FixedSizeListArray.from_arrays(pa.array(low.reshape(-1).view(np.int64)), low.shape[1] // 8).cast(pa.list_(pa.int64()))
-                whole = np.zeros(len(ptr) - 1, np.uint64)
-                wh = words.hashes()
-                full = np.flatnonzero(words.counts)
-                if len(full):
-                    place = tx.mix(wh + tx.mix((np.arange(len(wh)) - np.repeat(words.ptr[:-1], words.counts)).astype(np.uint64)))
-                    whole[full] = np.add.reduceat(place, words.ptr[full])
+                        blocks[some, j // MINIMA] = tx.mix(blocks[some, j // MINIMA] + np.minimum.reduceat(h * turn, ptr[some]))
+                blocks = tx.mix(blocks + np.arange(BLOCKS, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(blocks) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(majority(h, ptr).view(np.int64)), pa.array(tx.mix(whole).view(np.int64)), pa.array(np.diff(ptr).astype(np.int32)), lists, packed],
-                    names=["id", "fp", "same", "n", "blocks", "minima"],
-                )
+                new = [majority(h, ptr).view(np.int64), _sequence(words).view(np.int64), np.diff(ptr).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *map(pa.array, new), lists], names=[*rows.schema.names[:-1], "fp", "same", "n", "blocks"])
 
     return run
 
@@ -230,7 +229,7 @@ def _shingler(k: int):
             for rows, data, offsets in tx.pieces(batch):
                 h, ptr = _hashed(data, offsets, k)
                 sets = [np.unique((h[ptr[i] : ptr[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in range(len(ptr) - 1)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["same", "shingles"])
 
     return run
 
@@ -238,30 +237,42 @@ def _shingler(k: int):
 def _comparer(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sizes, keys = [], []
+                for i in (2, 3):
+                    ends = np.frombuffer(some.column(i).buffers()[1], np.int32)[some.column(i).offset :][: len(some) + 1]
+                    size = np.diff(ends) // 4
+                    values = np.frombuffer(some.column(i).buffers()[2], np.uint32, int(size.sum()), int(ends[0])) if size.sum() else np.zeros(0, np.uint32)
+                    sizes.append(size)
+                    keys.append(np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(32), size) | values)
+                # Each side's keys are sorted, by pair and by shingle.
+                both = np.sort(np.concatenate(keys), kind="stable")
+                hit = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
+                common = np.bincount(hit.astype(np.int64), minlength=len(some))
+                near = common >= similarity * (sizes[0] + sizes[1] - common) - 1e-9
+                yield some.select([0, 1]).take(pa.array(np.flatnonzero(near)))
 
     return run
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many shingles each of the left sets has in common with each of the right ones."""
-    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
     out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(common), COLUMNS):
-        some = common[at : at + COLUMNS]
-        sides = []
-        for sets in (left, right):
-            side = np.zeros((len(sets), len(some)), np.float32)
-            for i, x in enumerate(sets):
-                side[i, np.flatnonzero(np.isin(some, x, assume_unique=True))] = 1
-            sides.append(side)
-        out += sides[0] @ sides[1].T
+    at = [np.searchsorted(common, x) for x, _ in sides]
+    own = [(k < len(common)) & (common[np.minimum(k, len(common) - 1)] == x) if len(common) else np.zeros(len(x), bool) for k, (x, _) in zip(at, sides, strict=True)]
+    for low in range(0, len(common), COLUMNS):
+        dense = []
+        for k, keep, (_, row), sets in zip(at, own, sides, (left, right), strict=True):
+            some = keep & (k >= low) & (k < low + COLUMNS)
+            side = np.zeros((len(sets), min(COLUMNS, len(common) - low)), np.float32)
+            side[row[some], k[some] - low] = 1
+            dense.append(side)
+        out += dense[0] @ dense[1].T
     return out
 
 
@@ -270,7 +281,7 @@ def _tiler(similarity: float):
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        chunk, ids, root = (table.column(c).to_numpy() for c in ("chunk", "id", "root"))
+        chunk, nodes, root = (table.column(c).to_numpy() for c in ("chunk", "same", "root"))
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles")]
         size = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
@@ -288,131 +299,146 @@ def _tiler(similarity: float):
             a, b = top(root[left[x]]), top(root[right[y]])
             if a != b:
                 up[a] = b
-                links.append((ids[left[x]], ids[right[y]]))
+                links.append((nodes[left[x]], nodes[right[y]]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def _apart(many: DataFrame, roots: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (a, b) between texts of large blocks (block, id, n) that roots (node, root) leave in different groups: all pairs of a block are compared.
+def _apart(many: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of large blocks (block, same, n) that roots (node, root) leave in different groups: all pairs of a block are compared.
 
-    The texts of a block lie in a row, large groups first, the others by size,
-    and are cut into chunks.  A tile is two chunks; those of one group only,
-    or of sizes too far apart, need no comparison.  A task holds one tile.
+    The texts of a block are dealt out to chunks: large groups have their own,
+    texts of like size are together.  A tile is two chunks; those of one group
+    only, or of sizes too far apart, need no comparison.  A task holds one
+    tile, and no step gathers a block.
     """
-    own = many.select("block", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("block", "id", "n", F.coalesce("root", "id").alias("root"))
+    own = many.select("block", "same", "n").join(roots, F.col("same") == F.col("node"), "left").select("block", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = own.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("block")
-    own = cut(own.join(mixed, "block"))
-    inside = own.groupBy("block", "root").agg(F.sum(F.greatest("n", F.lit(TEXT))).alias("inside"))
-    large = F.when(F.col("inside") >= TILE, F.col("root"))
-    line = Window.partitionBy("block").orderBy(large.asc_nulls_last(), "n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.greatest("n", F.lit(TEXT))).over(line), F.lit(0))
-    own = cut(own.join(inside, ["block", "root"]).select("block", "id", "n", "root", F.floor(before / TILE).alias("chunk")))
+    mixed = cut(mixed)
+    weight = F.greatest("n", F.lit(TEXT))
+    range_of = F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    own = cut(own.join(mixed, "block").select("block", "same", "n", "root", range_of.alias("range")))
+    inside = own.groupBy("block", "root").agg(F.sum(weight).alias("inside")).where(F.col("inside") >= TILE).select("block", "root", F.col("root").alias("large"))
+    own = own.join(inside, ["block", "root"], "left")
+    loads = own.groupBy("block", "large", "range").agg(F.ceil(F.sum(weight) / TILE).alias("chunks"))
+    same_group = F.col("l.block").eqNullSafe(F.col("r.block")) & F.col("l.large").eqNullSafe(F.col("r.large")) & (F.col("l.range") == F.col("r.range"))
+    dealt = own.alias("l").join(loads.alias("r"), same_group)
+    number = F.pmod(F.xxhash64(F.lit("chunk"), F.col("l.same")), F.col("r.chunks"))
+    chunk = F.xxhash64(F.coalesce(F.col("l.large"), F.lit(0)), F.col("l.large").isNull(), F.col("l.range"), number)
+    own = cut(dealt.select("l.block", "l.same", "l.n", "l.root", chunk.alias("chunk")))
     chunks = own.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("x"), F.max("root").alias("y"))
     a, b = (chunks.select("block", F.col("chunk").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("lo", "hi", "x", "y")]) for i in ("i", "j"))
     sizes = (F.col("hi_i") >= similarity * F.col("lo_j") - 1e-9) & (F.col("hi_j") >= similarity * F.col("lo_i") - 1e-9)
     tiles = a.join(b, "block").where((F.col("i") <= F.col("j")) & sizes & (F.least("x_i", "x_j") != F.greatest("y_i", "y_j"))).select("block", "i", "j")
     sides = tiles.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    sets = cut(texts.join(own.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
-    rows = sides.join(own, ["block", "chunk"]).join(sets, "id").select("block", "i", "j", "chunk", "id", "root", "shingles")
+    rows = sides.join(own, ["block", "chunk"]).join(sets, "same").select("block", "i", "j", "chunk", "same", "root", "shingles")
     return cut(rows.groupBy("block", "i", "j").applyInArrow(_tiler(similarity), "a long, b long"))
 
 
-def _same_bytes(a: Column, b: Column) -> Column:
-    """How many of the bytes packed into two arrays of longs agree."""
-    out = F.lit(0)
-    for i in range(BLOCKS * MINIMA // 8):
-        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (4, 2, 1):  # the lowest bit of each byte tells whether any of its bits is set
-            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
-        out = out + 8 - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    return out
-
-
-def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be so similar."""
-    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-
-
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of rows (id, n, x: the same of another text) whose sizes let them be similar."""
-    return rows.where(_sizes_fit(F.col("n"), F.col("x.n"), similarity)).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
-
+    """(a, b) of rows (same, n, x: the same of another text) whose sizes let them be similar."""
+    fit = F.least("n", "x.n") >= similarity * F.greatest("n", "x.n") - 1e-9
+    return rows.where(fit & (F.col("same") != F.col("x.same"))).select(F.least("same", "x.same").alias("a"), F.greatest("same", "x.same").alias("b")).distinct()
 
-def _likely(rows: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """The rows (fp, minima, x: the same of another text) that look similar: Hamming distance, a chain that keeps its budgets, minima.
 
-    It passes over some similar pairs, so that it may only choose what is compared first.
-    """
-    a, b = F.col("fp"), F.col("x.fp")
-    any_chain = F.lit(False)
+def _any_chain(a: Column, b: Column, bits: int) -> Column:
+    """Whether fingerprints differ in at most so many bits and a chain from some segment keeps its proportional budgets."""
+    out = F.lit(False)
     for i in range(SEGMENTS):
-        any_chain = any_chain | chain_holds(a, b, F.lit(i), bits)
-    m = BLOCKS * MINIMA
-    least = int(m * similarity - SLACK * (m * similarity * (1 - similarity)) ** 0.5)
-    return rows.where((F.bit_count(a.bitwiseXOR(b)) <= bits) & any_chain & (_same_bytes(F.col("minima"), F.col("x.minima")) >= least))
+        out = out | chain_holds(a, b, F.lit(i), bits)
+    return out & (F.bit_count(a.bitwiseXOR(b)) <= bits)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar; texts: (id, text)."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingler(k), "id long, shingles binary"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar."""
+    both = pairs.join(sets.select(F.col("same").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("shingles").alias("sb")), "b")
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_comparer(similarity), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 18) -> DataFrame:
-    """(id, group): rows grouped by Jaccard similarity of their sets of k-word shingles; group is the least id in it.
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """128 hashed bits of all columns: rows equal in every column, and only those, agree."""
+    columns = hashable(docs)
+    return [F.xxhash64(F.lit("row"), *columns).alias("k1"), F.xxhash64(F.lit("again"), *columns).alias("k2")]
 
-    At such a similarity fingerprints differ in up to a quarter of their bits,
-    of which no exact segment is a usable key.  Candidates share one of 16
-    blocks of five minima of the shingle hashes instead; those whose numbers
-    of different shingles allow the similarity are compared exactly.
 
-    In a block of up to FAMILY different texts all pairs are compared.  In a
-    larger one each text is compared with its NEIGHBOURS next ones in the order
-    of fingerprints, turned to another segment in every block; then those that
-    found no link are compared with the block's HUBS texts of most links.  This
-    puts a family of copies together in linear work; the chain's budgets for
-    bits (from any start), the Hamming check and an estimate from all minima
-    choose what is compared in these two steps.  Last, all pairs of a large
-    block that are still in different groups are compared exactly.
+def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(k1, k2, id, same, root): a row for each row of docs, with its key, its text's hash, and the group of near-duplicates.
 
-    Texts without words, nulls among them, are one group of equal texts.  Rows
-    that repeat an id are one row of the result, in the least of their groups.
-    A null id is dropped.
+    Texts are grouped by Jaccard similarity of their sets of k-word shingles.
+    At such a similarity fingerprints differ in up to a quarter of their 64
+    bits, of which no exact segment is a usable key.  Candidates share one of
+    BLOCKS blocks of MINIMA minima of the shingle hashes instead; those whose
+    numbers of different shingles allow the similarity are compared exactly.
+
+    In a block of up to FAMILY different texts all pairs are compared.  In a
+    larger one each text is first compared with HUBS texts of the block, of
+    which the chain's budgets and the Hamming check choose the likely ones;
+    this joins large families in linear work.  Then all pairs of the block
+    that are still in different groups are compared exactly.
     """
-    some = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = cut(some.mapInArrow(_sketcher(k), "id long, fp long, same long, n int, blocks array<long>, minima array<long>"))
-    # Kept apart from the join below, so that adaptive execution can split a large group of equal texts there.
-    same = cut(sketches.groupBy("same").agg(F.min("id").alias("least")))
-    live = sketches.join(same.select(F.col("least").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).where("n > 0")
-    blocks = live.select("id", "fp", "n", "minima", F.explode("blocks").alias("block"))
+    rows = docs.select(*_row_keys(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = T.StructType([*rows.schema.fields[:3], *[T.StructField(c, t) for c, t in (("fp", T.LongType()), ("same", T.LongType()), ("n", T.IntegerType()), ("blocks", T.ArrayType(T.LongType())))]])
+    sketches = cut(rows.mapInArrow(_sketcher(k), kept))
+    one = F.struct("k1", "k2", "n", "fp", "blocks")
+    nodes = cut(sketches.where("n > 0").groupBy("same").agg(F.min_by(one, F.struct("k1", "k2")).alias("one")).select("same", "one.*"))
+    blocks = nodes.select("same", "fp", "n", F.explode("blocks").alias("block"))
+    other = F.struct("same", "fp", "n")
     shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("in_block")).where("in_block > 1")
-    turned = F.col("fp")
-    for i in range(1, SEGMENTS):
-        turned = F.when(F.col("block").bitwiseAND(F.lit(7)) == i, _turned(F.col("fp"), i)).otherwise(turned)
-    blocks = cut(blocks.join(shared, "block").withColumn("turned", turned))
-
-    order = Window.partitionBy("block").orderBy("turned", "id")
-    few, many = blocks.where(F.col("in_block") <= FAMILY), blocks.where(F.col("in_block") > FAMILY)
-    other = F.struct("id", "fp", "n", "minima")
-    nexts = [part.withColumn("nexts", F.collect_list(other).over(order.rowsBetween(1, n))) for part, n in ((few, FAMILY - 1), (many, NEIGHBOURS))]
-    few, near = (part.select("id", "fp", "n", "minima", F.explode("nexts").alias("x")) for part in nexts)
-    rows = few.select("id", "n", "x").union(_likely(near, bits, similarity).select("id", "n", "x"))
-    found = _similar(cut(_pairs(rows, similarity)), some, k, similarity)
-
-    degrees = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    place = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("degree"), "id"))
-    hubs = many.join(degrees, "id").withColumn("place", place).where(F.col("place") <= HUBS).select("block", other.alias("x"))
-    alone = many.join(degrees, "id", "left_anti").select("block", "id", "fp", "n", "minima")
-    late = _similar(cut(_pairs(_likely(alone.join(hubs, "block"), bits, similarity), similarity)), some, k, similarity)
-
-    roots = cut(components(found.union(late)))
-    rest = _apart(many, roots, some, k, similarity)
+    blocks = cut(blocks.join(shared, "block"))
+    small, many = blocks.where(F.col("in_block") <= FAMILY), blocks.where(F.col("in_block") > FAMILY)
+    # Kept apart from the join below, so that adaptive execution can split a hot block there.
+    hubs = cut(many.groupBy("block").agg(F.array_distinct(F.array(*[F.min_by(other, F.xxhash64(F.lit(i), "same")) for i in range(HUBS)])).alias("hubs")))
+
+    wanted = blocks.select("same").distinct().join(nodes.select("same", "k1", "k2"), "same")
+    texts = rows.select("k1", "k2", "text").join(few(wanted), ["k1", "k2"]).select("same", "text")
+    sets = cut(texts.mapInArrow(_shingler(k), "same long, shingles binary").dropDuplicates(["same"]))
+
+    near = small.select("block", "same", "n").join(small.select("block", other.alias("x")), "block").where("same < x.same")
+    far = many.join(hubs, "block").select("same", "fp", "n", F.explode("hubs").alias("x")).where(_any_chain(F.col("fp"), F.col("x.fp"), BITS))
+    found = _similar(_pairs(near.select("same", "n", "x").union(far.select("same", "n", "x")), similarity), sets, similarity)
+    roots = cut(components(found))
+    rest = _apart(many, roots, sets, similarity)
     if not rest.isEmpty():
-        roots = components(found.union(late).union(rest))
-    # Copies follow their text's representative; only representatives go through the graph.
-    reps = cut(same.join(roots, F.col("least") == F.col("node"), "left").select("same", F.coalesce("root", "least").alias("group")))
-    return sketches.select("id", "same").join(reps, "same").groupBy("id").agg(F.min("group").alias("group"))
+        of = roots.select("node", "root")
+        a, b = (of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        joined = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        over = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = of.union(rest.select("a", "a").union(rest.select("b", "b")).join(of.select(F.col("node").alias("a")), "a", "left_anti")).distinct()
+        roots = cut(every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    # Copies follow their text; only different texts go through the graph.
+    return sketches.select("k1", "k2", "id", "same").join(roots.withColumnRenamed("node", "same"), "same", "left").select("k1", "k2", "id", "same", F.coalesce("root", "same").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, group): a row for each row of docs; group is the least id of its near-duplicates (row_groups), itself included.
+
+    Texts without words, nulls among them, are one group of equal texts.  Rows
+    that repeat an id each have the group of their own text.  Ids of any type
+    and null ids are fine; a group of rows without ids has a null group.  An
+    empty table gives an empty table.
+    """
+    rows = cut(row_groups(docs, id_col=id_col, text_col=text_col, k=k, similarity=similarity))
+    least = cut(rows.groupBy("root").agg(F.min("id").alias("group")))
+    return rows.select("id", "root").join(least, "root").select("id", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The columns of docs; of each group of near-duplicates (row_groups) one row: the one of least id, nulls last, then of least row hash.
+
+    Rows are told apart by all their columns: rows that share an id but not a
+    text are different documents, and rows equal in every column are one.
+    Texts without words are one group, so one of them stays.
+    """
+    rows = cut(row_groups(docs, id_col=id_col, text_col=text_col, k=k, similarity=similarity))
+    times = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.first("root").alias("root"), F.first("id").alias("id"))
+    best = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("best")))
+    marked = times.join(best, "root").select("k1", "k2", "times", ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("stays"))
+    marked = cut(marked.where("not stays or times > 1"))
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_row_keys(docs))
+    once = keyed.join(few(marked.select("k1", "k2")), ["k1", "k2"], "left_anti").select("row.*")
+    # Rows that are there several times: equal ones meet after partial aggregation, so a hot one is no burden.
+    again = keyed.join(few(marked.where("stays").select("k1", "k2")), ["k1", "k2"], "left_semi")
+    first = again.groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    return once.union(first)

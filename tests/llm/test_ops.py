@@ -387,6 +387,40 @@ def test_near_duplicates_repeated_lines(spark, others):
     assert [got[i] for i in range(len(texts))] == near_groups(texts)
 
 
+def test_near_duplicates_branching_family(spark, second=15):
+    """A root, 40 copies of it, and copies of each of them: one group, whatever hubs are drawn; every link of brute force is kept."""
+    r = random.Random(3)
+
+    def changed(w, n):
+        own = list(w)
+        for _ in range(n):
+            own[r.randrange(len(own))] = f"x{r.random()}"
+        return own
+
+    root = [f"r{r.randrange(3000)}" for _ in range(200)]
+    first = [changed(root, 3) for _ in range(40)]
+    texts = [" ".join(w) for w in [root, *first, *[changed(w, 3) for w in first for _ in range(second)]]]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["group"] for x in simhash.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == near_groups(texts)
+    assert set(got.values()) == {0}
+
+
+def test_rows_are_rows(spark, odd, none):
+    """A text that shares its id with another stays; of rows equal in every column one stays; clashing names and ids of any type are fine."""
+    texts = {"w": " ".join(f"w{i}" for i in range(40)), "u": " ".join(f"u{i}" for i in range(40)), "x": " ".join(f"x{i}" for i in range(40))}
+    rows = [("a3", "w"), ("a5", "w"), ("a5", "u"), ("a7", "x"), ("a7", "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, texts[t], 1, [{"k": 2.5}]) for i, t in rows], "doc_id string, text string, root int, k1 array<map<string,double>>")
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((x["doc_id"], x["text"][0]) for x in got.collect()) == [("a3", "w"), ("a5", "u"), ("a7", "x")]
+    assert simhash.drop_near_duplicates(none).count() == 0
+    left = simhash.drop_near_duplicates(odd).collect()
+    assert len({x["text"] for x in left}) == len(left) and sum(not low_words(x["text"]) for x in left) == 1
+    assert {x["group"] for x in simhash.near_duplicates(docs).collect()} == {"a3", "a5", "a7"}
+
+
 def test_distinct_hashes():
     h, ptr = simhash._distinct(np.array([5, 3, 5, 3, 3, 9], np.uint64), np.array([0, 0, 3, 6, 6]))
     assert (h.tolist(), ptr.tolist()) == ([3, 5, 3, 9], [0, 0, 2, 4, 4])

@@ -8,14 +8,17 @@ the window's words selects the windows to try, and all their words are
 compared.  The cursors of a batch of texts advance together in numpy.
 
 Benchmark items come to the driver in blocks of a fixed number of windows;
-every block is one broadcast table and one pass, so that no table outgrows an
-executor.
+every block is one broadcast table.  A benchmark of one block is one pass.  Of
+a larger one each block has a pass of its own, whose hits are written before
+the next begins, so that no executor ever holds two tables; the hits of all
+blocks meet by text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import text as tx
+from helixframe.llm.cluster import cut
 
 WINDOW = 10
 #: Windows of one table: 200,000 of ten words are about 40 MB.
@@ -124,43 +128,68 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, windows: int
         yield block
 
 
-def _searcher(shared, text_at: int, again: bool):
+def _searched(found: list[Table], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Where each text's words begin and the last ends; which words are hit; items by text."""
+    words = tx.split(data, offsets, tx.LOWER, tx.ALNUM)
+    h, ptr = words.hashes(), words.ptr
+    doc = words.doc
+    change = np.zeros(len(h) + 1, np.int64)
+    items: list[set[str]] = [set() for _ in range(len(ptr) - 1)]
+    for table in found:
+        starts, which = table.occurrences(h, ptr)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + table.length, -1)
+        if len(starts):
+            for d, w in np.unique(np.stack([doc[starts], which]), axis=1).T.tolist():
+                items[d].update(table.items[table.item_ptr[w] : table.item_ptr[w + 1]])
+    return ptr, np.cumsum(change)[: len(h)] > 0, items
+
+
+def _columns(ptr: np.ndarray, hit: np.ndarray, items: list[set[str]]) -> list[pa.Array]:
+    total = np.r_[0, np.cumsum(hit)]
+    bits = [np.packbits(hit[a:b]).tobytes() if total[b] > total[a] else b"" for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+    return [pa.array(np.diff(ptr).astype(np.int64)), pa.array(total[ptr[1:]] - total[ptr[:-1]]), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(bits, pa.binary())]
+
+
+NEW = ("hit_total", "hit_words", "hit_items", "hit_bits")
+
+
+def _searcher(shared, text_at: int):
+    """Rows with what one table finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, data, offsets in tx.pieces(batch, batch.schema.field(text_at).name):
+                yield pa.RecordBatch.from_arrays([*some.columns, *_columns(*_searched(shared.value, data, offsets))], names=[*some.schema.names, *NEW])
+
+    return run
+
+
+def _hits(shared):
+    """Key, bits and items of the texts (k1, k2, text) that one table finds something in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, data, offsets in tx.pieces(batch):
+                _, words, items, bits = _columns(*_searched(shared.value, data, offsets))
+                found = pa.array(np.flatnonzero(words.to_numpy()))
+                yield pa.RecordBatch.from_arrays([x.take(found) for x in (some.column(0), some.column(1), bits, items)], names=["k1", "k2", "bits", "items"])
+
+    return run
+
+
+def _joiner(text_at: int):
+    """Rows with all their hits: the last column has those of each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
         for batch in batches:
-            hashes, counts = [], []
-            for _, data, offsets in tx.pieces(batch, batch.schema.field(text_at).name):
-                words = tx.split(data, offsets, tx.LOWER, tx.ALNUM)
-                hashes.append(words.hashes())
-                counts.append(words.counts)
-            h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            ptr = np.r_[0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))]
-            n = len(ptr) - 1
-            doc = np.repeat(np.arange(n), np.diff(ptr))
-            change = np.zeros(len(h) + 1, np.int64)
-            items: list[set[str]] = [set() for _ in range(n)]
-            for table in found:
-                starts, which = table.occurrences(h, ptr)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + table.length, -1)
-                if len(starts):
-                    for d, w in np.unique(np.stack([doc[starts], which]), axis=1).T.tolist():
-                        items[d].update(table.items[table.item_ptr[w] : table.item_ptr[w + 1]])
-            hit = np.cumsum(change)[: len(h)] > 0
-            columns = [batch.column(i) for i in range(batch.num_columns - 4 * again)]
-            if again:
-                for i, (bits, old) in enumerate(zip(batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2), strict=True)):
-                    if bits.as_py():
-                        hit[ptr[i] : ptr[i + 1]] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(ptr[i + 1] - ptr[i])).astype(bool)
-                    items[i].update(old.as_py())
-            total = np.r_[0, np.cumsum(hit)]
-            columns += [
-                pa.array(np.diff(ptr).astype(np.int64)),
-                pa.array(total[ptr[1:]] - total[ptr[:-1]]),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                pa.array([np.packbits(hit[ptr[i] : ptr[i + 1]]).tobytes() if total[ptr[i + 1]] > total[ptr[i]] else b"" for i in range(n)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(columns) - 4], "hit_total", "hit_words", "hit_items", "hit_bits"])
+            for some, data, offsets in tx.pieces(batch, batch.schema.field(text_at).name):
+                ptr, hit, items = _searched([], data, offsets)
+                for i, blocks in enumerate(some.column(some.num_columns - 1)):
+                    for x in blocks.as_py() or []:
+                        hit[ptr[i] : ptr[i + 1]] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=int(ptr[i + 1] - ptr[i])).astype(bool)
+                        items[i].update(x["items"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *_columns(ptr, hit, items)], names=[*some.schema.names[:-1], *NEW])
 
     return run
 
@@ -172,22 +201,29 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     pattern; an item without an id goes by the name null.  Items that repeat
     an id or a text count once for each id.  Overlapping occurrences count
     each word once.  Empty tables are fine on either side.  Columns of docs
-    called as one of the new ones are replaced.
+    called as one of the new ones are replaced; other names are free.
     """
-    new = ["hit_total", "hit_words", "hit_items", "hit_bits"]
-    out = docs.select(*[c for c in docs.columns if c not in new])
+    sc = docs.sparkSession.sparkContext
+    out = docs.select(*[c for c in docs.columns if c not in NEW])
     extra = [T.StructField("hit_total", T.LongType()), T.StructField("hit_words", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_bits", T.BinaryType())]
     schema = T.StructType([*out.schema.fields, *extra])
     text_at = out.columns.index(text_col)
-    again = False
-    for block in item_blocks(benchmark, item_col, item_text, block_windows):
-        shared = docs.sparkSession.sparkContext.broadcast(tables(block, window))
-        out = out.mapInArrow(_searcher(shared, text_at, again), schema)
-        again = True
-    if not again:
-        shared = docs.sparkSession.sparkContext.broadcast([])
-        out = out.mapInArrow(_searcher(shared, text_at, False), schema)
-    return out
+    blocks = item_blocks(benchmark, item_col, item_text, block_windows)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return out.mapInArrow(_searcher(sc.broadcast(tables(first, window)), text_at), schema)
+    keys = [F.xxhash64(F.lit("text"), F.col(text_col)).alias("k1"), F.xxhash64(F.lit("again"), F.col(text_col)).alias("k2")]
+    every = None
+    for block in chain([first, second], blocks):
+        shared = sc.broadcast(tables(block, window))
+        hits = cut(docs.select(*keys, F.col(text_col).alias("text")).mapInArrow(_hits(shared), "k1 long, k2 long, bits binary, items array<string>").dropDuplicates(["k1", "k2"]))
+        shared.unpersist()
+        every = hits if every is None else every.union(hits)
+    # Kept apart from the join, so that adaptive execution can split a hot text there.
+    met = cut(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("bits", "items")).alias("hits")))
+    row = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row")
+    joined = out.select(row, *keys).join(met, ["k1", "k2"], "left").select("row.*", "hits")
+    return joined.mapInArrow(_joiner(text_at), schema)
 
 
 def op8_wu_manber(spark, sf_dir: str) -> DataFrame:

@@ -125,18 +125,20 @@ def _measurer(model):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(id, y, text) of at most sample labelled rows, those whose id has the least hash; rows with null id or label are left out."""
-    some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"])
+    """(key, y, text) of the rows of at most sample labelled ids, those of least hash; null ids and labels are left out, an id with several labels has the least."""
+    some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select(F.xxhash64("id", "text").alias("key"), "y", "text")
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Trees fitted to a bounded sample of labelled rows; without labels of both kinds the probability is constant."""
+    """Trees fitted to a bounded sample of labelled rows; without labels of both kinds the probability is constant.  One pass over docs."""
     some = labelled_sample(docs, labels, id_col, text_col, label_col, sample)
-    rows = some.select(F.struct("id", "y").alias("id"), "text").mapInArrow(_measurer(None), "id struct<id:long,y:int>, x array<double>").orderBy("id").toArrow()
-    y = np.array([r["y"] for r in rows.column("id").to_pylist()], float)
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(stats.FEATURES))
+    rows = some.select(F.struct("key", "y").alias("id"), "text").mapInArrow(_measurer(None), "id struct<key:long,y:int>, x array<double>").toArrow()
+    ids = rows.column("id").combine_chunks() if len(rows) else pa.array([], pa.struct([("key", pa.int64()), ("y", pa.int32())]))
+    order = np.argsort(ids.field("key").to_numpy(zero_copy_only=False), kind="stable")
+    y = ids.field("y").to_numpy(zero_copy_only=False).astype(float)[order]
+    x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(stats.FEATURES))[order]
     return train(x, y, np.array([SIGNS.get(f, 0) for f in stats.FEATURES]))
 
 

@@ -152,7 +152,9 @@ def _occurrences(shared):
                     tokens, ptr = _tokens(data[part_offsets[0] : part_offsets[-1]], part_offsets - part_offsets[0])
                     held = ids.column(1).to_numpy(zero_copy_only=False).astype(bool)
                     n = len(held)
-                    keys = np.array([0 if x is None else x & ((1 << 64) - 1) for x in ids.column(2).to_pylist()], dtype=np.uint64)
+                    null = ids.column(2).is_null().to_numpy(zero_copy_only=False)
+                    keys = ids.column(2).fill_null(0).to_numpy().view(np.uint64)
+                    keys = tx.mix(tx.mix(keys) + null * np.uint64(0x9E3779B97F4A7C15) + held * np.uint64(0xC2B2AE3D27D4EB4F))
                     place = np.arange(max(n, len(tokens)), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                     uid = int(np.r_[tx.mix(keys + place[:n]), tx.mix(tokens ^ place[: len(tokens)])].sum().view(np.int64))
                     order = np.argsort(tokens, kind="stable")
@@ -315,7 +317,7 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     hashed word), model (n-grams by part, sums for contexts and documents; by
     kind) and contexts (counts and backoff weights).  A null held_out trains.  Null and empty texts
     have the end as their one token.  Repeated rows are scored each for
-    itself.  Without training rows every token is unknown and has the
+    itself.  Ids are whole numbers or null.  Without training rows every token is unknown and has the
     probability of one unknown word, 1.  An empty table gives an empty table.
     """
     spark = docs.sparkSession

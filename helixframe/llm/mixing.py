@@ -74,16 +74,18 @@ def poisson_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
         rates = F.broadcast(rates)
     old = [c for c in docs.columns if c not in ("mix_rate", "mix_copies", "mix_copy", "mix_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draw = lambda part: F.size(F.filter(F.col("__cdf"), lambda c: c <= unit(seed, key, part.cast("string"))))
-    u = unit(seed, key, F.lit("1"))
+    draw = lambda part: F.size(F.filter(F.col("__cdf"), lambda c: c <= unit(seed, F.col("key"), part.cast("string"))))
+    u = unit(seed, F.col("key"), F.lit("1"))
     count = F.when(F.col("__parts") == 1, F.size(F.filter(F.col("__cdf"), lambda c: c <= F.col("__u")))).otherwise(
         F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + draw(part))
     )
-    mixed = docs.select(*old).join(rates, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__u", u).withColumn("mix_copies", count)
-    mixed = mixed.where("mix_copies > 0").withColumn("mix_rate", F.col("__rate")).drop("__u", "__cdf", "__parts", "__source", "__rate")
-    mixed = mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), key, F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    mixed = mixed.withColumn("mix_key", at).select(*old, "mix_rate", "mix_copies", "mix_copy", "mix_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in old]).alias("row")
+    mixed = docs.select(row, F.col(source_col).alias("of"), key.alias("key")).withColumn("__u", u)
+    mixed = mixed.join(rates, F.col("of").eqNullSafe(F.col("__source"))).withColumn("copies", count).where("copies > 0")
+    mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("key"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    mixed = mixed.select("row", F.col("__rate").alias("mix_rate"), F.col("copies").alias("mix_copies"), F.col("copy").alias("mix_copy"), at.alias("mix_key"))
+    mixed = mixed.select("row.*", "mix_rate", "mix_copies", "mix_copy", "mix_key")
     return mixed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 

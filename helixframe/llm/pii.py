@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.spans import add_matches, count_of, joined, located
+from helixframe.llm.spans import add_matches, count_of, hold, joined, located
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn")
@@ -37,6 +37,8 @@ PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn":
 NEEDED = 0.5
 #: Code points before a span in which context words count.
 NEAR = 40
+#: Code points of the pieces they are looked up in.
+PIECE = 1000
 
 
 def luhn(match: Column) -> Column:
@@ -90,11 +92,11 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     Positions are code points, end exclusive.  A null text reads as empty and
     has no spans.  Matches of one kind don't overlap; those of several may.
     Rows are handled one by one: repeated rows give repeated results, an empty
-    table an empty one.  A column of docs called pii_spans is replaced; columns
-    that begin with __m_, __s_ or __text are not allowed.
+    table an empty one.  A column of docs called pii_spans is replaced; other
+    names are free.
     """
     old = [c for c in docs.columns if c != "pii_spans"]
-    work = docs.select(*old).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     text = F.col("__text")
     hints = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.contains("."), "ssn": text.contains("-")}
     work = add_matches(work, PATTERNS, "__text", hints)
@@ -103,11 +105,17 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     def scored(kind: str) -> Column:
         words, gain = CONTEXT[kind]
-        near = lambda s: F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-        out = F.transform(F.col(f"__s_{kind}"), lambda s: F.struct(s["kind"], s["start"], s["end"], (F.lit(PRIOR[kind]) + F.when(near(s).rlike(words), F.lit(gain)).otherwise(F.lit(0.0))).alias("score")))
+        # Of pieces of the text, since to find a place in a string takes as long as the place is far.
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + NEAR)))
+        first = lambda s: F.greatest(s["start"] - NEAR, F.lit(0))
+        near = lambda s, of: F.substring(F.element_at(of, F.floor(first(s) / PIECE).cast("int") + 1), first(s) % PIECE + 1, F.least(s["start"], F.lit(NEAR)))
+        rated = lambda s, of: F.struct(s["kind"], s["start"], s["end"], (F.lit(PRIOR[kind]) + F.when(near(s, of).rlike(words), F.lit(gain)).otherwise(F.lit(0.0))).alias("score"))
+        found = F.col(f"__s_{kind}")
+        none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
+        out = F.when(F.size(found) > 0, hold(pieces, lambda of: F.transform(found, lambda s: rated(s, of)))).otherwise(none)
         return out if kind in BASE else F.filter(out, lambda s: s["score"] >= NEEDED)
 
-    return work.select(*old, F.concat(*[scored(kind) for kind in (*BASE, *MORE)]).alias("pii_spans"))
+    return work.select("row", F.concat(*[scored(kind) for kind in (*BASE, *MORE)]).alias("pii_spans")).select("row.*", "pii_spans")
 
 
 def op5_pii_spans(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.cluster import cut, new_table
+from helixframe.llm.cluster import cut, few, new_table
 from helixframe.llm.spans import add_matches, count_of, joined, located
 
 BASE = ("assign", "access", "hex")
@@ -22,7 +22,7 @@ RULES = {
     "assign": ("1", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
     "access": ("1", r"AKIA[A-Z0-9]+", 18),
     "hex": ("1", r"[0-9a-f]+", 16),
-    "pem": ("1", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0),
+    "pem": ("2", r"-----BEGIN [A-Z ]*+(?<= PRIVATE KEY)-----", 0),
     "git": ("1", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
 }
 LEDGER = "blob string, scanned array<string>, spans array<struct<start:int,end:int,kind:string>>"
@@ -42,17 +42,18 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def update_ledger(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES) -> None:
-    """Scans the blobs of docs that the ledger lacks for some rule version, and appends them."""
+def update_ledger(docs: DataFrame, path: str, *, text_col: str = "text", rules: dict = RULES) -> None:
+    """Scans the blobs of docs that the ledger lacks for some rule version, each once, and appends them."""
     spark = docs.sparkSession
     names = [f"{rule}@{rules[rule][0]}" for rule in rules]
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("one"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     seen = read_ledger(spark, path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
-    blobs = rows.groupBy("blob").agg(F.min("one").alias("one")).join(seen, "blob", "left")
-    todo = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
-    blobs = blobs.select("blob", "one", todo.alias("todo")).where(F.size("todo") > 0)
-    work = rows.join(blobs, ["blob", "one"])
+    wanted = F.array(*map(F.lit, names))
+    done = seen.where(F.size(F.array_except(wanted, "seen")) == 0).select("blob")
+    # A blob's copies are one row before the shuffle already, so that a hot text is no burden.
+    blobs = rows.join(few(done), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    work = blobs.join(seen, "blob", "left")
+    work = work.select("blob", "text", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
     # Of an ordinary text, a pass each over the few characters that a match must hold decides most rules.
     hints = {
         "assign": F.col("text").rlike(r"[:=]"),
@@ -70,16 +71,17 @@ def update_ledger(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     work.select("blob", F.col("todo").alias("scanned"), found.alias("spans")).write.mode("append").parquet(path)
 
 
-def scan_secrets(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, path: str, *, text_col: str = "text", rules: dict = RULES) -> DataFrame:
     """All columns of docs, with secret_blob and secret_spans: array of (start, kind, end) by start, then kind as the rules list them.
 
     path: the ledger, in a folder that all executors share; it is brought up to
     date first.  Positions are code points, end exclusive.  A null text reads
-    as empty.  Rows with the same text share one scan, whatever their number
-    and ids (null ids included).  An empty table gives an empty table.  Columns
-    of docs that are called as one of the new ones are replaced.
+    as empty.  Rows with the same text share one scan and one ledger row,
+    whatever their number and ids.  An empty table gives an empty table.
+    Columns of docs that are called as one of the new ones are replaced; other
+    names are free.
     """
-    update_ledger(docs, path, id_col=id_col, text_col=text_col, rules=rules)
+    update_ledger(docs, path, text_col=text_col, rules=rules)
     order = {rule: i for i, rule in enumerate(rules)}
     names = [f"{rule}@{rules[rule][0]}" for rule in rules]
     ledger = read_ledger(docs.sparkSession, path).where(F.arrays_overlap("scanned", F.array(*map(F.lit, names))) & (F.size("spans") > 0))
@@ -89,11 +91,11 @@ def scan_secrets(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     # Kept apart from the join below, so that adaptive execution can split a blob that very many paths hold.
     findings = cut(ledger.groupBy("blob").agg(F.array_sort(ranked).alias("found")))
     old = [c for c in docs.columns if c not in ("secret_blob", "secret_spans")]
-    paths = docs.select(*old, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("secret_blob"))
+    paths = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("secret_blob"))
     paths = paths.join(findings.withColumnRenamed("blob", "secret_blob"), "secret_blob", "left")
     empty = F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)")
     plain = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return paths.select(*old, "secret_blob", F.coalesce(plain, empty).alias("secret_spans"))
+    return paths.select("row", "secret_blob", F.coalesce(plain, empty).alias("secret_spans")).select("row.*", "secret_blob", "secret_spans")
 
 
 def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:

@@ -15,23 +15,39 @@ def add_matches(df: DataFrame, patterns: dict[str, str], text: str, hint: dict[s
     return df
 
 
+#: Matches that are walked at once: adding to an array copies it.
+WALK = 256
+
+
 def located(kind: str, pattern: str, text: str, keep) -> Column:
     """Array of (start, end, kind) in code points, for those matches of __m_<kind> that keep(match) holds for.
 
     The text between the matches is what split() leaves; lengths of gaps and
-    matches add up to positions.
+    matches add up to positions: within WALK matches, then over those walks, so
+    that a text of very many matches takes no quadratic time.
     """
     match = F.col(f"__m_{kind}")
     gaps = F.split(F.col(text), pattern, -1)
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
     lengths = F.zip_with(match, F.slice(gaps, 1, F.size(match)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
     span = lambda s, x: F.struct((s["at"] + x["g"]).alias("start"), (s["at"] + x["g"] + x["n"]).alias("end"), F.lit(kind).alias("kind"))
-    walk = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)").alias("all")),
+    walk = lambda some: F.aggregate(
+        some,
+        F.struct(F.lit(0).alias("at"), none.alias("all")),
         lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.when(keep(x["m"]), F.concat(s["all"], F.array(span(s, x)))).otherwise(s["all"]).alias("all")),
-        lambda s: s["all"],
     )
-    return F.when(F.size(match) > 0, walk).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)"))
+    moved = lambda w, at: F.transform(w["all"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["kind"].alias("kind")))
+    starts = lambda walks: F.aggregate(walks, F.array(F.lit(0)), lambda all_, w: F.concat(all_, F.array(F.element_at(all_, -1) + w["at"])))
+    many = hold(lengths, lambda every: hold(
+        F.transform(F.sequence(F.lit(1), F.size(every), F.lit(WALK)), lambda i: walk(F.slice(every, i, F.lit(WALK)))),
+        lambda walks: F.flatten(F.zip_with(walks, F.slice(starts(walks), 1, F.size(walks)), moved)),
+    ))
+    return F.when(F.size(match) > 0, many).otherwise(none)
+
+
+def hold(column: Column, use) -> Column:
+    """use(column), with the column computed once."""
+    return F.element_at(F.transform(F.array(column), use), 1)
 
 
 def joined(spans: Column) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
+from helixframe.llm.cluster import cut
 
 #: Slots of the table of log-odds.
 SPACE = 1 << 20
@@ -178,16 +179,17 @@ def _scorer(shared):
 
 
 def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Log-odds, extreme-value law and weights from at most sample labelled rows; null ids and labels are left out.
+    """Log-odds, extreme-value law and weights from the rows of at most sample labelled ids (of any type); null ids and labels are left out, an id with several labels has the least.
 
     The law and the weights come from texts whose own half did not teach the
     log-odds they are measured with.
     """
     spark = docs.sparkSession
-    some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["id"])
+    some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", half, "text")
+    # Read once: the labelled texts, few as they are, serve all passes below.
+    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", half, "text"))
     counted = texts.mapInArrow(_counter, "slot int, kind int, n long").groupBy("slot", "kind").agg(F.sum("n").alias("n")).toArrow()
     slot, kind, n = (counted.column(c).to_numpy() for c in ("slot", "kind", "n"))
     count, size = np.zeros((2, 2, SPACE)), np.zeros((2, 2))  # [label, half]

@@ -2,9 +2,10 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document.
 Expectation-maximisation over the counts of all vote patterns (at most
-3 ** labellers of them, counted over the whole table) estimates how each
-labeller votes on good and on bad documents.  The posterior labels that follow
-train a hashed linear scorer, which then scores every document.
+3 ** labellers of them, counted over the whole table) estimates the share of
+good documents and, for each class, how each labeller votes on it.  The
+posterior labels that follow train a hashed linear scorer, which then scores
+every document.
 """
 
 from __future__ import annotations
@@ -20,20 +21,22 @@ from pyspark.sql import types as T
 from helixframe.llm import stats, text as tx
 
 GOOD, BAD, NONE = 1, 2, 0
-#: Labellers that call a text bad: (statistic, from); else, or on texts of fewer than FEW words, they do not vote.
+#: On texts of fewer words labellers of one statistic don't vote.
 FEW = 5
-BAD_FROM = {"capitals": ("upper_share", 0.4), "symbols": ("symbol_share", 0.15), "repeats": ("repeat_share", 0.7), "lines": ("dup_line_share", 0.5), "bangs": ("bang_share", 0.5)}
-#: Labellers that call a text good: all these statistics at most so much; else they do not vote.
-GOOD_TO = {
+#: Labellers of one statistic: good up to the first value, bad from the second.
+ONE = {"capitals": ("upper_share", 0.15, 0.4), "symbols": ("symbol_share", 0.03, 0.15), "repeats": ("repeat_share", 0.3, 0.7), "lines": ("dup_line_share", 0.2, 0.5), "bangs": ("bang_share", 0.1, 0.5)}
+#: Labellers of several: good if all these are at most so much, bad if any is over FAR times that.
+ALL = {
     "prose": {"upper_share": 0.15, "bang_share": 0.1, "symbol_share": 0.02, "digit_share": 0.1, "repeat_share": 0.4},
     "varied": {"repeat_share": 0.2, "dup_line_share": 0.2, "symbol_share": 0.05, "upper_share": 0.3},
     "plain": {"symbol_share": 0.05, "bang_share": 0.2, "dup_line_share": 0.35, "repeat_share": 0.5, "upper_share": 0.25},
 }
-LABELLERS = (*BAD_FROM, *GOOD_TO)
+FAR = 4.0
+LABELLERS = (*ONE, *ALL)
 #: Hashed features of the linear scorer.
 SPACE = 1 << 17
-#: At most so many documents train the linear scorer, those whose id has the least hash.
-SAMPLE = 4096
+#: At most so many documents train the linear scorer, those whose id has the least hash: a documented bound, as votes are counted over all.
+SAMPLE = 8192
 #: Documents of at least this score are kept: below a half, so that clean documents that no labeller knows stay.
 KEEP_FROM = 0.4
 _SHAPE = np.arange(256)
@@ -44,39 +47,44 @@ def votes(features: np.ndarray) -> np.ndarray:
     """A number for each text whose base-3 digits are the labellers' votes."""
     column = lambda name: features[:, stats.FEATURES.index(name)]
     out = np.zeros(len(features), np.int64)
-    for name, least in BAD_FROM.values():
-        out = out * 3 + np.where((column(name) >= least) & (column("log_words") >= np.log1p(FEW)), BAD, NONE)
-    for limits in GOOD_TO.values():
-        plain = np.ones(len(features), bool)
+    some = column("log_words") >= np.log1p(FEW)
+    for name, good, bad in ONE.values():
+        out = out * 3 + np.where(some & (column(name) >= bad), BAD, np.where(some & (column(name) <= good), GOOD, NONE))
+    for limits in ALL.values():
+        plain, far = np.ones(len(features), bool), np.zeros(len(features), bool)
         for name, most in limits.items():
             plain &= column(name) <= most
-        out = out * 3 + np.where(plain, GOOD, NONE)
+            far |= some & (column(name) > FAR * most)
+        out = out * 3 + np.where(plain, GOOD, np.where(far, BAD, NONE))
     return out
 
 
-def fit_labellers(pattern: np.ndarray, count: np.ndarray, *, rounds: int = 100, right: float = 9.0, wrong: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each of the 3 ** labellers vote patterns, and the labellers' accuracies, by expectation-maximisation.
+def fit_labellers(pattern: np.ndarray, count: np.ndarray, *, rounds: int = 200, share: float = 0.5, right: float = 0.9, weight: float = 0.01) -> tuple[np.ndarray, float, np.ndarray]:
+    """Posterior of good for each of the 3 ** labellers vote patterns, the share of good texts, and [class, labeller] rates, by expectation-maximisation.
 
-    A labeller that votes is right with its accuracy, whichever the class;
-    both classes are equally likely before any vote.  Each accuracy has a Beta
-    prior of a share right / (right + wrong), worth a hundredth of its votes,
-    so that a labeller no other overlaps keeps the prior.  A text without
-    votes has the posterior a half.  Without rows all accuracies are the prior.
+    Class 0 is bad, 1 good.  A rate is how often a labeller that votes calls
+    texts of that class good.  It has a Beta prior of mean right for good texts
+    and 1 - right for bad ones, and the share one of mean share; each is worth
+    as much as weight times the votes, and one vote more, so that a labeller
+    nobody overlaps keeps its prior.  Not to vote tells nothing: a text without
+    votes has the share as posterior.  Without rows all are the priors.
     """
     m = len(LABELLERS)
     every = np.arange(3**m)
     digit = np.stack([every // 3 ** (m - 1 - j) % 3 for j in range(m)], axis=1)
-    weight = np.zeros(len(every))
-    np.add.at(weight, pattern, count)
-    accuracy = np.full(m, right / (right + wrong))
-    voted = (weight[:, None] * (digit != NONE)).sum(0)
-    extra = 1 + voted / 100
-    for _ in range(rounds):
-        sway = np.log(accuracy / (1 - accuracy))
-        post = 1 / (1 + np.exp(-((digit == GOOD) * sway - (digit == BAD) * sway).sum(1)))
-        agreed = (weight[:, None] * ((digit == GOOD) * post[:, None] + (digit == BAD) * (1 - post[:, None]))).sum(0)
-        accuracy = np.clip((agreed + extra * right / (right + wrong)) / (voted + extra), 0.05, 0.995)
-    return post, accuracy
+    n = np.zeros(len(every))
+    np.add.at(n, pattern, count)
+    good, voted = (digit == GOOD).astype(float), (digit != NONE).astype(float)
+    prior = np.array([1 - right, right])
+    rates, p = np.repeat(prior[:, None], m, axis=1), share
+    for _ in range(rounds + 1):
+        like = [good @ np.log(rates[c]) + (voted - good) @ np.log(1 - rates[c]) for c in (0, 1)]
+        post = 1 / (1 + np.exp(-np.clip(np.log(p / (1 - p)) + like[1] - like[0], -50, 50)))
+        own = np.stack([n * (1 - post), n * post])
+        extra = 1 + weight * (n @ voted)
+        rates = np.clip((own @ good + extra * prior[:, None]) / (own @ voted + extra), 1e-4, 1 - 1e-4)
+        p = float((own[1].sum() + (1 + weight * n.sum()) * share) / (n.sum() + 1 + weight * n.sum()))
+    return post, p, rates
 
 
 def hashed_features(s: stats.Stats, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +166,7 @@ def train_classifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Posterior by vote pattern, weights and bias.  Votes are counted over all rows; the scorer trains on at most sample of them."""
     texts = docs.select(F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_voter, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
-    post, _ = fit_labellers(counted.column("pattern").to_numpy(), counted.column("n").to_numpy().astype(float))
+    post, _, _ = fit_labellers(counted.column("pattern").to_numpy(), counted.column("n").to_numpy().astype(float))
     key = F.xxhash64(F.col(id_col))
     least = docs.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
     chosen = docs.where(key <= F.lit(least if least is not None else 0)).select(key.alias("key"), F.col(text_col).alias("text")).orderBy("key", F.xxhash64("text")).limit(sample)

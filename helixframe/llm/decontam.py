@@ -222,7 +222,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     # Kept apart from the join, so that adaptive execution can split a hot text there.
     met = cut(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("bits", "items")).alias("hits")))
     row = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row")
-    joined = out.select(row, *keys).join(met, ["k1", "k2"], "left").select("row.*", "hits")
+    free = max(out.columns, key=len) + "_hits"  # longer than any, so no other is called so
+    joined = out.select(row, *keys).join(met, ["k1", "k2"], "left").select("row", F.col("hits").alias(free)).select("row.*", free)
     return joined.mapInArrow(_joiner(text_at), schema)
 
 

@@ -15,29 +15,35 @@ from helixframe.functions import scalar
 from helixframe.operators import edits, models
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """What tells the sequences of df apart: all columns but seq, such as variant and the indices of an experiment."""
+    return [c for c in df.columns if c != "seq"]
+
+
 def saturation_mutagenesis(df: DataFrame, model: models.SqlModel, *, start: int = 0, end: int | None = None, head: str = "y") -> DataFrame:
-    """(example_idx, pos, char_idx, is_ref, y0, y): the output of every single-letter edit in [start, end).
+    """(keys, pos, char_idx, is_ref, y0, y): the output of every single-letter edit in [start, end); keys are all columns but seq.
 
     The letter that is there already is not run again: its output is y0.  At
     an unknown letter all four are edits.  Rows are 4 a position; the model
     runs on 3 of them, in generated code, without a shuffle.
     """
     f = model.heads[head]
-    base = df.where(F.length("seq") > start).select("example_idx", "seq", f(F.col("seq")).alias("y0"))
+    base = df.where(F.length("seq") > start).withColumn("y0", f(F.col("seq")))
     stop = F.length("seq") if end is None else F.least(F.length("seq"), F.lit(end))
     rows = base.withColumn("pos", F.explode(F.sequence(F.lit(start), stop - 1)))
     rows = rows.withColumn("char_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
     letter = F.substring(F.lit(scalar.ALPHABET), F.col("char_idx") + 1, F.lit(1))
     same = F.substring("seq", F.col("pos") + 1, F.lit(1)) == letter
     edited = F.overlay("seq", letter, F.col("pos") + 1)
-    return rows.select("example_idx", "pos", "char_idx", same.alias("is_ref"), "y0", F.when(same, F.col("y0")).otherwise(f(edited)).alias("y"))
+    return rows.select(*keys_of(df), "pos", "char_idx", same.alias("is_ref"), "y0", F.when(same, F.col("y0")).otherwise(f(edited)).alias("y"))
 
 
 def mutagenesis_attribution(rows: DataFrame, *, hypothetical: bool = False) -> DataFrame:
-    """(example_idx, pos, char_idx, value): each edit's change less the mean change at its position; only letters that are there unless hypothetical."""
-    w = Window.partitionBy("example_idx", "pos")
+    """(keys, pos, char_idx, value): each edit's change less the mean change at its position; only letters that are there unless hypothetical."""
+    keys = [c for c in rows.columns if c not in ("pos", "char_idx", "is_ref", "y0", "y")]
+    w = Window.partitionBy(*keys, "pos")
     delta = F.col("y") - F.col("y0")
-    out = rows.select("example_idx", "pos", "char_idx", "is_ref", (delta - F.avg(delta).over(w)).alias("value"))
+    out = rows.select(*keys, "pos", "char_idx", "is_ref", (delta - F.avg(delta).over(w)).alias("value"))
     return (out if hypothetical else out.where("is_ref")).drop("is_ref")
 
 
@@ -179,19 +185,22 @@ def toy_graph(length: int, outputs: int = 2, seed: int = 0) -> Graph:
 
 
 def deep_lift_shap(df: DataFrame, graph: Graph, *, outputs: list[int] | None = None, n_shuffles: int = 20, seed: int = 0, hypothetical: bool = False, references: DataFrame | None = None, warning: float = 1e-3) -> DataFrame:
-    """(example_idx, output_idx, attribution, delta, converged): mean attributions over references.
+    """(keys, output_idx, attribution, delta, converged): mean attributions over references; keys are all columns but seq.
 
-    references: (example_idx, shuffle_idx, seq); dinucleotide shuffles by
-    default.  attribution: array over letters and positions, letters first.
+    references: (example_idx, shuffle_idx, seq), and more keys if they differ
+    in them; dinucleotide shuffles of each sequence by default.  attribution: array over letters and positions, letters first.
     delta: largest gap between the sum of contributions and the change of the
     output; converged: whether it is within the limit.  All outputs are the
     attribution maps of one position each for a model with one output a
     position.
     """
     outputs = [0] if outputs is None else outputs
+    keys = keys_of(df)
     if references is None:
-        references = edits.dinucleotide_shuffle(df, n=n_shuffles, seed=seed)
-    pairs = df.select("example_idx", "seq").join(references.select("example_idx", "shuffle_idx", F.col("seq").alias("ref")), "example_idx")
+        shuffled = edits.dinucleotide_shuffle(df.withColumn("own", F.col("seq")), n=n_shuffles, seed=seed)
+        pairs = shuffled.select(*keys, F.col("own").alias("seq"), F.col("seq").alias("ref"))
+    else:
+        pairs = _with_references(df, references)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,15 +217,29 @@ def deep_lift_shap(df: DataFrame, graph: Graph, *, outputs: list[int] | None = N
                         if not hypothetical:
                             value = value * x
                         for k in range(len(some)):
-                            rows.append((int(some["example_idx"].iloc[k]), o, value[k].reshape(-1).tolist(), float(delta[k])))
-            yield pd.DataFrame(rows, columns=["example_idx", "output_idx", "value", "delta"])
+                            rows.append((int(some["row_key"].iloc[k]), o, value[k].reshape(-1).tolist(), float(delta[k])))
+            yield pd.DataFrame(rows, columns=["row_key", "output_idx", "value", "delta"])
 
-    each = pairs.mapInPandas(run, "example_idx long, output_idx int, value array<double>, delta double")
+    # Python sees one number for the keys.
+    row_key = F.xxhash64(*[F.struct(F.col(c)) for c in keys])
+    pairs = pairs.withColumn("row_key", row_key)
+    each = pairs.select("row_key", "seq", "ref").mapInPandas(run, "row_key long, output_idx int, value array<double>, delta double")
     # Sums by place in the array: groups hold one array, not one for each reference.
-    long = each.select("example_idx", "output_idx", "delta", F.posexplode("value").alias("i", "v"))
-    mean = long.groupBy("example_idx", "output_idx", "i").agg(F.avg("v").alias("v"), F.max("delta").alias("delta"))
-    out = mean.groupBy("example_idx", "output_idx").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"), F.max("delta").alias("delta"))
-    return out.select("example_idx", "output_idx", F.col("x.v").alias("attribution"), "delta", (F.col("delta") <= warning).alias("converged"))
+    long = each.select("row_key", "output_idx", "delta", F.posexplode("value").alias("i", "v"))
+    mean = long.groupBy("row_key", "output_idx", "i").agg(F.avg("v").alias("v"), F.max("delta").alias("delta"))
+    out = mean.groupBy("row_key", "output_idx").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"), F.max("delta").alias("delta"))
+    out = df.select(*keys, row_key.alias("row_key")).join(out, "row_key")
+    return out.select(*keys, "output_idx", F.col("x.v").alias("attribution"), "delta", (F.col("delta") <= warning).alias("converged"))
+
+
+def _with_references(df: DataFrame, references: DataFrame) -> DataFrame:
+    """(keys, seq, ref): each sequence with the references of its example, or of all keys that both tables have."""
+    on = [c for c in keys_of(df) if c in references.columns and c != "shuffle_idx"]
+    refs = references.select(*[F.col(c).alias(f"{c}_r") for c in on], F.col("seq").alias("ref"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    return df.join(refs, same).select(*keys_of(df), "seq", "ref")
 
 
 def pisa(df: DataFrame, graph: Graph, n_outputs: int, **options) -> DataFrame:
@@ -225,12 +248,11 @@ def pisa(df: DataFrame, graph: Graph, n_outputs: int, **options) -> DataFrame:
 
 
 def linear_deep_lift(df: DataFrame, references: DataFrame, weight: Callable[[Column, Column], Column]) -> DataFrame:
-    """(example_idx, pos, value): attributions of a linear model in closed form: weight of the letter less the references' mean weight.
+    """(keys, pos, value): attributions of a linear model in closed form: weight of the letter less the references' mean weight; keys are all columns but seq.
 
-    References: (example_idx, shuffle_idx, seq).
+    References: (example_idx, shuffle_idx, seq), and more keys if they differ in them.
     """
     at = lambda c: F.instr(F.lit(scalar.ALPHABET), F.substring(F.col(c), F.col("pos") + 1, F.lit(1))) - 1
     w = lambda c: F.when(at(c) >= 0, weight(at(c), F.col("pos"))).otherwise(F.lit(0)).cast("double")
-    pairs = df.select("example_idx", "seq").join(references.select("example_idx", F.col("seq").alias("ref")), "example_idx")
-    rows = pairs.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
-    return rows.groupBy("example_idx", "pos").agg(F.avg(w("seq") - w("ref")).alias("value"))
+    rows = _with_references(df, references).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
+    return rows.groupBy(*keys_of(df), "pos").agg(F.avg(w("seq") - w("ref")).alias("value"))

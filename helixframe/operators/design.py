@@ -38,19 +38,25 @@ def screen(df: DataFrame, model: models.SqlModel, loss: Loss, *, n_best: int = 1
     return scored.orderBy("loss", key).limit(n_best)
 
 
-def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None) -> DataFrame:
-    """df with motif_idx, pos and new_seq: every motif at every allowed place of every sequence; single letters if motifs is None."""
+def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None, output_mask: list[int] | None = None) -> DataFrame:
+    """df with motif_idx, pos and new_seq: every motif at every allowed place of every sequence; single letters if motifs is None.
+
+    mask: positions at which a motif may start; output_mask: positions that may change.
+    """
     tries = list(scalar.ALPHABET) if motifs is None else list(motifs)
     if motifs is not None and reverse_complement:
         pairs = dict(zip("ACGTN", "TGCAN", strict=True))
         tries += ["".join(pairs[c] for c in reversed(m)) for m in motifs]
-    out = None
-    for i, motif in enumerate(tries):
-        places = F.array(*map(F.lit, mask)) if mask is not None else F.sequence(F.lit(0), F.length("seq") - len(motif))
-        rows = df.where(F.length("seq") >= len(motif)).select("*", F.lit(i).alias("motif_idx"), F.explode(places).alias("pos"))
-        rows = rows.where(F.col("pos") + len(motif) <= F.length("seq")).withColumn("new_seq", scalar.substitute(F.col("seq"), motif, F.col("pos")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    each = F.array(*[F.struct(F.lit(i).alias("motif_idx"), F.lit(m).alias("motif")) for i, m in enumerate(tries)])
+    rows = df.select("*", F.explode(each).alias("tried")).where(F.length("seq") >= F.length("tried.motif"))
+    places = F.array(*map(F.lit, mask)) if mask is not None else F.sequence(F.lit(0), F.length("seq") - F.length("tried.motif"))
+    rows = rows.withColumn("motif_idx", F.col("tried.motif_idx")).withColumn("pos", F.explode(places))
+    if output_mask is not None:
+        rows = rows.where(F.forall(F.sequence(F.col("pos"), F.col("pos") + F.length("tried.motif") - 1), lambda p: p.isin(*output_mask)))
+    rows = rows.where(F.col("pos") + F.length("tried.motif") <= F.length("seq"))
+    # Unknown letters of a motif leave what is there.
+    known = F.transform(F.split("tried.motif", ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("pos") + i + 1, F.lit(1))).otherwise(c))
+    return rows.withColumn("new_seq", F.overlay("seq", F.array_join(known, ""), F.col("pos") + 1)).drop("tried")
 
 
 def greedy_round(df: DataFrame, model: models.SqlModel, loss: Loss, motifs: list[str] | None = None, *, key: str = "example_idx", head: str = "y", **options) -> DataFrame:

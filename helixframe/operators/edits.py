@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions import scalar
 
@@ -65,7 +66,8 @@ def eulerian(letters: np.ndarray, n: int, seed: int, size: int = 5) -> list[np.n
 
 
 def dinucleotide_shuffle(df: DataFrame, *, start: int = 0, end: int = -1, n: int = 20, seed: int = 0, key: str = "example_idx", seq: str = "seq") -> DataFrame:
-    """(key, shuffle_idx, seq): shuffles of [start, end) that keep all pairs of neighbours; row i uses the seed plus its key."""
+    """(columns of df, shuffle_idx, seq): shuffles of [start, end) that keep all pairs of neighbours; row i uses the seed plus its key."""
+    others = [c for c in df.columns if c != seq]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = np.full(256, 4, np.int8)
@@ -74,18 +76,20 @@ def dinucleotide_shuffle(df: DataFrame, *, start: int = 0, end: int = -1, n: int
         back = np.frombuffer((scalar.ALPHABET + scalar.UNKNOWN).encode(), np.uint8)
         for batch in batches:
             rows = []
-            for k, s in zip(batch[key], batch[seq], strict=True):
+            for own, k, s in zip(batch[others].itertuples(index=False, name=None), batch[key], batch[seq], strict=True):
                 stop = whole_end(len(s), end)
                 part = code[np.frombuffer(s[start:stop].encode(), np.uint8)]
-                rows += [(k, i, s[:start] + back[w.astype(int)].tobytes().decode() + s[stop:]) for i, w in enumerate(eulerian(part, n, (seed + int(k)) % (1 << 32)))]
-            yield pd.DataFrame(rows, columns=[key, "shuffle_idx", seq])
+                rows += [(*own, i, s[:start] + back[w.astype(int)].tobytes().decode() + s[stop:]) for i, w in enumerate(eulerian(part, n, (seed + int(k)) % (1 << 32)))]
+            yield pd.DataFrame(rows, columns=[*others, "shuffle_idx", seq])
 
-    return df.select(key, seq).mapInPandas(run, f"{key} long, shuffle_idx int, {seq} string")
+    kept = df.select(*others, seq)
+    return kept.mapInPandas(run, T.StructType([*[kept.schema[c] for c in others], T.StructField("shuffle_idx", T.IntegerType()), kept.schema[seq]]))
 
 
-def _edit_map(edits: DataFrame, key: str, value: Column) -> DataFrame:
-    """(key, edits): position -> value; of edits at one position the greatest value counts."""
-    once = edits.groupBy(key, "pos").agg(F.max(value).alias("v"))
+def _edit_map(edits: DataFrame, key: str, value: Column, *, all_of: bool = False) -> DataFrame:
+    """(key, edits): position -> value; of edits at one position the greatest value counts, or all in order as one string."""
+    at_once = F.array_join(F.array_sort(F.collect_list(value)), "") if all_of else F.max(value)
+    once = edits.groupBy(key, "pos").agg(at_once.alias("v"))
     return once.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("edits"))
 
 
@@ -121,9 +125,9 @@ def apply_deletions(df: DataFrame, edits: DataFrame, *, left: bool = False, key:
 
 
 def apply_insertions(df: DataFrame, edits: DataFrame, *, left: bool = False, key: str = "example_idx", seq: str = "seq") -> DataFrame:
-    """Letters (key, pos, char_idx) put in before their positions, then trimmed to the old length on the right, or on the left if left."""
+    """Letters (key, pos, char_idx) put in before their positions, then trimmed to the old length on the right, or on the left if left; several at one position go in in the alphabet's order."""
     letter = F.substring(F.lit(scalar.ALPHABET), F.col("char_idx") + 1, F.lit(1))
-    rows = _with_edits(df.select(key, seq), _edit_map(edits, key, letter), key, "string")
+    rows = _with_edits(df.select(key, seq), _edit_map(edits, key, letter, all_of=True), key, "string")
     new = F.transform(_letters(seq), lambda p: F.concat(F.coalesce(F.element_at("edits", p.cast("long")), F.lit("")), F.substring(F.col(seq), p + 1, F.lit(1))))
     long = F.array_join(new, "")
     size = F.length(seq)

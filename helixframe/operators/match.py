@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.functions import scalar
-from helixframe.operators import loci
+from helixframe.operators import loci, windows
+from helixframe.operators.order import checkpointed, running_totals
+
+#: Digits of the hash by which the border of a bin's share is found.
+CELL = 3
 
 
 def gc_bin(gc: Column, width: float) -> Column:
@@ -45,10 +49,11 @@ def quotas(wanted: dict[int, int], have: dict[int, int], bins: int) -> dict[int,
     return take
 
 
-def matching_loci(targets: DataFrame, tiles: DataFrame, *, width: float = 0.02, max_n: float = 0.1, seed: int = 0) -> DataFrame:
+def matching_loci(targets: DataFrame, tiles: DataFrame, *, width: float = 0.02, max_n: float = 0.1, seed: int = 0, signal: DataFrame | None = None, signal_share: float = 0.01, signal_beta: float = 0.5) -> DataFrame:
     """(chrom, start, end, gc_bin): tiles with the targets' GC histogram, none of which a target touches.
 
-    targets and tiles: (chrom, start, end, seq).  The driver sees a count for
+    targets and tiles: (chrom, start, end, seq).  With a signal (track, chrom,
+    pos, value), tiles of more than signal_limit of the targets are left out.  The driver sees a count for
     each bin; rows of a bin are taken by a hash of seed and place.
     """
     bins = int(round(1 / width)) + 1
@@ -57,27 +62,64 @@ def matching_loci(targets: DataFrame, tiles: DataFrame, *, width: float = 0.02,
     own = tiles.select("chrom", "start", "end")
     touched = loci.interval_join(own, spans, 256).select("chrom", "start", "end").distinct()
     free = gc_profile(tiles, max_n, width).join(touched, ["chrom", "start", "end"], "left_anti")
+    if signal is not None:
+        limit = signal_limit(targets, signal, share=signal_share, beta=signal_beta)
+        quiet = region_signal(own, signal).where(F.col("total") <= limit).select("chrom", "start", "end")
+        free = free.join(quiet, ["chrom", "start", "end"], "left_semi")
     have = free.groupBy("gc_bin").count()
     count = lambda d: {r["gc_bin"]: r["count"] for r in d.collect()}  # noqa: E731  at most a row for each bin
     take = quotas(count(wanted), count(have), bins)
-    quota = F.lit(0)
-    for b, n in take.items():
-        if n:
-            quota = F.when(F.col("gc_bin") == b, F.lit(n)).otherwise(quota)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "chrom", F.col("start").cast("string")))
-    ranked = free.select("chrom", "start", "end", "gc_bin", key.alias("key")).withColumn("rn", F.row_number().over(Window.partitionBy("gc_bin").orderBy("key")))
-    return ranked.where(F.col("rn") <= quota).select("chrom", "start", "end", "gc_bin")
+    keyed = free.select("chrom", "start", "end", "gc_bin", key.alias("key")).withColumn("cell", F.substring("key", 1, CELL))
+    # Counts by the key's first digits tell up to where a bin's rows are all taken: only those at the border are ranked.
+    cells: dict[int, list[tuple[str, int]]] = {}
+    for r in keyed.groupBy("gc_bin", "cell").count().orderBy("cell").collect():  # at most 16 ** CELL for each bin
+        cells.setdefault(r["gc_bin"], []).append((r["cell"], r["count"]))
+    border = []
+    for b, counts in cells.items():
+        left = take.get(b, 0)
+        for cell, n in counts:
+            if left <= n:
+                border.append((b, cell, left))
+                break
+            left -= n
+    edges = F.broadcast(df_of(free, border, "gc_bin int, edge string, quota int"))
+    near = keyed.join(edges, "gc_bin").where(F.col("cell") <= F.col("edge"))
+    whole = near.where(F.col("cell") < F.col("edge"))
+    ranked = near.where(F.col("cell") == F.col("edge")).withColumn("rn", F.row_number().over(Window.partitionBy("gc_bin").orderBy("key", "chrom", "start")))
+    columns = ["chrom", "start", "end", "gc_bin"]
+    return whole.select(*columns).union(ranked.where(F.col("rn") <= F.col("quota")).select(*columns))
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def signal_limit(targets: DataFrame, signal: DataFrame, *, share: float = 0.01, beta: float = 0.5, grain: int = 256) -> float:
+    """beta times the quantile (share) of the targets' summed signal: what a background region may have at most.
+
+    targets: (chrom, start, end); signal: (track, chrom, pos, value), of which
+    all tracks count.  A target without signal has 0.
+    """
+    totals = region_signal(targets, signal, grain)
+    at = windows.quantiles(totals.withColumn("total", F.col("total").cast("double")), "total", [share]).first()[0]
+    return beta * float(at or 0.0)
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row: the largest gap between the empirical distributions of a value in two tables.
+def region_signal(regions: DataFrame, signal: DataFrame, grain: int = 256) -> DataFrame:
+    """(chrom, start, end, total): the signal in each different region, 0 where there is none."""
+    keyed = regions.select("chrom", "start", "end").distinct().withColumn("locus_idx", F.xxhash64("chrom", "start", "end"))
+    sums = loci.signal_sums(keyed.select("locus_idx", "chrom", F.col("start").alias("win_start"), F.col("end").alias("win_end")), signal, grain)
+    sums = sums.groupBy("locus_idx").agg(F.sum("total").alias("total"))
+    return keyed.join(sums, "locus_idx", "left").select("chrom", "start", "end", F.coalesce("total", F.lit(0.0)).alias("total"))
 
-    Values are rounded to four places, so that the running sums go over at
-    most as many groups as there are such numbers in the range.
-    """
-    rows = a.select(F.round(value, 4).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(F.round(value, 4), F.lit(0), F.lit(1)))
-    sums = rows.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gaps = sums.select(F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)).alias("gap"))
-    return gaps.agg(F.max("gap").alias("ks"))
+
+def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """One row: the largest gap between the empirical distributions of a value in two tables; null values are left out, of an empty table the gap is null."""
+    rows = a.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(value, F.lit(0), F.lit(1))).where("v is not null")
+    sums = checkpointed(rows.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    n = sums.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    gap = F.abs(F.col("total_a") / F.lit(float(n["a"] or 0)) - F.col("total_b") / F.lit(float(n["b"] or 0)))
+    if not n["a"] or not n["b"]:
+        gap = F.lit(None).cast("double")
+    return running_totals(sums, "v", "a", "b").agg(F.max(gap).alias("ks"))

@@ -3,19 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into spark.checkpoint.dir (a new folder where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a new folder on a local master, and an error on a cluster, whose machines have a disk each."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="helixframe-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="helixframe-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def running_totals(df: DataFrame, order: str, *values: str) -> DataFrame:
+    """df with the totals of values over all rows up to each in the order of a column, as total_<value>; rows that tie have different totals.
+
+    As numbered: sorted by range, and the driver only sees the partitions' totals.
+    """
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    ranged = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sums = ranged.groupBy(part.alias("__part")).agg(*[F.sum(v).alias(v) for v in values]).orderBy("__part").collect()
+    before, starts = [0.0] * len(values), []
+    for r in sums:
+        starts.append((r["__part"], *before))
+        before = [a + float(r[v]) for a, v in zip(before, values, strict=True)]
+    offsets = df.sparkSession.createDataFrame(starts, "__part long" + "".join(f", __before_{v} double" for v in values))
+    w = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return out.select(*df.columns, *[(F.sum(v).over(w) + F.col(f"__before_{v}")).alias(f"total_{v}") for v in values])
+
+
 def numbered(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     """Adds the row's place (from 0, gapless) in the order of some columns; ties are broken by all columns.
 

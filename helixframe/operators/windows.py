@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixframe.operators.order import numbered
+
 
 def sliding_sum(df: DataFrame, width: int) -> DataFrame:
     """(example_idx, pos, total): sums of width values from each position on; positions with fewer left are dropped."""
@@ -33,6 +35,15 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 def quantiles(df: DataFrame, value: str, at: list[float], keys: list[str] | None = None) -> DataFrame:
     """Exact quantiles by linear interpolation; NaN and null are left out."""
     some = df.where(~F.isnan(value) & F.col(value).isNotNull())
+    if not keys:
+        # One group of all rows: by their places in order, of which only the two around each quantile are looked at.
+        rows = numbered(some.select(F.col(value).cast("double").alias("v")), "v")
+        n = rows.count()
+        spots = [q * (n - 1) for q in at]
+        pick = lambda i: F.max(F.when(F.col("row_idx") == int(i), F.col("v")))
+        wanted = sorted({j for i in spots for j in (int(i), min(int(i) + 1, n - 1))})
+        cols = [(pick(i) + (pick(min(int(i) + 1, n - 1)) - pick(i)) * F.lit(i - int(i))).alias(f"q{k}") for k, i in enumerate(spots)]
+        return rows.where(F.col("row_idx").isin(wanted)).agg(*cols) if n else rows.agg(*[F.max("v").alias(f"q{k}") for k in range(len(at))])
     return some.groupBy(*(keys or [])).agg(*[F.percentile(value, q).alias(f"q{i}") for i, q in enumerate(at)])
 
 

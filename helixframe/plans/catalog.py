@@ -23,4 +23,4 @@ def query(sql: str | None = None, *ctes: str):
 
 
 # The modules below register their queries as they are imported.
-from helixframe.plans import experiments, sequences, spans_loci  # noqa: E402, F401
+from helixframe.plans import experiments, files, sequences, spans_loci  # noqa: E402, F401

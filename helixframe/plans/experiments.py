@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.operators import attribution, design, edits, models, perturb
-from helixframe.operators.order import checkpointed
+from helixframe.operators.order import checkpointed, scratch
 from helixframe.plans import views
 from helixframe.plans.catalog import query
 from helixframe.streaming import counts
@@ -52,16 +52,16 @@ def p01_predict_numpy(spark, sf_dir):
     return out.select("example_idx", F.get("y", F.lit(0)).alias("y"))
 
 
-@query(both("substring(seq, 1, 27) || 'CTCAGTGATG' || substring(seq, 38)"), views.KSEQS)
+@query(both("substring(seq, 1, 27) || 'GATTACAGCA' || substring(seq, 38)"), views.KSEQS)
 def p02_marginalize(spark, sf_dir):
     """Outputs before and after a motif is written in."""
-    return perturb.marginalize(views.kseqs(spark, sf_dir), "CTCAGTGATG", FUNC).select("example_idx", "variant", "y")
+    return perturb.marginalize(views.kseqs(spark, sf_dir), "GATTACAGCA", FUNC).select("example_idx", "variant", "y")
 
 
 @query(
     f"""SELECT -1 AS example_idx, -1 AS annotation_idx, -1 AS "start", background_idx, 'before' AS variant, {y('seq')} AS y FROM backs
     UNION ALL SELECT example_idx, annotation_idx, "start", background_idx, 'after', {y('e')} FROM (SELECT *, substring(seq, 1, 32 - length(m) // 2) || m || substring(seq, 33 - length(m) // 2 + length(m)) AS e
-    FROM (SELECT a.example_idx, annotation_idx, "start", substring(k.seq, CAST("start" + 1 AS INT), CAST("end" - "start" AS INT)) AS m FROM annotations a JOIN kseqs k USING (example_idx) WHERE "end" <= 64), backs)""",
+    FROM (SELECT a.example_idx, annotation_idx, "start", substring(k.seq, CAST("start" + 1 AS INT), CAST("end" - "start" AS INT)) AS m FROM annotations a JOIN kseqs k USING (example_idx)), backs)""",
     views.KSEQS,
     views.ANNOTATIONS,
     "backs AS (SELECT example_idx AS background_idx, seq FROM kseqs WHERE example_idx < 5)",
@@ -70,7 +70,7 @@ def p03_marginalize_annotations(spark, sf_dir):
     """Each annotated span written into five backgrounds."""
     seqs = views.kseqs(spark, sf_dir)
     backs = seqs.where("example_idx < 5").withColumnRenamed("example_idx", "background_idx")
-    spans = views.annotations(spark, sf_dir).where(F.col("end") <= 64).select("example_idx", "annotation_idx", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    spans = views.annotations(spark, sf_dir).select("example_idx", "annotation_idx", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     out = perturb.marginalize_annotations(seqs, backs, spans, FUNC)
     return out.select(*[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("example_idx", "annotation_idx", "start")], "background_idx", "variant", "y")
 
@@ -89,11 +89,19 @@ def p04_ablate(spark, sf_dir):
     return out.select("example_idx", F.coalesce("shuffle_idx", F.lit(-1)).alias("shuffle_idx"), "variant", "y")
 
 
-@query()
+ORDERED = """list_sort(list_transform(generate_series(0, CAST("end" - "start" - 1 AS INT)), lambda i: {'u': CAST('0x' || substring(md5('0:' || s || ':' || i), 1, 8) AS BIGINT), 'i': i}))"""
+
+
+@query(
+    f"""SELECT example_idx, CAST(NULL AS BIGINT) AS annotation_idx, CAST(NULL AS BIGINT) AS "start", CAST(NULL AS BIGINT) AS "end", CAST(NULL AS INT) AS shuffle_idx, 'before' AS variant, {y('seq')} AS y FROM kseqs
+    UNION ALL SELECT example_idx, annotation_idx, "start", "end", CAST(s AS INT), 'after', {y('e')} FROM (SELECT *, substring(seq, 1, CAST("start" AS INT)) || array_to_string(list_transform({ORDERED}, lambda x: seq[CAST("start" + 1 + x.i AS INT)]), '') || substring(seq, CAST("end" + 1 AS INT)) AS e
+    FROM annotations JOIN kseqs USING (example_idx), generate_series(0, 1) AS t(s))""",
+    views.KSEQS,
+    views.ANNOTATIONS,
+)
 def p05_ablate_annotations(spark, sf_dir):
     """P5: each annotated span shuffled twice."""
-    spans = views.annotations(spark, sf_dir).where(F.col("end") <= 64)
-    return perturb.ablate_annotations(views.kseqs(spark, sf_dir), spans, FUNC, n=2).drop("seq")
+    return perturb.ablate_annotations(views.kseqs(spark, sf_dir), views.annotations(spark, sf_dir), FUNC, n=2).drop("seq")
 
 
 @query(
@@ -155,6 +163,43 @@ def m03_deep_lift_graph(spark, sf_dir):
     return rows.groupBy("example_idx", (F.col("i") % 64).alias("pos")).agg(F.round(F.sum("v"), 6).alias("value"))
 
 
+MARGINS = "margins AS (SELECT example_idx, 'before' AS variant, seq FROM kseqs UNION ALL SELECT example_idx, 'after', substring(seq, 1, 27) || 'GATTACAGCA' || substring(seq, 38) FROM kseqs)"
+
+
+@query(
+    f"SELECT example_idx, variant, CAST(p AS INT) AS pos, CAST(c AS INT) AS char_idx, substring('ACGT', CAST(c + 1 AS INT), 1) = seq[CAST(p + 1 AS INT)] AS is_ref, {z('seq')} AS y0, {z(EDITED)} AS y FROM margins, generate_series(24, 39) AS s(p), generate_series(0, 3) AS t(c)",
+    views.KSEQS,
+    MARGINS,
+)
+def p07_marginalize_mutagenesis(spark, sf_dir):
+    """Every single edit of a window, before and after a motif is written in."""
+    return perturb.marginalize(views.kseqs(spark, sf_dir), "GATTACAGCA", lambda df: attribution.saturation_mutagenesis(df, models.COUNTER, start=24, end=40))
+
+
+@query(
+    f"""SELECT example_idx, variant, pos, char_idx, round(v, 6) AS value FROM (SELECT example_idx, variant, CAST(p AS INT) AS pos, CAST(c AS INT) AS char_idx, seq, ({z(EDITED)} - {z('seq')}) - avg({z(EDITED)} - {z('seq')}) OVER (PARTITION BY example_idx, variant, p) AS v
+    FROM margins, generate_series(24, 39) AS s(p), generate_series(0, 3) AS t(c)) WHERE substring('ACGT', char_idx + 1, 1) = seq[pos + 1]""",
+    views.KSEQS,
+    MARGINS,
+)
+def p07_marginalize_mutagenesis_attribution(spark, sf_dir):
+    """Attributions by mutagenesis, before and after a motif is written in."""
+    func = lambda df: attribution.mutagenesis_attribution(attribution.saturation_mutagenesis(df, models.COUNTER, start=24, end=40))
+    return perturb.marginalize(views.kseqs(spark, sf_dir), "GATTACAGCA", func).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""SELECT m.example_idx, variant, CAST(p - 1 AS INT) AS pos, {W.format('m.seq[CAST(p AS INT)]')} - (({W.format('reverse(k.seq)[CAST(p AS INT)]')}) + ({W.format("translate(k.seq, 'ACGT', 'TGCA')[CAST(p AS INT)]")})) / 2.0::DOUBLE AS value
+    FROM margins m JOIN kseqs k USING (example_idx), generate_series(1, 64) AS t(p)""",
+    views.KSEQS,
+    MARGINS,
+)
+def p07_marginalize_linear_deep_lift(spark, sf_dir):
+    """Attributions of the linear model against the example's own references, before and after a motif is written in."""
+    refs = rotated(spark, sf_dir)
+    return perturb.marginalize(views.kseqs(spark, sf_dir), "GATTACAGCA", lambda df: attribution.linear_deep_lift(df, refs, models.toy_weight))
+
+
 @query()
 def m04_deep_lift_convolution(spark, sf_dir):
     """M4 to M7: rescale rules through convolution, ReLU and pooling, against dinucleotide shuffles."""
@@ -272,15 +317,10 @@ def d04_greedy_marginalize(spark, sf_dir):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def s01_stream_counts(spark, sf_dir):
     """Streaming: counts of events by day, the table read as a stream."""
-    edits_dir = checkpoint_folder(spark)
+    edits_dir = scratch(spark)
     counts.run_once(counts.windowed_counts(counts.stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type"), f"{edits_dir}/out", f"{edits_dir}/state")
-    return spark.read.parquet(f"{edits_dir}/out").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
-
+    return counts.latest(spark.read.parquet(f"{edits_dir}/out"), ["window_start", "event_type"]).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
-def checkpoint_folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir."""
-    checkpointed(spark.range(1))  # sets the folder where it is unset
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 @query("SELECT example_idx, CAST(i AS INT) AS shuffle_idx, length(seq) AS n, seq[1] AS first, seq[64] AS last FROM kseqs, generate_series(0, 1) AS t(i)", views.KSEQS)

@@ -121,7 +121,7 @@ def f10_kmers_scored(spark, sf_dir):
 @query(
     """SELECT example_idx, CAST(gkmer AS BIGINT) AS gkmer, round(value, 6) AS value, n FROM (SELECT *, row_number() OVER (PARTITION BY example_idx ORDER BY abs(round(value, 9)) DESC, gkmer) AS rn FROM (
     SELECT example_idx, gkmer, sum(v) AS value, count(*) AS n FROM (
-      WITH RECURSIVE base AS (SELECT n.example_idx, a.pos, instr('ACGT', seq[CAST(a.pos + 1 AS INT)]) - 1 AS c, a.value AS v FROM kseqs n JOIN attr a ON n.example_idx = a.example_idx WHERE a.pos < 24),
+      WITH RECURSIVE base AS (SELECT n.example_idx, a.pos, instr('ACGT', seq[CAST(a.pos + 1 AS INT)]) - 1 AS c, a.value AS v FROM kseqs n JOIN attr a ON n.example_idx = a.example_idx),
       chain AS (SELECT example_idx, pos AS first, pos AS last, 1 AS k, (c + 1)::BIGINT AS code, v AS total FROM base
         UNION ALL SELECT x.example_idx, first, b.pos, k + 1, code + (b.c + 1) * pow(5, b.pos - first)::BIGINT, total + b.v FROM chain x JOIN base b ON x.example_idx = b.example_idx AND b.pos > last AND b.pos <= last + 2 AND b.pos - first < 8 WHERE k < 5)
       SELECT example_idx, code AS gkmer, total / k AS v FROM chain WHERE k >= 4) GROUP BY 1, 2)) WHERE rn <= 10""",
@@ -129,8 +129,8 @@ def f10_kmers_scored(spark, sf_dir):
     views.ATTR,
 )
 def f11_gapped_kmers(spark, sf_dir):
-    """the ten strongest gapped k-mers of four or five letters in the first 24 positions of each example."""
-    hot = encode.one_hot(views.kseqs(spark, sf_dir)).where("pos < 24")
+    """the ten strongest gapped k-mers of four or five letters of each example."""
+    hot = encode.one_hot(views.kseqs(spark, sf_dir))
     both = hot.join(views.attr(spark, sf_dir), ["example_idx", "pos"])
     out = encode.gapped_kmers(both, min_k=4, max_k=5, max_gap=2, max_len=8)
     return out.select("example_idx", "gkmer", F.round("value", 6).alias("value"), "n")
@@ -149,16 +149,16 @@ def f13_validate(spark, sf_dir):
     return valid.groupBy(F.col("seq").rlike("^[ACGT]*$").alias("known_only")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT example_idx, substring(seq, 1, 32) || 'CTCAGTGATG' || substring(seq, 33) AS seq FROM kseqs", views.KSEQS)
+@query("SELECT example_idx, substring(seq, 1, 32) || 'GATTACAGCA' || substring(seq, 33) AS seq FROM kseqs", views.KSEQS)
 def e01_insert(spark, sf_dir):
     """A motif spliced into the middle."""
-    return views.kseqs(spark, sf_dir).select("example_idx", scalar.insert(F.col("seq"), "CTCAGTGATG").alias("seq"))
+    return views.kseqs(spark, sf_dir).select("example_idx", scalar.insert(F.col("seq"), "GATTACAGCA").alias("seq"))
 
 
-@query("SELECT example_idx, substring(seq, 1, 27) || 'CTCAGTGATG' || substring(seq, 38) AS seq FROM kseqs", views.KSEQS)
+@query("SELECT example_idx, substring(seq, 1, 27) || 'GATTACAGCA' || substring(seq, 38) AS seq FROM kseqs", views.KSEQS)
 def e02_substitute(spark, sf_dir):
     """A motif written over the middle."""
-    return views.kseqs(spark, sf_dir).select("example_idx", scalar.substitute(F.col("seq"), "CTCAGTGATG").alias("seq"))
+    return views.kseqs(spark, sf_dir).select("example_idx", scalar.substitute(F.col("seq"), "GATTACAGCA").alias("seq"))
 
 
 @query("SELECT example_idx, substring(seq, 1, 10) || 'GA' || substring(seq, 13, 2) || 'TA' || substring(seq, 17) AS seq FROM kseqs", views.KSEQS)
@@ -239,6 +239,18 @@ def v03_insertion(spark, sf_dir):
     return edits.apply_insertions(views.kseqs(spark, sf_dir), views.variants(spark, sf_dir), left=True)
 
 
+@query(
+    "SELECT example_idx, substring(string_agg(coalesce(letters_in, '') || seq[p], '' ORDER BY p), 1, 64) AS seq FROM letters k LEFT JOIN put USING (example_idx, pos) GROUP BY example_idx",
+    views.KSEQS,
+    views.INSERTS,
+    "put AS (SELECT example_idx, pos, string_agg(substring('ACGT', char_idx + 1, 1), '' ORDER BY char_idx) AS letters_in FROM inserts GROUP BY 1, 2)",
+    LETTERS_OF,
+)
+def v03_insertion_ties(spark, sf_dir):
+    """V3: several insertions at one position all go in."""
+    return edits.apply_insertions(views.kseqs(spark, sf_dir), views.inserts(spark, sf_dir))
+
+
 @query("SELECT '> ' || example_idx || chr(10) || substring(seq, 1, 24) || chr(10) || substring(seq, 25, 24) || chr(10) || substring(seq, 49) || chr(10) AS record FROM kseqs", views.KSEQS)
 def s08_fasta_records(spark, sf_dir):
     """Records as the FASTA writer forms them, with lines of 24 letters."""

@@ -51,10 +51,10 @@ def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom, start, end: zones to keep out of, from some orders."""
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 16 == 0)
-    start = F.floor(F.col("o_custkey") / 7) * TILE
-    return o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 7).cast("string")).alias("chrom"), start.cast("long").alias("start"), (start + 150).cast("long").alias("end"))
+    """chrom, start, end: zones to keep out of, one for each supplier, all over the genome."""
+    o = read(spark, sf_dir, "supplier")
+    start = F.floor(F.col("s_suppkey") / 7) * (20 * TILE)
+    return o.select(F.concat(F.lit("chr"), (F.col("s_suppkey") % 7).cast("string")).alias("chrom"), start.cast("long").alias("start"), (start + 150).cast("long").alias("end"))
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_idx, annotation_idx, start, end: spans of orders, one of seven kinds for each line item."""
     line = read(spark, sf_dir, "lineitem")
-    start = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 31) % 300
+    start = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 31) % 44
     return line.select(F.col("l_orderkey").alias("example_idx"), (F.col("l_suppkey") % 7).alias("annotation_idx"), start.alias("start"), (start + F.col("l_quantity").cast("long") % 20 + 1).alias("end"))
 
 
@@ -83,12 +83,18 @@ def attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """example_idx, pos, char_idx: edits of the parts' sequences, one for each line item of quantity up to 5, once a position."""
-    line = read(spark, sf_dir, "lineitem").where("l_quantity <= 5")
+    """example_idx, pos, char_idx: edits of the parts' sequences from all line items, once a position."""
+    line = read(spark, sf_dir, "lineitem")
     rows = line.select(F.col("l_partkey").alias("example_idx"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 64).alias("pos"), (F.col("l_suppkey") % 4).cast("int").alias("char_idx"))
     return rows.groupBy("example_idx", "pos").agg(F.max("char_idx").alias("char_idx"))
 
 
+def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """example_idx, pos, char_idx: a letter to put in for each line item, several at a position."""
+    line = read(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_partkey").alias("example_idx"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 16).alias("pos"), (F.col("l_suppkey") % 4).cast("int").alias("char_idx"))
+
+
 DOC_SEQS = "doc_seqs AS (SELECT doc_id AS example_idx, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 KSEQS = f"kseqs AS (SELECT p_partkey AS example_idx, translate(md5('a:' || p_partkey) || md5('b:' || p_partkey), '{HEX}', '{LETTERS}') AS seq FROM part)"
 NSEQS = f"nseqs AS (SELECT p_partkey AS example_idx, translate(md5('a:' || p_partkey) || md5('b:' || p_partkey), '{HEX}', '{WITH_N}') AS seq FROM part)"
@@ -96,9 +102,10 @@ TILES = f"{NSEQS}, tiles AS (SELECT 'chr' || (example_idx % 7) AS chrom, CAST(ex
 LOCI = f"""loci AS (SELECT locus_idx, x.chrom AS chrom, x."start" AS "start", x."end" AS "end" FROM (SELECT locus_idx, min({{'chrom': chrom, 'start': "start", 'end': "end"}}) AS x FROM (
   SELECT l_orderkey * 8 + l_linenumber AS locus_idx, 'chr' || (l_partkey % 7) AS chrom, CAST(l_partkey // 7 * {TILE} + l_suppkey % {TILE} AS BIGINT) AS "start",
   CAST(l_partkey // 7 * {TILE} + l_suppkey % {TILE} + CAST(l_quantity AS BIGINT) * 2 + 1 AS BIGINT) AS "end" FROM lineitem) GROUP BY locus_idx))"""
-ZONES = f"""zones AS (SELECT 'chr' || (o_custkey % 7) AS chrom, CAST(o_custkey // 7 * {TILE} AS BIGINT) AS "start", CAST(o_custkey // 7 * {TILE} + 150 AS BIGINT) AS "end" FROM orders WHERE o_orderkey % 16 = 0)"""
+ZONES = f"""zones AS (SELECT 'chr' || (s_suppkey % 7) AS chrom, CAST(s_suppkey // 7 * {20 * TILE} AS BIGINT) AS "start", CAST(s_suppkey // 7 * {20 * TILE} + 150 AS BIGINT) AS "end" FROM supplier)"""
 SIGNAL = "signal AS (SELECT event_type AS track, 'chr' || (event_id % 7) AS chrom, CAST(event_id // 7 AS BIGINT) AS pos, round(value * 100) AS value FROM events)"
-ANNOTATIONS = """annotations AS (SELECT l_orderkey AS example_idx, l_suppkey % 7 AS annotation_idx, (l_partkey * 7 + l_linenumber * 31) % 300 AS "start",
-  (l_partkey * 7 + l_linenumber * 31) % 300 + CAST(l_quantity AS BIGINT) % 20 + 1 AS "end" FROM lineitem)"""
+ANNOTATIONS = """annotations AS (SELECT l_orderkey AS example_idx, l_suppkey % 7 AS annotation_idx, (l_partkey * 7 + l_linenumber * 31) % 44 AS "start",
+  (l_partkey * 7 + l_linenumber * 31) % 44 + CAST(l_quantity AS BIGINT) % 20 + 1 AS "end" FROM lineitem)"""
 ATTR = "attr AS (SELECT CAST(vec_id AS BIGINT) AS example_idx, CAST(p - 1 AS INT) AS pos, round(CAST(embedding[p] AS DOUBLE) * 1000) + 0.0 AS value FROM embeddings, generate_series(1, 64) AS t(p))"
-VARIANTS = "variants AS (SELECT l_partkey AS example_idx, (l_orderkey * 13 + l_linenumber) % 64 AS pos, CAST(max(l_suppkey % 4) AS INT) AS char_idx FROM lineitem WHERE l_quantity <= 5 GROUP BY 1, 2)"
+INSERTS = "inserts AS (SELECT l_partkey AS example_idx, (l_orderkey * 13 + l_linenumber) % 16 AS pos, CAST(l_suppkey % 4 AS INT) AS char_idx FROM lineitem)"
+VARIANTS = "variants AS (SELECT l_partkey AS example_idx, (l_orderkey * 13 + l_linenumber) % 64 AS pos, CAST(max(l_suppkey % 4) AS INT) AS char_idx FROM lineitem GROUP BY 1, 2)"

@@ -13,9 +13,19 @@ def windowed_counts(stream: DataFrame, key: str, *, time: str = "ts", width: str
 
 
 def run_once(result: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream over what there is and keeps the complete result as Parquet."""
-    query = result.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Runs a stream over what there is and adds the rows that each batch changed to a Parquet table, with the batch's number.
+
+    The watermark bounds the state: windows it has passed are dropped.  A batch
+    that is run again writes the same rows under the same number.
+    """
+    write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/of={batch}")
+    result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that run_once wrote the last of each key."""
+    values = [c for c in rows.columns if c not in (*keys, "batch", "of")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
 
 
 def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -93,7 +93,7 @@ ORDERED = """list_sort(list_transform(generate_series(0, CAST("end" - "start" -
 
 
 @query(
-    f"""SELECT example_idx, CAST(NULL AS BIGINT) AS annotation_idx, CAST(NULL AS BIGINT) AS "start", CAST(NULL AS BIGINT) AS "end", CAST(NULL AS INT) AS shuffle_idx, 'before' AS variant, {y('seq')} AS y FROM kseqs
+    f"""SELECT example_idx, -1 AS annotation_idx, -1 AS "start", -1 AS "end", -1 AS shuffle_idx, 'before' AS variant, {y('seq')} AS y FROM kseqs
     UNION ALL SELECT example_idx, annotation_idx, "start", "end", CAST(s AS INT), 'after', {y('e')} FROM (SELECT *, substring(seq, 1, CAST("start" AS INT)) || array_to_string(list_transform({ORDERED}, lambda x: seq[CAST("start" + 1 + x.i AS INT)]), '') || substring(seq, CAST("end" + 1 AS INT)) AS e
     FROM annotations JOIN kseqs USING (example_idx), generate_series(0, 1) AS t(s))""",
     views.KSEQS,
@@ -101,7 +101,8 @@ ORDERED = """list_sort(list_transform(generate_series(0, CAST("end" - "start" -
 )
 def p05_ablate_annotations(spark, sf_dir):
     """P5: each annotated span shuffled twice."""
-    return perturb.ablate_annotations(views.kseqs(spark, sf_dir), views.annotations(spark, sf_dir), FUNC, n=2).drop("seq")
+    out = perturb.ablate_annotations(views.kseqs(spark, sf_dir), views.annotations(spark, sf_dir), FUNC, n=2)
+    return out.select("example_idx", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("annotation_idx", "start", "end", "shuffle_idx")], "variant", "y")
 
 
 @query(

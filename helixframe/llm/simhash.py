@@ -320,10 +320,11 @@ def _apart(many: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
     range_of = F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     own = cut(own.join(mixed, "block").select("block", "same", "n", "root", range_of.alias("range")))
     inside = own.groupBy("block", "root").agg(F.sum(weight).alias("inside")).where(F.col("inside") >= TILE).select("block", "root", F.col("root").alias("large"))
-    own = own.join(inside, ["block", "root"], "left")
+    # Joined from short tables of counted size, so that a hot block is not dealt out by its key.
+    own = own.join(few(cut(inside)), ["block", "root"], "left")
     loads = own.groupBy("block", "large", "range").agg(F.ceil(F.sum(weight) / TILE).alias("chunks"))
     same_group = F.col("l.block").eqNullSafe(F.col("r.block")) & F.col("l.large").eqNullSafe(F.col("r.large")) & (F.col("l.range") == F.col("r.range"))
-    dealt = own.alias("l").join(loads.alias("r"), same_group)
+    dealt = own.alias("l").join(few(cut(loads)).alias("r"), same_group)
     number = F.pmod(F.xxhash64(F.lit("chunk"), F.col("l.same")), F.col("r.chunks"))
     chunk = F.xxhash64(F.coalesce(F.col("l.large"), F.lit(0)), F.col("l.large").isNull(), F.col("l.range"), number)
     own = cut(dealt.select("l.block", "l.same", "l.n", "l.root", chunk.alias("chunk")))

@@ -286,10 +286,10 @@ def x01_logo_letters(spark, sf_dir):
     return plotdata.logo_letters(views.attr(spark, sf_dir), 10, 40, 50.0)
 
 
-@query("""SELECT *, CAST(row_number() OVER (PARTITION BY example_idx ORDER BY "start", "end", annotation_idx) AS INT) AS rank FROM annotations WHERE "start" > 50 AND "end" < 200""", views.ANNOTATIONS)
+@query("""SELECT *, CAST(row_number() OVER (PARTITION BY example_idx ORDER BY "start", "end", annotation_idx) AS INT) AS rank FROM annotations WHERE "start" > 10 AND "end" < 50""", views.ANNOTATIONS)
 def x01_annotations_in_view(spark, sf_dir):
     """Annotations in view, by start."""
-    return plotdata.annotations_in_view(views.annotations(spark, sf_dir), 50, 200)
+    return plotdata.annotations_in_view(views.annotations(spark, sf_dir), 10, 50)
 
 
 @query("SELECT example_idx, CAST(pos // 4 AS INT) AS pos, CAST(arg_max(pos % 4, (abs(value), -(pos % 4))) AS INT) AS char_idx, sum(value) AS total FROM attr GROUP BY 1, 2", views.ATTR)

@@ -1,29 +1,32 @@
-"""Language-model scores by Katz backoff over word bigrams.
-
-Training and scoring share one shuffle.  Occurrences (word, context, document)
-are dealt out by word, so that a task has all of a word's unigram and bigram
-counts: it stores them in the n-gram table, adds up what they give each
-document, and what backoff weights need of each context.  Then the weights
-follow, and last every document's sums meet.
-
-Contexts are the words that make up at least a share of 2 ** -CONTEXT_BITS of
-the training tokens, so that there are at most 2 ** CONTEXT_BITS of them at
-any size of the corpus; their table is what executors get.  After another
-word, the model backs off to unigrams at once.  Unigrams of all words count.
-
-    P(w | c) = d(r) r / (n(c) + 1)      bigram seen r > 0 times after context c
-             = alpha(c) P(w)            not seen, or P(w) after a rarer word
-    P(w)     = d(r) r / (N + 1)         word seen r > 0 times
-             = what that leaves         any unknown word
-
-d are Katz's Good-Turing discounts of counts up to five.  alpha(c) is the
-mass that c's bigrams leave over the unigram mass of the words not seen after
-c, so that every distribution sums to one.
+"""Language-model scores by Katz backoff over word n-grams of any order.
+
+    P(w | h) = d(r) r / (n(h) + 1)     n-gram hw seen r > 0 times
+             = alpha(h) P(w | h')      not seen, but h was; h' is h without its first word
+             = P(w | h')               h not seen either
+    P(w)     = d(r) r / (N + 1)        word seen r > 0 times
+             = what that leaves        any unknown word
+
+d are Katz's Good-Turing discounts of counts up to five, of each order.
+alpha(h) is the mass that the n-grams of h leave over the mass that the lower
+order leaves to words not seen after h, so that every distribution sums to one.
+
+Texts are written once as pieces, tables of word numbers.  A piece sends each
+of its different n-grams once, with its count, to the part that the n-gram's
+hash names; parts add up, store the counts and send the sums back.  With them a
+piece has all that its texts need but the backoff weights.  As
+
+    sum over seen w of f(hw) = sum over occurrences of hw of f(hw) / r,
+
+pieces add up what weights need of each context from their own occurrences, and
+parts add those sums up; contexts are asked for by the texts that back off from
+them.  So no n-gram, word or context, however frequent, has more than one entry
+a piece, and nothing but a few figures of the corpus reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,18 +37,20 @@ from pyspark.sql import functions as F
 from helixframe.llm import text as tx
 from helixframe.llm.cluster import new_table
 
-CONTEXT_BITS = 18
-#: Occurrences that one reducing task holds at once.
+ORDER = 3
+#: Tokens for each part; a part holds at most that many entries of each order.
 GROUP_TOKENS = 2_000_000
-#: Occurrences whose counts it works out at once (more where one word has more).
-RANGE = 250_000
-#: Text that a mapping task works on at once, bytes.
+#: Text of a piece, bytes.
 PIECE = 4 << 20
 #: Largest discounted count.
 K = 5
 END = np.uint64(0x0123456789ABCDEF)
 BEGIN = np.uint64(0xFEDCBA9876543210)
-_LISTS = "kind string, part int, uid long, key array<long>, num array<long>, small array<int>, doc array<short>, amount array<double>, base array<double>, known array<int>, once array<long>"
+#: Low bits of a key that hold its order.
+LEVEL = np.uint64(7)
+_PIECE = "uid long, ids array<long>, held array<boolean>, sizes array<long>, words binary, stream binary"
+_PART = "kind string, part int, uid long, keys binary, count binary, x binary, y binary, stat array<long>"
+_DOCS = "ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, event_doc binary, event_at binary, event_n binary"
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -64,305 +69,321 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-@dataclass
-class Head:
-    """What mapping and reducing tasks know of the whole corpus."""
+def pack(a: np.ndarray) -> bytes:
+    """The array by byte planes, compressed."""
+    a = np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(a).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
 
-    tokens: int
-    vocabulary: int
-    d: np.ndarray
-    unknown: float
-    hashes: np.ndarray
-    counts: np.ndarray
-    salts: np.ndarray
-    parts: int
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Context numbers of word hashes; -1 for words that are none."""
-        if not len(self.hashes):
-            return np.full(len(words), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, -1).astype(np.int32)
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        """P(w) of words with those training counts."""
-        factor = np.where(count <= K, self.d[np.minimum(count, K)], 1.0)
-        return np.where(count > 0, factor * count / (self.tokens + 1), self.unknown)
 
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes with an end after each text; where each text's tokens begin and the last ends."""
-    words = tx.split(data, offsets)
-    n = len(offsets) - 1
-    out = np.full(len(words.starts) + n, END, np.uint64)
-    out[np.arange(len(words.starts)) + words.doc] = words.hashes()
-    return out, words.ptr + np.arange(n + 1)
 
+def _longer(grams: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one more word before."""
+    return tx.mix(grams * np.uint64(0x9FB21C651E98DF25) + tx.mix(before + np.uint64(1)))
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, training count, count) of a task."""
-    word, train, every = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def merged():
-        w, at = np.unique(np.concatenate(word), return_inverse=True)
-        return w, np.bincount(at, np.concatenate(train), len(w)).astype(np.int64), np.bincount(at, np.concatenate(every), len(w)).astype(np.int64)
+def _begins(order: int) -> list[np.uint64]:
+    """Keys of contexts of 1, 2, ... begins."""
+    one = np.array([BEGIN])
+    out, g = [], one
+    for k in range(1, order):
+        out.append((g & ~LEVEL | np.uint64(k))[0])
+        g = _longer(g, one)
+    return out
 
+
+@dataclass
+class Grams:
+    """n-grams of a piece: keys[k - 1][i] is that of order k that ends at token i; first marks the texts' first tokens."""
+
+    keys: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray, stream: np.ndarray, sizes: np.ndarray, order: int) -> Grams:
+        tokens = words[stream]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys, g = np.empty((order, len(tokens)), np.uint64), tokens
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.full(len(tokens), BEGIN)
+                before[k - 1 :] = tokens[: max(0, len(tokens) - k + 1)]
+                before[at < k - 1] = BEGIN
+                g = _longer(g, before)
+            keys[k - 1] = g & ~LEVEL | np.uint64(k)
+        return Grams(keys, doc, at == 0)
+
+    def of_context(self, values: np.ndarray, k: int, begin) -> np.ndarray:
+        """For the n-grams of order k, what values (order, token) say of their contexts; begin where those are begins only."""
+        out = np.empty_like(values[k - 2])
+        out[1:] = values[k - 2][:-1]
+        out[self.first] = begin
+        return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in tx.pieces(batch, size=PIECE):
-            tokens, ptr = _tokens(data, offsets)
-            learn = np.repeat(~rows.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(ptr))
-            w, at = np.unique(tokens, return_inverse=True)
-            word.append(w)
-            train.append(np.bincount(at, learn, len(w)).astype(np.int64))
-            every.append(np.bincount(at, minlength=len(w)))
-            if sum(map(len, word)) > 1_500_000:
-                w, t, e = merged()
-                if len(w) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(t), pa.array(e)], names=["word", "train", "every"])
-                    w, t, e = w[:0], t[:0], e[:0]
-                word, train, every = [w], [t], [e]
-    w, t, e = merged()
-    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(t), pa.array(e)], names=["word", "train", "every"])
-
-
-def _row(**given) -> dict:
-    return {"kind": "", "part": 0, "uid": 0} | given
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    types = {"key": pa.int64(), "num": pa.int64(), "small": pa.int32(), "doc": pa.int16(), "amount": pa.float64(), "base": pa.float64(), "known": pa.int32(), "once": pa.int64()}
-    columns = [pa.array([r["kind"] for r in rows]), pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["uid"] for r in rows], pa.int64())]
-    for name, kind in types.items():
-        own = [pa.array(r[name], kind) if name in r else pa.array([], kind) for r in rows]
-        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(own) if own else pa.array([], kind)))
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "uid", *types])
-
-
-def _occurrences(shared):
-    """For each piece of texts and part: words (key) with their numbers of occurrences (num) and context numbers (small); documents (doc), twice the number and one more if they train; contexts (known) of the occurrences."""
+            words = tx.split(data, offsets)
+            n = len(offsets) - 1
+            tokens = np.full(len(words.starts) + n, END, np.uint64)
+            tokens[np.arange(len(words.starts)) + words.doc] = words.hashes()
+            vocabulary, stream = np.unique(tokens, return_inverse=True)
+            uid = int.from_bytes(os.urandom(8), "little", signed=True)  # stays as written
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in (rows.column(2), rows.column(1), pa.array(words.counts + 1))]
+            one = [pa.array([uid]), *lists, pa.array([pack_sorted(vocabulary)]), pa.array([pack(stream.astype(np.int32))])]
+            yield pa.RecordBatch.from_arrays(one, names=["uid", "ids", "held", "sizes", "words", "stream"])
+
+
+def _parts_of(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of sorted keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(part[a]), a, b
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"kind": pa.string(), "part": pa.int32(), "uid": pa.int64(), "keys": pa.binary(), "count": pa.binary(), "x": pa.binary(), "y": pa.binary(), "stat": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _read(row: dict, order: int) -> tuple[Grams, np.ndarray]:
+    """n-grams of a piece and, by token, whether it trains."""
+    sizes = np.array(row["sizes"], np.int64)
+    grams = Grams.of(unpack_sorted(row["words"]), unpack(row["stream"], np.int32), sizes, order)
+    return grams, ~np.array(row["held"], bool)[grams.doc]
+
+
+def _send(order: int, parts: int) -> Callable:
+    """Each piece's different n-grams by part: twice the training occurrences, and one more if held-out texts have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: Head = shared.value
         for batch in batches:
-            for some, data, offsets in tx.pieces(batch, size=PIECE):
-                for at in range(0, len(offsets) - 1, 16_000):
-                    ids = some.slice(at, 16_000)
-                    part_offsets = offsets[at : at + 16_001]
-                    tokens, ptr = _tokens(data[part_offsets[0] : part_offsets[-1]], part_offsets - part_offsets[0])
-                    held = ids.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                    n = len(held)
-                    null = ids.column(2).is_null().to_numpy(zero_copy_only=False)
-                    keys = ids.column(2).fill_null(0).to_numpy().view(np.uint64)
-                    keys = tx.mix(tx.mix(keys) + null * np.uint64(0x9E3779B97F4A7C15) + held * np.uint64(0xC2B2AE3D27D4EB4F))
-                    place = np.arange(max(n, len(tokens)), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    uid = int(np.r_[tx.mix(keys + place[:n]), tx.mix(tokens ^ place[: len(tokens)])].sum().view(np.int64))
-                    order = np.argsort(tokens, kind="stable")
-                    ordered = tokens[order]
-                    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                    number = np.empty(len(tokens), np.int32)
-                    number[order] = np.repeat(head.find(ordered[first]), np.diff(np.r_[first, len(ordered)]))
-                    context = np.empty_like(number)
-                    context[1:] = number[:-1]
-                    context[ptr[:-1]] = head.find(np.array([BEGIN]))[0]
-                    route = tokens.copy()
-                    hot = np.flatnonzero((number >= 0) & (head.salts[number] > 1)) if len(head.salts) else np.zeros(0, np.int64)
-                    salt = tx.mix(context[hot].astype(np.int64).astype(np.uint64)) % head.salts[number[hot]].astype(np.uint64)
-                    route[hot] = tx.mix(tokens[hot] + salt + np.uint64(1))
-                    doc = np.repeat(np.arange(n) * 2 + ~held, np.diff(ptr)).astype(np.int16)
-                    order = np.argsort(route, kind="stable")
-                    ordered = route[order]
-                    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                    length = np.diff(np.r_[first, len(ordered)])
-                    part = ((ordered[first] >> np.uint64(32)) * np.uint64(head.parts) >> np.uint64(32)).astype(np.int64)
-                    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-                    rows = []
-                    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        x, y = int(first[a]), int(first[b - 1] + length[b - 1])
-                        rows.append(_row(kind="seen", part=int(part[a]), uid=uid, key=ordered[first[a:b]].view(np.int64), num=length[a:b], small=number[order[first[a:b]]], doc=doc[order[x:y]], known=context[order[x:y]]))
-                    sizes = np.diff(ptr)
-                    # In columns that occurrences don't use, so that a part's columns are theirs alone.
-                    rows.append(_row(kind="meta", part=uid % head.parts, uid=uid, once=ids.column(2), amount=sizes.astype(float), base=held.astype(float)))
-                    for i in range(0, len(rows), 64):
-                        yield _batch(rows[i : i + 64])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                grams, learn = _read(row, order)
+                keys, inverse = np.unique(grams.keys.reshape(-1), return_inverse=True)
+                every = np.bincount(inverse, minlength=len(keys))
+                train = np.bincount(inverse[np.tile(learn, order)], minlength=len(keys))
+                count = train * 2 + (every > train)
+                rows = [{"kind": "send", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(count[a:b])} for p, a, b in _parts_of(keys, parts)]
+                for j in range(0, len(rows), 256):
+                    yield _rows(rows[j : j + 256])
 
     return run
 
 
-def _flatten(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]) if column.num_chunks else np.zeros(0)
-
-
-def _reduce(shared):
-    """One part: the n-gram table's row, sums for each context, and sums for each piece's documents."""
+def _count(order: int) -> Callable:
+    """One part: the counts of its n-grams, how many have each small count, and each piece's answer."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = np.array(table.column("kind").to_pylist())
-        out = [b for b in table.filter(pa.array(kind == "meta")).combine_chunks().to_batches() if b.num_rows]
-        if (kind == "seen").any():
-            out += _reduced(table, kind == "seen", shared.value)
-        return pa.Table.from_batches(out)
+        rows = table.select(["part", "uid", "keys", "count"]).to_pylist()
+        each = [unpack_sorted(r["keys"]) for r in rows]
+        count = np.concatenate([unpack(r["count"], np.int64) for r in rows])
+        ends = np.cumsum([len(x) for x in each])
+        keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        del each
+        total = np.bincount(inverse, count >> 1, len(keys)).astype(np.int64)
+        asked = np.bincount(inverse, count & 1, len(keys)) > 0
+        trained = total > 0
+        level, own = (keys[trained] & LEVEL).astype(np.int64), total[trained]
+        stat = np.zeros((order, K + 3), np.int64)
+        np.add.at(stat, (level - 1, np.minimum(own, K + 2) - 1), 1)
+        stat[:, K + 1] = np.bincount(level, minlength=order + 1)[1:]
+        stat[:, K + 2] = np.bincount(level, own, order + 1)[1:].astype(np.int64)
+        answer = (total * 2 + asked)[inverse]
+        part = rows[0]["part"]
+        out = [{"kind": "ngrams", "part": part, "uid": 0, "keys": pack_sorted(keys[trained]), "count": pack(own), "stat": stat.reshape(-1).tolist()}]
+        out += [{"kind": "answer", "part": part, "uid": r["uid"], "count": pack(answer[b - int(a) : b])} for r, a, b in zip(rows, np.diff(ends, prepend=0), ends.tolist(), strict=True)]
+        return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _reduced(table: pa.Table, seen_rows: np.ndarray, head: Head) -> list[pa.RecordBatch]:
-    part, uid = table.column("part")[0].as_py(), table.column("uid").to_numpy()
-    length = _flatten(table.column("num")).astype(np.int64)
-    entries = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table.column("doc").chunks]).astype(np.int64)
-    keys, numbers = _flatten(table.column("key")).view(np.uint64), _flatten(table.column("small"))
-    doc, context = _flatten(table.column("doc")), _flatten(table.column("known"))
-
-    # Counts of each occurrence's word and bigram, a range of words at a time.
-    small = np.int32 if head.tokens < 1 << 31 else np.int64
-    count, r = np.zeros(len(doc), small), np.zeros(len(doc), small)
-    ends = np.cumsum(length)
-    words_of = np.argsort(keys, kind="stable")
-    weight = np.cumsum(length[words_of])
-    found: list[tuple[np.ndarray, ...]] = []
-    at = 0
-    while at < len(words_of):
-        stop = int(np.searchsorted(weight, (weight[at - 1] if at else 0) + RANGE, side="right"))
-        stop = max(stop, at + 1)
-        while stop < len(words_of) and keys[words_of[stop]] == keys[words_of[stop - 1]]:
-            stop += 1
-        some = words_of[at:stop]
-        at = stop
-        n = length[some]
-        where = np.repeat(ends[some] - np.cumsum(n), n) + np.arange(int(n.sum()))
-        words, first, inverse = np.unique(keys[some], return_index=True, return_inverse=True)
-        word = np.repeat(inverse, n).astype(np.int64)
-        learn = (doc[where] & 1).astype(bool)
-        own = np.bincount(word, learn, len(words)).astype(np.int64)
-        number = numbers[some][first]
-        # A salted word is spread over parts; its count, like that of all contexts, is known.
-        total = np.where(number >= 0, head.counts[np.maximum(number, 0)], own) if len(head.counts) else own
-        count[where] = total[word]
-        after = np.flatnonzero(context[where] >= 0)
-        pairs, pair = np.unique(word[after] << 32 | context[where[after]], return_inverse=True)
-        times = np.bincount(pair, learn[after], len(pairs)).astype(np.int64)
-        r[where[after]] = times[pair]
-        trained = np.flatnonzero(times)
-        pw, pc, pr = pairs[trained] >> 32, (pairs[trained] & 0xFFFFFFFF).astype(np.int32), times[trained].astype(small)
-        found.append((words, own, np.bincount(pw, minlength=len(words)), pc, pr, head.unigram(total)[pw]))
-    words, own, after, pc, pr, low = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found, keys, numbers
-    contexts, ci = np.unique(pc, return_inverse=True)
-    per = [np.bincount(ci, pr == k, len(contexts)) for k in range(1, K + 2)] + [np.bincount(ci, pr * (pr > K), len(contexts))]
-    rows = [
-        _row(kind="ngrams", part=part, key=words.view(np.int64), num=own, small=after, known=pc, once=pr),
-        _row(kind="contexts", part=part, small=contexts, num=np.stack(per, 1).reshape(-1).astype(np.int64), amount=np.bincount(ci, low, len(contexts))),
-    ]
-    out = [_batch(rows)]
-    del rows, words, own, after, pc, pr, low, ci, per
-    rows = []
-    edges = np.r_[0, np.cumsum(entries)].tolist()
-    of: dict[int, list[slice]] = {}
-    for i in np.flatnonzero(seen_rows).tolist():
-        of.setdefault(int(uid[i]), []).append(slice(edges[i], edges[i + 1]))
-    for piece, slices in of.items():
-        c, rr, ctx, dd = (np.concatenate([x[s] for s in slices]) for x in (count, r, context, doc))
-        docs, d = np.unique(dd >> 1, return_inverse=True)
-        m = len(docs)
-        seen = rr > 0
-        amount = np.log10(head.unigram(c))
-        if seen.any():
-            amount[seen] = np.log10(rr[seen]) - np.log10(head.counts[ctx[seen]] + 1.0)
-        base = np.log10((c + 1.0) / (head.tokens + head.vocabulary + 1.0))
-        classes = np.stack([np.bincount(d, rr == k, m) for k in range(1, K + 1)], 1).reshape(-1)
-        backed = np.flatnonzero((ctx >= 0) & ~seen)
-        rows.append(
-            _row(
-                kind="sums", part=part, uid=piece, doc=docs, amount=np.bincount(d, amount, m), base=np.bincount(d, base, m), known=np.bincount(d, c > 0, m).astype(np.int32),
-                small=classes.astype(np.int32), num=(dd >> 1)[backed], once=ctx[backed],
-            )
-        )
-    return out + [_batch(rows[i : i + 64]) for i in range(0, len(rows), 64)]
-
-
-def _finish(shared):
-    """The documents of one piece with all their sums."""
+@dataclass
+class Model:
+    """Figures of the whole corpus: order, parts, training texts, tokens and words, discounts of each order, probability of an unknown word."""
+
+    order: int
+    parts: int
+    texts: int
+    tokens: int
+    vocabulary: int
+    d: np.ndarray
+    unknown: float
+
+    def factor(self, k: int, r: np.ndarray) -> np.ndarray:
+        return np.where(r <= K, self.d[k - 1][np.minimum(r, K)], 1.0)
+
+    def seen(self, k: int, r: np.ndarray, n: np.ndarray | None) -> np.ndarray:
+        """P of n-grams of order k seen r times, n times their contexts."""
+        if k > 1:
+            return self.factor(k, r) * r / (n + 1)
+        return np.where(r > 0, self.factor(1, r) * r / (self.tokens + 1), self.unknown)
+
+
+def _score(model: Model) -> Callable:
+    """One piece: its texts' sums without backoff weights; what it gives to contexts' weights; the contexts it asks for."""
+    begins = _begins(model.order)
 
     def run(table: pa.Table) -> pa.Table:
-        log_d, log_alpha = shared.value
-        kind = table.column("kind").to_pylist()
-        parts, metas = [], []
-        for i, k in enumerate(kind):
-            (metas if k == "meta" else parts).append(i)
-        ids = table.column("once")[metas[0]].as_py()
-        n = len(ids)
-        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        get = lambda name, i: table.column(name)[i].values.to_numpy(zero_copy_only=False)
-        for i in sorted(parts, key=lambda i: table.column("part")[i].as_py()):
-            doc = get("doc", i).astype(np.int64)
-            score[doc] += get("amount", i) + get("small", i).reshape(-1, K) @ log_d[1:]
-            base[doc] += get("base", i)
-            known[doc] += get("known", i)
-            score += np.bincount(get("num", i), log_alpha[get("once", i)], n)
-        held = get("base", metas[0]).astype(bool)
-        one = [pa.array(ids, pa.int64()), pa.array(held), pa.array(get("amount", metas[0]).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)]
-        # Pieces of the same rows have the same number and sums, added up over all of them.
-        times = len(metas)
-        if times > 1:
-            one[3:] = [pa.array(known // times), pa.array(base / times), pa.array(score / times)]
-        return pa.concat_tables([pa.Table.from_arrays(one, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])] * times)
+        whole = np.flatnonzero(table.column("part").is_null().to_numpy())
+        row = table.slice(int(whole[0]), 1).to_pylist()[0]
+        grams, learn = _read(row, model.order)
+        n_docs, doc = len(row["sizes"]), grams.doc
+        answers = table.filter(table.column("part").is_valid()).select(["part", "count"]).to_pylist()
+        answer = np.concatenate([unpack(a["count"], np.int64) for a in sorted(answers, key=lambda a: a["part"])])
+        keys, inverse = np.unique(grams.keys.reshape(-1), return_inverse=True)
+        if len(keys) != len(answer):
+            raise RuntimeError("counts of a piece are incomplete")
+        answer = answer[inverse].reshape(model.order, -1)
+        del keys, inverse
+        r, asked = answer >> 1, (answer & 1).astype(bool)
+        n = [None, None, *[grams.of_context(r, k, model.texts) for k in range(2, model.order + 1)]]
+        amount, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
+        events, gives = [], []
+        for k in range(model.order, 1, -1):
+            hit = np.flatnonzero(open_ & (r[k - 1] > 0))
+            amount[hit] = np.log10(model.seen(k, r[k - 1][hit], n[k][hit]))
+            open_[hit] = False
+            context = grams.of_context(grams.keys, k, begins[k - 2])
+            back = np.flatnonzero(open_ & (n[k] > 0))
+            events.append((doc[back], context[back], n[k][back]))
+            give = np.flatnonzero(learn & grams.of_context(asked, k, True))
+            low = model.seen(k - 1, r[k - 2][give], None if k == 2 else n[k - 1][give])
+            gives.append((context[give], model.factor(k, r[k - 1][give]), low / r[k - 1][give]))
+        amount[open_] = np.log10(model.seen(1, r[0][open_], None))
+        base = np.log10((r[0] + 1.0) / (model.tokens + model.vocabulary + 1.0))
+        out = []
+        if gives:
+            keys, x, y = (np.concatenate(c) for c in zip(*gives, strict=True))
+            keys, inverse = np.unique(keys, return_inverse=True)
+            x, y = np.bincount(inverse, x, len(keys)), np.bincount(inverse, y, len(keys))
+            out += [{"kind": "give", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "x": pack(x[a:b]), "y": pack(y[a:b])} for p, a, b in _parts_of(keys, model.parts)]
+        e_doc, e_key, e_n = (np.concatenate(c) for c in zip(*events, strict=True)) if events else (np.zeros(0, np.int64),) * 3
+        keys, at, inverse = np.unique(e_key.astype(np.uint64), return_index=True, return_inverse=True)
+        out += [{"kind": "ask", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(e_n[at[a:b]].astype(np.int64))} for p, a, b in _parts_of(keys, model.parts)]
+        pair, times = np.unique(e_doc * max(len(keys), 1) + inverse, return_counts=True)
+        own = {
+            "ids": row["ids"], "held": row["held"], "sizes": row["sizes"],
+            "known": np.bincount(doc, r[0] > 0, n_docs).astype(np.int64).tolist(), "base": np.bincount(doc, base, n_docs).tolist(), "score": np.bincount(doc, amount, n_docs).tolist(),
+            "event_doc": pack_sorted(pair // max(len(keys), 1)), "event_at": pack(pair % max(len(keys), 1)), "event_n": pack(times),
+        }
+        kinds = dict(zip("ids held sizes known base score event_doc event_at event_n".split(), [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 3], strict=True))
+        first = _rows([{"kind": "texts", "uid": row["uid"], "part": 0}, *out])
+        rest = [pa.array([own[c]] + [None] * len(out), t) for c, t in kinds.items()]
+        return pa.Table.from_arrays([*first.columns, *rest], names=[*first.schema.names, *kinds])
 
     return run
 
 
-def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, context_bits: int = CONTEXT_BITS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def _weigh(table: pa.Table) -> pa.Table:
+    """One part: the weights of contexts that some text asks for, and each piece's answer."""
+    rows = sorted(table.select(["kind", "part", "uid", "keys", "count", "x", "y"]).to_pylist(), key=lambda r: r["uid"])
+    asks = [r for r in rows if r["kind"] == "ask"]
+    gives = [r for r in rows if r["kind"] == "give"]
+    if not asks:
+        return pa.Table.from_batches([_rows([])])
+    keys, inverse = np.unique(np.concatenate([unpack_sorted(r["keys"]) for r in gives]), return_inverse=True)
+    x = np.bincount(inverse, np.concatenate([unpack(r["x"], np.float64) for r in gives]), len(keys))
+    y = np.bincount(inverse, np.concatenate([unpack(r["y"], np.float64) for r in gives]), len(keys))
+    alpha, n = np.ones(len(keys)), np.zeros(len(keys), np.int64)
+    wanted = []
+    for r in asks:
+        own = unpack_sorted(r["keys"])
+        at = np.searchsorted(keys, own)
+        if (keys[np.minimum(at, len(keys) - 1)] != own).any():
+            raise RuntimeError("sums of a context are missing")
+        n[at] = unpack(r["count"], np.int64)
+        wanted.append(at)
+    used = np.flatnonzero(n)
+    alpha[used] = (1 - x[used] / (n[used] + 1.0)) / np.maximum(1 - y[used], 1e-12)
+    part = rows[0]["part"]
+    out = [{"kind": "weights", "part": part, "uid": 0, "keys": pack_sorted(keys[used]), "x": pack(alpha[used])}]
+    out += [{"kind": "answer", "part": part, "uid": r["uid"], "x": pack(np.log10(alpha[at]))} for r, at in zip(asks, wanted, strict=True)]
+    return pa.Table.from_batches([_rows(out)])
+
+
+_OUT = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finish(table: pa.Table) -> pa.Table:
+    """The texts of one piece with the weights they back off by."""
+    rows = table.to_pylist()
+    texts = next(r for r in rows if r["kind"] == "texts")
+    logs = [unpack(r["x"], np.float64) for r in sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["part"])]
+    score = np.array(texts["score"])
+    if logs:
+        doc, at, times = unpack_sorted(texts["event_doc"]).astype(np.int64), unpack(texts["event_at"], np.int64), unpack(texts["event_n"], np.int64)
+        score += np.bincount(doc, np.concatenate(logs)[at] * times, len(score))
+    columns = [pa.array(texts[c], t) for c, t in (("ids", pa.int64()), ("held", pa.bool_()), ("sizes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()))]
+    return pa.Table.from_arrays([*columns, pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, order: int = ORDER, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; the model learns from rows that are not held out.
 
-    path: a new folder that executors share, for the tables: words (counts by
-    hashed word), model (n-grams by part, sums for contexts and documents; by
-    kind) and contexts (counts and backoff weights).  A null held_out trains.  Null and empty texts
-    have the end as their one token.  Repeated rows are scored each for
-    itself.  Ids are whole numbers or null.  Without training rows every token is unknown and has the
+    order: words of the longest n-grams, 1 to 7.  path: a new folder that
+    executors share, for the tables: pieces (texts as word numbers), counts
+    (kind=ngrams: counts of all n-grams of all orders, by part), scores and
+    weights (kind=weights: backoff weights of all contexts that some text backs
+    off from).  Keys are 61 bits of hash and the order.
+
+    A null held_out trains.  Null and empty texts have the end as their one
+    token.  Repeated rows are scored each for itself.  Ids are whole numbers
+    or null.  Without training rows every token is unknown and has the
     probability of one unknown word, 1.  An empty table gives an empty table.
     """
+    if not 1 <= order <= 7:
+        raise ValueError("order must be 1 to 7")
     spark = docs.sparkSession
-    sc = spark.sparkContext
     path = path or new_table(spark, "katz")
     some = docs.select(F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(id_col).cast("long").alias("id"))
-    words = some.select("text", "held").mapInArrow(_count_words, "word long, train long, every long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
-    words.write.parquet(f"{path}/words")
-    words = spark.read.parquet(f"{path}/words")
-    ones = [F.count_if(F.col("train") == r).alias(f"n{r}") for r in range(1, K + 2)]
-    total = words.agg(F.sum("train").alias("tokens"), F.sum("every").alias("every"), F.count_if(F.col("train") > 0).alias("v"), *ones).first()
-    tokens, every = int(total["tokens"] or 0), int(total["every"] or 0)
-    n = np.array([0] + [total[f"n{r}"] for r in range(1, K + 2)], float)
-    d = discounts(n)
-    kept = sum(d[r] * r * n[r] for r in range(1, K + 1)) + tokens - sum(r * n[r] for r in range(1, K + 1))
-    least = max(1, -(-tokens // (1 << context_bits)))
-    table = words.where(F.col("train") >= least).select("word", "train").toArrow()
-    begin = some.where("not held").count()
-    hashes = np.r_[table.column("word").to_numpy().view(np.uint64), np.array([BEGIN])]
-    counts = np.r_[table.column("train").to_numpy(), begin]
-    order = np.argsort(hashes)
-    parts = max(4, -(-every // group_tokens))
-    head = Head(tokens, int(total["v"]), d, float(max(0.0, 1 - kept / (tokens + 1))), hashes[order], counts[order], np.minimum(1 << 20, counts[order] * 8 // group_tokens + 1), parts)
-    shared = sc.broadcast(head)
-    dealt = some.mapInArrow(_occurrences(shared), _LISTS)
-    dealt.groupBy("part").applyInArrow(_reduce(shared), _LISTS).write.partitionBy("kind").parquet(f"{path}/model")
-    model = spark.read.schema(_LISTS).parquet(f"{path}/model")
-
-    width = K + 2
-    sums = model.where("kind = 'contexts'").select(F.posexplode("small").alias("i", "context"), "num", "amount")
-    sums = sums.select("context", *[F.get("num", F.col("i") * width + j).alias(f"s{j}") for j in range(width)], F.get("amount", F.col("i")).alias("low"))
-    sums = sums.groupBy("context").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)], F.sum("low").alias("low")).orderBy("context").toArrow()
-    s = np.stack([sums.column(f"s{j}").to_numpy().astype(float) for j in range(width)]) if len(sums) else np.zeros((width, 0))
-    d2 = discounts(np.r_[0.0, s[: K + 1].sum(1)])
-    mass = sum(d2[r] * r * s[r - 1] for r in range(1, K + 1)) + s[K + 1]
-    alpha = np.ones(len(counts))
-    at = sums.column("context").to_numpy() if len(sums) else np.zeros(0, np.int64)
-    left = np.maximum(1 - sums.column("low").to_numpy(), 1e-12) if len(sums) else np.zeros(0)
-    alpha[at] = (1 - mass / (head.counts[at] + 1.0)) / left
-    weights = spark.createDataFrame(pa.table({"context": np.arange(len(alpha)), "word": head.hashes.view(np.int64), "n": head.counts, "alpha": alpha}))
-    weights.write.parquet(f"{path}/contexts")
-
-    last = sc.broadcast((np.log10(d2), np.log10(alpha)))
-    docs_of = model.where("kind in ('meta', 'sums')").select("uid", "kind", "part", "key", "num", "small", "doc", "amount", "base", "known", "once")
-    out = docs_of.groupBy("uid").applyInArrow(_finish(last), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    some.mapInArrow(_pieces, _PIECE).write.parquet(f"{path}/pieces")
+    pieces = spark.read.schema(_PIECE).parquet(f"{path}/pieces")
+    size = pieces.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("tokens"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("texts")).first()
+    parts = max(4, -(-int(size["tokens"] or 0) // group_tokens))
+
+    pieces.mapInArrow(_send(order, parts), _PART).groupBy("part").applyInArrow(_count(order), _PART).write.partitionBy("kind").parquet(f"{path}/counts")
+    counts = spark.read.schema(_PART).parquet(f"{path}/counts")
+    sums = counts.where("kind = 'ngrams'").select(F.posexplode("stat")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    stat = np.zeros(order * (K + 3), np.int64)
+    for r in sums:
+        stat[r["pos"]] = r["n"]
+    stat = stat.reshape(order, K + 3)
+    tokens, vocabulary, n1 = int(stat[0, K + 2]), int(stat[0, K + 1]), stat[0, : K + 1]
+    d = np.stack([discounts(np.r_[0.0, s[: K + 1]]) for s in stat])
+    small = np.arange(1, K + 1)
+    kept = float((d[0, 1:] * small * n1[:K]).sum() + tokens - (small * n1[:K]).sum())
+    model = Model(order, parts, int(size["texts"] or 0), tokens, vocabulary, d, max(0.0, 1 - kept / (tokens + 1)))
+
+    back = counts.where("kind = 'answer'").select("uid", "part", "count")
+    both = pieces.unionByName(back, allowMissingColumns=True)
+    both.groupBy("uid").applyInArrow(_score(model), f"{_PART}, {_DOCS}").write.partitionBy("kind").parquet(f"{path}/scores")
+    scores = spark.read.schema(f"{_PART}, {_DOCS}").parquet(f"{path}/scores")
+    asked = scores.where("kind in ('give', 'ask')").select(*counts.columns)
+    asked.groupBy("part").applyInArrow(_weigh, _PART).write.partitionBy("kind").parquet(f"{path}/weights")
+    weights = spark.read.schema(_PART).parquet(f"{path}/weights").where("kind = 'answer'").select("kind", "uid", "part", "x")
+    texts = scores.where("kind = 'texts'").select("kind", "uid", "part", *[c.split()[0] for c in _DOCS.split(", ")])
+    out = texts.unionByName(weights, allowMissingColumns=True).groupBy("uid").applyInArrow(_finish, _OUT)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

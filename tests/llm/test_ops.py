@@ -52,47 +52,76 @@ def test_words_match_regular_expressions(odd_rows, size):
 # 1
 
 
-def katz_brute(rows):
+def katz_brute(rows, order):
+    """Figures of each row, and P(w | h), by counting n-grams of every order up to the given one in dictionaries."""
     docs = [[*low_words(t), "\0"] for _, t, *_ in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
-    uni, pairs, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    histories = lambda w: [tuple([None] * order + w[:j])[-(order - 1) :] if order > 1 else () for j in range(len(w))]
+    grams = [collections.defaultdict(collections.Counter) for _ in range(order)]
     for w, h in zip(docs, held, strict=True):
         if not h:
-            uni.update(w)
-            for a, b in zip([None, *w[:-1]], w, strict=True):
-                pairs[a, b] += 1
-                ctx[a] += 1
+            for x, c in zip(w, histories(w), strict=True):
+                for k in range(order):
+                    grams[k][c[len(c) - k :]][x] += 1
+    uni = grams[0][()]
     n, v = sum(uni.values()), len(uni)
-    d1 = katz.discounts(np.array([0] + [sum(x == r for x in uni.values()) for r in range(1, 7)], float))
-    d2 = katz.discounts(np.array([0] + [sum(x == r for x in pairs.values()) for r in range(1, 7)], float))
-    f = lambda d, r: r * (d[r] if r <= 5 else 1)
-    unknown = 1 - sum(f(d1, x) for x in uni.values()) / (n + 1)
-    p1 = lambda w: f(d1, uni[w]) / (n + 1) if w in uni else unknown
-    mass, low = collections.Counter(), collections.Counter()
-    for (a, b), r in pairs.items():
-        mass[a] += f(d2, r) / (ctx[a] + 1)
-        low[a] += p1(b)
-
-    def p(a, b):
-        if a is not None and a not in uni:
-            return p1(b)
-        return f(d2, pairs[a, b]) / (ctx[a] + 1) if (a, b) in pairs else (1 - mass[a]) / (1 - low[a]) * p1(b)
-
-    out = [(i, h, len(w), sum(x in uni for x in w), n, round(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(p(a, b)) for a, b in zip([None, *w[:-1]], w, strict=True)), 6)) for (i, *_), w, h in zip(rows, docs, held, strict=True)]
-    return out, uni, p, unknown, p1
-
-
-@pytest.mark.parametrize("group", [500, 1 << 22])
-def test_katz(spark, odd, odd_rows, group):
+    d = []
+    for g in grams:
+        times = collections.Counter(r for c in g.values() for r in c.values())
+        d.append(katz.discounts(np.array([times[r] if r else 0 for r in range(7)], float)))
+    f = lambda k, r: r * (d[k][r] if r <= 5 else 1)
+    unknown = 1 - sum(f(0, x) for x in uni.values()) / (n + 1)
+    weights = {}
+
+    def p(h, w):
+        k = len(h)
+        if not k:
+            return f(0, uni[w]) / (n + 1) if w in uni else unknown
+        if h not in grams[k]:
+            return p(h[1:], w)
+        own = grams[k][h]
+        total = sum(own.values())
+        if w in own:
+            return f(k, own[w]) / (total + 1)
+        if h not in weights:
+            weights[h] = (1 - sum(f(k, r) for r in own.values()) / (total + 1)) / (1 - sum(p(h[1:], x) for x in own))
+        return weights[h] * p(h[1:], w)
+
+    out = []
+    for (i, *_), w, h in zip(rows, docs, held, strict=True):
+        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
+        out.append((i, h, len(w), sum(x in uni for x in w), n, base, sum(math.log10(p(c, x)) for x, c in zip(w, histories(w), strict=True))))
+    return out, uni, p, list(grams[-1])
+
+
+@pytest.mark.parametrize(("order", "group"), [(1, 1 << 22), (2, 500), (3, 500), (3, 1 << 22), (5, 5000)])
+def test_katz(spark, odd, odd_rows, order, group):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = katz.katz_scores(odd, held, group_tokens=group).select("id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 6))
-    want, uni, p, unknown, _ = katz_brute(odd_rows)
+    got = katz.katz_scores(odd, held, order=order, group_tokens=group).select("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want, uni, p, contexts = katz_brute(odd_rows, order)
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:5])
     got, want = sorted(map(tuple, got.collect()), key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], atol=2e-5)
-    for a in [None, *list(uni)[:5]]:  # each distribution sums to one
-        assert abs(sum(p(a, w) for w in uni) + p(a, "\1") - 1) < 1e-9
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9)
+    for h in [*contexts[:5], *contexts[-5:]]:  # each distribution sums to one
+        assert abs(sum(p(h, w) for w in uni) + p(h, "\1") - 1) < 1e-9
+
+
+def test_katz_without_training_rows(spark):
+    got = katz.katz_scores(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(True)).collect()
+    assert sorted((r["id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
+
+
+def test_katz_clashing_columns(spark):
+    rows = [(1, "a b", 5, "x"), (2, "a b", 6, "y")]
+    got = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string, uid long, kind string"), F.lit(False))
+    assert sorted(r["id"] for r in got.collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("size", [0, 1, 1000])
+def test_katz_packing(size):
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+    assert (katz.unpack_sorted(katz.pack_sorted(a)) == a).all() and (katz.unpack(katz.pack(a), np.uint64) == a).all()
 
 
 def test_katz_rows_of_one_id(spark):

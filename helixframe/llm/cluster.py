@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(ARROW_ROWS, str(rows))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, each write removes its shuffle files when it has ended; then the session's own setting holds again."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def hashable(docs: DataFrame) -> list[Column]:
     """All columns, those that can't be hashed (maps and variants, at any depth) as strings."""
     odd = lambda f: any(x in f.dataType.simpleString() for x in ("map<", "variant"))

@@ -41,9 +41,9 @@ ORDER = 3
 #: Tokens for each part; a part holds at most that many entries of each order.
 GROUP_TOKENS = 2_000_000
 #: Text of a piece, bytes.
-PIECE = 4 << 20
+PIECE = 8 << 20
 #: Ranges of keys that are counted, and weighed, one after the other, so that shuffles hold one range at a time.
-COUNT_ROUNDS, WEIGHT_ROUNDS = 4, 2
+COUNT_ROUNDS, WEIGHT_ROUNDS = 4, 4
 #: Largest discounted count.
 K = 5
 END = np.uint64(0x0123456789ABCDEF)

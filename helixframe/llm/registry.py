@@ -21,7 +21,7 @@ def _batched(query: Callable[[SparkSession, str], DataFrame], rows: int = 1000)
 
 
 QUERIES = {
-    "op1_katz_backoff": _batched(katz.op1_katz_backoff, 2000),
+    "op1_katz_backoff": _batched(katz.op1_katz_backoff, 4000),
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_toxic_segments": _batched(toxicity.op3_toxic_segments),
     "op4_histogram_shards": sharding.op4_histogram_shards,

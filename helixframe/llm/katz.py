@@ -279,12 +279,18 @@ def _score(model: Model, turn: int) -> Callable:
         n_docs, doc = len(row["sizes"]), grams.doc
         answers = table.filter(table.column("part").is_valid()).select(["part", "count"]).to_pylist()
         answer = np.concatenate([unpack(a["count"], np.int64) for a in sorted(answers, key=lambda a: a["part"])])
-        keys, inverse = np.unique(grams.keys.reshape(-1), return_inverse=True)
-        if len(keys) != len(answer):
+        del answers
+        order = np.argsort(grams.keys.reshape(-1))
+        ordered = grams.keys.reshape(-1)[order]
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        if len(begin) != len(answer):
             raise RuntimeError("counts of a piece are incomplete")
-        answer = answer[inverse].reshape(model.order, -1)
-        del keys, inverse
-        r, asked = answer >> 1, (answer & 1).astype(bool)
+        times = np.diff(begin, append=len(ordered))
+        del ordered, begin
+        r, asked = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        r[order], asked[order] = np.repeat(answer >> 1, times), np.repeat((answer & 1).astype(bool), times)
+        r, asked = r.reshape(model.order, -1), asked.reshape(model.order, -1)
+        del order, answer, times
         n = [None, None, *[grams.of_context(r, k, model.texts) for k in range(2, model.order + 1)]]
         amount, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
         events, gives = [], []

@@ -41,14 +41,16 @@ def segment_search(q: Side, c: Side, k: int) -> tuple[np.ndarray, np.ndarray, np
     floor = q.low[:, 0].astype(float)
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     for i in range(len(q.row)):
-        others = np.flatnonzero(c.row != q.row[i])
-        if floor[i] <= blocks.LOW and len(others) > k:
-            # Nothing is known yet: the k of highest coarse bound set a first limit.
-            some = others[np.argpartition(-coarse[i, others], k - 1)[:k]]
-            floor[i] = (c.v[some] @ q.v[i]).min()
-        left = others[coarse[i, others] >= floor[i] - slack[i]]
+        left = np.flatnonzero(c.row != q.row[i])
+        bound = coarse[i, left]
         for own, theirs in levels[1:]:
-            left = left[theirs[left] @ own[i] >= floor[i] - slack[i]]
+            left = left[bound >= floor[i] - slack[i]]
+            bound = theirs[left] @ own[i]
+        if len(left) > k:
+            # Those of highest bound are scored first and set a limit for the others.
+            some = np.argpartition(-bound, k - 1)[:k]
+            floor[i] = max(floor[i], (c.v[left[some]] @ q.v[i]).min())
+        left = left[bound >= floor[i] - slack[i]]
         scores = c.v[left] @ q.v[i]
         keep = scores >= floor[i]
         left, scores = left[keep], scores[keep]

@@ -7,7 +7,8 @@ a leaf of a tree of backpointers.  Nodes count their references: branches that
 no survivor stands on go, and as soon as all survivors share an ancestor, the
 edits up to it are decided and are emitted.  Equal costs are settled by
 comparing the edits that are still open, as a whole, so that a task holds the
-open part of one conversation and never all of it.
+open part of one conversation.  That is a few turns, unless two ways of equal
+cost stay open because only the conversation's end decides between them.
 """
 
 from __future__ import annotations
@@ -45,31 +46,26 @@ class Node:
             parent.uses += 1
 
 
+def _first(way: tuple) -> tuple:
+    return way[:3]
+
+
 class Survivors:
-    """The search over one conversation: add() takes a turn and returns the edits that it decides, close() the rest."""
+    """The search over one conversation: add() takes a turn and returns the edits that it decides, close() the rest.
+
+    A survivor is (cost, rank, tail, node).  Ranks order the survivors' edits,
+    from the first one that is still open to the last: those of lower rank come
+    first.  Of survivors of one rank, one's edits begin all others', and tail is
+    what each has beyond them (insertions, as all have passed the same turns).
+    So a tie is a comparison of all open edits, at the cost of a few letters.
+    """
 
     def __init__(self) -> None:
         self.root = Node(None, "", ())
-        self.best: list[tuple[int, Node] | None] = [(0, self.root), None, None, None]
+        self.best: list[tuple[int, int, str, Node] | None] = [(0, 0, "", self.root), None, None, None]
         self.root.uses = 1
         self._insert()
-
-    def _open(self, node: Node, op: str) -> str:
-        """The open edits that end with node and op."""
-        ops = [op]
-        while node is not self.root:
-            ops.append(node.op)
-            node = node.parent
-        return "".join(reversed(ops))
-
-    def _least(self, ways: list[tuple[int, Node, str, tuple]]) -> tuple[int, Node, str, tuple] | None:
-        """The cheapest way; of equally cheap ones that whose open edits come first."""
-        if not ways:
-            return None
-        low = min(w[0] for w in ways)
-        ways = [w for w in ways if w[0] == low]
-        # No open sequence is the beginning of another of equal cost: the surplus could only be insertions, which cost.
-        return ways[0] if len(ways) == 1 else min(ways, key=lambda w: self._open(w[1], w[2]))
+        self._rank()
 
     def _stand(self, node: Node, on: bool) -> None:
         node.uses += 1 if on else -1
@@ -83,16 +79,14 @@ class Survivors:
         """Insertions between two turns: a user turn, then an assistant turn; going round twice only costs."""
         for state in (USER, ASSISTANT):
             have = self.best[state]
-            ways = [(self.best[s][0] + INSERT_COST, self.best[s][1], INSERT, ()) for s in FROM[state] if self.best[s] is not None]
-            if have is not None:
-                ways.append((*have, "", ()))
-            cost, node, op, _ = self._least(ways)
-            if op:
-                new = Node(node, op, (INSERT_COST, ROLE[state], "", "", None))
+            way = min(((b[0] + INSERT_COST, b[1], b[2] + INSERT, b[3]) for b in map(self.best.__getitem__, FROM[state]) if b is not None), key=_first, default=None)
+            # Equal costs never tie in full: the surplus of edits that begin with all the others' could only be insertions, which cost.
+            if way is not None and (have is None or way[:3] < have[:3]):
+                new = Node(way[3], INSERT, (INSERT_COST, ROLE[state], "", "", None))
                 self._stand(new, True)
                 if have is not None:
-                    self._stand(have[1], False)
-                self.best[state] = (cost, new)
+                    self._stand(have[3], False)
+                self.best[state] = (*way[:3], new)
 
     def _prune(self) -> None:
         """Survivors go that cost more than another one whatever follows.
@@ -105,32 +99,43 @@ class Survivors:
             have = self.best[state]
             if have is not None and have[0] > done[0] + more:
                 self.best[state] = None
-                self._stand(have[1], False)
+                self._stand(have[3], False)
+
+    def _rank(self) -> None:
+        rank, lead = -1, None
+        for cost, old, tail, node, state in sorted(((*b, s) for s, b in enumerate(self.best) if b is not None), key=lambda x: x[1:3]):
+            if lead is None or old != lead[0] or not tail.startswith(lead[1]):
+                rank, lead = rank + 1, (old, tail)
+            self.best[state] = (cost, rank, tail[len(lead[1]) :], node)
 
     def add(self, role: str, text: str, fault: str, turn: object) -> list[tuple]:
         extra = TRUNCATED_COST if fault == "truncated" else 0
-        fixed = fault in ("blank", "duplicate")
-        found = []
+        new: list[tuple | None] = []
         for state in range(4):
             have = self.best[state]
-            ways = [] if have is None else [(have[0] + DELETE_COST, have[1], DELETE, (DELETE_COST, role, text, fault, turn))]
-            if not fixed and state != START:
-                before = [self.best[s] for s in FROM[state] if self.best[s] is not None]
-                if INITIAL.get(role[:1]) == state:
-                    ways += [(b[0] + extra, b[1], KEEP, (extra, role, text, fault, turn)) for b in before]
-                elif state in ROLE:
-                    ways += [(b[0] + extra + REROLE_COST, b[1], REROLE, (extra + REROLE_COST, ROLE[state], text, fault, turn)) for b in before]
-            found.append(self._least(ways))
-        new = [w and (w[0], Node(*w[1:])) for w in found]
+            ways = [] if have is None else [(have[0] + DELETE_COST, have[1], have[2] + DELETE, have[3])]
+            if fault not in ("blank", "duplicate") and state != START:
+                kept = INITIAL.get(role[:1]) == state
+                if kept or state in ROLE:
+                    cost, op = (extra, KEEP) if kept else (extra + REROLE_COST, REROLE)
+                    ways += [(b[0] + cost, b[1], b[2] + op, b[3]) for b in map(self.best.__getitem__, FROM[state]) if b is not None]
+            if not ways:
+                new.append(None)
+                continue
+            way = min(ways, key=_first)
+            op = way[2][-1]
+            edit = ({DELETE: DELETE_COST, KEEP: extra, REROLE: extra + REROLE_COST}[op], ROLE[state] if op == REROLE else role, text, fault, turn)
+            new.append((*way[:3], Node(way[3], op, edit)))
         for n in new:
             if n is not None:
-                self._stand(n[1], True)
+                self._stand(n[3], True)
         for have in self.best:
             if have is not None:
-                self._stand(have[1], False)
+                self._stand(have[3], False)
         self.best = new
         self._insert()
         self._prune()
+        self._rank()
         return self._decided()
 
     def _decided(self) -> list[tuple]:
@@ -142,8 +147,7 @@ class Survivors:
         return out
 
     def close(self) -> list[tuple]:
-        ends = [(*self.best[s], "", ()) for s in (START, ASSISTANT) if self.best[s] is not None]
-        _, node, _, _ = self._least(ends)
+        node = min((self.best[s] for s in (START, ASSISTANT) if self.best[s] is not None), key=_first)[3]
         out = []
         while node is not self.root:
             out.append((node.op, *node.edit))

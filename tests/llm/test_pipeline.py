@@ -43,5 +43,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(registry.SQL) <= set(registry.QUERIES)

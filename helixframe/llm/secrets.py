@@ -1,14 +1,17 @@
 """Secret scans by an incremental blob ledger.
 
 Every version of a text is addressed by its SHA-256.  The ledger, a Parquet
-table in the shared folder, has a row for each blob that was scanned: the rule
-versions it was scanned with and the spans they found.  A scan reads only blobs
-for which some rule version is missing; findings are then joined back to all
-paths (rows) that hold the blob.  All of it is built-in functions.
+table in the shared folder, has a row for each scan of a blob: the rule versions
+it was scanned with, and the spans with the version that found each.  A scan
+reads only blobs for which some rule version is missing, and applies only that;
+findings of current versions are then joined back to all paths (rows) that hold
+the blob.  All of it is built-in functions.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +20,36 @@ from helixframe.llm.cluster import cut, few, new_table
 from helixframe.llm.spans import add_matches, count_of, joined, located
 
 BASE = ("assign", "access", "hex")
-#: Rule: (version, pattern, shortest match, text that any match holds).
+
+
+class Rule(NamedTuple):
+    """version: any text, changed with the rule; pattern; least: characters of the match, or of its group, that count; hint: a pattern that any text with a match fulfils."""
+
+    version: str
+    pattern: str
+    least: int = 0
+    group: int = 0
+    hint: str = ""
+
+
+# Of an ordinary text, a pass each over the few characters that a match must hold decides most rules.
 RULES = {
-    "assign": ("1", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
-    "access": ("1", r"AKIA[A-Z0-9]+", 18),
-    "hex": ("1", r"[0-9a-f]+", 16),
-    "pem": ("2", r"-----BEGIN [A-Z ]*+(?<= PRIVATE KEY)-----", 0),
-    "git": ("1", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
+    "assign": Rule("1", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, "[:=]"),
+    "access": Rule("1", r"AKIA[A-Z0-9]+", 18, 0, "AKIA"),
+    "hex": Rule("1", r"[0-9a-f]+", 16, 0, "[0-9a-f]{16}"),
+    "pem": Rule("2", r"-----BEGIN [A-Z ]*+(?<= PRIVATE KEY)-----", 0, 0, "-----BEGIN "),
+    "git": Rule("1", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0, "gh"),
 }
-LEDGER = "blob string, scanned array<string>, spans array<struct<start:int,end:int,kind:string>>"
+SPAN = "struct<start:int,end:int,kind:string,version:string>"
+LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
+
+
+def _kept(rule: Rule, match: Column) -> Column:
+    return F.length(F.regexp_extract(match, rule.pattern, rule.group) if rule.group else match) >= rule.least
 
 
-def _kept(rule: str, pattern: str, least: int, match: Column) -> Column:
-    return F.length(F.regexp_extract(match, pattern, 2)) >= least if rule == "assign" else F.length(match) >= least
+def _versioned(spans: Column, version: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(version).alias("version")))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +65,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def update_ledger(docs: DataFrame, path: str, *, text_col: str = "text", rules: dict = RULES) -> None:
     """Scans the blobs of docs that the ledger lacks for some rule version, each once, and appends them."""
     spark = docs.sparkSession
-    names = [f"{rule}@{rules[rule][0]}" for rule in rules]
+    names = [f"{name}@{rule.version}" for name, rule in rules.items()]
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     seen = read_ledger(spark, path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
     wanted = F.array(*map(F.lit, names))
@@ -54,20 +74,12 @@ def update_ledger(docs: DataFrame, path: str, *, text_col: str = "text", rules:
     blobs = rows.join(few(done), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
     work = blobs.join(seen, "blob", "left")
     work = work.select("blob", "text", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
-    # Of an ordinary text, a pass each over the few characters that a match must hold decides most rules.
-    hints = {
-        "assign": F.col("text").rlike(r"[:=]"),
-        "access": F.col("text").contains("AKIA"),
-        "hex": F.col("text").rlike(r"[0-9a-f]{16}"),
-        "pem": F.col("text").contains("-----BEGIN "),
-        "git": F.col("text").contains("gh"),
-    }
-    due = {rule: F.array_contains("todo", name) & hints.get(rule, F.lit(True)) for rule, name in zip(rules, names, strict=True)}
-    patterns = {rule: spec[1] for rule, spec in rules.items()}
-    work = add_matches(work, patterns, "text", due)
-    for rule, (_, pattern, least) in rules.items():
-        work = work.withColumn(f"__s_{rule}", located(rule, pattern, "text", lambda m, rule=rule, pattern=pattern, least=least: _kept(rule, pattern, least, m)))
-    found = F.concat(*[F.coalesce(F.col(f"__s_{rule}"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")) for rule in rules])
+    due = {name: F.array_contains("todo", key) & (F.col("text").rlike(rules[name].hint) if rules[name].hint else F.lit(True)) for name, key in zip(rules, names, strict=True)}
+    work = add_matches(work, {name: rule.pattern for name, rule in rules.items()}, "text", due)
+    for name, rule in rules.items():
+        spans = located(name, rule.pattern, "text", lambda m, rule=rule: _kept(rule, m))
+        work = work.withColumn(f"__s_{name}", _versioned(spans, rule.version))
+    found = F.concat(*[F.coalesce(F.col(f"__s_{name}"), F.expr(f"cast(array() as array<{SPAN}>)")) for name in rules])
     work.select("blob", F.col("todo").alias("scanned"), found.alias("spans")).write.mode("append").parquet(path)
 
 
@@ -75,19 +87,21 @@ def scan_secrets(docs: DataFrame, path: str, *, text_col: str = "text", rules: d
     """All columns of docs, with secret_blob and secret_spans: array of (start, kind, end) by start, then kind as the rules list them.
 
     path: the ledger, in a folder that all executors share; it is brought up to
-    date first.  Positions are code points, end exclusive.  A null text reads
+    date first.  Only spans of the versions in rules count: those that replaced
+    or dropped rules have left in the ledger don't.  Positions are code points, end exclusive.  A null text reads
     as empty.  Rows with the same text share one scan and one ledger row,
     whatever their number and ids.  An empty table gives an empty table.
     Columns of docs that are called as one of the new ones are replaced; other
     names are free.
     """
     update_ledger(docs, path, text_col=text_col, rules=rules)
-    order = {rule: i for i, rule in enumerate(rules)}
-    names = [f"{rule}@{rules[rule][0]}" for rule in rules]
-    ledger = read_ledger(docs.sparkSession, path).where(F.arrays_overlap("scanned", F.array(*map(F.lit, names))) & (F.size("spans") > 0))
+    current = F.array(*[F.lit(f"{name}@{rule.version}") for name, rule in rules.items()])
+    own = F.filter("spans", lambda s: F.array_contains(current, F.concat_ws("@", s["kind"], s["version"])))
+    ledger = read_ledger(docs.sparkSession, path).select("blob", own.alias("spans")).where(F.size("spans") > 0)
+    # Two drivers may have scanned a blob at once; each span counts once.
     spans = F.array_distinct(F.flatten(F.collect_list("spans")))
-    rank = lambda s: F.element_at(F.create_map(*[x for r, i in order.items() for x in (F.lit(r), F.lit(i))]), s["kind"])
-    ranked = F.transform(F.filter(spans, lambda s: s["kind"].isin(*rules)), lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))
+    rank = lambda s: F.element_at(F.create_map(*[x for i, name in enumerate(rules) for x in (F.lit(name), F.lit(i))]), s["kind"])
+    ranked = F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))
     # Kept apart from the join below, so that adaptive execution can split a blob that very many paths hold.
     findings = cut(ledger.groupBy("blob").agg(F.array_sort(ranked).alias("found")))
     old = [c for c in docs.columns if c not in ("secret_blob", "secret_spans")]

@@ -125,10 +125,16 @@ def _measurer(model):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(key, y, text) of the rows of at most sample labelled ids, those of least hash; null ids and labels are left out, an id with several labels has the least."""
+    """(key, y, text) of at most sample labelled ids, those of least hash; null ids and labels are left out.
+
+    An id with several labels has the least, one with several rows the text of
+    least hash, so that sample bounds rows too.
+    """
     some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select(F.xxhash64("id", "text").alias("key"), "y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    one = F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")
+    return texts.groupBy("id").agg(one).select(F.xxhash64("id", "one.text").alias("key"), "one.*")
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:

@@ -179,7 +179,10 @@ def _scorer(shared):
 
 
 def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Log-odds, extreme-value law and weights from the rows of at most sample labelled ids (of any type); null ids and labels are left out, an id with several labels has the least.
+    """Log-odds, extreme-value law and weights from at most sample labelled ids (of any type), a text each; null ids and labels are left out.
+
+    An id with several labels has the least; one with several rows teaches with
+    the text of least hash, so that sample bounds rows too.
 
     The law and the weights come from texts whose own half did not teach the
     log-odds they are measured with.
@@ -189,7 +192,9 @@ def train_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half")
     # Read once: the labelled texts, few as they are, serve all passes below.
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", half, "text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id").select("id", "y", half, "text")
+    one = F.min_by(F.struct("y", "half", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")
+    texts = cut(texts.groupBy("id").agg(one).select("one.*"))
     counted = texts.mapInArrow(_counter, "slot int, kind int, n long").groupBy("slot", "kind").agg(F.sum("n").alias("n")).toArrow()
     slot, kind, n = (counted.column(c).to_numpy() for c in ("slot", "kind", "n"))
     count, size = np.zeros((2, 2, SPACE)), np.zeros((2, 2))  # [label, half]

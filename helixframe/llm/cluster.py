@@ -29,9 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
         folder = have.rsplit("/", 1)[0] if have else "file://" + tempfile.mkdtemp(prefix="helixframe-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+        _until_the_end(spark, sc.getCheckpointDir())
     return folder
 
 
+def _until_the_end(spark: SparkSession, folder: str) -> None:
+    """The folder is deleted when the driver ends in good order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

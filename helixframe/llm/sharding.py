@@ -114,7 +114,7 @@ def _behind(boundaries: list[tuple[int, int]]) -> Column:
     return out
 
 
-def histogram_shards(docs: DataFrame, shards: int = 24, *, text_col: str = "text", overhead: int = 8, tolerance: float = TOLERANCE, task_bytes: int = TASK_BYTES) -> DataFrame:
+def histogram_shards(docs: DataFrame, shards: int = 24, *, text_col: str = "text", overhead: int = 8, tolerance: float = TOLERANCE, task_bytes: int = TASK_BYTES, shuffled: bool = False) -> DataFrame:
     """All columns of docs, with shard_size, shard (0 to shards - 1) and slot (from 0, gapless in each shard).
 
     A row's size is the UTF-8 bytes of its text plus overhead; a null text has
@@ -124,6 +124,9 @@ def histogram_shards(docs: DataFrame, shards: int = 24, *, text_col: str = "text
     a group of them that is large is parted by position like others, a small
     one stays together.  An empty table gives an empty table.  Columns of docs
     called as one of the new ones are replaced; other names are free.
+
+    shuffled: slots of a part (what a task holds) follow a hash of row and copy
+    instead of the key, so that equal texts don't stand side by side.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("shard_size", "shard", "slot")])
     k1, k2 = sort_key(docs, text_col)
@@ -159,6 +162,11 @@ def histogram_shards(docs: DataFrame, shards: int = 24, *, text_col: str = "text
     starts = below.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     placed = placed.select("row", "k1", "k2", "place", F.col("size").alias("shard_size"), shard, part)
     order = Window.partitionBy("shard", "part").orderBy("k1", "k2", "place")
+    if shuffled:
+        # Dealt out once: copies are numbered, and all ordered anew, within the part.
+        equal = Window.partitionBy("shard", "part", "k1", "k2", "place").orderBy("place")
+        placed = placed.repartition("shard", "part").withColumn("copy", F.row_number().over(equal))
+        order = Window.partitionBy("shard", "part").orderBy(F.xxhash64(F.lit("slot"), "k1", "k2", "place", "copy"), "k1", "k2", "place", "copy")
     placed = placed.withColumn("number", F.row_number().over(order)).join(few(cut(starts)), ["shard", "part"])
     placed = placed.select("row", "shard_size", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
     return placed.select("row.*", "shard_size", "shard", "slot")

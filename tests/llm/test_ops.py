@@ -162,9 +162,28 @@ def test_mix_odd_rows(odd, none):
     assert {(r["doc_id"], r["mix_copy"]) for r in rows} == {(r["doc_id"], c) for r in rows for c in range(r["mix_copies"])}
     assert len(rows) == len({(r["doc_id"], r["mix_copy"]) for r in rows})
     assert mixing.poisson_mix(none).count() == 0
-    clash = odd.select("doc_id", "text", "source", *[F.lit(7).alias(c) for c in ("__u", "__cdf", "__parts", "__rate", "__source", "row", "key", "of", "copy")])
+    names = ("__u", "__cdf", "__parts", "__rate", "__source", "row", "key", "of", "copy", "lot", "times", "n")
+    clash = odd.select("doc_id", "text", "source", *[F.lit(7).alias(c) for c in names])
+    free = odd.select("doc_id", "text", "source", *[F.lit(7).alias(f"free{i}") for i in range(len(names))])
     got = mixing.poisson_mix(clash, epochs=3.0)
-    assert got.columns[:-4] == clash.columns and by_key(got.select("doc_id", "mix_copy")) == by_key(out.select("doc_id", "mix_copy"))
+    assert got.columns[:-4] == clash.columns and by_key(got.select("doc_id", "mix_copy")) == by_key(mixing.poisson_mix(free, epochs=3.0).select("doc_id", "mix_copy"))
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_mix_without_ids(spark, equal):
+    """Rows without an id, different or equal in every column, are drawn for independently and spread."""
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), (F.lit("same") if equal else F.concat(F.lit("t"), "id")).alias("text"))
+    for seed in ("mix", "a", "b", "c", "d", "e"):
+        out = mixing.poisson_mix(docs, seed=seed)
+        assert abs(out.count() - 10_000) < 4 * math.sqrt(10_000)
+    out = cluster.cut(mixing.poisson_mix(docs.repartition(3)).repartition(8, "mix_key"))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    assert out.select("mix_key").distinct().count() == out.count()
+    if not equal:
+        texts = collections.Counter(r["text"] for r in out.collect())
+        shares = np.bincount(list(texts.values()) + [0] * (10_000 - len(texts))) / 10_000
+        assert np.allclose(shares[:4], [math.exp(-1) / math.factorial(k) for k in range(4)], atol=0.02)
 
 
 # 3
@@ -358,6 +377,24 @@ def test_secrets_and_ledger(spark, odd, none):
     assert secrets.scan_secrets(none, cluster.new_table(spark, "ledger")).count() == 0
 
 
+def test_rules_that_change(spark):
+    """After a rule got another pattern or shortest match, or was dropped, results are those of a fresh ledger, and only that rule is applied."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*KEYS, "token=shortbutfine AKIA1234", None])], "doc_id long, text string")
+    path = cluster.new_table(spark, "ledger")
+    spans = lambda where, rules: sorted((r["doc_id"], *[tuple(s) for s in r["secret_spans"]]) for r in secrets.scan_secrets(docs, where, rules=rules).collect())
+    rules = dict(secrets.RULES)
+    before = spans(path, rules)
+    for name, rule in (("assign", rules["assign"]._replace(version="2", least=20)), ("access", secrets.Rule("2", "AKIA[0-9]+", 8)), ("hex", rules["hex"]._replace(version="2", pattern="[0-9a-f]{17,}", least=17, hint="")), ("git", None)):
+        rules = {k: v for k, v in rules.items() if k != name} | ({name: rule} if rule else {})
+        rows = secrets.read_ledger(spark, path).count()
+        now = spans(path, rules)
+        assert now == spans(cluster.new_table(spark, "ledger"), rules) and now != before
+        added = secrets.read_ledger(spark, path).collect()[rows:] if rule is None else [r for r in secrets.read_ledger(spark, path).collect() if r["scanned"] == [f"{name}@{rule.version}"]]
+        assert len(added) == (docs.count() if rule else 0)
+        before = now
+    assert spans(path, secrets.RULES) == spans(cluster.new_table(spark, "ledger"), secrets.RULES)  # and back
+
+
 # 6
 
 
@@ -654,6 +691,37 @@ def test_labellers_follow_plain_em():
     assert share == 0.5 and np.allclose(rates[1], 0.9) and post[0] == 0.5
 
 
+def test_samples_bound_rows(spark):
+    """An id on very many rows teaches with one of them."""
+    rows = [("a", f"text {i} of many " * 20) for i in range(700)] + [(f"b{i}", f"other text {i} " * 20) for i in range(60)] + [("a", None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    labels = spark.createDataFrame([("a", 1, 1), ("a", 0, 0)] + [(f"b{i}", i % 2, i % 2) for i in range(60)], "doc_id string, quality int, toxic int")
+    assert gbt.labelled_sample(docs, labels, "doc_id", "text", "quality", 30).count() <= 30
+    got = gbt.labelled_sample(docs, labels, "doc_id", "text", "quality", 100).collect()
+    assert len(got) == 61 and gbt.labelled_sample(docs.repartition(7), labels, "doc_id", "text", "quality", 100).count() == 61
+    assert sorted(r["key"] for r in got) == sorted(r["key"] for r in gbt.labelled_sample(docs.repartition(3), labels, "doc_id", "text", "quality", 100).collect())
+    seen = []
+    plain = toxicity.measured
+    try:
+        toxicity.measured = lambda texts, shared: (seen.append(texts.count()), plain(texts, shared))[1]
+        toxicity.train_model(docs, labels, sample=50)
+    finally:
+        toxicity.measured = plain
+    assert seen and sum(seen[:2]) <= 50
+
+
+def test_shuffled_slots(spark):
+    """Slots of a shuffled shard are gapless, of the same rows, and copies don't stand side by side."""
+    docs = spark.range(3000).select("id", F.concat(F.lit("text "), "id").alias("text")).crossJoin(spark.range(3).select())
+    plain, mixed = (sharding.histogram_shards(docs, 4, shuffled=s, task_bytes=8000) for s in (False, True))
+    assert by_key(plain.select("id", "text", "shard")) == by_key(mixed.select("id", "text", "shard"))
+    for out, low, high in ((plain, 0.99, 1.0), (mixed, 0.0, 0.05)):
+        rows = sorted((r["shard"], r["slot"], r["id"]) for r in out.collect())
+        assert [r[1] for r in rows] == [k for n in sorted(collections.Counter(r[0] for r in rows).items()) for k in range(n[1])]
+        near = {b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0] and a[2] == b[2]}
+        assert low <= len(near) / 3000 <= high
+
+
 def test_training_ids_of_any_type(spark):
     docs = spark.createDataFrame([(f"a{i}", ("vile " if i % 2 else "nice ") * 60, 1) for i in range(40)] + [(None, "nice", 1)], "doc_id string, text string, y int")
     labels = spark.createDataFrame([(f"a{i}", i % 2, i % 2) for i in range(40)] + [(None, 1, 1), ("a3", None, None), ("a4", 0, 0)], "doc_id string, toxic int, quality int")

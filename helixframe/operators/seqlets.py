@@ -1,4 +1,4 @@
-"""Calling spans of high attribution, and naming them by the nearest motif.
+"""Calling spans of high attribution.
 
 Tracks are (example_idx, values), values an array of doubles.  Null models
 come from histograms over the whole table, which Spark counts and the driver
@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SEQLETS = "example_idx long, start int, end int, attribution double, p_value double"
 
@@ -182,34 +181,6 @@ def tfmodisco_seqlets(tracks: DataFrame, *, window: int = 21, flank: int = 10, f
     return sums.mapInPandas(run, "example_idx long, start int, end int, attribution double")
 
 
-def annotate_seqlets(seqlets: DataFrame, motifs: DataFrame, *, n_nearest: int = 1) -> DataFrame:
-    """(seqlet_idx, motif_idx, score, p_value, rank): motifs nearest to each span, at the best offset and strand.
-
-    seqlets: (seqlet_idx, seq); motifs: (motif_idx, pos, probs), a set given
-    by the user.  A column pair scores by the probability of the letter; the
-    p-value compares a motif's mean score with those of random letters under
-    a normal law, corrected for the offsets tried.  An independent
-    simplification of published motif comparison.
-    """
-    sizes = motifs.groupBy("motif_idx").agg(
-        F.count(F.lit(1)).alias("m"),
-        F.sum(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) / 4).alias("mean"),
-        F.sum(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x * x) / 4 - F.pow(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) / 4, F.lit(2.0))).alias("var"),
-    )
-    strands = seqlets.select("seqlet_idx", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(1).alias("strand"), F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("s")))).alias("x"))
-    letters = strands.select("seqlet_idx", "x.strand", F.length("x.s").alias("n"), F.posexplode(F.split("x.s", "")).alias("i", "c"))
-    letters = letters.withColumn("at", F.instr(F.lit("ACGT"), F.col("c"))).where("at > 0")
-    hits = letters.join(F.broadcast(motifs) if motifs.count() <= 100_000 else motifs).select("seqlet_idx", "strand", "motif_idx", "n", (F.col("i") - F.col("pos")).alias("offset"), F.element_at("probs", F.col("at")).alias("p"))
-    scored = hits.groupBy("seqlet_idx", "strand", "motif_idx", "n", "offset").agg(F.sum("p").alias("score"))
-    best = scored.groupBy("seqlet_idx", "motif_idx", "n").agg(F.max("score").alias("score")).join(sizes, "motif_idx")
-    z = (F.col("score") - F.col("mean")) / F.sqrt(F.greatest("var", F.lit(1e-9)))
-    tail = F.least(F.lit(1.0), F.exp(-F.greatest(z, F.lit(0.0)) * F.greatest(z, F.lit(0.0)) / 2))
-    p = 1 - F.pow(1 - F.least(tail, F.lit(1 - 1e-12)), 2.0 * (F.col("n") + F.col("m") - 1))
-    w = Window.partitionBy("seqlet_idx").orderBy(F.round(p, 9), F.desc(F.round("score", 9)), "motif_idx")
-    ranked = best.withColumn("p_value", p).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_nearest)
-    return ranked.select("seqlet_idx", "motif_idx", "score", "p_value", "rank")
-
-
 def pwm_scan(df: DataFrame, probs: list[list[float]], *, background: float = 0.25, eps: float = 1e-4) -> DataFrame:
     """(example_idx, start, score): log-odds of a motif (a list of four probabilities for each position) at every place; unknown letters count 0."""
     places = df.where(F.length("seq") >= len(probs)).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("seq") - len(probs))))

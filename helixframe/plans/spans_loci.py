@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import annotate, loci, match, plotdata, seqlets, windows
+from helixframe.operators import annotate, loci, match, motifmatch, plotdata, seqlets, windows
 from helixframe.operators.order import checkpointed
 from helixframe.plans import views
 from helixframe.plans.catalog import query
@@ -237,12 +237,11 @@ def q05_tfmodisco_seqlets(spark, sf_dir):
 
 @query()
 def q06_annotate_seqlets(spark, sf_dir):
-    """Q6: the nearest of the first eight motifs to each annotated span of the documents' sequences."""
-    motifs = motif_columns(spark, sf_dir).where("motif_idx < 8 and pos < 6")
-    spans = views.annotations(spark, sf_dir).where(F.col("end") - F.col("start") >= 8)
-    both = spans.join(views.doc_seqs(spark, sf_dir), "example_idx").where(F.length("seq") >= F.col("end"))
-    some = both.select(F.xxhash64("example_idx", "annotation_idx", "start", "end").alias("seqlet_idx"), F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq")).distinct()
-    return seqlets.annotate_seqlets(some, motifs, n_nearest=2)
+    """Q6: the two nearest of all motifs to each annotated span of the documents' sequences."""
+    both = views.annotations(spark, sf_dir).join(views.doc_seqs(spark, sf_dir), "example_idx")
+    name = F.concat_ws(":", "example_idx", "annotation_idx", "start", "end").alias("seqlet_idx")
+    some = both.select(name, F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))
+    return motifmatch.annotate_seqlets(some, motif_columns(spark, sf_dir), n_nearest=2)
 
 
 @query("SELECT chrom, CAST(s AS BIGINT) AS \"start\", CAST(s + 100 AS BIGINT) AS \"end\" FROM sizes, unnest(generate_series(0, size - 100, 100)) AS t(s)", views.TILES)

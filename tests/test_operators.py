@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from helixframe.functions import scalar
-from helixframe.operators import annotate, attribution, design, edits, encode, loci, match, models, order, perturb, plotdata, seqlets, windows
+from helixframe.operators import annotate, attribution, design, edits, encode, loci, match, motifmatch, models, order, perturb, plotdata, seqlets, windows
 from helixframe.sources import readers
 
 
@@ -212,7 +212,7 @@ def test_annotate_seqlets_finds_the_motif(spark):
     eye = np.eye(4)
     motifs = [(m, i, eye["ACGT".index(c)].tolist()) for m, word in enumerate(["ACGTA", "GGGCC"]) for i, c in enumerate(word)]
     spans = spark.createDataFrame([(7, "TTACGTATT"), (8, "TACGT")], "seqlet_idx long, seq string")
-    got = rows(seqlets.annotate_seqlets(spans, spark.createDataFrame(motifs, "motif_idx int, pos int, probs array<double>")).select("seqlet_idx", "motif_idx"), "seqlet_idx")
+    got = rows(motifmatch.annotate_seqlets(spans, spark.createDataFrame(motifs, "motif_idx int, pos int, probs array<double>")).select("seqlet_idx", "motif_idx"), "seqlet_idx")
     assert got == [(7, 0), (8, 0)]
 
 

@@ -7,12 +7,15 @@ the bin of the later start, so that it comes once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.order import numbered
+from helixframe.operators import signals as signal
+from helixframe.operators.order import checkpointed, numbered
 
 
 def interleave(sources: list[DataFrame], chroms: list[str] | None = None, *, order: str = "row") -> DataFrame:
@@ -90,9 +93,9 @@ def extract_sequences(df: DataFrame, tiles: DataFrame, tile: int, *, key: str =
     return whole.select(key, "chrom", "win_start", "win_end", F.substring(joined, at, (F.col("win_end") - F.col("win_start")).cast("int")).alias("seq"))
 
 
-def signal_sums(df: DataFrame, signal: DataFrame, grain: int, *, key: str = "locus_idx") -> DataFrame:
-    """(key, track, total): sum of the signal over each window; signal: (track, chrom, pos, value), NaN and null count 0."""
-    sig = signal.select("track", F.col("chrom").alias("chrom_r"), F.col("pos").alias("start_r"), (F.col("pos") + 1).alias("end_r"), F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("value"))
+def signal_sums(df: DataFrame, points: DataFrame, grain: int, *, key: str = "locus_idx") -> DataFrame:
+    """(key, track, total): sum of the points over each window that has some; points: (track, chrom, pos, value), NaN and null count 0."""
+    sig = points.select("track", F.col("chrom").alias("chrom_r"), F.col("pos").alias("start_r"), (F.col("pos") + 1).alias("end_r"), F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("value"))
     spans = df.select(key, "chrom", F.col("win_start").alias("start"), F.col("win_end").alias("end"))
     return interval_join(spans, sig, grain).groupBy(key, "track").agg(F.sum("value").alias("total"))
 
@@ -109,18 +112,84 @@ def count_filter(df: DataFrame, totals: DataFrame, track: str, low: float | None
     return df.join(one, key, "left").where(keep).select(*df.columns)
 
 
-def extract_loci(df: DataFrame, tiles: DataFrame, sizes: DataFrame, *, tile: int, in_window: int = 2114, out_window: int = 1000, jitter: int = 0, zones: DataFrame | None = None, signal: DataFrame | None = None, track: str | None = None, min_counts: float | None = None, max_counts: float | None = None, n_loci: int | None = None, key: str = "locus_idx") -> DataFrame:
-    """Sequences of loci after all filters, the dear join last.  Widths count with twice the jitter."""
-    width = max(in_window, out_window) if signal is not None else in_window
-    some = inside(df, sizes, width, jitter)
-    if zones is not None:
-        some = exclude(some, zones)
-    if signal is not None and (min_counts is not None or max_counts is not None):
-        totals = signal_sums(window(some, out_window + 2 * jitter), signal, tile, key=key)
-        some = count_filter(some, totals, track, min_counts, max_counts, key=key)
-    if n_loci is not None:
-        some = some.orderBy(key).limit(n_loci)
-    return extract_sequences(window(some, in_window + 2 * jitter), tiles, tile, key=key)
+class Extracted(NamedTuple):
+    """loci: key, chrom, win_start, win_end, seq and the signals asked for; mask: (key, kept) of all loci looked at."""
+
+    loci: DataFrame
+    mask: DataFrame
+
+
+def passing(df: DataFrame, keep: Callable[[DataFrame], DataFrame], n: int, *, key: str = "locus_idx") -> tuple[DataFrame, object]:
+    """The first n rows by key that keep (a filter of rows) lets through, and the key of the last one looked at.
+
+    keep only sees ranges of the key, each as large as all before it together
+    with n more, until n rows have passed.  Keys are whole numbers, each once.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    found, have, size = None, 0, max(1, n)
+    while low is not None and low <= high and have < n:
+        some = checkpointed(keep(df.where((F.col(key) >= low) & (F.col(key) < low + size))))
+        found = some if found is None else found.union(some)
+        have += some.count()
+        low, size = low + size, 2 * size + n
+    if found is None:
+        return keep(df).limit(0), high
+    first = found.orderBy(key).limit(n)
+    return first, first.agg(F.max(key)).first()[0] if have >= n > 0 else high
+
+
+def extract(
+    df: DataFrame, tiles: DataFrame, sizes: DataFrame, *, tile: int, in_window: int = 2114, out_window: int = 1000, jitter: int = 0, zones: DataFrame | None = None,
+    signals: DataFrame | None = None, tracks: list[str] | None = None, in_signals: DataFrame | None = None, in_tracks: list[str] | None = None,
+    target: int = 0, min_counts: float | None = None, max_counts: float | None = None, n_loci: int | None = None, key: str = "locus_idx",
+) -> Extracted:
+    """Sequences and signals of loci (key, chrom, start, end) around their middles, and which of them passed.
+
+    A locus passes if its window (the wider one of in_window and, with signals,
+    out_window, plus jitter on both sides) lies in its chromosome and touches no
+    stretch that a zone touches, and if the sum of the target track over
+    out_window lies between min_counts and max_counts.  seq has in_window
+    letters, signals an array of out_window values for each of tracks,
+    in_signals one of in_window values for each of in_tracks, 0 where there is
+    no value; all are wider by twice the jitter.  Signals are intervals or
+    points, see signals.
+
+    n_loci: only the first so many by key that pass; no more loci are looked at
+    than that takes, but for the last range of keys, and the mask ends with the
+    last one.  Loci without a chromosome, start or end don't pass.
+    """
+    half = max(in_window // 2, out_window // 2 if signals is not None or in_signals is not None else 0)
+    if (min_counts is not None or max_counts is not None) and not (signals is not None and tracks):
+        raise ValueError("bounds on counts need signals and tracks")
+
+    def keep(part: DataFrame) -> DataFrame:
+        some = inside(part.select(key, "chrom", "start", "end"), sizes, 2 * half, jitter)
+        if zones is not None:
+            mid = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("long")
+            spans = some.select(key, "chrom", (mid - half - jitter).alias("start"), (mid + half + jitter).alias("end"))
+            some = some.join(exclude(spans, zones).select(key), key, "left_semi")
+        if min_counts is not None or max_counts is not None:
+            totals = signal.interval_sums(window(some, out_window + 2 * jitter), signals, [tracks[target]], key=key)
+            some = count_filter(some, totals, tracks[target], min_counts, max_counts, key=key)
+        return some
+
+    if n_loci is None:
+        kept, seen = keep(df), df
+    else:
+        kept, last = passing(df, keep, n_loci, key=key)
+        seen = df.where(F.col(key) <= last) if last is not None else df
+    wide = window(kept, in_window + 2 * jitter)
+    out = extract_sequences(wide, tiles, tile, key=key)
+    if signals is not None:
+        out = out.join(signal.profiles(window(kept, out_window + 2 * jitter), signals, tracks, key=key), key)
+    if in_signals is not None:
+        out = out.join(signal.profiles(wide, in_signals, in_tracks, key=key, name="in_signals"), key)
+    return Extracted(out, kept_mask(seen, kept, key=key))
+
+
+def extract_loci(df: DataFrame, tiles: DataFrame, sizes: DataFrame, **options) -> DataFrame:
+    """The loci of extract()."""
+    return extract(df, tiles, sizes, **options).loci
 
 
 def kept_mask(df: DataFrame, kept: DataFrame, *, key: str = "locus_idx") -> DataFrame:
@@ -136,7 +205,7 @@ def to_genome(spans: DataFrame, df: DataFrame, width: int, one_indexed: bool = F
     return spans.join(mids, key).select("chrom", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), *rest)
 
 
-def extract_signal(spans: DataFrame, signal: DataFrame, *, key: str = "example_idx") -> DataFrame:
+def extract_signal(spans: DataFrame, tracks: DataFrame, *, key: str = "example_idx") -> DataFrame:
     """(key, start, end, total): sum of an array column `values` of each example over [start, end)."""
     at = F.slice("values", F.col("start") + 1, F.col("end") - F.col("start"))
-    return spans.join(signal, key).select(key, "start", "end", F.aggregate(at, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return spans.join(tracks, key).select(key, "start", "end", F.aggregate(at, F.lit(0.0), lambda a, x: a + x).alias("total"))

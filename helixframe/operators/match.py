@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.functions import scalar
-from helixframe.operators import loci, windows
+from helixframe.operators import signals, windows
 from helixframe.operators.order import checkpointed, running_totals
 
 #: Digits of the hash by which the border of a bin's share is found.
@@ -15,8 +15,9 @@ CELL = 3
 
 
 def gc_bin(gc: Column, width: float) -> Column:
-    """The bin of a share: floor division as floating-point numbers do it."""
-    return F.round((gc - gc % F.lit(width)) / F.lit(width)).cast("int")
+    """The bin whose middle is nearest to a share: floor division of share and half a bin, as floating-point numbers do it."""
+    x = gc + F.lit(width / 2)
+    return F.round((x - x % F.lit(width)) / F.lit(width)).cast("int")
 
 
 def chromosome_tiles(sizes: DataFrame, width: int) -> DataFrame:
@@ -49,23 +50,40 @@ def quotas(wanted: dict[int, int], have: dict[int, int], bins: int) -> dict[int,
     return take
 
 
-def matching_loci(targets: DataFrame, tiles: DataFrame, *, width: float = 0.02, max_n: float = 0.1, seed: int = 0, signal: DataFrame | None = None, signal_share: float = 0.01, signal_beta: float = 0.5) -> DataFrame:
+def matching_loci(
+    targets: DataFrame, tiles: DataFrame, *, width: float = 0.02, max_n: float = 0.1, seed: int = 0, signal: DataFrame | None = None, signal_share: float = 0.01, signal_beta: float = 0.5,
+    out_window: int | None = None, chroms: list[str] | None = None,
+) -> DataFrame:
     """(chrom, start, end, gc_bin): tiles with the targets' GC histogram, none of which a target touches.
 
-    targets and tiles: (chrom, start, end, seq).  With a signal (track, chrom,
-    pos, value), tiles of more than signal_limit of the targets are left out.  The driver sees a count for
-    each bin; rows of a bin are taken by a hash of seed and place.
+    targets and tiles: (chrom, start, end, seq), the tiles all of one width and
+    laid out from 0.  A target touches the tiles from that of its start to that
+    of its end, the latter position included.  chroms: the chromosomes to use,
+    of targets and tiles; else those of the targets.
+
+    With a signal (intervals or points, all tracks count), tiles are left out
+    whose middle out_window positions (else all) hold more than signal_limit of
+    the targets; so are tiles of chromosomes without any signal.
+
+    The driver sees a count for each bin; rows of a bin are taken by a hash of
+    seed and place.  Without targets or tiles there are no rows.
     """
-    bins = int(round(1 / width)) + 1
+    bins = int(1 / width) + 1
+    if chroms is not None:
+        targets, tiles = (d.where(F.col("chrom").isin(*chroms)) for d in (targets, tiles))
+    else:
+        tiles = tiles.join(targets.select("chrom").distinct(), "chrom", "left_semi")
+    some = tiles.select((F.col("end") - F.col("start")).cast("long").alias("w")).first()
+    tile = some["w"] if some is not None else 1
     wanted = gc_profile(targets, max_n, width, strict=True).groupBy("gc_bin").count()
-    spans = targets.select(F.col("chrom").alias("chrom_r"), F.col("start").alias("start_r"), F.col("end").alias("end_r"))
-    own = tiles.select("chrom", "start", "end")
-    touched = loci.interval_join(own, spans, 256).select("chrom", "start", "end").distinct()
-    free = gc_profile(tiles, max_n, width).join(touched, ["chrom", "start", "end"], "left_anti")
+    touched = targets.select("chrom", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor(F.col("end") / tile))).alias("i")).distinct()
+    touched = touched.select("chrom", (F.col("i") * tile).cast("long").alias("start"))
+    free = gc_profile(tiles, max_n, width).join(touched, ["chrom", "start"], "left_anti")
     if signal is not None:
-        limit = signal_limit(targets, signal, share=signal_share, beta=signal_beta)
-        quiet = region_signal(own, signal).where(F.col("total") <= limit).select("chrom", "start", "end")
+        limit = signal_limit(targets, signal, share=signal_share, beta=signal_beta, out_window=out_window)
+        quiet = region_signal(free.select("chrom", "start", "end"), signal, out_window=out_window).where(~F.isnan("total") & (F.col("total") <= limit)).select("chrom", "start", "end")
         free = free.join(quiet, ["chrom", "start", "end"], "left_semi")
+    free = checkpointed(free.select("chrom", "start", "end", "gc_bin"))
     have = free.groupBy("gc_bin").count()
     count = lambda d: {r["gc_bin"]: r["count"] for r in d.collect()}  # noqa: E731  at most a row for each bin
     take = quotas(count(wanted), count(have), bins)
@@ -95,23 +113,31 @@ def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, schema)
 
 
-def signal_limit(targets: DataFrame, signal: DataFrame, *, share: float = 0.01, beta: float = 0.5, grain: int = 256) -> float:
+def signal_limit(targets: DataFrame, signal: DataFrame, *, share: float = 0.01, beta: float = 0.5, out_window: int | None = None) -> float:
     """beta times the quantile (share) of the targets' summed signal: what a background region may have at most.
 
-    targets: (chrom, start, end); signal: (track, chrom, pos, value), of which
-    all tracks count.  A target without signal has 0.
+    targets: (chrom, start, end), each counted as often as it is there; those
+    of chromosomes without any signal don't count.  Without others the limit is 0.
     """
-    totals = region_signal(targets, signal, grain)
-    at = windows.quantiles(totals.withColumn("total", F.col("total").cast("double")), "total", [share]).first()[0]
+    sums = region_signal(targets, signal, out_window=out_window)
+    totals = targets.select("chrom", "start", "end").join(sums, ["chrom", "start", "end"])
+    at = windows.quantiles(totals, "total", [share]).first()[0]
     return beta * float(at or 0.0)
 
 
-def region_signal(regions: DataFrame, signal: DataFrame, grain: int = 256) -> DataFrame:
-    """(chrom, start, end, total): the signal in each different region, 0 where there is none."""
-    keyed = regions.select("chrom", "start", "end").distinct().withColumn("locus_idx", F.xxhash64("chrom", "start", "end"))
-    sums = loci.signal_sums(keyed.select("locus_idx", "chrom", F.col("start").alias("win_start"), F.col("end").alias("win_end")), signal, grain)
-    sums = sums.groupBy("locus_idx").agg(F.sum("total").alias("total"))
-    return keyed.join(sums, "locus_idx", "left").select("chrom", "start", "end", F.coalesce("total", F.lit(0.0)).alias("total"))
+def region_signal(regions: DataFrame, signal: DataFrame, *, out_window: int | None = None) -> DataFrame:
+    """(chrom, start, end, total): the signal in each different region, or in its middle out_window positions; NaN where the chromosome has none at all.
+
+    signal: intervals or points, of which all tracks count.
+    """
+    keyed = regions.select("chrom", "start", "end").distinct().withColumn("locus_idx", F.struct("chrom", "start", "end"))
+    if out_window is None:
+        windows_ = keyed.select("locus_idx", "chrom", F.col("start").alias("win_start"), F.col("end").alias("win_end"))
+    else:
+        left = F.floor((F.col("end") - F.col("start") - out_window) / 2)
+        windows_ = keyed.select("locus_idx", "chrom", (F.col("start") + left).alias("win_start"), (F.col("start") + left + out_window).alias("win_end"))
+    sums = signals.interval_sums(windows_, signals.as_intervals(signal).withColumn("track", F.lit("all")), ["all"], absent=float("nan"))
+    return sums.select("locus_idx.*", "total")
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -32,12 +32,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def _dealt(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt out by range and sorted; rows that tie are parted by chance, so that many of them are no single task."""
+    return df.withColumn("__by_chance", F.rand(7)).repartitionByRange(*order, "__by_chance").sortWithinPartitions(*order, "__by_chance").drop("__by_chance")
+
+
 def running_totals(df: DataFrame, order: str, *values: str) -> DataFrame:
     """df with the totals of values over all rows up to each in the order of a column, as total_<value>; rows that tie have different totals.
 
     As numbered: sorted by range, and the driver only sees the partitions' totals.
     """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    ranged = _dealt(df, order)
     ranged = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     sums = ranged.groupBy(part.alias("__part")).agg(*[F.sum(v).alias(v) for v in values]).orderBy("__part").collect()
@@ -57,7 +62,7 @@ def numbered(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     Rows are dealt out by range and sorted in each partition; the driver only
     sees the partitions' counts.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *[c for c in df.columns if c not in order])
+    ranged = _dealt(df, *order, *[c for c in df.columns if c not in order])
     ranged = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
     counts = ranged.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
     total, starts = 0, []

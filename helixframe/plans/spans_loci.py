@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import annotate, loci, match, motifmatch, plotdata, seqlets, windows
+from helixframe.operators import annotate, loci, match, motifmatch, plotdata, seqlets, signals, windows
 from helixframe.operators.order import checkpointed
 from helixframe.plans import views
 from helixframe.plans.catalog import query
@@ -76,21 +76,76 @@ def l09_summits(spark, sf_dir):
 
 
 GENOME = "genome AS (SELECT chrom, string_agg(seq, '' ORDER BY tile_start) AS g FROM tiles GROUP BY chrom)"
-CUT = """cut AS (SELECT locus_idx, k.chrom, "start" + ("end" - "start") // 2 - 50 AS win_start, "start" + ("end" - "start") // 2 + 51 AS win_end FROM kept k ANTI JOIN (SELECT locus_idx FROM loci EXCEPT SELECT locus_idx FROM free) USING (locus_idx))"""
+FREE_WINDOW = """free_window AS (SELECT * FROM kept l WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.chrom = l.chrom
+  AND c.b BETWEEN (l."start" + (l."end" - l."start") // 2 - 50) // 100 AND (l."start" + (l."end" - l."start") // 2 + 50) // 100))"""
+CUT = """cut AS (SELECT locus_idx, chrom, "start" + ("end" - "start") // 2 - 50 AS win_start, "start" + ("end" - "start") // 2 + 51 AS win_end FROM free_window)"""
 
 
-@query("SELECT locus_idx, chrom, win_start, win_end, substring(g, CAST(win_start + 1 AS BIGINT), 101) AS seq FROM cut JOIN genome USING (chrom)", *BASE, views.ZONES, FREE, IN, GENOME, CUT)
+@query("SELECT locus_idx, chrom, win_start, win_end, substring(g, CAST(win_start + 1 AS BIGINT), 101) AS seq FROM cut JOIN genome USING (chrom)", *BASE, views.ZONES, FREE, IN, GENOME, FREE_WINDOW, CUT)
 def l01_extract_loci(spark, sf_dir):
     """L1: sequences of windows of 101 around all loci that pass the filters."""
     return loci.extract_loci(views.loci(spark, sf_dir), views.tiles(spark, sf_dir), views.sizes(spark, sf_dir), tile=views.TILE, in_window=101, zones=views.zones(spark, sf_dir))
 
 
-@query("SELECT locus_idx, chrom, win_start, win_end, substring(g, CAST(win_start + 1 AS BIGINT), 101) AS seq FROM (SELECT * FROM cut ORDER BY locus_idx LIMIT 100) JOIN genome USING (chrom)", *BASE, views.ZONES, FREE, IN, GENOME, CUT)
+@query("SELECT locus_idx, chrom, win_start, win_end, substring(g, CAST(win_start + 1 AS BIGINT), 101) AS seq FROM (SELECT * FROM cut ORDER BY locus_idx LIMIT 100) JOIN genome USING (chrom)", *BASE, views.ZONES, FREE, IN, GENOME, FREE_WINDOW, CUT)
 def l10_first_loci(spark, sf_dir):
     """The first hundred loci that pass, as the limit asks for."""
     return loci.extract_loci(views.loci(spark, sf_dir), views.tiles(spark, sf_dir), views.sizes(spark, sf_dir), tile=views.TILE, in_window=101, zones=views.zones(spark, sf_dir), n_loci=100)
 
 
+@query(
+    "SELECT locus_idx, locus_idx IN (SELECT locus_idx FROM free_window) AS kept FROM loci WHERE locus_idx <= (SELECT max(locus_idx) FROM (SELECT locus_idx FROM free_window ORDER BY locus_idx LIMIT 100))",
+    *BASE,
+    views.ZONES,
+    FREE,
+    IN,
+    FREE_WINDOW,
+)
+def l11_mask_of_first(spark, sf_dir):
+    """Which loci passed, up to the last one that the limit needs."""
+    return loci.extract(views.loci(spark, sf_dir), views.tiles(spark, sf_dir), views.sizes(spark, sf_dir), tile=views.TILE, in_window=101, zones=views.zones(spark, sf_dir), n_loci=100).mask
+
+
+EXTRACT = """mids AS (SELECT locus_idx, l.chrom, "start" + ("end" - "start") // 2 AS mid FROM loci l JOIN sizes USING (chrom) WHERE "start" + ("end" - "start") // 2 - 30 >= 0 AND "start" + ("end" - "start") // 2 + 30 <= size),
+pieces AS (SELECT DISTINCT m.chrom, m.mid, g.track, g."start", g."end", g.value, event FROM (SELECT DISTINCT chrom, mid FROM mids) m JOIN (SELECT *, row_number() OVER () AS event FROM intervals) g ON g.chrom = m.chrom AND g."start" < m.mid + 30 AND g."end" > m.mid - 30),
+counted AS (SELECT chrom, mid, sum(value * (least("end", mid + 20) - greatest("start", mid - 20))) AS total FROM pieces WHERE track = 'click' AND "start" < mid + 20 AND "end" > mid - 20 GROUP BY 1, 2),
+picked AS (SELECT m.*, t.total FROM mids m JOIN counted t USING (chrom, mid) WHERE total >= 500 AND total <= 900000),
+profile AS (SELECT chrom, mid, track, p, sum(value) AS v FROM pieces, generate_series(-30, 29) AS t(p) WHERE mid + p >= "start" AND mid + p < "end" GROUP BY ALL)"""
+
+
+@query(
+    """SELECT locus_idx, chrom, mid - 30 AS win_start, mid + 30 AS win_end, substring(g, CAST(mid - 29 AS BIGINT), 60) AS seq,
+    coalesce((SELECT string_agg(track || p || '=' || CAST(v AS BIGINT), ',' ORDER BY track, p) FROM profile f WHERE f.chrom = k.chrom AND f.mid = k.mid AND p BETWEEN -20 AND 19 AND v <> 0 AND track IN ('click', 'purchase')), '') AS signals,
+    coalesce((SELECT string_agg(track || p || '=' || CAST(v AS BIGINT), ',' ORDER BY track, p) FROM profile f WHERE f.chrom = k.chrom AND f.mid = k.mid AND v <> 0 AND track = 'click'), '') AS in_signals
+    FROM picked k JOIN genome USING (chrom)""",
+    *BASE,
+    views.INTERVALS,
+    GENOME,
+    EXTRACT,
+)
+def s10_extract_signals(spark, sf_dir):
+    """Sequences, two output tracks and an input track of loci with some but not too much signal; profiles as their places and values that aren't zero."""
+    signal = views.intervals(spark, sf_dir)
+    out = loci.extract_loci(
+        views.loci(spark, sf_dir), views.tiles(spark, sf_dir), views.sizes(spark, sf_dir), tile=views.TILE, in_window=60, out_window=40,
+        signals=signal, tracks=["click", "purchase"], in_signals=signal, in_tracks=["click"], min_counts=500, max_counts=900_000,
+    )
+    told = lambda values, track, half: F.filter(F.transform(values, lambda v, p: F.when(v != 0, F.concat(F.lit(track), (p - half).cast("string"), F.lit("="), v.cast("long").cast("string")))), lambda x: x.isNotNull())
+    both = F.concat(*[told(F.col("signals")[i], t, 20) for i, t in enumerate(("click", "purchase"))])
+    return out.select("locus_idx", "chrom", "win_start", "win_end", "seq", F.array_join(both, ",").alias("signals"), F.array_join(told(F.col("in_signals")[0], "click", 30), ",").alias("in_signals"))
+
+
+@query(
+    """SELECT locus_idx, track, coalesce((SELECT sum(value * (least(g."end", e) - greatest(g."start", s))) FROM intervals g WHERE g.chrom = w.chrom AND g.track = t.track AND g."start" < e AND g."end" > s), 0) AS total
+    FROM (SELECT locus_idx, chrom, "start" + ("end" - "start") // 2 - 250 AS s, "start" + ("end" - "start") // 2 + 250 AS e FROM loci) w, (VALUES ('click'), ('view')) AS t(track)""",
+    views.LOCI,
+    views.INTERVALS,
+)
+def l07_interval_sums(spark, sf_dir):
+    """Sums of two tracks over windows of 500, by prefix sums."""
+    return signals.interval_sums(loci.window(views.loci(spark, sf_dir), 500), views.intervals(spark, sf_dir), ["click", "view"], tile=512)
+
+
 @query("SELECT locus_idx, k.locus_idx IS NOT NULL AS kept FROM loci l LEFT JOIN kept k USING (locus_idx)".replace("SELECT locus_idx, k.locus_idx IS NOT NULL", "SELECT l.locus_idx, k.locus_idx IS NOT NULL").replace("USING (locus_idx)", "ON l.locus_idx = k.locus_idx"), *BASE, IN)
 def l11_mask(spark, sf_dir):
     """For every locus whether it stays."""
@@ -250,7 +305,7 @@ def g01_tiles(spark, sf_dir):
     return match.chromosome_tiles(views.sizes(spark, sf_dir), 100)
 
 
-BINS = "bins AS (SELECT chrom, tile_start, n, gc, CAST(round((gc - gc % 0.04::DOUBLE) / 0.04::DOUBLE) AS INT) AS gc_bin FROM (SELECT chrom, tile_start, len(regexp_extract_all(seq, 'N')) / 64.0::DOUBLE AS n, len(regexp_extract_all(seq, '[GC]')) / 64.0::DOUBLE AS gc FROM tiles))"
+BINS = "bins AS (SELECT chrom, tile_start, n, gc, CAST(round((gc + 0.02::DOUBLE - (gc + 0.02::DOUBLE) % 0.04::DOUBLE) / 0.04::DOUBLE) AS INT) AS gc_bin FROM (SELECT chrom, tile_start, len(regexp_extract_all(seq, 'N')) / 64.0::DOUBLE AS n, len(regexp_extract_all(seq, '[GC]')) / 64.0::DOUBLE AS gc FROM tiles))"
 
 
 @query("SELECT gc_bin, count(*) AS n FROM bins WHERE n <= 0.1 GROUP BY gc_bin", views.TILES, BINS)

@@ -64,6 +64,14 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("track"), F.concat(F.lit("chr"), (k % 7).cast("string")).alias("chrom"), F.floor(k / 7).cast("long").alias("pos"), F.round(F.col("value") * 100).alias("value"))
 
 
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, chrom, start, end, value: a stretch of up to forty positions for each event, in whole hundredths; stretches overlap."""
+    e = read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    start = (F.floor(k / 7) * 3).cast("long")
+    return e.select(F.col("event_type").alias("track"), F.concat(F.lit("chr"), (k % 7).cast("string")).alias("chrom"), start.alias("start"), (start + k % 40 + 1).alias("end"), F.round(F.col("value") * 100).alias("value"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_idx, annotation_idx, start, end: spans of orders, one of seven kinds for each line item."""
     line = read(spark, sf_dir, "lineitem")
@@ -104,6 +112,7 @@ LOCI = f"""loci AS (SELECT locus_idx, x.chrom AS chrom, x."start" AS "start", x.
   CAST(l_partkey // 7 * {TILE} + l_suppkey % {TILE} + CAST(l_quantity AS BIGINT) * 2 + 1 AS BIGINT) AS "end" FROM lineitem) GROUP BY locus_idx))"""
 ZONES = f"""zones AS (SELECT 'chr' || (s_suppkey % 7) AS chrom, CAST(s_suppkey // 7 * {20 * TILE} AS BIGINT) AS "start", CAST(s_suppkey // 7 * {20 * TILE} + 150 AS BIGINT) AS "end" FROM supplier)"""
 SIGNAL = "signal AS (SELECT event_type AS track, 'chr' || (event_id % 7) AS chrom, CAST(event_id // 7 AS BIGINT) AS pos, round(value * 100) AS value FROM events)"
+INTERVALS = """intervals AS (SELECT event_type AS track, 'chr' || (event_id % 7) AS chrom, CAST(event_id // 7 * 3 AS BIGINT) AS "start", CAST(event_id // 7 * 3 + event_id % 40 + 1 AS BIGINT) AS "end", round(value * 100) AS value FROM events)"""
 ANNOTATIONS = """annotations AS (SELECT l_orderkey AS example_idx, l_suppkey % 7 AS annotation_idx, (l_partkey * 7 + l_linenumber * 31) % 44 AS "start",
   (l_partkey * 7 + l_linenumber * 31) % 44 + CAST(l_quantity AS BIGINT) % 20 + 1 AS "end" FROM lineitem)"""
 ATTR = "attr AS (SELECT CAST(vec_id AS BIGINT) AS example_idx, CAST(p - 1 AS INT) AS pos, round(CAST(embedding[p] AS DOUBLE) * 1000) + 0.0 AS value FROM embeddings, generate_series(1, 64) AS t(p))"

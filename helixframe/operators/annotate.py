@@ -14,8 +14,8 @@ def count_annotations(df: DataFrame) -> DataFrame:
 
 
 def count_matrix(df: DataFrame, n_annotations: int) -> DataFrame:
-    """One row an example, a column a0, a1, ... for each annotation; annotations beyond raise."""
-    at = F.when(F.col("annotation_idx").between(0, n_annotations - 1), F.col("annotation_idx")).otherwise(F.raise_error(F.lit("annotation outside the shape")).cast("long"))
+    """One row an example, a column a0, a1, ... for each annotation; annotations beyond raise, null ones count nowhere."""
+    at = F.when(F.col("annotation_idx").isNull() | F.col("annotation_idx").between(0, n_annotations - 1), F.col("annotation_idx")).otherwise(F.raise_error(F.lit("annotation outside the shape")).cast("long"))
     some = df.select("example_idx", at.alias("annotation_idx"))
     counts = [F.count_if(F.col("annotation_idx") == i).alias(f"a{i}") for i in range(n_annotations)]
     return some.groupBy("example_idx").agg(*counts)

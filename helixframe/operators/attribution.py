@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from helixframe.functions import scalar
 from helixframe.operators import edits, models
+from helixframe.operators.order import checkpointed
 
 
 def keys_of(df: DataFrame) -> list[str]:
@@ -25,12 +26,14 @@ def saturation_mutagenesis(df: DataFrame, model: models.SqlModel, *, start: int
 
     The letter that is there already is not run again: its output is y0.  At
     an unknown letter all four are edits.  Rows are 4 a position; the model
-    runs on 3 of them, in generated code, without a shuffle.
+    runs on 3 of them, in generated code, without a shuffle.  Null sequences,
+    and those with no position in [start, end), have no rows.
     """
     f = model.heads[head]
-    base = df.where(F.length("seq") > start).withColumn("y0", f(F.col("seq")))
     stop = F.length("seq") if end is None else F.least(F.length("seq"), F.lit(end))
-    rows = base.withColumn("pos", F.explode(F.sequence(F.lit(start), stop - 1)))
+    base = df.where(F.col("seq").isNotNull() & (stop > start)).withColumn("y0", f(F.col("seq")))
+    # The bound holds within the expression too, wherever a plan evaluates it.
+    rows = base.withColumn("pos", F.explode(F.when(stop > start, F.sequence(F.lit(start), stop - 1))))
     rows = rows.withColumn("char_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
     letter = F.substring(F.lit(scalar.ALPHABET), F.col("char_idx") + 1, F.lit(1))
     same = F.substring("seq", F.col("pos") + 1, F.lit(1)) == letter
@@ -192,13 +195,16 @@ def deep_lift_shap(df: DataFrame, graph: Graph, *, outputs: list[int] | None = N
     delta: largest gap between the sum of contributions and the change of the
     output; converged: whether it is within the limit.  All outputs are the
     attribution maps of one position each for a model with one output a
-    position.
+    position.  Every row has its own result, also where rows share their keys;
+    null and empty sequences have none.
     """
     outputs = [0] if outputs is None else outputs
     keys = keys_of(df)
+    # Python sees one number for the row; it is fixed by the checkpoint.
+    df = checkpointed(df.where(F.length("seq") > 0).withColumn("__row", F.monotonically_increasing_id()))
     if references is None:
-        shuffled = edits.dinucleotide_shuffle(df.withColumn("own", F.col("seq")), n=n_shuffles, seed=seed)
-        pairs = shuffled.select(*keys, F.col("own").alias("seq"), F.col("seq").alias("ref"))
+        shuffled = edits.dinucleotide_shuffle(df.withColumn("__own", F.col("seq")), n=n_shuffles, seed=seed)
+        pairs = shuffled.select("__row", F.col("__own").alias("seq"), F.col("seq").alias("ref"))
     else:
         pairs = _with_references(df, references)
 
@@ -220,25 +226,22 @@ def deep_lift_shap(df: DataFrame, graph: Graph, *, outputs: list[int] | None = N
                             rows.append((int(some["row_key"].iloc[k]), o, value[k].reshape(-1).tolist(), float(delta[k])))
             yield pd.DataFrame(rows, columns=["row_key", "output_idx", "value", "delta"])
 
-    # Python sees one number for the keys.
-    row_key = F.xxhash64(*[F.struct(F.col(c)) for c in keys])
-    pairs = pairs.withColumn("row_key", row_key)
-    each = pairs.select("row_key", "seq", "ref").mapInPandas(run, "row_key long, output_idx int, value array<double>, delta double")
+    each = pairs.select(F.col("__row").alias("row_key"), "seq", F.col("ref")).mapInPandas(run, "row_key long, output_idx int, value array<double>, delta double")
     # Sums by place in the array: groups hold one array, not one for each reference.
     long = each.select("row_key", "output_idx", "delta", F.posexplode("value").alias("i", "v"))
     mean = long.groupBy("row_key", "output_idx", "i").agg(F.avg("v").alias("v"), F.max("delta").alias("delta"))
-    out = mean.groupBy("row_key", "output_idx").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"), F.max("delta").alias("delta"))
-    out = df.select(*keys, row_key.alias("row_key")).join(out, "row_key")
-    return out.select(*keys, "output_idx", F.col("x.v").alias("attribution"), "delta", (F.col("delta") <= warning).alias("converged"))
+    out = mean.groupBy(F.col("row_key").alias("__row"), F.col("output_idx").alias("__output")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("__x"), F.max("delta").alias("__delta"))
+    out = df.select(*keys, "__row").join(out, "__row")
+    return out.select(*keys, F.col("__output").alias("output_idx"), F.col("__x.v").alias("attribution"), F.col("__delta").alias("delta"), (F.col("__delta") <= warning).alias("converged"))
 
 
 def _with_references(df: DataFrame, references: DataFrame) -> DataFrame:
     """(keys, seq, ref): each sequence with the references of its example, or of all keys that both tables have."""
     on = [c for c in keys_of(df) if c in references.columns and c != "shuffle_idx"]
-    refs = references.select(*[F.col(c).alias(f"{c}_r") for c in on], F.col("seq").alias("ref"))
+    refs = references.select(*[F.col(c).alias(f"__{c}_r") for c in on], F.col("seq").alias("ref"))
     same = F.lit(True)
     for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}_r"))
     return df.join(refs, same).select(*keys_of(df), "seq", "ref")
 
 
@@ -250,9 +253,10 @@ def pisa(df: DataFrame, graph: Graph, n_outputs: int, **options) -> DataFrame:
 def linear_deep_lift(df: DataFrame, references: DataFrame, weight: Callable[[Column, Column], Column]) -> DataFrame:
     """(keys, pos, value): attributions of a linear model in closed form: weight of the letter less the references' mean weight; keys are all columns but seq.
 
-    References: (example_idx, shuffle_idx, seq), and more keys if they differ in them.
+    References: (example_idx, shuffle_idx, seq), and more keys if they differ in
+    them.  Null and empty sequences have no rows.
     """
     at = lambda c: F.instr(F.lit(scalar.ALPHABET), F.substring(F.col(c), F.col("pos") + 1, F.lit(1))) - 1
     w = lambda c: F.when(at(c) >= 0, weight(at(c), F.col("pos"))).otherwise(F.lit(0)).cast("double")
-    rows = _with_references(df, references).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
+    rows = _with_references(df, references).withColumn("pos", F.explode(F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.length("seq") - 1))))
     return rows.groupBy(*keys_of(df), "pos").agg(F.avg(w("seq") - w("ref")).alias("value"))

@@ -27,7 +27,9 @@ def highest() -> Loss:
 
 
 def random_sequences(df: DataFrame, length: int, *, seed: int = 0, key: str = "example_idx", probs: list[float] | None = None) -> DataFrame:
-    """(key, seq): a sequence for each key, letters drawn by hash."""
+    """(key, seq): a sequence for each key, letters drawn by hash; of length 0 or less it is empty."""
+    if length <= 0:
+        return df.select(key, F.lit("").alias("seq"))
     letter = lambda p: scalar.draw_letter(scalar.hash_unit(seed, F.col(key), p), probs)
     return df.select(key, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), letter), "").alias("seq"))
 
@@ -49,14 +51,18 @@ def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: b
         tries += ["".join(pairs[c] for c in reversed(m)) for m in motifs]
     each = F.array(*[F.struct(F.lit(i).alias("motif_idx"), F.lit(m).alias("motif")) for i, m in enumerate(tries)])
     rows = df.select("*", F.explode(each).alias("tried")).where(F.length("seq") >= F.length("tried.motif"))
-    places = F.array(*map(F.lit, mask)) if mask is not None else F.sequence(F.lit(0), F.length("seq") - F.length("tried.motif"))
+    last = F.length("seq") - F.length("tried.motif")
+    places = F.array(*map(F.lit, mask)).cast("array<int>") if mask is not None else F.when(last >= 0, F.sequence(F.lit(0), last))
     rows = rows.withColumn("motif_idx", F.col("tried.motif_idx")).withColumn("pos", F.explode(places))
     if output_mask is not None:
         rows = rows.where(F.forall(F.sequence(F.col("pos"), F.col("pos") + F.length("tried.motif") - 1), lambda p: p.isin(*output_mask)))
     rows = rows.where(F.col("pos") + F.length("tried.motif") <= F.length("seq"))
-    # Unknown letters of a motif leave what is there.
-    known = F.transform(F.split("tried.motif", ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("pos") + i + 1, F.lit(1))).otherwise(c))
-    return rows.withColumn("new_seq", F.overlay("seq", F.array_join(known, ""), F.col("pos") + 1)).drop("tried")
+    put = F.col("tried.motif")
+    if any(scalar.UNKNOWN in m for m in tries):
+        # Unknown letters of a motif leave what is there; letter by letter only for motifs that have some.
+        known = F.transform(F.split("tried.motif", ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("pos") + i + 1, F.lit(1))).otherwise(c))
+        put = F.when(F.contains(put, F.lit(scalar.UNKNOWN)), F.array_join(known, "")).otherwise(put)
+    return rows.withColumn("new_seq", F.overlay("seq", put, F.col("pos") + 1)).drop("tried")
 
 
 def greedy_round(df: DataFrame, model: models.SqlModel, loss: Loss, motifs: list[str] | None = None, *, key: str = "example_idx", head: str = "y", **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,25 +65,89 @@ def eulerian(letters: np.ndarray, n: int, seed: int, size: int = 5) -> list[np.n
     return out
 
 
+#: Letters of shuffled sequences that a task walks at once.
+WALKED = 1 << 21
+
+
+def eulerian_batch(parts: list[np.ndarray], n: int, seeds: list[int], size: int = 5) -> list[np.ndarray]:
+    """For each sequence the n walks of eulerian() with its seed, as rows of an array; all walks of the batch go forward in step.
+
+    Each walk has its successor lists in one row, letter after letter, and a
+    pointer into each of them; a step is one numpy operation for all walks that
+    haven't ended.
+    """
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    longest = len(parts[order[0]]) if order else 0
+    if longest == 0:
+        return [np.zeros((n, 0), np.int8) for _ in parts]
+    letters = np.zeros((len(parts), longest), np.int8)
+    nexts = np.zeros((len(parts) * n, max(1, longest - 1)), np.int32)
+    pointer = np.zeros((len(parts) * n, size), np.int64)
+    for row, i in enumerate(order):
+        part, random = parts[i], np.random.RandomState(seeds[i])
+        letters[row, : len(part)] = part
+        lists = np.argsort(part[:-1], kind="stable").astype(np.int32) + 1
+        ends = np.cumsum(np.bincount(part[:-1], minlength=size)) if len(part) > 1 else np.zeros(size, np.int64)
+        starts = np.r_[0, ends[:-1]]
+        pointer[row * n : row * n + n] = starts
+        for k in range(n):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    lists[a : b - 1] = lists[a : b - 1][random.permutation(b - a - 1)]
+            nexts[row * n + k, : len(lists)] = lists
+    out = np.zeros((len(parts) * n, longest), np.int8)
+    source = np.repeat(np.arange(len(parts)), n)
+    lengths = np.array([len(parts[i]) for i in order])
+    at, walks = np.zeros(len(source), np.int64), np.arange(len(source))
+    out[:, 0] = letters[source, 0]
+    for step in range(1, longest):
+        m = int(np.searchsorted(-lengths, -step)) * n  # sequences are in order of length: the first ones go on
+        letter = out[:m, step - 1]
+        spot = pointer[walks[:m], letter]
+        pointer[walks[:m], letter] += 1
+        at[:m] = nexts[walks[:m], spot]
+        out[:m, step] = letters[source[:m], at[:m]]
+    found: list[np.ndarray] = [out[:0]] * len(parts)
+    for row, i in enumerate(order):
+        found[i] = out[row * n : row * n + n, : len(parts[i])]
+    return found
+
+
 def dinucleotide_shuffle(df: DataFrame, *, start: int = 0, end: int = -1, n: int = 20, seed: int = 0, key: str = "example_idx", seq: str = "seq") -> DataFrame:
-    """(columns of df, shuffle_idx, seq): shuffles of [start, end) that keep all pairs of neighbours; row i uses the seed plus its key."""
+    """(columns of df, shuffle_idx, seq): shuffles of [start, end) that keep all pairs of neighbours; row i uses the seed plus its key.
+
+    A null key counts 0; the shuffles of a null sequence are null, those of an
+    empty one empty.
+    """
     others = [c for c in df.columns if c != seq]
+    code = np.full(256, 4, np.int8)
+    code[np.frombuffer(scalar.ALPHABET.encode(), np.uint8)] = range(len(scalar.ALPHABET))
+    back = np.frombuffer((scalar.ALPHABET + scalar.UNKNOWN).encode(), np.uint8)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = np.full(256, 4, np.int8)
-        for i, c in enumerate(scalar.ALPHABET):
-            code[ord(c)] = i
-        back = np.frombuffer((scalar.ALPHABET + scalar.UNKNOWN).encode(), np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for own, k, s in zip(batch[others].itertuples(index=False, name=None), batch[key], batch[seq], strict=True):
-                stop = whole_end(len(s), end)
-                part = code[np.frombuffer(s[start:stop].encode(), np.uint8)]
-                rows += [(*own, i, s[:start] + back[w.astype(int)].tobytes().decode() + s[stop:]) for i, w in enumerate(eulerian(part, n, (seed + int(k)) % (1 << 32)))]
-            yield pd.DataFrame(rows, columns=[*others, "shuffle_idx", seq])
-
-    kept = df.select(*others, seq)
-    return kept.mapInPandas(run, T.StructType([*[kept.schema[c] for c in others], T.StructField("shuffle_idx", T.IntegerType()), kept.schema[seq]]))
+            texts, keys = batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()
+            sizes = [len(s or "") * n for s in texts]
+            at = 0
+            while at < len(texts):
+                stop, total = at, 0
+                while stop < len(texts) and (stop == at or total + sizes[stop] <= WALKED):
+                    total += sizes[stop]
+                    stop += 1
+                some = [s or "" for s in texts[at:stop]]
+                ends = [whole_end(len(s), end) for s in some]
+                parts = [code[np.frombuffer(s[start:e].encode("ascii", "replace"), np.uint8)] for s, e in zip(some, ends, strict=True)]
+                walks = eulerian_batch(parts, n, [(seed + int(k or 0)) % (1 << 32) for k in keys[at:stop]])
+                new = []
+                for text, s, e, w in zip(texts[at:stop], some, ends, walks, strict=True):
+                    new += [None] * n if text is None else [s[:start] + x.tobytes().decode() + s[e:] for x in back[w]]
+                rows = batch.slice(at, stop - at).take(pa.array(np.repeat(np.arange(stop - at), n)))
+                numbers = pa.array(np.tile(np.arange(n, dtype=np.int32), stop - at))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(others)], numbers, pa.array(new, pa.string())], names=[*others, "shuffle_idx", seq])
+                at = stop
+
+    kept = df.select(*others, seq, F.col(key).alias("__key"))
+    return kept.mapInArrow(run, T.StructType([*[kept.schema[c] for c in others], T.StructField("shuffle_idx", T.IntegerType()), kept.schema[seq]]))
 
 
 def _edit_map(edits: DataFrame, key: str, value: Column, *, all_of: bool = False) -> DataFrame:

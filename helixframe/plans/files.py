@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators.order import scratch
 from helixframe.plans import views
 from helixframe.plans.catalog import query
-from helixframe.sources import readers
+from helixframe.sources import genome, readers
 
 
 @query('SELECT chrom, "start", "end", count(*) AS n FROM loci GROUP BY ALL', views.LOCI)
@@ -59,3 +59,28 @@ def s06_vcf(spark, sf_dir):
     rows = v.select(F.concat(F.lit("p"), "example_idx"), F.col("pos") + 1, F.lit("."), F.lit("N"), alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.lit("0/1"))
     rows.write.csv(path, sep="\t")
     return readers.read_vcf(spark, path).select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), F.col("ALT").alias("alt"))
+
+
+GENOME = "genome AS (SELECT chrom, string_agg(seq, '' ORDER BY tile_start) AS g FROM tiles GROUP BY chrom)"
+
+
+def indexed(spark, sf_dir):
+    """Index of FASTA files of the derived genome, a record a chromosome, lines of a tile."""
+    folder = scratch(spark)
+    tiles = views.tiles(spark, sf_dir)
+    heads = tiles.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("tile_start"), F.concat(F.lit(">"), "chrom").alias("seq"))
+    lines = tiles.union(heads).repartition("chrom").sortWithinPartitions("chrom", "tile_start")
+    lines.select("seq").write.text(f"{folder}/fasta")
+    return genome.write_index(spark, f"{folder}/fasta", f"{folder}/index")
+
+
+@query("SELECT chrom, CAST(s AS BIGINT) AS tile_start, substring(g, s + 1, 1000) AS seq FROM genome, unnest(range(0, length(g), 1000)) AS t(s)", views.TILES, GENOME)
+def s03_fasta_ranges(spark, sf_dir):
+    """Tiles of 1000 of a genome's FASTA files, read by byte ranges."""
+    return genome.read_genome(spark, indexed(spark, sf_dir), tile=1000)
+
+
+@query("SELECT chrom, CAST(s AS BIGINT) AS tile_start, substring(g, s + 1, 100) AS seq FROM genome, unnest(range(0, length(g), 100)) AS t(s) WHERE chrom IN ('chr1', 'chr4') AND s >= 300 AND s < 1200", views.TILES, GENOME)
+def s03_fasta_regions(spark, sf_dir):
+    """Regions of two chromosomes, of which alone the bytes are read."""
+    return genome.read_genome(spark, indexed(spark, sf_dir), tile=100).where("chrom IN ('chr1', 'chr4') AND tile_start >= 300 AND tile_start < 1200")

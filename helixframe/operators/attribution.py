@@ -26,7 +26,8 @@ def saturation_mutagenesis(df: DataFrame, model: models.SqlModel, *, start: int
 
     The letter that is there already is not run again: its output is y0.  At
     an unknown letter all four are edits.  Rows are 4 a position; the model
-    runs on 3 of them, in generated code, without a shuffle.  Null sequences,
+    runs on 3 of them, in generated code, without a shuffle, and only on the
+    letters within its reach where it is local.  Null sequences,
     and those with no position in [start, end), have no rows.
     """
     f = model.heads[head]
@@ -38,7 +39,8 @@ def saturation_mutagenesis(df: DataFrame, model: models.SqlModel, *, start: int
     letter = F.substring(F.lit(scalar.ALPHABET), F.col("char_idx") + 1, F.lit(1))
     same = F.substring("seq", F.col("pos") + 1, F.lit(1)) == letter
     edited = F.overlay("seq", letter, F.col("pos") + 1)
-    return rows.select(*keys_of(df), "pos", "char_idx", same.alias("is_ref"), "y0", F.when(same, F.col("y0")).otherwise(f(edited)).alias("y"))
+    y = model.after(head, F.col("y0"), F.col("seq"), edited, F.col("pos"), F.lit(1))
+    return rows.select(*keys_of(df), "pos", "char_idx", same.alias("is_ref"), "y0", F.when(same, F.col("y0")).otherwise(y).alias("y"))
 
 
 def mutagenesis_attribution(rows: DataFrame, *, hypothetical: bool = False) -> DataFrame:

@@ -40,8 +40,36 @@ def screen(df: DataFrame, model: models.SqlModel, loss: Loss, *, n_best: int = 1
     return scored.orderBy("loss", key).limit(n_best)
 
 
+def screen_rounds(keys: DataFrame, model: models.SqlModel, loss: Loss, generate: Callable[[DataFrame, int], DataFrame], *, n_best: int = 1, tol: float = 1e-3, max_iter: int = -1, seed: int = 0, key: str = "example_idx", head: str = "y") -> DataFrame:
+    """(round, key, seq, loss): the n_best sequences of least loss among all that rounds of generate make, best first.
+
+    generate(keys, seed) gives (key, seq), a sequence for each row of keys; the
+    seed grows by one a round.  Rounds end when the worst of n_best sequences
+    has a loss below tol, or after max_iter of them, if that is positive.  Each
+    round is a job over all its sequences, of which n_best come to the driver;
+    ties go to the earlier round, then by key.  Without keys, or with an n_best
+    of 0, there is one round and no row.
+    """
+    schema = f"round int, {key} {keys.schema[key].dataType.simpleString()}, seq string, loss double"
+    best: list[tuple] = []
+    done, some = 0, n_best > 0 and not keys.isEmpty()
+    while some:
+        scored = generate(keys, seed + done).select(F.lit(done).alias("round"), key, "seq", loss(model.heads[head](F.col("seq"))).cast("double").alias("loss"))
+        # Those that come in behind the worst kept one needn't be sorted.
+        new = scored if len(best) < n_best else scored.where(F.col("loss") < best[-1][3])
+        best = sorted([*best, *map(tuple, new.orderBy("loss", key).limit(n_best).collect())], key=lambda r: (r[3], r[0], r[1] is not None, r[1]))[:n_best]
+        done += 1
+        if done == max_iter or len(best) == n_best and best[-1][3] < tol:
+            break
+    return df_of(keys, best, schema)
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
 def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None, output_mask: list[int] | None = None) -> DataFrame:
-    """df with motif_idx, pos and new_seq: every motif at every allowed place of every sequence; single letters if motifs is None.
+    """df with motif_idx, pos, new_seq and motif_length: every motif at every allowed place of every sequence; single letters if motifs is None.
 
     mask: positions at which a motif may start; output_mask: positions that may change.
     """
@@ -62,14 +90,19 @@ def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: b
         # Unknown letters of a motif leave what is there; letter by letter only for motifs that have some.
         known = F.transform(F.split("tried.motif", ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("pos") + i + 1, F.lit(1))).otherwise(c))
         put = F.when(F.contains(put, F.lit(scalar.UNKNOWN)), F.array_join(known, "")).otherwise(put)
-    return rows.withColumn("new_seq", F.overlay("seq", put, F.col("pos") + 1)).drop("tried")
+    return rows.withColumn("new_seq", F.overlay("seq", put, F.col("pos") + 1)).withColumn("motif_length", F.length("tried.motif")).drop("tried")
+
+
+def _edited(model: models.SqlModel, head: str) -> Column:
+    """The output of candidates' new_seq; y0 is that of their seq."""
+    return model.after(head, F.col("y0"), F.col("seq"), F.col("new_seq"), F.col("pos"), F.col("motif_length"))
 
 
 def greedy_round(df: DataFrame, model: models.SqlModel, loss: Loss, motifs: list[str] | None = None, *, key: str = "example_idx", head: str = "y", **options) -> DataFrame:
     """(key, seq, loss): each sequence after its best edit, or as it was where no edit has a strictly lower loss."""
-    f = model.heads[head]
-    now = df.select(key, "seq", loss(f(F.col("seq"))).alias("loss"))
-    tried = candidates(now, motifs, **options).withColumn("new_loss", loss(f(F.col("new_seq"))))
+    now = df.select(key, "seq", model.heads[head](F.col("seq")).alias("y0"))
+    tried = candidates(now, motifs, **options).withColumn("new_loss", loss(_edited(model, head)))
+    now = now.select(key, "seq", loss(F.col("y0")).alias("loss"))
     best = tried.groupBy(key).agg(F.min(F.struct("new_loss", "motif_idx", "pos", "new_seq")).alias("best"))
     better = F.col("best.new_loss") < F.col("loss")
     joined = now.join(best, key, "left")
@@ -95,7 +128,7 @@ def beam_round(df: DataFrame, model: models.SqlModel, loss: Loss, beam: int, mot
     """(seq, loss, counter): the beam best distinct sequences among members and all their edits; members go first among equals."""
     f = model.heads[head]
     members = df.select("seq", loss(f(F.col("seq"))).alias("loss"), F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos"))
-    tried = candidates(df.select("seq"), motifs, **options).select(F.col("new_seq").alias("seq"), loss(f(F.col("new_seq"))).alias("loss"), "motif_idx", "pos")
+    tried = candidates(df.select("seq", f(F.col("seq")).alias("y0")), motifs, **options).select(F.col("new_seq").alias("seq"), loss(_edited(model, head)).alias("loss"), "motif_idx", "pos")
     once = members.union(tried).groupBy("seq").agg(F.min("loss").alias("loss"), F.min(F.struct("motif_idx", "pos")).alias("counter"))
     return once.orderBy("loss", "counter", "seq").limit(beam)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,16 +13,43 @@ from pyspark.sql import functions as F
 from helixframe.functions import scalar
 
 
+@dataclass
+class Local:
+    """How far an edit reaches: outputs before and after it differ as much as part(piece, place) does over the letters up to reach beyond it on either side.
+
+    piece: a stretch of the sequence, place: where it begins.
+    """
+
+    reach: int
+    part: Callable[[Column, Column], Column]
+
+
 @dataclass
 class SqlModel:
-    """heads: outputs by name, each a function of the sequence column."""
+    """heads: outputs by name, each a function of the sequence column; local: for those of which edits reach only so far."""
 
     heads: dict[str, Callable[[Column], Column]]
+    local: dict[str, Local] = field(default_factory=dict)
+
+    def after(self, head: str, y0: Column, seq: Column, edited: Column, at: Column, width: Column) -> Column:
+        """The output for edited, which differs from seq at most at width letters from place at on; y0 is that for seq.
 
+        Where the head is local, only the letters within its reach are scored.
+        """
+        own = self.local.get(head)
+        if own is None:
+            return self.heads[head](edited)
+        low = F.greatest(at - own.reach, F.lit(0))
+        piece = lambda s: F.substring(s, (low + 1).cast("int"), (at + width + own.reach - low).cast("int"))
+        return y0 + own.part(piece(edited), low) - own.part(piece(seq), low)
 
-def linear(weight: Callable[[Column, Column], Column], seq: Column) -> Column:
-    """Sum over positions of weight(letter's index, position); N adds nothing."""
+
+def linear(weight: Callable[[Column, Column], Column], seq: Column, place: Column | None = None) -> Column:
+    """Sum over positions of weight(letter's index, position); N adds nothing.  place: the position of the first letter, if not 0."""
     at = F.instr
+    inner = weight
+    if place is not None:
+        weight = lambda c, p: inner(c, p + place)
     return F.aggregate(
         F.transform(F.split(seq, ""), lambda c, p: F.when(at(F.lit(scalar.ALPHABET), c) > 0, weight(at(F.lit(scalar.ALPHABET), c) - 1, p)).otherwise(F.lit(0))),
         F.lit(0).cast("long"),
@@ -35,11 +62,19 @@ def toy_weight(c: Column, p: Column) -> Column:
     return (c * 7 + p * 3) % 11 - 5
 
 
-TOY = SqlModel({"y": lambda seq: linear(toy_weight, seq)})
+TOY = SqlModel({"y": lambda seq: linear(toy_weight, seq)}, {"y": Local(0, lambda piece, place: linear(toy_weight, piece, place))})
 #: Counts of two motifs, which depend on neighbours.
 COUNTER = SqlModel({"y": lambda seq: F.regexp_count(seq, F.lit("ACG")).cast("long") * 3 - F.regexp_count(seq, F.lit("TT")).cast("long")})
 
 
+def _motifs(seq: Column) -> Column:
+    return F.regexp_count(seq, F.lit("ACG")).cast("long") * 3 - F.regexp_count(seq, F.lit("TA")).cast("long")
+
+
+#: Counts of motifs that don't overlap themselves, so that an edit reaches two letters.
+MOTIFS = SqlModel({"y": _motifs}, {"y": Local(2, lambda piece, place: _motifs(piece))})
+
+
 def predict(df: DataFrame, model: SqlModel, *, seq: str = "seq", prefix: str = "") -> DataFrame:
     """Adds a column for each head."""
     return df.withColumns({prefix + name: f(F.col(seq)) for name, f in model.heads.items()})

@@ -264,6 +264,28 @@ def d01_screen(spark, sf_dir):
     return design.screen(views.kseqs(spark, sf_dir), models.TOY, design.distance_to(40), n_best=20).select("example_idx", "loss")
 
 
+@query(
+    f"""SELECT round, example_idx, seq, loss FROM (SELECT *, row_number() OVER (ORDER BY loss, round, example_idx) AS n FROM (
+    SELECT *, min(round) FILTER (good >= 5) OVER () AS last FROM (SELECT *, count(*) FILTER (loss < 2.5) OVER (ORDER BY round RANGE UNBOUNDED PRECEDING) AS good FROM (
+    SELECT round, example_idx, seq, pow({y('seq')} - 70, 2)::DOUBLE AS loss FROM (SELECT r::INT AS round, p_partkey AS example_idx, (SELECT string_agg(substring('ACGT', CAST(floor(u * 4) AS INT) + 1, 1), '' ORDER BY p) FROM (
+    SELECT p, CAST(CAST('0x' || substring(md5((3 + r) || ':' || p_partkey || ':' || p), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM generate_series(0, 63) AS t(p))) AS seq FROM part, generate_series(0, 5) AS s(r))))) WHERE last IS NULL OR round <= last) WHERE n <= 5"""
+)
+def d01_screen_rounds(spark, sf_dir):
+    """Rounds of random sequences until the five best are near enough to a target output, six at most."""
+    keys = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_idx"))
+    return design.screen_rounds(keys, models.TOY, design.distance_to(70), lambda k, s: design.random_sequences(k, 64, seed=s), n_best=5, tol=2.5, max_iter=6, seed=3)
+
+
+@query(
+    f"""SELECT example_idx, CAST(pos AS INT) AS pos, CAST(c AS INT) AS char_idx, c = r AS is_ref, y0, CAST(y0 + (c * 7 + pos * 3) % 11 - (r * 7 + pos * 3) % 11 AS BIGINT) AS y
+    FROM (SELECT example_idx, y0, pos, instr('ACGT', seq[CAST(pos + 1 AS INT)]) - 1 AS r FROM (SELECT example_idx, seq, {y('seq')} AS y0 FROM kseqs), generate_series(0, 63) AS s(pos)), generate_series(0, 3) AS t(c)""",
+    views.KSEQS,
+)
+def m01_local_mutagenesis(spark, sf_dir):
+    """M1: every single edit of whole sequences for a local model, a letter scored for each."""
+    return attribution.saturation_mutagenesis(views.kseqs(spark, sf_dir), models.TOY)
+
+
 TRIES = "tries AS (SELECT * FROM (VALUES (0, 'ACG'), (1, 'TTTA'), (2, 'CGT'), (3, 'TAAA')) AS t(i, m))"
 POOL = "pool AS (SELECT * FROM kseqs)"
 

@@ -168,20 +168,27 @@ def greedy_marginalize(backgrounds: DataFrame, model: models.SqlModel, y: float,
                 letters[start - low : start - low + len(construct)] = construct
                 letters[p - low : p - low + len(motif)] = motif
                 options.append(("".join(letters), low))
-        tried = [scalar_effect(f, c, at, y).alias(f"o{i}") for i, (c, at) in enumerate(options)]
-        if not tried:
+        if not options:
             break
-        losses = backgrounds.agg(*tried).first()
-        best = min(range(len(options)), key=lambda i: (losses[i], i))
+        best, loss = best_effect(backgrounds, f, options, y)
         done += 1
-        if last - losses[best] <= tol:
+        if last - loss <= tol:
             break
-        construct, start = options[best]
-        last = losses[best]
+        (construct, start), last = options[best], loss
     return construct, start
 
 
-def scalar_effect(f: Callable[[Column], Column], construct: str, start: int, y: float) -> Column:
-    """Mean over backgrounds of the squared distance between y and the change that the construct makes."""
-    after = f(scalar.substitute(F.col("seq"), construct, start))
-    return F.avg(F.pow(F.lit(float(y)) - (after - f(F.col("seq"))), F.lit(2.0)))
+def best_effect(backgrounds: DataFrame, f: Callable[[Column], Column], options: list[tuple[str, int]], y: float) -> tuple[int, float]:
+    """The number of the option (construct, start) whose effect on the backgrounds is nearest to y in the mean of squares, and that mean; ties go to the first.
+
+    Options are rows: each background meets each of them, and sums are made up before the shuffle.
+    """
+    table = df_of(backgrounds, [(i, c, at) for i, (c, at) in enumerate(options)], "i int, construct string, at int")
+    each = backgrounds.select("seq", f(F.col("seq")).alias("y0")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(options) - 1))))
+    put = F.col("construct")
+    if any(scalar.UNKNOWN in c for c, _ in options):
+        put = F.array_join(F.transform(F.split(put, ""), lambda c, j: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("at") + j + 1, F.lit(1))).otherwise(c)), "")
+    after = f(F.overlay("seq", put, F.col("at") + 1))
+    losses = each.join(F.broadcast(table), "i").groupBy("i").agg(F.avg(F.pow(F.lit(float(y)) - (after - F.col("y0")), F.lit(2.0))).alias("loss"))
+    best = losses.orderBy("loss", "i").first()
+    return best["i"], best["loss"]

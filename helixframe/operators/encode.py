@@ -29,6 +29,27 @@ def decode(df: DataFrame, *, key: str = "example_idx", alphabet: str = scalar.AL
     return rows.select(key, F.array_join(F.transform(F.sequence(F.lit(0), last - 1), lambda p: F.coalesce(F.element_at("m", p), F.lit(scalar.UNKNOWN))), "").alias("seq"))
 
 
+def characters(df: DataFrame, *, key: str = "example_idx", alphabet: str = scalar.ALPHABET, force: bool = False, allow_n: bool = False) -> DataFrame:
+    """(key, seq): the letter of greatest weight at each position of matrices (key, pos, probs), positions in order.
+
+    Where letters tie for the greatest weight, this raises, unless force or
+    allow_n lets the first one of the alphabet stand.  allow_n: a position whose
+    weights sum to 0 is N.  A position of another number of weights than
+    letters raises, one without weights or with a null among them too.
+    """
+    top = F.array_max("probs")
+    right = (F.size("probs") == len(alphabet)) & ~F.exists("probs", lambda x: x.isNull())
+    tied = F.size(F.filter("probs", lambda x: x == top)) > 1
+    letter = F.substring(F.lit(alphabet), F.array_position("probs", top).cast("int"), F.lit(1))
+    if allow_n:
+        letter = F.when(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) == 0, F.lit(scalar.UNKNOWN)).otherwise(letter)
+    elif not force:
+        letter = F.when(tied, F.raise_error(F.lit("letters of the same weight at a position")).cast("string")).otherwise(letter)
+    letter = F.when(F.coalesce(right, F.lit(False)), letter).otherwise(F.raise_error(F.lit("weights and alphabet differ in size")).cast("string"))
+    rows = df.select(key, "pos", letter.alias("c")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
+    return rows.select(key, F.array_join("x.c", "").alias("seq"))
+
+
 def chunk(df: DataFrame, size: int = 1024, overlap: int = 0, *, key: str = "example_idx", seq: str = "seq") -> DataFrame:
     """(key, chunk_idx, seq): windows of that size; what is left at the end is dropped."""
     if not 0 <= overlap < size:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -23,24 +28,33 @@ def strongest_letter(attr: DataFrame) -> DataFrame:
     return attr.groupBy("example_idx", "pos").agg(F.max_by("char_idx", F.struct(F.abs("value"), -F.col("char_idx"))).alias("char_idx"), F.sum("value").alias("total"))
 
 
+def _stacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, busy, free, used = None, [], [], 0
+    for batch in batches:
+        tracks = []
+        for example, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if (example,) != now:
+                now, busy, free, used = (example,), [], [], 0
+            while busy and busy[0][0] <= start:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if free:
+                track = heapq.heappop(free)
+            else:
+                track, used = used, used + 1
+            heapq.heappush(busy, (end, track))
+            tracks.append(track)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tracks, pa.int32())], names=[*batch.schema.names, "track"])
+
+
 def label_tracks(spans: DataFrame) -> DataFrame:
-    """(example_idx, annotation_idx, start, end, track): the first track free at a span's start, spans taken by start.
+    """(example_idx, annotation_idx, start, end, track): the first track free at a span's start, spans taken by start, end and annotation.
 
-    An example's labels are those of one plot: they are gone through as one array.
+    A task goes through its spans in order and holds those that overlap where
+    it stands.  Spans without start or end are left out; null examples are one.
     """
-    span = F.struct("start", "end", "annotation_idx")
-    rows = spans.groupBy("example_idx").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-
-    def step(acc, x):
-        at = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(acc["free"])), lambda i: F.coalesce(F.get(acc["free"], i) <= x["start"], F.lit(True))), F.lit(0)), F.lit(0))
-        ends = F.transform(acc["free"], lambda e, i: F.when(i == at, x["end"]).otherwise(e))
-        free = F.when(at < F.size(acc["free"]), ends).otherwise(F.concat(acc["free"], F.array(x["end"])))
-        return F.struct(free.alias("free"), F.concat(acc["tracks"], F.array(at)).alias("tracks"))
-
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("free"), F.expr("cast(array() as array<int>)").alias("tracks"))
-    tracks = F.aggregate("spans", start, step, lambda acc: acc["tracks"])
-    each = rows.select("example_idx", F.explode(F.arrays_zip("spans", tracks.alias("tracks"))).alias("x"))
-    return each.select("example_idx", "x.spans.annotation_idx", "x.spans.start", "x.spans.end", F.col("x.tracks").alias("track"))
+    rows = spans.select("example_idx", "annotation_idx", "start", "end").where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    rows = rows.repartition("example_idx").sortWithinPartitions("example_idx", "start", "end", "annotation_idx")
+    return rows.mapInArrow(_stacker, T.StructType([*rows.schema.fields, T.StructField("track", T.IntegerType())]))
 
 
 def motif_heights(motifs: DataFrame, eps: float = 1e-7) -> DataFrame:

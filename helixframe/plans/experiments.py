@@ -64,12 +64,12 @@ def p02_marginalize(spark, sf_dir):
     FROM (SELECT a.example_idx, annotation_idx, "start", substring(k.seq, CAST("start" + 1 AS INT), CAST("end" - "start" AS INT)) AS m FROM annotations a JOIN kseqs k USING (example_idx)), backs)""",
     views.KSEQS,
     views.ANNOTATIONS,
-    "backs AS (SELECT example_idx AS background_idx, seq FROM kseqs WHERE example_idx < 5)",
+    views.BACKGROUNDS,
 )
 def p03_marginalize_annotations(spark, sf_dir):
-    """Each annotated span written into five backgrounds."""
+    """Each annotated span written into all backgrounds, one for each region."""
     seqs = views.kseqs(spark, sf_dir)
-    backs = seqs.where("example_idx < 5").withColumnRenamed("example_idx", "background_idx")
+    backs = views.backgrounds(spark, sf_dir)
     spans = views.annotations(spark, sf_dir).select("example_idx", "annotation_idx", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     out = perturb.marginalize_annotations(seqs, backs, spans, FUNC)
     return out.select(*[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("example_idx", "annotation_idx", "start")], "background_idx", "variant", "y")
@@ -303,7 +303,27 @@ def d02_greedy_round(spark, sf_dir):
     return design.greedy_round(views.kseqs(spark, sf_dir), models.COUNTER, design.highest(), ["ACG", "TTTA"])
 
 
-@query()
+def rounds_sql(n: int) -> list[str]:
+    """Tables r0 to rn of (example_idx, seq, loss): each sequence after so many greedy rounds."""
+    out = [f"r0 AS MATERIALIZED (SELECT example_idx, seq, 0.0::DOUBLE - CAST({z('seq')} AS DOUBLE) AS loss FROM kseqs)"]
+    for i in range(n):
+        edit = "substring(seq, 1, CAST(p AS INT)) || m || substring(seq, CAST(p + length(m) + 1 AS INT))"
+        out.append(f"""r{i + 1} AS MATERIALIZED (SELECT a.example_idx, CASE WHEN b.l < a.loss THEN b.e ELSE seq END AS seq, least(a.loss, b.l) AS loss FROM r{i} a JOIN
+    (SELECT example_idx, x.l AS l, x.e AS e FROM (SELECT example_idx, min({{'l': l, 'i': i, 'p': p, 'e': e}}) AS x FROM (SELECT example_idx, i, p, e, 0.0::DOUBLE - CAST({z('e')} AS DOUBLE) AS l FROM
+    (SELECT example_idx, i, p, {edit} AS e FROM r{i}, tries, generate_series(0, 61) AS t(p) WHERE p + length(m) <= 64)) GROUP BY example_idx)) b USING (example_idx))""")
+    return out
+
+
+def beams_sql(n: int) -> list[str]:
+    """Tables b0 to bn of (seq, loss): the four best after so many rounds of a beam."""
+    out = [f"b0 AS MATERIALIZED (SELECT seq, 0.0::DOUBLE - CAST({z('seq')} AS DOUBLE) AS loss FROM kseqs ORDER BY loss, example_idx LIMIT 4)"]
+    for i in range(n):
+        out.append(f"""b{i + 1} AS MATERIALIZED (SELECT seq, loss FROM (SELECT seq, min(l) AS loss, min({{'i': i, 'p': p}}) AS c FROM (SELECT seq, loss AS l, -1 AS i, -1 AS p FROM b{i} UNION ALL
+    SELECT e, 0.0::DOUBLE - CAST({z('e')} AS DOUBLE), i, p FROM (SELECT i, p, substring(seq, 1, CAST(p AS INT)) || m || substring(seq, CAST(p + length(m) + 1 AS INT)) AS e FROM b{i}, tries, generate_series(0, 61) AS t(p) WHERE p + length(m) <= 64)) GROUP BY seq) ORDER BY loss, c, seq LIMIT 4)""")
+    return out
+
+
+@query("SELECT example_idx, seq, loss FROM r3", views.KSEQS, TRIES, *rounds_sql(3))
 def d02_greedy_substitution(spark, sf_dir):
     """Three rounds."""
     return design.greedy_substitution(views.kseqs(spark, sf_dir), models.COUNTER, design.highest(), ["ACG", "TTTA"], max_iter=3)
@@ -321,7 +341,7 @@ def d03_beam_round(spark, sf_dir):
     return design.beam_round(views.kseqs(spark, sf_dir), models.COUNTER, design.highest(), 4, ["ACG", "TTTA"]).select("seq", "loss")
 
 
-@query()
+@query("SELECT seq, loss FROM b3 ORDER BY loss, seq LIMIT 1", views.KSEQS, TRIES, *beams_sql(3))
 def d03_beam_substitution(spark, sf_dir):
     """D3: a beam of four from the best screened sequences on."""
     best = design.screen(views.kseqs(spark, sf_dir), models.COUNTER, design.highest(), n_best=4)

@@ -26,13 +26,12 @@ def s02_fasta(spark, sf_dir):
     return readers.read_fasta(spark, path)
 
 
-@query("SELECT track AS name, chrom, pos, pos + 1 AS \"end\", value FROM signal WHERE track = 'click'", views.SIGNAL)
+@query('SELECT track, chrom, pos AS "start", pos + 1 AS "end", value FROM signal', views.SIGNAL)
 def s04_bedgraph(spark, sf_dir):
-    """A signal track by way of a bedGraph file."""
+    """All signal tracks by way of bedGraph files, a folder for each."""
     path = scratch(spark)
-    own = views.signal(spark, sf_dir).where("track = 'click'")
-    own.select("chrom", "pos", F.col("pos") + 1, "value").write.csv(path, sep="\t")
-    return readers.read_bedgraph(spark, path).select(F.lit("click").alias("name"), "chrom", F.col("start").alias("pos"), "end", "value")
+    views.signal(spark, sf_dir).select("track", "chrom", "pos", F.col("pos") + 1, "value").write.partitionBy("track").csv(path, sep="\t")
+    return readers.read_bedgraph(spark, path).select("track", "chrom", "start", "end", "value")
 
 
 PROBS = "greatest(0.001, round(abs(CAST(embedding[CAST(4 * p + {} AS INT)] AS DOUBLE)), 3))"

@@ -73,6 +73,12 @@ def f04_pwm_consensus(spark, sf_dir):
 ENTROPY = "SELECT motif_idx, pos, {} AS {} FROM (SELECT *, sum(w) OVER (PARTITION BY motif_idx, pos) AS s FROM motifs) GROUP BY motif_idx, pos"
 
 
+@query("SELECT motif_idx, string_agg(CASE WHEN total = 0 THEN 'N' ELSE substring('ACGT', CAST(c + 1 AS INT), 1) END, '' ORDER BY pos) AS seq FROM (SELECT motif_idx, pos, arg_max(char_idx, (w, -char_idx)) AS c, sum(w) AS total FROM motifs GROUP BY 1, 2) GROUP BY motif_idx", views.ATTR, MOTIFS)
+def f02_characters_of_weights(spark, sf_dir):
+    """the letters of greatest weight of all motifs, N where there is no weight."""
+    return encode.characters(motif_columns(spark, sf_dir), key="motif_idx", allow_n=True)
+
+
 @query(ENTROPY.format("round(CASE WHEN sum(w) = 0 THEN 0 ELSE -sum(CASE WHEN s = 0 THEN 0 ELSE w / s * log2(w / s + 1e-9) END) END, 6)", "entropy"), views.ATTR, MOTIFS)
 def f06_entropy(spark, sf_dir):
     """entropy of each motif column."""

@@ -314,12 +314,34 @@ def g06_gc_bins(spark, sf_dir):
     return match.gc_profile(views.tiles(spark, sf_dir), 0.1, 0.04).groupBy("gc_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: The quotas as a recursion over (bin from the highest down, distance, above before below).
+MATCHING = """targets AS (SELECT chrom, "start", "end", substring(g, CAST("start" + 43 + 1 AS BIGINT), 64) AS seq FROM zones JOIN sizes USING (chrom) JOIN genome USING (chrom) WHERE "start" + 43 >= 0 AND "start" + 107 <= size),
+shares AS (SELECT len(regexp_extract_all(seq, 'N')) / 64.0::DOUBLE AS n, len(regexp_extract_all(seq, '[GC]')) / 64.0::DOUBLE + 0.02::DOUBLE AS x FROM targets),
+wanted AS (SELECT CAST(round((x - x % 0.04::DOUBLE) / 0.04::DOUBLE) AS INT) AS b, count(*) AS n FROM shares WHERE n < 0.1 GROUP BY 1),
+touched AS (SELECT DISTINCT chrom, t * 64 AS tile_start FROM targets, unnest(generate_series("start" // 64, "end" // 64)) AS s(t)),
+free AS (SELECT chrom, tile_start, gc_bin, row_number() OVER (PARTITION BY gc_bin ORDER BY md5('0:' || chrom || ':' || tile_start), chrom, tile_start) AS rn FROM bins
+  WHERE n <= 0.1 AND chrom IN (SELECT chrom FROM targets) AND NOT EXISTS (SELECT 1 FROM touched t WHERE t.chrom = bins.chrom AND t.tile_start = bins.tile_start)),
+have AS (SELECT gc_bin AS b, count(*) AS n FROM free GROUP BY 1),
+grid AS (SELECT list(least(coalesce(w.n, 0), coalesce(h.n, 0)) ORDER BY i) AS take, list(coalesce(h.n, 0) - least(coalesce(w.n, 0), coalesce(h.n, 0)) ORDER BY i) AS spare, list(coalesce(w.n, 0) - least(coalesce(w.n, 0), coalesce(h.n, 0)) ORDER BY i) AS need
+  FROM range(26) r(i) LEFT JOIN wanted w ON w.b = i LEFT JOIN have h ON h.b = i),
+steps AS (SELECT row_number() OVER (ORDER BY b DESC, d, sign DESC) AS k, b + 1 AS b, b + d * sign + 1 AS other FROM range(26) x(b), range(1, 26) y(d), (VALUES (1), (-1)) z(sign)),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT 0::BIGINT AS k, take, spare, need FROM grid
+    UNION ALL
+    SELECT s.k, list_transform(take, lambda x, i: CASE WHEN i = other THEN x + m ELSE x END), list_transform(spare, lambda x, i: CASE WHEN i = other THEN x - m ELSE x END), list_transform(need, lambda x, i: CASE WHEN i = s.b THEN x - m ELSE x END)
+    FROM w JOIN steps s ON s.k = w.k + 1, LATERAL (SELECT CASE WHEN other BETWEEN 1 AND 26 THEN least(need[s.b], spare[other]) ELSE 0 END AS m) l)
+  SELECT take FROM w ORDER BY k DESC LIMIT 1)"""
+
+
+@query('SELECT chrom, tile_start AS "start", tile_start + 64 AS "end", gc_bin FROM free, walk WHERE rn <= take[gc_bin + 1]', views.TILES, views.ZONES, GENOME, BINS, MATCHING)
 def g07_matching_loci(spark, sf_dir):
-    """Background tiles with the GC histogram of every eleventh tile, none of them touched."""
+    """Background tiles with the GC histogram of windows around all zones, none of them touched."""
     tiles = views.tiles(spark, sf_dir).select("chrom", F.col("tile_start").alias("start"), (F.col("tile_start") + views.TILE).alias("end"), "seq")
-    targets = tiles.where(F.col("start") / views.TILE % 11 == 0)
-    return match.matching_loci(checkpointed(targets), tiles, width=0.04)
+    zones = views.zones(spark, sf_dir).withColumn("locus_idx", F.concat_ws(":", "chrom", "start"))
+    around = loci.extract_loci(zones, views.tiles(spark, sf_dir), views.sizes(spark, sf_dir), tile=views.TILE, in_window=views.TILE)
+    targets = checkpointed(zones.join(around.select("locus_idx", "seq"), "locus_idx").select("chrom", "start", "end", "seq"))
+    return match.matching_loci(targets, tiles, width=0.04)
 
 
 @query(
@@ -353,7 +375,17 @@ def x03_strongest_letter(spark, sf_dir):
     return plotdata.strongest_letter(rows)
 
 
-@query()
+@query(
+    """SELECT example_idx, annotation_idx, "start", "end", track FROM (
+    WITH RECURSIVE w AS (
+      SELECT example_idx, r, annotation_idx, "start", "end", ["end"] AS ends, 0 AS track FROM rows_ WHERE r = 1
+      UNION ALL
+      SELECT x.example_idx, x.r, x.annotation_idx, x."start", x."end", CASE WHEN spot > len(ends) THEN list_append(ends, x."end") ELSE list_transform(ends, lambda e, i: CASE WHEN i = spot THEN x."end" ELSE e END) END, CAST(spot - 1 AS INT)
+      FROM w JOIN rows_ x ON x.example_idx = w.example_idx AND x.r = w.r + 1, LATERAL (SELECT coalesce(list_position(list_transform(ends, lambda e: e <= x."start"), true), len(ends) + 1) AS spot) l)
+    SELECT * FROM w)""",
+    views.ANNOTATIONS,
+    ROWS,
+)
 def x06_label_tracks(spark, sf_dir):
     """Tracks for labels so that none overlap."""
     return plotdata.label_tracks(views.annotations(spark, sf_dir))

@@ -26,6 +26,13 @@ def kseqs(spark: SparkSession, sf_dir: str, letters: str = LETTERS) -> DataFrame
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_idx"), F.translate(digest, HEX, letters).alias("seq"))
 
 
+def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """background_idx, seq: 64 letters from hashes of each region's key."""
+    key = F.col("r_regionkey").cast("string")
+    digest = F.concat(F.md5(F.concat(F.lit("c:"), key)), F.md5(F.concat(F.lit("d:"), key)))
+    return read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("background_idx"), F.translate(digest, HEX, LETTERS).alias("seq"))
+
+
 def nseqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kseqs(spark, sf_dir, WITH_N)
 
@@ -105,6 +112,7 @@ def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOC_SEQS = "doc_seqs AS (SELECT doc_id AS example_idx, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 KSEQS = f"kseqs AS (SELECT p_partkey AS example_idx, translate(md5('a:' || p_partkey) || md5('b:' || p_partkey), '{HEX}', '{LETTERS}') AS seq FROM part)"
+BACKGROUNDS = f"backs AS (SELECT r_regionkey AS background_idx, translate(md5('c:' || r_regionkey) || md5('d:' || r_regionkey), '{HEX}', '{LETTERS}') AS seq FROM region)"
 NSEQS = f"nseqs AS (SELECT p_partkey AS example_idx, translate(md5('a:' || p_partkey) || md5('b:' || p_partkey), '{HEX}', '{WITH_N}') AS seq FROM part)"
 TILES = f"{NSEQS}, tiles AS (SELECT 'chr' || (example_idx % 7) AS chrom, CAST(example_idx // 7 * {TILE} AS BIGINT) AS tile_start, seq FROM nseqs), sizes AS (SELECT chrom, max(tile_start) + {TILE} AS size FROM tiles GROUP BY chrom)"
 LOCI = f"""loci AS (SELECT locus_idx, x.chrom AS chrom, x."start" AS "start", x."end" AS "end" FROM (SELECT locus_idx, min({{'chrom': chrom, 'start': "start", 'end': "end"}}) AS x FROM (

@@ -52,7 +52,7 @@ def segment_search(q: Side, c: Side, k: int) -> tuple[np.ndarray, np.ndarray, np
             floor[i] = max(floor[i], (c.v[left[some]] @ q.v[i]).min())
         left = left[bound >= floor[i] - slack[i]]
         scores = c.v[left] @ q.v[i]
-        keep = scores >= floor[i]
+        keep = scores >= floor[i] - slack[i]
         left, scores = left[keep], scores[keep]
         first = blocks.firsts(scores, c.id[left], k)
         out.append((i, left[first], scores[first]))

@@ -10,7 +10,7 @@ import pytest
 from helixframe.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region customer supplier part orders lineitem events documents embeddings".split()
 
 
 def plain(frame):

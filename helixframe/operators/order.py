@@ -32,6 +32,24 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+#: A table that Spark reads as one task, as Parquet's row groups are up to that size.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys over the session's cores, if by its plan's statistics it is smaller than a row group; else, and if it's a stream, df itself.
+
+    For rows that are cheap to send and costly to work on: a small table is
+    one row group, so one task would do all that follows up to the first
+    shuffle.  Groups of the same keys are then where they belong already.
+    Larger tables have splits enough, and are not shuffled for that.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size < ROW_GROUP else df
+
+
 def _dealt(df: DataFrame, *order: str) -> DataFrame:
     """df dealt out by range and sorted; rows that tie are parted by chance, so that many of them are no single task."""
     return df.withColumn("__by_chance", F.rand(7)).repartitionByRange(*order, "__by_chance").sortWithinPartitions(*order, "__by_chance").drop("__by_chance")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.order import spread
+
 HEX, LETTERS, WITH_N = "0123456789abcdef", "ACGTACGTACGTACGT", "NCGTACGTACGTACGT"
 TILE = 64
 
@@ -15,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def doc_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_idx, lang, seq: the letters A, C, G and T of each document."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return docs.select(F.col("doc_id").alias("example_idx"), "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
@@ -23,7 +25,8 @@ def kseqs(spark: SparkSession, sf_dir: str, letters: str = LETTERS) -> DataFrame
     """example_idx, seq: 64 letters from hashes of each part's key; with N for one hex digit if letters say so."""
     key = F.col("p_partkey").cast("string")
     digest = F.concat(F.md5(F.concat(F.lit("a:"), key)), F.md5(F.concat(F.lit("b:"), key)))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_idx"), F.translate(digest, HEX, letters).alias("seq"))
+    parts = spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("example_idx"), F.translate(digest, HEX, letters).alias("seq"))
 
 
 def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_idx, values: attribution tracks of 64 values, in whole thousandths."""
-    e = read(spark, sf_dir, "embeddings")
+    e = spread(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     return e.select(F.col("vec_id").cast("long").alias("example_idx"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000) + F.lit(0.0)).alias("values"))
 
 

@@ -157,6 +157,9 @@ def extract(
     n_loci: only the first so many by key that pass; no more loci are looked at
     than that takes, but for the last range of keys, and the mask ends with the
     last one.  Loci without a chromosome, start or end don't pass.
+
+    With zones or bounds on counts, the loci that passed are worked out at once
+    and kept in the shared folder, as all that follows starts from them.
     """
     half = max(in_window // 2, out_window // 2 if signals is not None or in_signals is not None else 0)
     if (min_counts is not None or max_counts is not None) and not (signals is not None and tracks):
@@ -169,12 +172,15 @@ def extract(
             spans = some.select(key, "chrom", (mid - half - jitter).alias("start"), (mid + half + jitter).alias("end"))
             some = some.join(exclude(spans, zones).select(key), key, "left_semi")
         if min_counts is not None or max_counts is not None:
+            some = checkpointed(some)  # sums look at the windows several times
             totals = signal.interval_sums(window(some, out_window + 2 * jitter), signals, [tracks[target]], key=key)
             some = count_filter(some, totals, tracks[target], min_counts, max_counts, key=key)
         return some
 
     if n_loci is None:
         kept, seen = keep(df), df
+        if zones is not None or min_counts is not None or max_counts is not None:
+            kept = checkpointed(kept)  # sequences, each kind of signal and the mask start from it
     else:
         kept, last = passing(df, keep, n_loci, key=key)
         seen = df.where(F.col(key) <= last) if last is not None else df

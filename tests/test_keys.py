@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import attribution, design, edits, match, models, perturb, windows
+from helixframe.operators import attribution, design, edits, match, models, order, perturb, windows
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,17 @@ def test_matching_takes_whole_quota(spark, monkeypatch, cell):
     assert abs(match.signal_limit(targets, loud, share=0.0, beta=2.0) - 2.0) < 1e-12
     quiet = match.matching_loci(targets, tiles, width=0.05, signal=loud, signal_share=0.0, signal_beta=2.0).collect()
     assert quiet and all(x["start"] // 20 % 3 == 0 for x in quiet)
+
+
+def test_small_tables_are_dealt_by_key_and_large_ones_stay(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id % 50 AS k", "id AS v")
+    dealt = order.spread(rows, "k")
+    where = dealt.select("k", F.spark_partition_id().alias("p")).distinct()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
+    assert where.count() == 50 and where.select("p").distinct().count() > 1
+    # Groups of the key need no other shuffle.
+    assert dealt.groupBy("k").count()._jdf.queryExecution().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(order, "ROW_GROUP", 100)
+    assert order.spread(rows, "k") is rows
+    stream = spark.readStream.format("rate").load()
+    assert order.spread(stream, "value") is stream

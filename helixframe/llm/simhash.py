@@ -27,7 +27,7 @@ from helixframe.llm.graph import components
 SEGMENTS, WIDTH = 8, 8
 #: Distinct fingerprints under one key that are compared pair by pair; larger keys are linked through common neighbours.
 PAIRWISE = 64
-#: Blocks of minima and minima in each, for similarities too low for exact segments: a pair of similarity 0.8 shares none in 0.04 % of cases.
+#: Blocks of minima and minima in each, for similar texts whose fingerprints differ in more bits than chains link: a pair of similarity 0.8 shares none in 0.04 % of cases.
 BLOCKS, MINIMA = 20, 5
 #: Different texts of a block that are compared pair by pair; in larger blocks each is first compared with hubs.
 FAMILY, HUBS = 16, 8
@@ -119,12 +119,13 @@ def chain_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def chain_holds(a: Column, b: Column, start: Column, bits: int) -> Column:
+def chain_holds(a: Column, b: Column, start: Column | int, bits: int) -> Column:
     """Whether the chain from that segment keeps its proportional budgets at every length."""
     diff = a.bitwiseXOR(b)
-    x = F.lit(None).cast("long")
-    for i in range(SEGMENTS):
-        x = F.when(start == i, _turned(diff, i)).otherwise(x)
+    if isinstance(start, int):
+        x = _turned(diff, start)
+    else:  # shifts by 64 bits are none
+        x = F.call_function("shiftrightunsigned", diff, start * WIDTH).bitwiseOR(F.call_function("shiftleft", diff, 64 - start * WIDTH))
     ok = F.lit(True)
     for length in range(1, SEGMENTS + 1):
         ok = ok & (F.bit_count(_low(x, length)) <= length * bits // SEGMENTS)
@@ -178,7 +179,7 @@ def op6_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Similarity of word shingles: candidates that share a block of minima, sizes and exact check.
+# Similarity of word shingles: candidates that chains link, then those that share a block of minima; sizes and exact check.
 
 _TURNS = tx.mix(np.arange(1, BLOCKS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -343,11 +344,22 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.where(fit & (F.col("same") != F.col("x.same"))).select(F.least("same", "x.same").alias("a"), F.greatest("same", "x.same").alias("b")).distinct()
 
 
+def chain_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts (same, fp, n) that the chains of their fingerprints link, and whose sizes let them be similar.
+
+    Texts of one fingerprint meet the least of them, which stands for all in links.
+    """
+    least = cut(nodes.groupBy("fp").agg(F.min_by(F.struct("same", "n"), "same").alias("x")))
+    equal = nodes.join(least, "fp").select("same", "n", "x")
+    ends = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("x").alias("own")), "a").join(least.select(F.col("fp").alias("b"), "x"), "b")
+    return _pairs(equal.union(ends.select("own.same", "own.n", "x")), similarity)
+
+
 def _any_chain(a: Column, b: Column, bits: int) -> Column:
     """Whether fingerprints differ in at most so many bits and a chain from some segment keeps its proportional budgets."""
     out = F.lit(False)
     for i in range(SEGMENTS):
-        out = out | chain_holds(a, b, F.lit(i), bits)
+        out = out | chain_holds(a, b, i, bits)
     return out & (F.bit_count(a.bitwiseXOR(b)) <= bits)
 
 
@@ -367,10 +379,12 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(k1, k2, id, same, root): a row for each row of docs, with its key, its text's hash, and the group of near-duplicates.
 
     Texts are grouped by Jaccard similarity of their sets of k-word shingles.
-    At such a similarity fingerprints differ in up to a quarter of their 64
-    bits, of which no exact segment is a usable key.  Candidates share one of
-    BLOCKS blocks of MINIMA minima of the shingle hashes instead; those whose
-    numbers of different shingles allow the similarity are compared exactly.
+    Candidates are texts whose fingerprints the pigeonring chains link, as in
+    simhash_components; those whose numbers of different shingles allow the
+    similarity are compared exactly.  Similar texts may differ in up to a
+    quarter of the 64 bits, of which no exact segment is a usable key.  For
+    those beyond the chains' two bits candidates also share one of BLOCKS
+    blocks of MINIMA minima of the shingle hashes.
 
     In a block of up to FAMILY different texts all pairs are compared.  In a
     larger one each text is first compared with HUBS texts of the block, of
@@ -391,13 +405,15 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Kept apart from the join below, so that adaptive execution can split a hot block there.
     hubs = cut(many.groupBy("block").agg(F.array_distinct(F.array(*[F.min_by(other, F.xxhash64(F.lit(i), "same")) for i in range(HUBS)])).alias("hubs")))
 
-    wanted = blocks.select("same").distinct().join(nodes.select("same", "k1", "k2"), "same")
+    chained = cut(chain_pairs(nodes.select("same", "fp", "n"), similarity))
+    wanted = blocks.select("same").union(chained.select("a")).union(chained.select("b")).distinct().join(nodes.select("same", "k1", "k2"), "same")
     texts = rows.select("k1", "k2", "text").join(few(wanted), ["k1", "k2"]).select("same", "text")
     sets = cut(texts.mapInArrow(_shingler(k), "same long, shingles binary").dropDuplicates(["same"]))
 
     near = small.select("block", "same", "n").join(small.select("block", other.alias("x")), "block").where("same < x.same")
     far = many.join(hubs, "block").select("same", "fp", "n", F.explode("hubs").alias("x")).where(_any_chain(F.col("fp"), F.col("x.fp"), BITS))
-    found = _similar(_pairs(near.select("same", "n", "x").union(far.select("same", "n", "x")), similarity), sets, similarity)
+    others = _pairs(near.select("same", "n", "x").union(far.select("same", "n", "x")), similarity)
+    found = _similar(chained.union(others).distinct(), sets, similarity)
     roots = cut(components(found))
     rest = _apart(many, roots, sets, similarity)
     if not rest.isEmpty():

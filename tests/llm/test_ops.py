@@ -535,6 +535,28 @@ def test_near_duplicates_branching_family(spark, second=15):
     assert set(got.values()) == {0}
 
 
+def test_near_duplicates_by_chains(spark, monkeypatch):
+    """Similar texts whose fingerprints differ in two bits or fewer are found by the pigeonring chains alone: here no two share a block of minima."""
+    monkeypatch.setattr(simhash, "BLOCKS", 1)
+    monkeypatch.setattr(simhash, "MINIMA", 2000)
+    monkeypatch.setattr(simhash, "_TURNS", text.mix(np.arange(1, 2001, dtype=np.uint64)) | np.uint64(1))
+    r = random.Random(5)
+    texts = []
+    for i in range(40):
+        w = [f"w{i}x{r.randrange(3000)}" for _ in range(600)]
+        texts += [" ".join(w), " ".join([*w[:300], f"new{i}", *w[301:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["group"] for x in simhash.near_duplicates(docs).collect()}
+    fp = []
+    for t in texts:
+        w = t.split()
+        h = [xxhash.xxh64_intdigest(" ".join(w[j : j + 5]).encode(), 42) for j in range(len(w) - 4)]
+        fp.append(sum((sum(x >> b & 1 for x in set(h)) * 2 > len(set(h))) << b for b in range(64)))
+    linked = [i for i in range(0, 80, 2) if (fp[i] ^ fp[i + 1]).bit_count() <= 2]
+    assert len(linked) >= 8
+    assert [i for i in range(0, 80, 2) if got[i] == got[i + 1]] == linked
+
+
 def test_rows_are_rows(spark, odd, none):
     """A text that shares its id with another stays; of rows equal in every column one stays; clashing names and ids of any type are fine."""
     texts = {"w": " ".join(f"w{i}" for i in range(40)), "u": " ".join(f"u{i}" for i in range(40)), "x": " ".join(f"x{i}" for i in range(40))}

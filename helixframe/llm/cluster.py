@@ -56,6 +56,12 @@ def new_table(spark: SparkSession, name: str) -> str:
     return f"{parent}/table"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, or a part of one, that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -19,7 +19,7 @@ piece has all that its texts need but the backoff weights.  As
 
 pieces add up what weights need of each context from their own occurrences, and
 parts add those sums up; contexts are asked for by the texts that back off from
-them.  So no n-gram, word or context, however frequent, has more than one entry
+them.  A piece is scored once, whatever ranges the weights come in.  So no n-gram, word or context, however frequent, has more than one entry
 a piece, and nothing but a few figures of the corpus reaches the driver.
 """
 
@@ -35,15 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
-from helixframe.llm.cluster import freed_shuffles, new_table
+from helixframe.llm.cluster import drop_table, freed_shuffles, new_table
 
 ORDER = 3
 #: Tokens for each part; a part holds at most that many entries of each order.
 GROUP_TOKENS = 2_000_000
 #: Text of a piece, bytes.
 PIECE = 8 << 20
-#: Ranges of keys that are counted, and weighed, one after the other, so that shuffles hold one range at a time.
-COUNT_ROUNDS, WEIGHT_ROUNDS = 4, 4
+#: Ranges of keys that are counted, and weighed, one after the other, so that shuffles hold one range at a time; slices of the pieces that are scored one after the other.
+COUNT_ROUNDS, WEIGHT_ROUNDS, SLICES = 4, 4, 4
+#: Entries of a part that are sorted at once.
+ENTRIES = 500_000
 #: Largest discounted count.
 K = 5
 END = np.uint64(0x0123456789ABCDEF)
@@ -52,7 +54,7 @@ BEGIN = np.uint64(0xFEDCBA9876543210)
 LEVEL = np.uint64(7)
 _PIECE = "uid long, ids array<long>, held array<boolean>, sizes array<long>, words binary, stream binary"
 _PART = "kind string, part int, uid long, keys binary, count binary, x binary, y binary, stat array<long>"
-_DOCS = "ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, event_doc binary, event_at binary, event_n binary"
+_DOCS = "turn int, ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, event_doc binary, event_at binary, event_n binary"
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -219,28 +221,44 @@ def _send(order: int, parts: int, turn: int) -> Callable:
     return run
 
 
-def _count(order: int) -> Callable:
+def _cuts(part: int, parts: int, each: list[np.ndarray], entries: int) -> np.ndarray:
+    """Places [lists, ranges + 1] at which ranges of a part's keys, of so many entries in all lists, begin in each sorted list."""
+    ranges = max(1, -(-sum(map(len, each)) // entries))
+    low, high = (-(-(p << 32) // parts) << 32 for p in (part, part + 1))
+    edges = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    return np.array([[0, *np.searchsorted(x, edges), len(x)] for x in each]).reshape(len(each), ranges + 1)
+
+
+def _count(order: int, parts: int, entries: int) -> Callable:
     """One part: the counts of its n-grams, how many have each small count, and each piece's answer."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.select(["part", "uid", "keys", "count"]).to_pylist()
+        part = rows[0]["part"]
         each = [unpack_sorted(r["keys"]) for r in rows]
-        count = np.concatenate([unpack(r["count"], np.int64) for r in rows])
-        ends = np.cumsum([len(x) for x in each])
-        keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        del each
-        total = np.bincount(inverse, count >> 1, len(keys)).astype(np.int64)
-        asked = np.bincount(inverse, count & 1, len(keys)) > 0
-        trained = total > 0
-        level, own = (keys[trained] & LEVEL).astype(np.int64), total[trained]
+        count = [np.array(unpack(r["count"], np.int64)) for r in rows]  # and, range by range, the answer
+        cuts = _cuts(part, parts, each, entries)
         stat = np.zeros((order, K + 3), np.int64)
-        np.add.at(stat, (level - 1, np.minimum(own, K + 2) - 1), 1)
-        stat[:, K + 1] = np.bincount(level, minlength=order + 1)[1:]
-        stat[:, K + 2] = np.bincount(level, own, order + 1)[1:].astype(np.int64)
-        answer = (total * 2 + asked)[inverse]
-        part = rows[0]["part"]
-        out = [{"kind": "ngrams", "part": part, "uid": 0, "keys": pack_sorted(keys[trained]), "count": pack(own), "stat": stat.reshape(-1).tolist()}]
-        out += [{"kind": "answer", "part": part, "uid": r["uid"], "count": pack(answer[b - int(a) : b])} for r, a, b in zip(rows, np.diff(ends, prepend=0), ends.tolist(), strict=True)]
+        found = []
+        for a, b in zip(cuts.T[:-1].tolist(), cuts.T[1:].tolist(), strict=True):
+            keys, inverse = np.unique(np.concatenate([x[i:j] for x, i, j in zip(each, a, b, strict=True)]), return_inverse=True)
+            own = np.concatenate([x[i:j] for x, i, j in zip(count, a, b, strict=True)])
+            total = np.bincount(inverse, own >> 1, len(keys)).astype(np.int64)
+            asked = np.bincount(inverse, own & 1, len(keys)) > 0
+            answer, at = (total * 2 + asked)[inverse], 0
+            for x, i, j in zip(count, a, b, strict=True):
+                x[i:j] = answer[at : at + j - i]
+                at += j - i
+            trained = total > 0
+            level, own = (keys[trained] & LEVEL).astype(np.int64), total[trained]
+            small = own <= K + 1
+            np.add.at(stat, (level[small] - 1, own[small] - 1), 1)
+            stat[:, K + 1] += np.bincount(level, minlength=order + 1)[1:]
+            stat[:, K + 2] += np.bincount(level, own, order + 1)[1:].astype(np.int64)
+            found.append((keys[trained], own))
+        keys, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = [{"kind": "ngrams", "part": part, "uid": 0, "keys": pack_sorted(keys), "count": pack(own), "stat": stat.reshape(-1).tolist()}]
+        out += [{"kind": "answer", "part": part, "uid": r["uid"], "count": pack(x)} for r, x in zip(rows, count, strict=True)]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -268,8 +286,8 @@ class Model:
         return np.where(r > 0, self.factor(1, r) * r / (self.tokens + 1), self.unknown)
 
 
-def _score(model: Model, turn: int) -> Callable:
-    """One piece: its texts' sums without backoff weights (in the first round); what it gives to the weights of one range of contexts; the contexts it asks for there."""
+def _score(model: Model) -> Callable:
+    """One piece: its texts' sums without backoff weights (turn -1); by range of contexts, what it gives to their weights and the contexts it asks for."""
     begins = _begins(model.order)
 
     def run(table: pa.Table) -> pa.Table:
@@ -278,22 +296,24 @@ def _score(model: Model, turn: int) -> Callable:
         grams, learn = _read(row, model.order)
         n_docs, doc = len(row["sizes"]), grams.doc
         answers = table.filter(table.column("part").is_valid()).select(["part", "count"]).to_pylist()
-        answer = np.concatenate([unpack(a["count"], np.int64) for a in sorted(answers, key=lambda a: a["part"])])
-        del answers
-        order = np.argsort(grams.keys.reshape(-1))
-        ordered = grams.keys.reshape(-1)[order]
-        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        if len(begin) != len(answer):
-            raise RuntimeError("counts of a piece are incomplete")
-        times = np.diff(begin, append=len(ordered))
-        del ordered, begin
-        r, asked = np.empty(len(order), np.int64), np.empty(len(order), bool)
-        r[order], asked[order] = np.repeat(answer >> 1, times), np.repeat((answer & 1).astype(bool), times)
+        answers.sort(key=lambda a: a["part"])
+        keys = grams.keys.reshape(-1)
+        r, asked = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+        for turn in range(COUNT_ROUNDS):
+            order = _in_turn(keys, model.parts, turn, COUNT_ROUNDS)
+            order = order[np.argsort(keys[order])]
+            ordered = keys[order]
+            begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+            answer = np.concatenate([np.zeros(0, np.int64), *[unpack(a["count"], np.int64) for a in answers if a["part"] * COUNT_ROUNDS // model.parts == turn]])
+            if len(begin) != len(answer):
+                raise RuntimeError("counts of a piece are incomplete")
+            times = np.diff(begin, append=len(ordered))
+            r[order], asked[order] = np.repeat(answer >> 1, times), np.repeat((answer & 1).astype(bool), times)
+        del answers, order, ordered, begin, answer, times
         r, asked = r.reshape(model.order, -1), asked.reshape(model.order, -1)
-        del order, answer, times
         n = [None, None, *[grams.of_context(r, k, model.texts) for k in range(2, model.order + 1)]]
         amount, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
-        events, gives = [], []
+        events, givers = [], []
         for k in range(model.order, 1, -1):
             hit = np.flatnonzero(open_ & (r[k - 1] > 0))
             amount[hit] = np.log10(model.seen(k, r[k - 1][hit], n[k][hit]))
@@ -302,66 +322,82 @@ def _score(model: Model, turn: int) -> Callable:
             back = np.flatnonzero(open_ & (n[k] > 0))
             events.append((doc[back], context[back], n[k][back], np.full(len(back), model.tokens) if k == 2 else n[k - 1][back]))
             give = np.flatnonzero(learn & grams.of_context(asked, k, True))
-            give = give[_in_turn(context[give], model.parts, turn, WEIGHT_ROUNDS)]
-            low = r[k - 2][give]
-            gives.append((context[give], model.factor(k, r[k - 1][give]), model.factor(k - 1, low) * low / r[k - 1][give]))
+            givers.append((k, give, context[give]))
+        del n, asked
         amount[open_] = np.log10(model.seen(1, r[0][open_], None))
         base = np.log10((r[0] + 1.0) / (model.tokens + model.vocabulary + 1.0))
         out = []
-        if gives:
+        for turn in range(WEIGHT_ROUNDS if givers else 0):
+            gives = []
+            for k, give, context in givers:
+                some = _in_turn(context, model.parts, turn, WEIGHT_ROUNDS)
+                high, low = r[k - 1][give[some]], r[k - 2][give[some]]
+                gives.append((context[some], model.factor(k, high), model.factor(k - 1, low) * low / high))
             keys, x, y = (np.concatenate(c) for c in zip(*gives, strict=True))
             keys, inverse = np.unique(keys, return_inverse=True)
             x, y = np.bincount(inverse, x, len(keys)), np.bincount(inverse, y, len(keys))
-            out += [{"kind": "give", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "x": pack_few(x[a:b]), "y": pack_few(y[a:b])} for p, a, b in _parts_of(keys, model.parts)]
+            out += [{"kind": "give", "turn": turn, "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "x": pack_few(x[a:b]), "y": pack_few(y[a:b])} for p, a, b in _parts_of(keys, model.parts)]
         e_doc, e_key, e_n, e_low = (np.concatenate(c) for c in zip(*events, strict=True)) if events else (np.zeros(0, np.int64),) * 4
         keys, at, inverse = np.unique(e_key.astype(np.uint64), return_index=True, return_inverse=True)
-        asks = [(p, a, b) for p, a, b in _parts_of(keys, model.parts) if p * WEIGHT_ROUNDS // model.parts == turn]
-        out += [{"kind": "ask", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(e_n[at[a:b]].astype(np.int64)), "x": pack(e_low[at[a:b]].astype(np.int64))} for p, a, b in asks]
+        asks = [(p, a, b) for p, a, b in _parts_of(keys, model.parts)]
+        out += [{"kind": "ask", "turn": p * WEIGHT_ROUNDS // model.parts, "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(e_n[at[a:b]].astype(np.int64)), "x": pack(e_low[at[a:b]].astype(np.int64))} for p, a, b in asks]
         pair, times = np.unique(e_doc * max(len(keys), 1) + inverse, return_counts=True)
         own = {
             "ids": row["ids"], "held": row["held"], "sizes": row["sizes"],
             "known": np.bincount(doc, r[0] > 0, n_docs).astype(np.int64).tolist(), "base": np.bincount(doc, base, n_docs).tolist(), "score": np.bincount(doc, amount, n_docs).tolist(),
             "event_doc": pack_sorted(pair // max(len(keys), 1)), "event_at": pack(pair % max(len(keys), 1)), "event_n": pack(times),
         }
-        texts = [{"kind": "texts", "uid": row["uid"], "part": row["uid"] % model.parts} | own] if turn == 0 else []
-        return _with_texts(texts + out)
+        return _with_texts([{"kind": "texts", "turn": -1, "uid": row["uid"]} | own, *out])
 
     return run
 
 
 def _with_texts(rows: list[dict]) -> pa.Table:
     """Rows of parts and of texts."""
-    kinds = dict(zip("ids held sizes known base score event_doc event_at event_n".split(), [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 3], strict=True))
+    kinds = dict(zip("turn ids held sizes known base score event_doc event_at event_n".split(), [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 3], strict=True))
     first = _rows(rows)
     return pa.Table.from_arrays([*first.columns, *[pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()]], names=[*first.schema.names, *kinds])
 
 
-def _weigh(table: pa.Table) -> pa.Table:
-    """One part: the weights of contexts that some text asks for, and each piece's answer; texts pass through."""
-    texts = table.filter(pa.array([k == "texts" for k in table.column("kind").to_pylist()], pa.bool_()))
-    rows = sorted(table.select(["kind", "part", "uid", "keys", "count", "x", "y"]).to_pylist(), key=lambda r: r["uid"])
-    asks = [r for r in rows if r["kind"] == "ask"]
-    gives = [r for r in rows if r["kind"] == "give"]
-    if not asks:
-        return texts
-    keys, inverse = np.unique(np.concatenate([unpack_sorted(r["keys"]) for r in gives]), return_inverse=True)
-    x = np.bincount(inverse, np.concatenate([unpack_few(r["x"], np.float64) for r in gives]), len(keys))
-    y = np.bincount(inverse, np.concatenate([unpack_few(r["y"], np.float64) for r in gives]), len(keys))
-    alpha, n, low = np.ones(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    wanted = []
-    for r in asks:
-        own = unpack_sorted(r["keys"])
-        at = np.searchsorted(keys, own)
-        if (keys[np.minimum(at, len(keys) - 1)] != own).any():
-            raise RuntimeError("sums of a context are missing")
-        n[at], low[at] = unpack(r["count"], np.int64), unpack(r["x"], np.int64)
-        wanted.append(at)
-    used = np.flatnonzero(n)
-    alpha[used] = (1 - x[used] / (n[used] + 1.0)) / np.maximum(1 - y[used] / (low[used] + 1.0), 1e-12)
-    part = rows[0]["part"]
-    out = [{"kind": "weights", "part": part, "uid": 0, "keys": pack_sorted(keys[used]), "x": pack(alpha[used])}]
-    out += [{"kind": "answer", "part": part, "uid": r["uid"], "x": pack(np.log10(alpha[at]))} for r, at in zip(asks, wanted, strict=True)]
-    return pa.concat_tables([texts, _with_texts(out).cast(texts.schema)])
+def _weigh(parts: int, entries: int) -> Callable:
+    """One part: the weights of contexts that some text asks for, and each piece's answer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["kind", "part", "uid", "keys", "count", "x", "y"]).to_pylist(), key=lambda r: r["uid"])
+        asks = [r for r in rows if r["kind"] == "ask"]
+        if not asks:
+            return pa.Table.from_batches([_rows([])])
+        part, gives = rows[0]["part"], [r for r in rows if r["kind"] == "give"]
+        given, gx, gy = [unpack_sorted(r["keys"]) for r in gives], [unpack_few(r["x"], np.float64) for r in gives], [unpack_few(r["y"], np.float64) for r in gives]
+        asked, an, al = [unpack_sorted(r["keys"]) for r in asks], [unpack(r["count"], np.int64) for r in asks], [unpack(r["x"], np.int64) for r in asks]
+        cuts = _cuts(part, parts, [*given, *asked], entries)
+        logs, found = [np.empty(len(x)) for x in asked], []
+        for a, b in zip(cuts.T[:-1].tolist(), cuts.T[1:].tolist(), strict=True):
+            at = list(zip(a, b, strict=True))
+            own, wants = at[: len(given)], at[len(given) :]
+            some = lambda of: np.concatenate([x[i:j] for x, (i, j) in zip(of, own, strict=True)])  # noqa: B023, E731
+            keys, inverse = np.unique(some(given), return_inverse=True)
+            x, y = np.bincount(inverse, some(gx), len(keys)), np.bincount(inverse, some(gy), len(keys))
+            n, low = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            places = []
+            for want, count, lower, (i, j) in zip(asked, an, al, wants, strict=True):
+                place = np.searchsorted(keys, want[i:j])
+                if (place == len(keys)).any() or (keys[place] != want[i:j]).any():
+                    raise RuntimeError("sums of a context are missing")
+                n[place], low[place] = count[i:j], lower[i:j]
+                places.append(place)
+            used = np.flatnonzero(n)
+            alpha = np.ones(len(keys))
+            alpha[used] = (1 - x[used] / (n[used] + 1.0)) / np.maximum(1 - y[used] / (low[used] + 1.0), 1e-12)
+            for log, place, (i, j) in zip(logs, places, wants, strict=True):
+                log[i:j] = np.log10(alpha[place])
+            found.append((keys[used], alpha[used]))
+        keys, alpha = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = [{"kind": "weights", "part": part, "uid": 0, "keys": pack_sorted(keys), "x": pack(alpha)}]
+        out += [{"kind": "answer", "part": part, "uid": r["uid"], "x": pack(x)} for r, x in zip(asks, logs, strict=True)]
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
 
 
 _OUT = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -385,7 +421,8 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
 
     order: words of the longest n-grams, 1 to 7.  path: a new folder that
     executors share, for the tables: pieces (texts as word numbers), counts
-    (kind=ngrams: counts of all n-grams of all orders, by part) and scores
+    (kind=ngrams: counts of all n-grams of all orders, by part), sums (turn=-1:
+    texts without their backoff weights, by piece) and scores
     (kind=weights: backoff weights of all contexts that some text backs off
     from, by part).  Keys are 61 bits of hash and the order.
 
@@ -406,7 +443,7 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
 
     for turn in range(COUNT_ROUNDS):
         sent = pieces.mapInArrow(_send(order, parts, turn), _PART)
-        sent.groupBy("part").applyInArrow(_count(order), _PART).write.mode("append").partitionBy("kind").parquet(f"{path}/counts")
+        sent.groupBy("part").applyInArrow(_count(order, parts, ENTRIES), _PART).write.mode("append").partitionBy("kind").parquet(f"{path}/counts")
     counts = spark.read.schema(_PART).parquet(f"{path}/counts")
     sums = counts.where("kind = 'ngrams'").select(F.posexplode("stat")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stat = np.zeros(order * (K + 3), np.int64)
@@ -422,10 +459,18 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     back = counts.where("kind = 'answer'").select("uid", "part", "count")
     both = pieces.unionByName(back, allowMissingColumns=True)
     schema = f"{_PART}, {_DOCS}"
+    for i in range(SLICES):
+        scored = both.where(F.pmod("uid", F.lit(SLICES)) == i).groupBy("uid").applyInArrow(_score(model), schema)
+        scored.write.mode("append").partitionBy("turn").parquet(f"{path}/sums")
+    drop_table(spark, f"{path}/counts/kind=answer")
+    sums = spark.read.schema(schema).parquet(f"{path}/sums")
     for turn in range(WEIGHT_ROUNDS):
-        scored = both.groupBy("uid").applyInArrow(_score(model, turn), schema)
-        scored.groupBy("part").applyInArrow(_weigh, schema).write.mode("append").partitionBy("kind").parquet(f"{path}/scores")
-    scores = spark.read.schema(schema).parquet(f"{path}/scores").where("kind in ('texts', 'answer')")
+        weighed = sums.where(F.col("turn") == turn).select(*counts.columns).groupBy("part").applyInArrow(_weigh(parts, ENTRIES), _PART)
+        weighed.write.mode("append").partitionBy("kind").parquet(f"{path}/scores")
+        drop_table(spark, f"{path}/sums/turn={turn}")
+    texts = spark.read.schema(schema).parquet(f"{path}/sums").where("turn = -1")
+    answers = spark.read.schema(_PART).parquet(f"{path}/scores").where("kind = 'answer'")
+    scores = texts.unionByName(answers, allowMissingColumns=True)
     out = scores.groupBy("uid").applyInArrow(_finish, _OUT)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
 

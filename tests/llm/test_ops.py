@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -124,6 +125,48 @@ def test_katz_packing(size):
     assert (katz.unpack_sorted(katz.pack_sorted(a)) == a).all() and (katz.unpack(katz.pack(a), np.uint64) == a).all()
 
 
+@pytest.mark.parametrize("entries", [40, 1000])
+def test_katz_ranges_of_a_part(spark, odd, odd_rows, monkeypatch, entries):
+    """Parts sorted a range at a time give the scores of brute force; a range that no text asks for and one without keys are fine."""
+    monkeypatch.setattr(katz, "ENTRIES", entries)
+    got = katz.katz_scores(odd, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)), order=3).select("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    monkeypatch.setattr(katz, "ENTRIES", 10**9)
+    want = katz.katz_scores(odd, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)), order=3).select("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got, want = sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
+    assert len(got) == len(odd_rows) and np.allclose(np.array(got), np.array(want), rtol=0, atol=1e-9)
+
+
+def test_katz_part_memory():
+    """A part of a million entries takes under 40 bytes an entry while it is counted, and counts them right."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    every = np.unique(r.integers(0, 2**63, 60_000).astype(np.uint64) * np.uint64(2) & ~katz.LEVEL | np.uint64(1))
+    rows, total, n = [], np.zeros(len(every), np.int64), 0
+    for i in range(40):
+        own = np.flatnonzero(r.random(len(every)) < 0.45)
+        count = r.integers(1, 5, len(own))
+        total[own] += count
+        rows.append({"kind": "send", "part": 0, "uid": i, "keys": katz.pack_sorted(every[own]), "count": katz.pack(count * 2)})
+        n += len(own)
+    table = pa.Table.from_batches([katz._rows(rows)])
+    tracemalloc.start()
+    out = katz._count(1, 1, 50_000)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (katz.unpack_sorted(out[0]["keys"]) == every).all() and (katz.unpack(out[0]["count"], np.int64) == total).all()
+    assert (katz.unpack(out[1]["count"], np.int64) == 2 * total[np.isin(every, katz.unpack_sorted(rows[0]["keys"]))]).all()
+    assert peak < 40 * n
+
+
+def test_katz_scores_a_piece_once(spark, odd, tmp_path):
+    """Sums of all ranges come from one pass; what no later step reads is gone: answers of counts, sums of weighed ranges."""
+    path = f"file://{tmp_path}/katz"
+    assert katz.katz_scores(odd, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)), path=path).count() == odd.count()
+    left = sorted(f"{p.parent.name}/{p.name}" for p in (tmp_path / "katz").glob("*/*=*"))
+    assert left == ["counts/kind=ngrams", "scores/kind=answer", "scores/kind=weights", "sums/turn=-1"]
+
+
 def test_katz_rows_of_one_id(spark):
     """The same tokens and id, held out and not, and null beside 0, stay rows of their own."""
     rows = [(1, "a b", True), (1, "a b", False), (None, "a b", True), (0, "a b", False)]

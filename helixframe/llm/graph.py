@@ -10,9 +10,9 @@ from helixframe.llm.cluster import cut
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a node that has none itself."""
-    up = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-    further = up.select(F.col("a").alias("b")).join(edges, "b", "left_semi")
-    return up.where("n > 1").select("b").union(further).isEmpty()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("end")).select("end.*")
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 or up = 1 and n > 1")
+    return odd.count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:

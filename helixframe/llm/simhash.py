@@ -407,7 +407,7 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     chained = cut(chain_pairs(nodes.select("same", "fp", "n"), similarity))
     wanted = blocks.select("same").union(chained.select("a")).union(chained.select("b")).distinct().join(nodes.select("same", "k1", "k2"), "same")
-    texts = rows.select("k1", "k2", "text").join(few(wanted), ["k1", "k2"]).select("same", "text")
+    texts = rows.select("k1", "k2", "text").join(few(cut(wanted)), ["k1", "k2"]).select("same", "text")
     sets = cut(texts.mapInArrow(_shingler(k), "same long, shingles binary").dropDuplicates(["same"]))
 
     near = small.select("block", "same", "n").join(small.select("block", other.alias("x")), "block").where("same < x.same")
@@ -416,7 +416,7 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = _similar(chained.union(others).distinct(), sets, similarity)
     roots = cut(components(found))
     rest = _apart(many, roots, sets, similarity)
-    if not rest.isEmpty():
+    if rest.count():
         of = roots.select("node", "root")
         a, b = (of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         joined = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))

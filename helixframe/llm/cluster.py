@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,14 +79,25 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, each write removes its shuffle files when it has ended; then the session's own setting holds again."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """While it lasts, the session has these settings; then its own hold again."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """While it lasts, each write removes its shuffle files when it has ended."""
+    return settings(spark, {CLEANUP: "true"})
+
+
+#: For tables of large binary values: bytes of a batch to or from Python, rows read at once; and folders written without sorting the rows by folder first.
+LARGE_VALUES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.maxConcurrentOutputFileWriters": "8"}
 
 
 def hashable(docs: DataFrame) -> list[Column]:

@@ -35,13 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
-from helixframe.llm.cluster import drop_table, freed_shuffles, new_table
+from helixframe.llm.cluster import LARGE_VALUES, drop_table, freed_shuffles, new_table, settings
 
 ORDER = 3
 #: Tokens for each part; a part holds at most that many entries of each order.
 GROUP_TOKENS = 2_000_000
-#: Text of a piece, bytes.
-PIECE = 8 << 20
+#: Bytes of a piece, of a slice of a batch that goes into one, and those that a row counts beside its text.
+PIECE, SLICE, ROW = 7 << 20, 1 << 19, 100
+#: Keys that are worked on at once; bytes of a batch that goes back to the JVM.
+KEYS, OUT = 1 << 16, 4 << 20
+#: Tables of values that are large and compressed: small pages and row groups, not compressed again.
+TABLE = {"compression": "uncompressed", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 16, "parquet.page.size.row.check.min": 4}
 #: Ranges of keys that are counted, and weighed, one after the other, so that shuffles hold one range at a time; slices of the pieces that are scored one after the other.
 COUNT_ROUNDS, WEIGHT_ROUNDS, SLICES = 4, 4, 4
 #: Entries of a part that are sorted at once.
@@ -80,20 +84,21 @@ def pack(a: np.ndarray, level: int = 1) -> bytes:
     return len(a).to_bytes(8, "little") + (pa.Codec("zstd", level).compress(planes, asbytes=True) if planes else b"")
 
 
-def unpack(b: bytes, kind: type) -> np.ndarray:
+def unpack(b: bytes | memoryview, kind: type) -> np.ndarray:
     n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
     if not n:
         return np.zeros(0, kind)
     planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+    return planes.reshape(size, n).T.copy().view(kind).reshape(n)
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
     return pack(np.diff(a, prepend=a.dtype.type(0)))
 
 
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+def unpack_sorted(b: bytes | memoryview) -> np.ndarray:
+    a = unpack(b, np.uint64)
+    return np.cumsum(a, out=a)
 
 
 def pack_few(a: np.ndarray) -> bytes:
@@ -103,14 +108,18 @@ def pack_few(a: np.ndarray) -> bytes:
     return len(first).to_bytes(8, "little") + first + pack(at.astype(np.int32))
 
 
-def unpack_few(b: bytes, kind: type) -> np.ndarray:
+def unpack_few(b: bytes | memoryview, kind: type) -> np.ndarray:
     n = 8 + int.from_bytes(b[:8], "little")
     return unpack(b[8:n], kind)[unpack(b[n:], np.int32)]
 
 
 def _longer(grams: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Hashes of n-grams with one more word before."""
-    return tx.mix(grams * np.uint64(0x9FB21C651E98DF25) + tx.mix(before + np.uint64(1)))
+    out = np.empty_like(grams)
+    for i in range(0, len(grams), KEYS):
+        some = slice(i, i + KEYS)
+        out[some] = tx.mix(grams[some] * np.uint64(0x9FB21C651E98DF25) + tx.mix(before[some] + np.uint64(1)))
+    return out
 
 
 def _begins(order: int) -> list[np.uint64]:
@@ -134,17 +143,22 @@ class Grams:
     @staticmethod
     def of(words: np.ndarray, stream: np.ndarray, sizes: np.ndarray, order: int) -> Grams:
         tokens = words[stream]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
         keys, g = np.empty((order, len(tokens)), np.uint64), tokens
         for k in range(1, order + 1):
             if k > 1:
                 before = np.full(len(tokens), BEGIN)
                 before[k - 1 :] = tokens[: max(0, len(tokens) - k + 1)]
-                before[at < k - 1] = BEGIN
+                for i in range(k - 1):  # the texts' first k - 1 tokens
+                    at = starts[starts + i < len(tokens)] + i
+                    before[at[doc[at] == doc[at - i]]] = BEGIN
                 g = _longer(g, before)
-            keys[k - 1] = g & ~LEVEL | np.uint64(k)
-        return Grams(keys, doc, at == 0)
+            np.bitwise_and(g, ~LEVEL, out=keys[k - 1])
+            keys[k - 1] |= np.uint64(k)
+        first = np.zeros(len(tokens), bool)
+        first[starts] = True
+        return Grams(keys, doc, first)
 
     def of_context(self, values: np.ndarray, k: int, begin) -> np.ndarray:
         """For the n-grams of order k, what values (order, token) say of their contexts; begin where those are begins only."""
@@ -154,9 +168,23 @@ class Grams:
         return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition by pieces, whatever batches they come in."""
+    have, n = [], 0
     for batch in batches:
-        for rows, data, offsets in tx.pieces(batch, size=PIECE):
+        for rows, data, _ in tx.pieces(batch, size=SLICE):
+            if have and n + len(data) + ROW * len(rows) > PIECE:
+                yield pa.Table.from_batches(have).combine_chunks().to_batches()[0]
+                have, n = [], 0
+            have.append(rows)
+            n += len(data) + ROW * len(rows)
+    if have:
+        yield pa.Table.from_batches(have).combine_chunks().to_batches()[0]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _filled(batches):
+        for rows, data, offsets in tx.pieces(batch, size=2 * PIECE):
             words = tx.split(data, offsets)
             n = len(offsets) - 1
             tokens = np.full(len(words.starts) + n, END, np.uint64)
@@ -176,8 +204,11 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _in_turn(keys: np.ndarray, parts: int, turn: int, rounds: int) -> np.ndarray:
-    """Places of keys whose parts' turn it is."""
-    return np.flatnonzero(_part(keys, parts) * rounds // parts == turn)
+    """Places of keys whose parts' turn it is: part * rounds // parts == turn."""
+    low, high = (-(-(-(-t * parts // rounds) << 32) // parts) << 32 for t in (turn, turn + 1))
+    if low >= high:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((keys >= np.uint64(low)) & (keys <= np.uint64(high - 1)))
 
 
 def _parts_of(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -193,6 +224,18 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
 
+def _table(rows: list[dict], build: Callable[[list[dict]], pa.RecordBatch]) -> pa.Table:
+    """Rows with binary values, in batches of about OUT bytes."""
+    sizes = np.cumsum([sum(len(v) for v in r.values() if isinstance(v, bytes)) for r in rows]) // OUT
+    edges = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]).tolist()
+    return pa.Table.from_batches([build(rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def _blobs(table: pa.Table, column: str) -> list[memoryview | None]:
+    """Binary values, not copied."""
+    return [memoryview(x.as_buffer()) if x.is_valid else None for x in table.column(column)]
+
+
 def _read(row: dict, order: int) -> tuple[Grams, np.ndarray]:
     """n-grams of a piece and, by token, whether it trains."""
     sizes = np.array(row["sizes"], np.int64)
@@ -209,11 +252,14 @@ def _send(order: int, parts: int, turn: int) -> Callable:
                 row = batch.slice(i, 1).to_pylist()[0]
                 grams, learn = _read(row, order)
                 keys = grams.keys.reshape(-1)
+                del grams
                 some = _in_turn(keys, parts, turn, COUNT_ROUNDS)
-                keys, inverse = np.unique(keys[some], return_inverse=True)
-                every = np.bincount(inverse, minlength=len(keys))
-                train = np.bincount(inverse[learn[some % len(learn)]], minlength=len(keys))
+                keys, learn = keys[some], learn[some % len(learn)]
+                del some
+                keys, inverse, every = np.unique(keys, return_inverse=True, return_counts=True)
+                train = np.bincount(inverse[learn], minlength=len(keys))
                 count = train * 2 + (every > train)
+                del inverse, every, train
                 rows = [{"kind": "send", "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(count[a:b])} for p, a, b in _parts_of(keys, parts)]
                 for j in range(0, len(rows), 256):
                     yield _rows(rows[j : j + 256])
@@ -221,6 +267,11 @@ def _send(order: int, parts: int, turn: int) -> Callable:
     return run
 
 
+def _small(a: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
 def _cuts(part: int, parts: int, each: list[np.ndarray], entries: int) -> np.ndarray:
     """Places [lists, ranges + 1] at which ranges of a part's keys, of so many entries in all lists, begin in each sorted list."""
     ranges = max(1, -(-sum(map(len, each)) // entries))
@@ -233,10 +284,11 @@ def _count(order: int, parts: int, entries: int) -> Callable:
     """One part: the counts of its n-grams, how many have each small count, and each piece's answer."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["part", "uid", "keys", "count"]).to_pylist()
-        part = rows[0]["part"]
-        each = [unpack_sorted(r["keys"]) for r in rows]
-        count = [np.array(unpack(r["count"], np.int64)) for r in rows]  # and, range by range, the answer
+        part, uids = table.column("part")[0].as_py(), table.column("uid").to_pylist()
+        each = [unpack_sorted(b) for b in _blobs(table, "keys")]
+        count = [_small(unpack(b, np.int64)) for b in _blobs(table, "count")]
+        most = sum(int(x.max(initial=0)) for x in count)
+        count = [x.astype(np.int32 if most < 2**31 - 2 else np.int64) for x in count]  # and, range by range, the answer
         cuts = _cuts(part, parts, each, entries)
         stat = np.zeros((order, K + 3), np.int64)
         found = []
@@ -245,7 +297,7 @@ def _count(order: int, parts: int, entries: int) -> Callable:
             own = np.concatenate([x[i:j] for x, i, j in zip(count, a, b, strict=True)])
             total = np.bincount(inverse, own >> 1, len(keys)).astype(np.int64)
             asked = np.bincount(inverse, own & 1, len(keys)) > 0
-            answer, at = (total * 2 + asked)[inverse], 0
+            answer, at = (total * 2 + asked).astype(count[0].dtype)[inverse], 0
             for x, i, j in zip(count, a, b, strict=True):
                 x[i:j] = answer[at : at + j - i]
                 at += j - i
@@ -255,11 +307,16 @@ def _count(order: int, parts: int, entries: int) -> Callable:
             np.add.at(stat, (level[small] - 1, own[small] - 1), 1)
             stat[:, K + 1] += np.bincount(level, minlength=order + 1)[1:]
             stat[:, K + 2] += np.bincount(level, own, order + 1)[1:].astype(np.int64)
-            found.append((keys[trained], own))
-        keys, own = (np.concatenate(x) for x in zip(*found, strict=True))
-        out = [{"kind": "ngrams", "part": part, "uid": 0, "keys": pack_sorted(keys), "count": pack(own), "stat": stat.reshape(-1).tolist()}]
-        out += [{"kind": "answer", "part": part, "uid": r["uid"], "count": pack(x)} for r, x in zip(rows, count, strict=True)]
-        return pa.Table.from_batches([_rows(out)])
+            found.append((keys[trained], _small(own)))
+        del each, keys, inverse, own, total, asked, answer, trained, level, small
+        kept, times = zip(*found, strict=True)
+        del found
+        packed = pack(np.concatenate(times).astype(np.int64))
+        kept = np.concatenate(kept)
+        out = [{"kind": "ngrams", "part": part, "uid": 0, "keys": pack_sorted(kept), "count": packed, "stat": stat.reshape(-1).tolist()}]
+        del kept, times
+        out += [{"kind": "answer", "part": part, "uid": uid, "count": pack(x.astype(np.int64))} for uid, x in zip(uids, count, strict=True)]
+        return _table(out, _rows)
 
     return run
 
@@ -295,75 +352,86 @@ def _score(model: Model) -> Callable:
         row = table.slice(int(whole[0]), 1).to_pylist()[0]
         grams, learn = _read(row, model.order)
         n_docs, doc = len(row["sizes"]), grams.doc
-        answers = table.filter(table.column("part").is_valid()).select(["part", "count"]).to_pylist()
-        answers.sort(key=lambda a: a["part"])
+        answers = table.filter(table.column("part").is_valid())
+        answers = sorted(zip(answers.column("part").to_pylist(), _blobs(answers, "count"), strict=True), key=lambda a: a[0])
         keys = grams.keys.reshape(-1)
-        r, asked = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+        r, asked = np.empty(len(keys), np.int32 if model.tokens < 2**30 else np.int64), np.empty(len(keys), bool)
         for turn in range(COUNT_ROUNDS):
             order = _in_turn(keys, model.parts, turn, COUNT_ROUNDS)
             order = order[np.argsort(keys[order])]
             ordered = keys[order]
             begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-            answer = np.concatenate([np.zeros(0, np.int64), *[unpack(a["count"], np.int64) for a in answers if a["part"] * COUNT_ROUNDS // model.parts == turn]])
+            answer = np.concatenate([np.zeros(0, np.int64), *[unpack(b, np.int64) for part, b in answers if part * COUNT_ROUNDS // model.parts == turn]])
             if len(begin) != len(answer):
                 raise RuntimeError("counts of a piece are incomplete")
             times = np.diff(begin, append=len(ordered))
             r[order], asked[order] = np.repeat(answer >> 1, times), np.repeat((answer & 1).astype(bool), times)
         del answers, order, ordered, begin, answer, times
         r, asked = r.reshape(model.order, -1), asked.reshape(model.order, -1)
-        n = [None, None, *[grams.of_context(r, k, model.texts) for k in range(2, model.order + 1)]]
         amount, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
         events, givers = [], []
         for k in range(model.order, 1, -1):
+            n = grams.of_context(r, k, model.texts)
             hit = np.flatnonzero(open_ & (r[k - 1] > 0))
-            amount[hit] = np.log10(model.seen(k, r[k - 1][hit], n[k][hit]))
+            amount[hit] = np.log10(model.seen(k, r[k - 1][hit], n[hit]))
             open_[hit] = False
-            context = grams.of_context(grams.keys, k, begins[k - 2])
-            back = np.flatnonzero(open_ & (n[k] > 0))
-            events.append((doc[back], context[back], n[k][back], np.full(len(back), model.tokens) if k == 2 else n[k - 1][back]))
-            give = np.flatnonzero(learn & grams.of_context(asked, k, True))
-            givers.append((k, give, context[give]))
-        del n, asked
+            back = np.flatnonzero(open_ & (n > 0))
+            n = n[back]
+            low = np.full(len(back), model.tokens, r.dtype) if k == 2 else grams.of_context(r, k - 1, model.texts)[back]
+            events.append((doc[back], grams.of_context(grams.keys, k, begins[k - 2])[back], n, low))
+            givers.append((k, learn & grams.of_context(asked, k, True)))
+            del n, hit, back, low
+        del asked
         amount[open_] = np.log10(model.seen(1, r[0][open_], None))
         base = np.log10((r[0] + 1.0) / (model.tokens + model.vocabulary + 1.0))
+        base, amount = (np.bincount(doc, x, n_docs).tolist() for x in (base, amount))
+        known = np.bincount(doc, r[0] > 0, n_docs).astype(np.int64).tolist()
         out = []
         for turn in range(WEIGHT_ROUNDS if givers else 0):
             gives = []
-            for k, give, context in givers:
+            for k, give in givers:
+                context = grams.of_context(grams.keys, k, begins[k - 2])
                 some = _in_turn(context, model.parts, turn, WEIGHT_ROUNDS)
-                high, low = r[k - 1][give[some]], r[k - 2][give[some]]
+                some = some[give[some]]
+                high, low = r[k - 1][some], r[k - 2][some]
                 gives.append((context[some], model.factor(k, high), model.factor(k - 1, low) * low / high))
             keys, x, y = (np.concatenate(c) for c in zip(*gives, strict=True))
+            del gives, context, some, high, low
             keys, inverse = np.unique(keys, return_inverse=True)
             x, y = np.bincount(inverse, x, len(keys)), np.bincount(inverse, y, len(keys))
             out += [{"kind": "give", "turn": turn, "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "x": pack_few(x[a:b]), "y": pack_few(y[a:b])} for p, a, b in _parts_of(keys, model.parts)]
+        del grams, r, givers
         e_doc, e_key, e_n, e_low = (np.concatenate(c) for c in zip(*events, strict=True)) if events else (np.zeros(0, np.int64),) * 4
         keys, at, inverse = np.unique(e_key.astype(np.uint64), return_index=True, return_inverse=True)
         asks = [(p, a, b) for p, a, b in _parts_of(keys, model.parts)]
         out += [{"kind": "ask", "turn": p * WEIGHT_ROUNDS // model.parts, "part": p, "uid": row["uid"], "keys": pack_sorted(keys[a:b]), "count": pack(e_n[at[a:b]].astype(np.int64)), "x": pack(e_low[at[a:b]].astype(np.int64))} for p, a, b in asks]
-        pair, times = np.unique(e_doc * max(len(keys), 1) + inverse, return_counts=True)
+        pair, times = np.unique(e_doc.astype(np.int64) * max(len(keys), 1) + inverse, return_counts=True)
         own = {
             "ids": row["ids"], "held": row["held"], "sizes": row["sizes"],
-            "known": np.bincount(doc, r[0] > 0, n_docs).astype(np.int64).tolist(), "base": np.bincount(doc, base, n_docs).tolist(), "score": np.bincount(doc, amount, n_docs).tolist(),
+            "known": known, "base": base, "score": amount,
             "event_doc": pack_sorted(pair // max(len(keys), 1)), "event_at": pack(pair % max(len(keys), 1)), "event_n": pack(times),
         }
-        return _with_texts([{"kind": "texts", "turn": -1, "uid": row["uid"]} | own, *out])
+        return _table([{"kind": "texts", "turn": -1, "uid": row["uid"]} | own, *out], _with_texts)
 
     return run
 
 
-def _with_texts(rows: list[dict]) -> pa.Table:
+def _with_texts(rows: list[dict]) -> pa.RecordBatch:
     """Rows of parts and of texts."""
     kinds = dict(zip("turn ids held sizes known base score event_doc event_at event_n".split(), [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 3], strict=True))
     first = _rows(rows)
-    return pa.Table.from_arrays([*first.columns, *[pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()]], names=[*first.schema.names, *kinds])
+    return pa.RecordBatch.from_arrays([*first.columns, *[pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()]], names=[*first.schema.names, *kinds])
 
 
 def _weigh(parts: int, entries: int) -> Callable:
     """One part: the weights of contexts that some text asks for, and each piece's answer."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["kind", "part", "uid", "keys", "count", "x", "y"]).to_pylist(), key=lambda r: r["uid"])
+        some = table.select(["kind", "part", "uid"]).to_pylist()
+        for c in ("keys", "count", "x", "y"):
+            for r, blob in zip(some, _blobs(table, c), strict=True):
+                r[c] = blob
+        rows = sorted(some, key=lambda r: r["uid"])
         asks = [r for r in rows if r["kind"] == "ask"]
         if not asks:
             return pa.Table.from_batches([_rows([])])
@@ -395,7 +463,7 @@ def _weigh(parts: int, entries: int) -> Callable:
         keys, alpha = (np.concatenate(x) for x in zip(*found, strict=True))
         out = [{"kind": "weights", "part": part, "uid": 0, "keys": pack_sorted(keys), "x": pack(alpha)}]
         out += [{"kind": "answer", "part": part, "uid": r["uid"], "x": pack(x)} for r, x in zip(asks, logs, strict=True)]
-        return pa.Table.from_batches([_rows(out)])
+        return _table(out, _rows)
 
     return run
 
@@ -436,15 +504,16 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     spark = docs.sparkSession
     path = path or new_table(spark, "katz")
     some = docs.select(F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(id_col).cast("long").alias("id"))
-    some.mapInArrow(_pieces, _PIECE).write.parquet(f"{path}/pieces")
+    some.mapInArrow(_pieces, _PIECE).write.options(**TABLE).parquet(f"{path}/pieces")
     pieces = spark.read.schema(_PIECE).parquet(f"{path}/pieces")
     size = pieces.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("tokens"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("texts")).first()
     parts = max(4, -(-int(size["tokens"] or 0) // group_tokens))
 
     for turn in range(COUNT_ROUNDS):
         sent = pieces.mapInArrow(_send(order, parts, turn), _PART)
-        sent.groupBy("part").applyInArrow(_count(order, parts, ENTRIES), _PART).write.mode("append").partitionBy("kind").parquet(f"{path}/counts")
-    counts = spark.read.schema(_PART).parquet(f"{path}/counts")
+        counted = sent.groupBy("part").applyInArrow(_count(order, parts, ENTRIES), _PART).withColumn("slice", F.pmod("uid", F.lit(SLICES)).cast("int"))
+        counted.write.mode("append").options(**TABLE).partitionBy("kind", "slice").parquet(f"{path}/counts")
+    counts = spark.read.schema(f"{_PART}, slice int").parquet(f"{path}/counts")
     sums = counts.where("kind = 'ngrams'").select(F.posexplode("stat")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stat = np.zeros(order * (K + 3), np.int64)
     for r in sums:
@@ -456,17 +525,18 @@ def katz_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     kept = float((d[0, 1:] * small * n1[:K]).sum() + tokens - (small * n1[:K]).sum())
     model = Model(order, parts, int(size["texts"] or 0), tokens, vocabulary, d, max(0.0, 1 - kept / (tokens + 1)))
 
-    back = counts.where("kind = 'answer'").select("uid", "part", "count")
-    both = pieces.unionByName(back, allowMissingColumns=True)
     schema = f"{_PART}, {_DOCS}"
     for i in range(SLICES):
-        scored = both.where(F.pmod("uid", F.lit(SLICES)) == i).groupBy("uid").applyInArrow(_score(model), schema)
-        scored.write.mode("append").partitionBy("turn").parquet(f"{path}/sums")
+        back = counts.where((F.col("kind") == "answer") & (F.col("slice") == i)).select("uid", "part", "count")
+        both = pieces.where(F.pmod("uid", F.lit(SLICES)) == i).unionByName(back, allowMissingColumns=True)
+        scored = both.groupBy("uid").applyInArrow(_score(model), schema)
+        scored.write.mode("append").options(**TABLE).partitionBy("turn").parquet(f"{path}/sums")
+        drop_table(spark, f"{path}/counts/kind=answer/slice={i}")
     drop_table(spark, f"{path}/counts/kind=answer")
     sums = spark.read.schema(schema).parquet(f"{path}/sums")
     for turn in range(WEIGHT_ROUNDS):
-        weighed = sums.where(F.col("turn") == turn).select(*counts.columns).groupBy("part").applyInArrow(_weigh(parts, ENTRIES), _PART)
-        weighed.write.mode("append").partitionBy("kind").parquet(f"{path}/scores")
+        weighed = sums.where(F.col("turn") == turn).select("kind", "part", "uid", "keys", "count", "x", "y").groupBy("part").applyInArrow(_weigh(parts, ENTRIES), _PART)
+        weighed.write.mode("append").options(**TABLE).partitionBy("kind").parquet(f"{path}/scores")
         drop_table(spark, f"{path}/sums/turn={turn}")
     texts = spark.read.schema(schema).parquet(f"{path}/sums").where("turn = -1")
     answers = spark.read.schema(_PART).parquet(f"{path}/scores").where("kind = 'answer'")
@@ -479,6 +549,6 @@ def op1_katz_backoff(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; those whose hash falls into one of seven folds are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), settings(spark, LARGE_VALUES):
         out = katz_scores(docs, held)
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -10,18 +10,18 @@ from helixframe.llm import decontam, gbt, katz, mixing, negatives, pii, repair,
 from helixframe.llm.cluster import small_batches
 
 
-def _batched(query: Callable[[SparkSession, str], DataFrame], rows: int = 1000) -> Callable[[SparkSession, str], DataFrame]:
+def _batched(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, in a session that sends Python small batches of text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        small_batches(spark, rows)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 QUERIES = {
-    "op1_katz_backoff": _batched(katz.op1_katz_backoff, 4000),
+    "op1_katz_backoff": _batched(katz.op1_katz_backoff),
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_toxic_segments": _batched(toxicity.op3_toxic_segments),
     "op4_histogram_shards": sharding.op4_histogram_shards,

@@ -159,6 +159,43 @@ def test_katz_part_memory():
     assert peak < 40 * n
 
 
+def test_katz_piece_memory(monkeypatch):
+    """Batches of any size fill the same pieces; sending and scoring a piece take under 110 bytes a token; what goes back to the JVM goes in small batches."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 300) % 50_000) for _ in range(1000)]
+    rows = pa.record_batch({"text": texts, "held": [i % 7 == 2 for i in range(1000)], "id": list(range(1000))})
+    one, same = (list(katz._pieces(rows.slice(i, n) for i in range(0, 1000, n))) for n in (1000, 50))
+    assert len(one) == len(same) == 1 and all(one[0].column(c).equals(same[0].column(c)) for c in ("ids", "held", "sizes", "words", "stream"))
+    assert len(list(katz._pieces(rows.slice(0, 0) for _ in range(2)))) == 0
+    empty = pa.record_batch({"text": pa.array([None] * 200_000, pa.string()), "held": [False] * 200_000, "id": list(range(200_000))})
+    assert sum(p.column("ids").value_lengths()[0].as_py() for p in katz._pieces(empty.slice(i, 1000) for i in range(0, 200_000, 1000))) == 200_000
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    monkeypatch.setattr(katz, "OUT", 100_000, raising=False)
+    back, tokens = [], 301_000
+    for turn in range(katz.COUNT_ROUNDS):
+        sent, most = peak(lambda turn=turn: list(katz._send(3, 4, turn)(iter(one))))
+        assert most < 110 * tokens
+        sent = pa.Table.from_batches(sent)
+        for part in set(sent.column("part").to_pylist()):
+            counted = katz._count(3, 4, 50_000)(sent.filter(pa.compute.equal(sent.column("part"), part)))
+            assert len(counted.to_batches()) > 1
+            back.append(counted.filter(pa.compute.equal(counted.column("kind"), "answer")).select(["uid", "part", "count"]))
+    model = katz.Model(3, 4, 857, 250_000, 20_000, np.full((3, katz.K + 1), 0.7), 0.01)
+    both = pa.concat_tables([pa.Table.from_batches(one), *back], promote_options="default")
+    scored, most = peak(lambda: katz._score(model)(both))
+    assert most < 110 * tokens and scored.num_rows > 1 and len(scored.to_batches()) > 1
+
+
 def test_katz_scores_a_piece_once(spark, odd, tmp_path):
     """Sums of all ranges come from one pass; what no later step reads is gone: answers of counts, sums of weighed ranges."""
     path = f"file://{tmp_path}/katz"

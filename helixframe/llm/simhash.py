@@ -306,9 +306,11 @@ def _tiler(similarity: float):
     return run
 
 
-def _apart(many: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _apart(many: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (a, b) between texts of large blocks (block, same, n) that roots (node, root) leave in different groups: all pairs of a block are compared.
 
+    None where every large block is one group.
+
     The texts of a block are dealt out to chunks: large groups have their own,
     texts of like size are together.  A tile is two chunks; those of one group
     only, or of sizes too far apart, need no comparison.  A task holds one
@@ -317,6 +319,8 @@ def _apart(many: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
     own = many.select("block", "same", "n").join(roots, F.col("same") == F.col("node"), "left").select("block", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = own.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("block")
     mixed = cut(mixed)
+    if not mixed.count():
+        return None
     weight = F.greatest("n", F.lit(TEXT))
     range_of = F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     own = cut(own.join(mixed, "block").select("block", "same", "n", "root", range_of.alias("range")))
@@ -414,9 +418,9 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     far = many.join(hubs, "block").select("same", "fp", "n", F.explode("hubs").alias("x")).where(_any_chain(F.col("fp"), F.col("x.fp"), BITS))
     others = _pairs(near.select("same", "n", "x").union(far.select("same", "n", "x")), similarity)
     found = _similar(chained.union(others).distinct(), sets, similarity)
-    roots = cut(components(found))
+    roots = components(found)
     rest = _apart(many, roots, sets, similarity)
-    if rest.count():
+    if rest is not None and rest.count():
         of = roots.select("node", "root")
         a, b = (of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         joined = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))

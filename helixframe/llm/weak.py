@@ -146,6 +146,22 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(votes(s.features)), *lists], names=["pattern", "index", "value"])
 
 
+def _trainer(post: np.ndarray):
+    """One row with the scorer's weights and bias, from the texts of all batches in their order; none without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_featurer(batches))
+        if found:
+            rows = pa.Table.from_batches(found).combine_chunks()
+            index, value = rows.column("index").combine_chunks(), rows.column("value").combine_chunks()
+            y = post[rows.column("pattern").to_numpy()]
+            order = np.repeat(np.arange(len(y), dtype=np.int32), index.value_lengths().to_numpy(zero_copy_only=False))
+            w, b = train_linear(order, index.flatten().to_numpy(), value.flatten().to_numpy(), y)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([float(b)])], names=["weights", "bias"])
+
+    return run
+
+
 def _scorer(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post, w, b = shared.value
@@ -163,20 +179,22 @@ def _scorer(shared, text_at: int):
 
 
 def train_classifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior by vote pattern, weights and bias.  Votes are counted over all rows; the scorer trains on at most sample of them."""
+    """Posterior by vote pattern, weights and bias.  Votes are counted over all rows; the scorer trains on at most sample of them.
+
+    The sample's features stay in the task that trains; to the driver come the weights.
+    """
     texts = docs.select(F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_voter, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     post, _, _ = fit_labellers(counted.column("pattern").to_numpy(), counted.column("n").to_numpy().astype(float))
     key = F.xxhash64(F.col(id_col))
     least = docs.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
     chosen = docs.where(key <= F.lit(least if least is not None else 0)).select(key.alias("key"), F.col(text_col).alias("text")).orderBy("key", F.xxhash64("text")).limit(sample)
-    rows = chosen.select("text").mapInArrow(_featurer, "pattern long, index array<int>, value array<float>").toArrow()
-    index, value = rows.column("index").combine_chunks(), rows.column("value").combine_chunks()
-    length = index.value_lengths().to_numpy(zero_copy_only=False) if len(index) else np.zeros(0, np.int64)
-    y = post[rows.column("pattern").to_numpy()]
-    order = np.repeat(np.arange(len(y), dtype=np.int32), length)
-    w, b = train_linear(order, index.flatten().to_numpy(), value.flatten().to_numpy(), y)
-    return post, w, b
+    # One partition, as the limit leaves it, also where the plan drops the limit of a short table.
+    model = chosen.select("text").coalesce(1).mapInArrow(_trainer(post), "weights binary, bias double").first()
+    if model is None:
+        none = np.zeros(0, np.int64)
+        return post, *train_linear(none, none, np.zeros(0), np.zeros(0))
+    return post, np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text") -> DataFrame:

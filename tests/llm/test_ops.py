@@ -755,6 +755,22 @@ def test_labellers_and_scorer(spark, odd, none):
     assert weak.classify(none, weak.train_classifier(none)).count() == 0
 
 
+def test_training_leaves_the_sample_in_a_task(spark, monkeypatch, odd, none):
+    here = weak.train_classifier(odd)
+    post, rows = here[0], odd.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select("text").coalesce(1).mapInArrow(weak._featurer, "pattern long, index array<int>, value array<float>").collect()
+    order = np.repeat(np.arange(len(rows)), [len(x["index"]) for x in rows])
+    index, value = (np.array([y for x in rows for y in x[c]]) for c in ("index", "value"))
+    w, b = weak.train_linear(order, index, value.astype(np.float32), post[[x["pattern"] for x in rows]])
+    assert np.allclose(here[1], w, atol=1e-4) and abs(here[2] - b) < 1e-4
+
+    sent = []
+    monkeypatch.setattr(type(odd), "toArrow", lambda self, f=type(odd).toArrow: sent.append(self.columns) or f(self))
+    again = weak.train_classifier(odd)
+    assert sent == [["pattern", "n"]]
+    assert np.array_equal(again[1], here[1]) and again[2] == here[2]
+    assert not weak.train_classifier(none)[1].any()
+
+
 def plain_em(votes, rounds, share, right, weight):
     """Expectation-maximisation over a list of vote tuples (1 good, 2 bad, 0 none), text by text."""
     m = len(votes[0])

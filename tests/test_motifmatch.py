@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from helixframe.operators import motifmatch
@@ -85,3 +86,42 @@ def test_strand_and_offset(spark):
     seqs = spark.createDataFrame([(0, "CCGATTACAC"), (1, "GTGTAATCGG"), (2, "TTAC")], "seqlet_idx int, seq string")
     got = {x["seqlet_idx"]: x for x in motifmatch.annotate_seqlets(seqs, spark.createDataFrame(spelt + others, MOTIFS)).collect()}
     assert [(got[i]["motif_idx"], got[i]["strand"], got[i]["offset"]) for i in range(3)] == [(7, 0, -2), (7, 1, -2), (7, 0, 2)]
+
+
+def test_few_groups_of_motifs_are_scored(monkeypatch):
+    """Motifs of several lengths, in several blocks and rounds of sequences, as by scoring all alignments; the bounds leave out most of them."""
+    r, bins = np.random.RandomState(3), 60
+    sizes = r.choice([1, 7, 12], 3000, p=[0.02, 0.2, 0.78])
+    steps = r.randint(0, bins, (sizes.sum(), 4)).astype(np.int16)
+    histogram = np.stack([np.bincount(s, minlength=bins) for s in steps.T]) / len(steps)
+    low = np.array([int(np.searchsorted(np.cumsum(h), 0.5)) for h in histogram])
+    steps -= low.astype(np.int16)
+    ids = r.permutation(9000)[: len(sizes)].astype(np.int64)
+    seqs = ["".join(r.choice(list("ACGTN"), n, p=[0.24] * 4 + [0.04])) for n in (1, 2, 5, 9, 9, 16, 20, 20, 140)]
+    scored = []
+    plain = motifmatch.Block.scores
+    monkeypatch.setattr(motifmatch.Block, "scores", lambda self, x, rows, groups: (scored.append(len(rows) * motifmatch.GROUP), plain(self, x, rows, groups))[1])
+    monkeypatch.setattr(motifmatch, "TABLE", 2 << 20)
+    null = motifmatch.Null(histogram, low)
+    got = {x.seq: x.best for x in motifmatch.nearest(seqs, ids, sizes, steps, null, 3, True)}
+    begins, total = np.r_[0, np.cumsum(sizes)], 0
+    for seq in set(seqs):
+        letters = ["ACGTN".index(c) for c in seq]
+        best = []
+        for m, (i, size) in enumerate(zip(begins, sizes, strict=False)):
+            found = []
+            for strand, own in enumerate((letters, [3 - a if a < 4 else a for a in reversed(letters)])):
+                for shift in range(1 - len(own), size):
+                    met = [(a, int(steps[i + c, a])) for c in range(max(0, shift), min(size, len(own) + shift)) if (a := own[c - shift]) < 4]
+                    code = sum(1 << motifmatch.COUNT * a for a, _ in met)
+                    score = sum(x for _, x in met)
+                    _, minus, least = null.of(code)
+                    found.append((-minus[score - least], strand, shift, score))
+            total += len(found)
+            tail, strand, shift, score = min(found)
+            best.append((float(-np.expm1(len(found) * np.log1p(-np.minimum(np.array([tail]), 1 - 1e-16)))[0]), int(ids[m]), strand, shift, score))
+        if seq in got:
+            assert got[seq] == sorted(best)[:3]
+        else:
+            assert set(seq) == {"N"}
+    assert sum(scored) < total / 5

@@ -101,25 +101,30 @@ def gapped_kmers(attr: DataFrame, *, key: str = "example_idx", min_k: int = 4, m
     positions at most max_gap apart and less than max_len long, of min_k to
     max_k letters; the code adds (char + 1) * 5 ** offset; equal codes add up
     their mean values.  max_pos keeps the positions of greatest value only.
-    Each step joins chains to the positions they can go on to: equi-joins on
-    the example, as many as max_k less one.
+    Each position has the few that a chain from it can reach beside it, by a
+    window over the example, and all chains from it are made in its row: one
+    shuffle by example, no join.
     """
-    base = attr.select(key, "pos", "char_idx", "value")
+    # By number, so that partitions are not put together by their size in bytes: a position is many chains.
+    base = attr.select(key, "pos", "char_idx", "value").repartition(int(attr.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    if min_k > 1:
+        base = base.where(F.col(key).isNotNull())
     if max_pos is not None:
         w = Window.partitionBy(key).orderBy(F.desc("value"), "pos")
         base = base.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_pos).drop("rn")
-    code = lambda c, offset: (F.col(c) + 1) * F.pow(F.lit(5.0), offset)
-    chain = base.select(key, F.col("pos").alias("first"), F.col("pos").alias("last"), code("char_idx", F.lit(0.0)).alias("code"), F.col("value").alias("total"))
-    nexts = base.select(F.col(key).alias("k2"), F.explode(F.sequence(F.col("pos") - max_gap, F.col("pos") - 1)).alias("from"), F.col("pos").alias("p2"), F.col("char_idx").alias("c2"), F.col("value").alias("v2"))
-    found = None
-    for k in range(1, max_k + 1):
-        if k >= min_k:
-            rows = chain.select(key, F.col("code").cast("long").alias("gkmer"), (F.col("total") / k).alias("value"))
-            found = rows if found is None else found.union(rows)
-        if k < max_k:
-            on = (F.col(key) == F.col("k2")) & (F.col("last") == F.col("from"))
-            chain = chain.join(nexts, on).where(F.col("p2") - F.col("first") < max_len)
-            chain = chain.select(key, "first", F.col("p2").alias("last"), (F.col("code") + code("c2", (F.col("p2") - F.col("first")).cast("double"))).alias("code"), (F.col("total") + F.col("v2")).alias("total"))
+    code = lambda c, offset: (c + 1) * F.pow(F.lit(5.0), offset)
+    w = Window.partitionBy(key).orderBy("pos").rangeBetween(1, max(1, max_len - 1))
+    after = F.collect_list(F.struct("pos", "char_idx", F.col("value").cast("double").alias("value"))).over(w)
+    first = F.struct(F.col("pos").alias("last"), code(F.col("char_idx"), F.lit(0.0)).alias("code"), F.col("value").cast("double").alias("total"))
+    # Rows without an example are no chains of more than one position.
+    rows = base.select(key, "pos", F.array(first).alias("of1"), F.filter(after, lambda b: F.col(key).isNotNull()).alias("after"))
+    for k in range(2, max_k + 1):
+        rows = rows.withColumn(f"of{k}", F.flatten(F.transform(f"of{k - 1}", lambda x: F.transform(
+            F.filter("after", lambda b: (b["pos"] > x["last"]) & (b["pos"] <= x["last"] + max_gap) & (b["pos"] - F.col("pos") < max_len)),
+            lambda b: F.struct(b["pos"].alias("last"), (x["code"] + code(b["char_idx"], (b["pos"] - F.col("pos")).cast("double"))).alias("code"), (x["total"] + b["value"]).alias("total")),
+        ))))
+    done = [F.transform(f"of{k}", lambda x: F.struct(x["code"].cast("long").alias("gkmer"), (x["total"] / k).alias("value"))) for k in range(min_k, max_k + 1)]  # noqa: B023
+    found = rows.select(key, F.explode(F.concat(*done)).alias("x")).select(key, "x.gkmer", "x.value")
     sums = found.groupBy(key, "gkmer").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(key).orderBy(F.desc(F.abs(F.round("value", 9))), "gkmer")
     return sums.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= max_gkmers).drop("rn")

@@ -6,15 +6,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from helixframe.functions import scalar
 from helixframe.operators import edits, models
 from helixframe.operators.order import checkpointed
 
+#: Bytes of attributions that Python sends at once.
+SENT = 4 << 20
+
 
 def keys_of(df: DataFrame) -> list[str]:
     """What tells the sequences of df apart: all columns but seq, such as variant and the indices of an experiment."""
@@ -202,39 +206,73 @@ def deep_lift_shap(df: DataFrame, graph: Graph, *, outputs: list[int] | None = N
     """
     outputs = [0] if outputs is None else outputs
     keys = keys_of(df)
-    # Python sees one number for the row; it is fixed by the checkpoint.
-    df = checkpointed(df.where(F.length("seq") > 0).withColumn("__row", F.monotonically_increasing_id()))
+    # Sequences of a length are neighbours, as they go through the graph together; the checkpoint fixes a row's number.
+    df = df.where(F.length("seq") > 0).sortWithinPartitions(F.length("seq"))
+    df = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    own = F.struct(*keys, "__row").alias("__keys")
     if references is None:
-        shuffled = edits.dinucleotide_shuffle(df.withColumn("__own", F.col("seq")), n=n_shuffles, seed=seed)
-        pairs = shuffled.select("__row", F.col("__own").alias("seq"), F.col("seq").alias("ref"))
+        shuffled = edits.dinucleotide_shuffle(df.select(F.col("example_idx").alias("__example"), own, "__row", "seq", F.col("seq").alias("__own")), n=n_shuffles, seed=seed, key="__example")
+        pairs = shuffled.select("__row", F.col("__own").alias("seq"), F.col("seq").alias("ref"), "__keys")
     else:
-        pairs = _with_references(df, references)
+        met = _with_references(df, references.hint("merge")).select("__row", "seq", "ref", own)
+        # Letters are sent, not maps: a row's references follow each other, so that its sums are made up as they pass.
+        pairs = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__row").sortWithinPartitions(F.length("seq"), "__row")
+    found = ["output_idx", "attribution", "delta"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, size = [], 0
+        row, sums, delta, n, of = None, None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            """The means of the rows that are complete, for each output."""
+            key, sums, delta, n = (list(x) for x in zip(*ready, strict=True))
+            ready.clear()
+            value = [s[i] / m for s, m in zip(sums, n, strict=True) for i in range(len(outputs))]
+            starts = np.r_[0, np.cumsum([len(v) for v in value])].astype(np.int32)
+            each = pa.array(np.repeat(np.arange(len(key)), len(outputs)))
+            columns = [pa.concat_arrays(key).take(each), pa.array(outputs * len(key), pa.int32()), pa.ListArray.from_arrays(starts, np.concatenate(value)), pa.array(np.concatenate(delta))]
+            return pa.RecordBatch.from_arrays(columns, names=["__keys", *found])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for at in batch.groupby(batch["seq"].str.len()).indices.values() if len(batch) else ():
-                for i in range(0, len(at), 64):
-                    some = batch.iloc[at[i : i + 64]]
-                    x, r = (models.one_hot_batch(some[c].tolist()).astype(float) for c in ("seq", "ref"))
-                    dy = graph(x) - graph(r)
-                    for o in outputs:
-                        m = graph.multipliers(x, r, o)
-                        delta = np.abs(dy[:, o] - ((x - r) * m).sum((1, 2)))
-                        value = m - (r * m).sum(1, keepdims=True)
-                        if not hypothetical:
-                            value = value * x
-                        for k in range(len(some)):
-                            rows.append((int(some["row_key"].iloc[k]), o, value[k].reshape(-1).tolist(), float(delta[k])))
-            yield pd.DataFrame(rows, columns=["row_key", "output_idx", "value", "delta"])
-
-    each = pairs.select(F.col("__row").alias("row_key"), "seq", F.col("ref")).mapInPandas(run, "row_key long, output_idx int, value array<double>, delta double")
-    # Sums by place in the array: groups hold one array, not one for each reference.
-    long = each.select("row_key", "output_idx", "delta", F.posexplode("value").alias("i", "v"))
-    mean = long.groupBy("row_key", "output_idx", "i").agg(F.avg("v").alias("v"), F.max("delta").alias("delta"))
-    out = mean.groupBy(F.col("row_key").alias("__row"), F.col("output_idx").alias("__output")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("__x"), F.max("delta").alias("__delta"))
-    out = df.select(*keys, "__row").join(out, "__row")
-    return out.select(*keys, F.col("__output").alias("output_idx"), F.col("__x.v").alias("attribution"), F.col("__delta").alias("delta"), (F.col("__delta") <= warning).alias("converged"))
+            numbers = batch.column(0).to_numpy()
+            seq, ref = (batch.column(i).to_pylist() for i in (1, 2))
+            i = 0
+            while i < len(seq):
+                stop = i + 1
+                while stop < min(i + 64, len(seq)) and len(seq[stop]) == len(seq[i]):
+                    stop += 1
+                x, r = (models.one_hot_batch(c[i:stop]).astype(float) for c in (seq, ref))
+                dy = graph(x) - graph(r)
+                values, deltas = [], []
+                for o in outputs:
+                    m = graph.multipliers(x, r, o)
+                    deltas.append(np.abs(dy[:, o] - ((x - r) * m).sum((1, 2))))
+                    value = m - (r * m).sum(1, keepdims=True)
+                    if not hypothetical:
+                        value = value * x
+                    values.append(value.reshape(len(value), -1))
+                values, deltas = np.stack(values, 1), np.stack(deltas, 1)
+                begins = np.flatnonzero(np.r_[True, numbers[i + 1 : stop] != numbers[i : stop - 1]])
+                for k, (s, d, m) in enumerate(zip(np.add.reduceat(values, begins), np.maximum.reduceat(deltas, begins), np.diff(np.r_[begins, stop - i]), strict=True)):
+                    at = i + int(begins[k])
+                    if numbers[at] == row:
+                        sums, delta, n = sums + s, np.maximum(delta, d), n + m
+                        continue
+                    if row is not None:
+                        ready.append((of, sums, delta, n))
+                        size += sums.nbytes
+                    row, sums, delta, n, of = numbers[at], s, d, m, batch.column(3).slice(at, 1)
+                if size > SENT:
+                    yield done()
+                    size = 0
+                i = stop
+        if row is not None:
+            ready.append((of, sums, delta, n))
+            yield done()
+
+    kind = T.StructType([pairs.schema["__keys"], T.StructField("output_idx", T.IntegerType()), T.StructField("attribution", T.ArrayType(T.DoubleType())), T.StructField("delta", T.DoubleType())])
+    out = pairs.mapInArrow(run, kind)
+    return out.select(*[F.col("__keys")[c].alias(c) for c in keys], *found, (F.col("delta") <= warning).alias("converged"))
 
 
 def _with_references(df: DataFrame, references: DataFrame) -> DataFrame:

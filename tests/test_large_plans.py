@@ -6,7 +6,11 @@ import itertools
 import random
 from collections import defaultdict
 
-from helixframe.operators import encode
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.operators import attribution, encode, models
 from helixframe.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +44,39 @@ def test_gapped_kmers_by_enumeration(spark):
         got = encode.gapped_kmers(df, min_k=min_k, max_k=max_k, max_gap=max_gap, max_len=max_len, max_gkmers=10**6).collect()
         assert {(x["example_idx"], x["gkmer"]): (round(x["value"], 6), x["n"]) for x in got} == {k: (round(sum(v), 6), len(v)) for k, v in want.items()}
         assert len(got) == len(want)
+
+
+def test_maps_are_not_shuffled(spark):
+    """Only letters are: means are made up where a row's references pass."""
+    plan = plan_of(catalog.QUERIES["m08_pisa"](spark, SMALL))
+    assert "Aggregate" not in plan and "Broadcast" not in plan
+    assert plan.rindex("Exchange") > plan.rindex("MapInArrow")
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_maps_are_means_over_references(spark, batch):
+    """Of sequences of several lengths, with references on both sides of the ends of batches."""
+    r = random.Random(5)
+    draw = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    seqs = [(i, i % 2 == 0, draw(n)) for i, n in enumerate([12, 12, 14, 12, 30, 14])]
+    refs = [(i, k, draw(len(s))) for i, _, s in seqs for k in range([1, 70, 2, 5, 3, 0][i])]
+    pooled = attribution.Graph([attribution.conv(np.arange(60).reshape(3, 4, 5) % 7 - 3.0), attribution.relu(), attribution.Layer(lambda x: x.sum(2), lambda g, x, *_: np.repeat(g[:, :, None], x.shape[2], 2))])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        df = spark.createDataFrame(seqs, "example_idx long, even boolean, seq string").repartition(2, "example_idx")
+        got = attribution.pisa(df, pooled, 3, references=spark.createDataFrame(refs, "example_idx long, shuffle_idx int, seq string").repartition(5), warning=1e-6).orderBy("example_idx", "output_idx").collect()
+        drawn = attribution.deep_lift_shap(df, pooled, n_shuffles=4).orderBy("example_idx").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(x["example_idx"], x["even"], x["output_idx"]) for x in got] == [(i, i % 2 == 0, o) for i in range(5) for o in range(3)]
+    assert [x["example_idx"] for x in drawn] == list(range(6))
+    for x in got:
+        i, o = x["example_idx"], x["output_idx"]
+        ref = models.one_hot_batch([t for j, _, t in refs if j == i]).astype(float)
+        own = models.one_hot_batch([seqs[i][2]] * len(ref)).astype(float)
+        m = pooled.multipliers(own, ref, o)
+        want = ((m - (ref * m).sum(1, keepdims=True)) * own).mean(0).reshape(-1)
+        delta = np.abs(pooled(own)[:, o] - pooled(ref)[:, o] - ((own - ref) * m).sum((1, 2))).max()
+        assert np.allclose(x["attribution"], want) and abs(x["delta"] - delta) < 1e-9 and x["converged"] == (delta <= 1e-6)

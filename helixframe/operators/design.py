@@ -68,45 +68,74 @@ def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, schema)
 
 
-def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None, output_mask: list[int] | None = None) -> DataFrame:
-    """df with motif_idx, pos, new_seq and motif_length: every motif at every allowed place of every sequence; single letters if motifs is None.
+def _tries(motifs: list[str] | None, reverse_complement: bool) -> list[str]:
+    """Motifs to put in, with those of the other strand behind them; single letters if motifs is None."""
+    if motifs is None:
+        return list(scalar.ALPHABET)
+    pairs = dict(zip("ACGTN", "TGCAN", strict=True))
+    return [*motifs, *("".join(pairs[c] for c in reversed(m)) for m in motifs if reverse_complement)]
+
+
+def _edited(seq: Column, motif: Column, pos: Column, tries: list[str]) -> Column:
+    """seq with a motif, one of tries, written over it; the motif's unknown letters leave what is there."""
+    put = motif
+    if any(scalar.UNKNOWN in m for m in tries):
+        # Letter by letter only for motifs that have some.
+        known = F.transform(F.split(motif, ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(seq, pos + i + 1, F.lit(1))).otherwise(c))
+        put = F.when(F.contains(motif, F.lit(scalar.UNKNOWN)), F.array_join(known, "")).otherwise(motif)
+    return F.overlay(seq, put, pos + 1)
+
+
+def _places(seq: Column, motif: Column, mask: list[int] | None, output_mask: list[int] | None) -> Column:
+    """Where a motif may start: positions of mask, such that only those of output_mask change."""
+    last = F.length(seq) - F.length(motif)
+    some = F.sequence(F.lit(0), last) if mask is None else F.filter(F.array(*map(F.lit, mask)).cast("array<int>"), lambda p: p <= last)
+    some = F.when(last >= 0, some).otherwise(F.array().cast("array<int>"))
+    if output_mask is None:
+        return some
+    return F.filter(some, lambda p: F.forall(F.sequence(p, p + F.length(motif) - 1), lambda q: q.isin(*output_mask)))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), for which value is worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def over_edits(seq: Column, zero: Column, merge: Callable[[Column, Column], Column], loss: Callable[..., Column], motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None, output_mask: list[int] | None = None) -> Column:
+    """zero merged with (loss, motif_idx, pos, seq) of each edit in turn: every motif at every allowed place of seq; single letters if motifs is None.
 
-    mask: positions at which a motif may start; output_mask: positions that may change.
+    loss: a function of the edited sequence, the place and the motif's length.
+    mask: positions at which a motif may start; output_mask: positions that may
+    change.  Edits are made and merged one by one in the sequence's own row, so
+    that none is sorted, sent or kept.
     """
-    tries = list(scalar.ALPHABET) if motifs is None else list(motifs)
-    if motifs is not None and reverse_complement:
-        pairs = dict(zip("ACGTN", "TGCAN", strict=True))
-        tries += ["".join(pairs[c] for c in reversed(m)) for m in motifs]
+    tries = _tries(motifs, reverse_complement)
     each = F.array(*[F.struct(F.lit(i).alias("motif_idx"), F.lit(m).alias("motif")) for i, m in enumerate(tries)])
-    rows = df.select("*", F.explode(each).alias("tried")).where(F.length("seq") >= F.length("tried.motif"))
-    last = F.length("seq") - F.length("tried.motif")
-    places = F.array(*map(F.lit, mask)).cast("array<int>") if mask is not None else F.when(last >= 0, F.sequence(F.lit(0), last))
-    rows = rows.withColumn("motif_idx", F.col("tried.motif_idx")).withColumn("pos", F.explode(places))
-    if output_mask is not None:
-        rows = rows.where(F.forall(F.sequence(F.col("pos"), F.col("pos") + F.length("tried.motif") - 1), lambda p: p.isin(*output_mask)))
-    rows = rows.where(F.col("pos") + F.length("tried.motif") <= F.length("seq"))
-    put = F.col("tried.motif")
-    if any(scalar.UNKNOWN in m for m in tries):
-        # Unknown letters of a motif leave what is there; letter by letter only for motifs that have some.
-        known = F.transform(F.split("tried.motif", ""), lambda c, i: F.when(c == scalar.UNKNOWN, F.substring(F.col("seq"), F.col("pos") + i + 1, F.lit(1))).otherwise(c))
-        put = F.when(F.contains(put, F.lit(scalar.UNKNOWN)), F.array_join(known, "")).otherwise(put)
-    return rows.withColumn("new_seq", F.overlay("seq", put, F.col("pos") + 1)).withColumn("motif_length", F.length("tried.motif")).drop("tried")
+
+    def step(acc: Column, t: Column, p: Column) -> Column:
+        found = lambda e: F.struct(loss(e, p, F.length(t["motif"])).alias("loss"), t["motif_idx"].alias("motif_idx"), p.alias("pos"), e.alias("seq"))
+        return _let(_edited(seq, t["motif"], p, tries), lambda e: _let(found(e), lambda new: merge(acc, new)))
+
+    return F.aggregate(each, zero, lambda acc, t: F.aggregate(_places(seq, t["motif"], mask, output_mask), acc, lambda own, p: step(own, t, p)))
 
 
-def _edited(model: models.SqlModel, head: str) -> Column:
-    """The output of candidates' new_seq; y0 is that of their seq."""
-    return model.after(head, F.col("y0"), F.col("seq"), F.col("new_seq"), F.col("pos"), F.col("motif_length"))
+def _scored(df: DataFrame, model: models.SqlModel, loss: Loss, head: str) -> tuple[DataFrame, Callable[..., Column], str]:
+    """df with y0 and loss, the loss of an edit of its seq (of the edited sequence, the place and the width), and the type of an edit."""
+    now = df.withColumn("y0", model.heads[head](F.col("seq"))).withColumn("loss", loss(F.col("y0")))
+    kind = now.schema["loss"].dataType.simpleString()
+    after = lambda e, at, width: loss(model.after(head, F.col("y0"), F.col("seq"), e, at, width)).cast(kind)
+    return now, after, f"struct<loss:{kind},motif_idx:int,pos:int,seq:string>"
 
 
 def greedy_round(df: DataFrame, model: models.SqlModel, loss: Loss, motifs: list[str] | None = None, *, key: str = "example_idx", head: str = "y", **options) -> DataFrame:
-    """(key, seq, loss): each sequence after its best edit, or as it was where no edit has a strictly lower loss."""
-    now = df.select(key, "seq", model.heads[head](F.col("seq")).alias("y0"))
-    tried = candidates(now, motifs, **options).withColumn("new_loss", loss(_edited(model, head)))
-    now = now.select(key, "seq", loss(F.col("y0")).alias("loss"))
-    best = tried.groupBy(key).agg(F.min(F.struct("new_loss", "motif_idx", "pos", "new_seq")).alias("best"))
-    better = F.col("best.new_loss") < F.col("loss")
-    joined = now.join(best, key, "left")
-    return joined.select(key, F.when(better, F.col("best.new_seq")).otherwise(F.col("seq")).alias("seq"), F.when(better, F.col("best.new_loss")).otherwise(F.col("loss")).alias("loss"))
+    """(key, seq, loss): each sequence after its best edit, or as it was where no edit has a strictly lower loss.
+
+    Each row is worked on by itself, also where rows share a key or have none.
+    """
+    now, after, kind = _scored(df.select(key, "seq"), model, loss, head)
+    best = now.withColumn("best", over_edits(F.col("seq"), F.lit(None).cast(kind), F.least, after, motifs, **options))
+    better = F.col("best.loss") < F.col("loss")
+    return best.select(key, F.when(better, F.col("best.seq")).otherwise(F.col("seq")).alias("seq"), F.when(better, F.col("best.loss")).otherwise(F.col("loss")).alias("loss"))
 
 
 def greedy_substitution(df: DataFrame, model: models.SqlModel, loss: Loss, motifs: list[str] | None = None, *, tol: float = 1e-3, max_iter: int = -1, key: str = "example_idx", **options) -> DataFrame:
@@ -124,12 +153,21 @@ def greedy_substitution(df: DataFrame, model: models.SqlModel, loss: Loss, motif
     return now
 
 
+def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: bool = True, mask: list[int] | None = None, output_mask: list[int] | None = None) -> DataFrame:
+    """df with motif_idx, pos, new_seq and motif_length: every motif at every allowed place of every sequence, a row each; options as for over_edits."""
+    tries = _tries(motifs, reverse_complement)
+    each = F.array(*[F.struct(F.lit(i).alias("motif_idx"), F.lit(m).alias("motif")) for i, m in enumerate(tries)])
+    rows = df.select("*", F.explode(each).alias("tried")).withColumn("motif_idx", F.col("tried.motif_idx")).withColumn("motif", F.col("tried.motif")).drop("tried")
+    rows = rows.withColumn("pos", F.explode(_places(F.col("seq"), F.col("motif"), mask, output_mask)))
+    return rows.withColumn("new_seq", _edited(F.col("seq"), F.col("motif"), F.col("pos"), tries)).withColumn("motif_length", F.length("motif")).drop("motif")
+
+
 def beam_round(df: DataFrame, model: models.SqlModel, loss: Loss, beam: int, motifs: list[str] | None = None, *, head: str = "y", **options) -> DataFrame:
     """(seq, loss, counter): the beam best distinct sequences among members and all their edits; members go first among equals."""
-    f = model.heads[head]
-    members = df.select("seq", loss(f(F.col("seq"))).alias("loss"), F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos"))
-    tried = candidates(df.select("seq", f(F.col("seq")).alias("y0")), motifs, **options).select(F.col("new_seq").alias("seq"), loss(_edited(model, head)).alias("loss"), "motif_idx", "pos")
-    once = members.union(tried).groupBy("seq").agg(F.min("loss").alias("loss"), F.min(F.struct("motif_idx", "pos")).alias("counter"))
+    now, after, _ = _scored(df.select("seq"), model, loss, head)
+    tried = candidates(now.select("seq", "y0"), motifs, **options).select(F.col("new_seq").alias("seq"), after(F.col("new_seq"), F.col("pos"), F.col("motif_length")).alias("loss"), "motif_idx", "pos")
+    all_of = now.select("seq", "loss", F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos")).union(tried.select("seq", "loss", "motif_idx", "pos"))
+    once = all_of.groupBy("seq").agg(F.min("loss").alias("loss"), F.min(F.struct("motif_idx", "pos")).alias("counter"))
     return once.orderBy("loss", "counter", "seq").limit(beam)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import attribution, encode, models
+from helixframe.operators import attribution, design, encode, models
 from helixframe.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,3 +80,20 @@ def test_maps_are_means_over_references(spark, batch):
         want = ((m - (ref * m).sum(1, keepdims=True)) * own).mean(0).reshape(-1)
         delta = np.abs(pooled(own)[:, o] - pooled(ref)[:, o] - ((own - ref) * m).sum((1, 2))).max()
         assert np.allclose(x["attribution"], want) and abs(x["delta"] - delta) < 1e-9 and x["converged"] == (delta <= 1e-6)
+
+
+def test_greedy_rounds_send_nothing(spark):
+    """A round is a pass over the rows: no join, no sorting of edits, and rows that share a key or have none are rows of their own."""
+    seqs = spark.createDataFrame([(1, "AAAAAAAA"), (1, "ACTTACTT"), (None, "TTTTTTTT"), (2, "AC"), (3, None)], "example_idx long, seq string")
+    for options in ({}, {"mask": [0, 2, 7]}, {"output_mask": [1, 2, 3, 4]}, {"reverse_complement": False}):
+        done = design.greedy_round(seqs, models.COUNTER, design.highest(), ["ACG", "TNTA"], **options)
+        plan = plan_of(done)
+        assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+        tried = design.candidates(seqs, ["ACG", "TNTA"], **options).collect()
+        score = lambda s: s and -(s.count("ACG") * 3.0 - s.count("TT"))
+        want = set()
+        for key, seq in seqs.collect():
+            best = min(((score(x["new_seq"]), x["motif_idx"], x["pos"], x["new_seq"]) for x in tried if x["seq"] == seq), default=None)
+            want.add((key, best[3], best[0]) if best and best[0] < score(seq) else (key, seq, score(seq)))
+        got = {tuple(x) for x in done.collect()}
+        assert got == want and {x[0] for x in got} == {1, 2, 3, None}

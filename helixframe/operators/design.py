@@ -162,11 +162,37 @@ def candidates(df: DataFrame, motifs: list[str] | None, *, reverse_complement: b
     return rows.withColumn("new_seq", _edited(F.col("seq"), F.col("motif"), F.col("pos"), tries)).withColumn("motif_length", F.length("motif")).drop("motif")
 
 
+#: Beams of up to so many sequences are picked in each member's own row first.
+FEW = 32
+
+
+def _into_beam(beam: int) -> Callable[[Column, Column], Column]:
+    """Merges an edit into the beam best distinct sequences so far, best first; of a sequence the least loss and the first edit count."""
+
+    def merge(acc: Column, new: Column) -> Column:
+        same = lambda x: x["seq"] == new["seq"]
+        again = F.transform(acc, lambda x: F.when(same(x), F.struct(F.least(x["loss"], new["loss"]).alias("loss"), x["motif_idx"].alias("motif_idx"), x["pos"].alias("pos"), x["seq"].alias("seq"))).otherwise(x))
+        more = F.when(F.exists(acc, same), again).otherwise(F.array_append(acc, new))
+        return F.when((F.size(acc) < beam) | (new < F.get(acc, F.size(acc) - 1)), F.slice(F.sort_array(more), 1, beam)).otherwise(acc)
+
+    return merge
+
+
 def beam_round(df: DataFrame, model: models.SqlModel, loss: Loss, beam: int, motifs: list[str] | None = None, *, head: str = "y", **options) -> DataFrame:
-    """(seq, loss, counter): the beam best distinct sequences among members and all their edits; members go first among equals."""
-    now, after, _ = _scored(df.select("seq"), model, loss, head)
-    tried = candidates(now.select("seq", "y0"), motifs, **options).select(F.col("new_seq").alias("seq"), after(F.col("new_seq"), F.col("pos"), F.col("motif_length")).alias("loss"), "motif_idx", "pos")
-    all_of = now.select("seq", "loss", F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos")).union(tried.select("seq", "loss", "motif_idx", "pos"))
+    """(seq, loss, counter): the beam best distinct sequences among members and all their edits; members go first among equals.
+
+    What is among the best of all is among those of the member it comes from,
+    so a member sends on no more than beam rows.
+    """
+    now, after, kind = _scored(df.select("seq"), model, loss, head)
+    if beam > FEW:
+        tried = candidates(now.select("seq", "y0"), motifs, **options).select(F.col("new_seq").alias("seq"), after(F.col("new_seq"), F.col("pos"), F.col("motif_length")).alias("loss"), "motif_idx", "pos")
+        all_of = now.select("seq", "loss", F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos")).union(tried.select("seq", "loss", "motif_idx", "pos"))
+    else:
+        member = F.array(F.struct(F.col("loss").alias("loss"), F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos"), F.col("seq").alias("seq"))).cast(f"array<{kind}>")
+        # Never empty; of an inner explode Spark would look at the array first, and work it out again for that.
+        best = now.select(over_edits(F.col("seq"), member, _into_beam(beam), after, motifs, **options).alias("best"))
+        all_of = best.select(F.explode_outer("best").alias("x")).select("x.seq", "x.loss", "x.motif_idx", "x.pos")
     once = all_of.groupBy("seq").agg(F.min("loss").alias("loss"), F.min(F.struct("motif_idx", "pos")).alias("counter"))
     return once.orderBy("loss", "counter", "seq").limit(beam)
 

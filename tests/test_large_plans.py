@@ -97,3 +97,23 @@ def test_greedy_rounds_send_nothing(spark):
             want.add((key, best[3], best[0]) if best and best[0] < score(seq) else (key, seq, score(seq)))
         got = {tuple(x) for x in done.collect()}
         assert got == want and {x[0] for x in got} == {1, 2, 3, None}
+
+
+def test_beams_send_few_rows(spark):
+    """A member sends on no more rows than the beam holds; the best are those of all edits, however the members share them."""
+    r = random.Random(6)
+    seqs = spark.createDataFrame([(i, "".join(r.choice("ACT") for _ in range(12))) for i in range(30)] + [(30, "ACTTACTT"), (31, "ACTTACTT"), (32, "A")], "example_idx long, seq string")
+    for model, loss in ((models.COUNTER, design.highest()), (models.TOY, design.distance_to(7))):
+        for beam in (1, 4, 32, 33, 500):
+            done = design.beam_round(seqs, model, loss, beam, ["ACG", "TTNA"])
+            got = [(x["loss"], tuple(x["counter"]), x["seq"]) for x in done.collect()]
+            f = model.heads["y"]
+            tried = design.candidates(seqs, ["ACG", "TTNA"]).select(F.col("new_seq").alias("seq"), "motif_idx", "pos")
+            each = seqs.select("seq", F.lit(-1).alias("motif_idx"), F.lit(-1).alias("pos")).union(tried).select("seq", "motif_idx", "pos", loss(f(F.col("seq"))).alias("l"))
+            best = {}
+            for x in each.collect():
+                best[x["seq"]] = min(best.get(x["seq"], (x["l"], (99, 99), x["seq"])), (x["l"], (x["motif_idx"], x["pos"]), x["seq"]))
+            assert got == sorted(best.values())[:beam]
+            if beam == 4:
+                rows = design.beam_round(seqs, model, loss, beam, ["ACG", "TTNA"])
+                assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
